@@ -29,6 +29,18 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.jpeg import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.near_dedup import classes
+
+    return classes(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
