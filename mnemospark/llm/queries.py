@@ -11,6 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.ordinal import classify, graded, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, graded(table(spark, sf_dir, "labels"))))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemospark.llm.token_files import token_files
 
