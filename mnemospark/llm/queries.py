@@ -18,6 +18,12 @@ def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, train(docs, graded(table(spark, sf_dir, "labels"))))
 
 
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.backoff import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemospark.llm.token_files import token_files
 
@@ -59,6 +65,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from mnemospark.llm import secrets
+    from mnemospark.llm import backoff, secrets
 
-    return {"op4_secret_ledger": secrets.oracle()}
+    return {"op2_stupid_backoff": backoff.oracle(), "op4_secret_ledger": secrets.oracle()}
