@@ -60,11 +60,19 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from mnemospark.llm.mtree import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from mnemospark.llm import backoff, secrets
+    from mnemospark.llm import backoff, mtree, secrets
 
-    return {"op2_stupid_backoff": backoff.oracle(), "op4_secret_ledger": secrets.oracle()}
+    return {"op9_mtree_top_k": mtree.oracle(), "op2_stupid_backoff": backoff.oracle(), "op4_secret_ledger": secrets.oracle()}
