@@ -68,11 +68,17 @@ def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_licence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from mnemospark.llm.licences import document_files, licences
+
+    return licences(document_files(table(spark, sf_dir, "documents")), ["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    from mnemospark.llm import backoff, mtree, secrets
+    from mnemospark.llm import backoff, licences, mtree, secrets
 
-    return {"op9_mtree_top_k": mtree.oracle(), "op2_stupid_backoff": backoff.oracle(), "op4_secret_ledger": secrets.oracle()}
+    return {"op10_licence_cosine": licences.oracle(), "op9_mtree_top_k": mtree.oracle(), "op2_stupid_backoff": backoff.oracle(), "op4_secret_ledger": secrets.oracle()}
