@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "session_stats"
+from mnemospark.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "hybrid_retrieval"
+for _area in ("history", "models", "state", "content", "ranking"):
+    importlib.import_module(f"mnemospark.plans.{_area}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
