@@ -70,15 +70,16 @@ def exact_search(found: DataFrame, phrase: str, limit: int) -> DataFrame:
 
 
 def requests(found: DataFrame) -> DataFrame:
-    """The last user entry of each session: session_id, at, request."""
+    """The last user entry of each session: session_id, asked_at, request."""
     users = found.where("role = 'user'").groupBy("session_id").agg(F.max(F.struct("created_at", "text")).alias("last"))
-    return users.select("session_id", F.col("last.created_at").alias("at"), F.trim(F.coalesce("last.text", F.lit(""))).alias("request"))
+    return users.select("session_id", F.col("last.created_at").alias("asked_at"), F.trim(F.coalesce("last.text", F.lit(""))).alias("request"))
 
 
 def postings(found: DataFrame, scope: str, doc: str, text: str = "text") -> DataFrame:
     """(scope, doc, term, tf, dl): the inverted index as a table, combined within documents before any shuffle."""
-    words = T.terms(F.col(text))
-    rows = found.select(scope, doc, F.size(words).alias("dl"), F.explode(words).alias("term"))
+    # the length is a column of its own below the explode; beside it, it would be counted again for each word
+    words = found.select(scope, doc, T.terms(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
+    rows = words.select(scope, doc, "dl", F.explode("words").alias("term"))
     return rows.groupBy(scope, doc, "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -120,7 +121,7 @@ def hybrid(found: DataFrame, how: Retrieval = Retrieval()) -> DataFrame:
     asked = requests(found)
     long_words = F.slice(F.array_distinct(F.filter(T.terms(F.col("request")), lambda t: F.length(t) >= 6)), 1, 3)
     asked = asked.withColumn("exact_terms", long_words).withColumn("phrase", F.array_join(F.slice("exact_terms", 1, 2), " "))
-    earlier = found.join(asked, "session_id").where("created_at < at").where("length(trim(text)) > 0")
+    earlier = found.join(asked, "session_id").where("created_at < asked_at").where("length(trim(text)) > 0")
     plain = F.concat(F.lit(" "), F.array_join(T.terms(F.col("text")), " "), F.lit(" "))
     marked = earlier.withColumn("plain", plain)
     n_exact = F.size(F.filter("exact_terms", lambda t: F.contains(F.col("plain"), F.concat(F.lit(" "), t, F.lit(" ")))))

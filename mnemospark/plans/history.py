@@ -20,8 +20,8 @@ TERMS = "regexp_extract_all(" + LEX.format("coalesce({0}, '')") + ", '[a-z0-9]+'
 NORM = LEX.format("trim(regexp_replace({0}, '[ \\t-\\r]+', ' ', 'g'))")
 HALF_UP = "floor(({0}) * 1000000 + 0.5) / 1000000"
 ASKED = (
-    "lu as (select session_id, max(created_at) at from e where role = 'user' group by 1), "
-    "q as (select lu.session_id, at, trim(coalesce(text, '')) request from lu join e on e.session_id = lu.session_id and e.created_at = lu.at and role = 'user')"
+    "lu as (select session_id, max(created_at) at_turn from e where role = 'user' group by 1), "
+    "q as (select lu.session_id, at_turn asked_at, trim(coalesce(text, '')) request from lu join e on e.session_id = lu.session_id and e.created_at = lu.at_turn and role = 'user')"
 )
 
 
@@ -136,13 +136,13 @@ def bm25_topk(t):
 def weighted_bm25(t):
     """Benchmark passages as requests against documents: content weighs 1, where it lies (source, language) 3."""
     wanted = t.benchmark.select("item_id", F.explode(F.array_distinct(F.slice(T.terms(F.col("text")), 1, 12))).alias("term"))
-    place = T.terms(F.concat_ws(" ", "source", "lang"))
-    each = F.concat(F.transform(T.terms(F.col("text")), lambda w: F.struct(w.alias("term"), F.lit(1.0).alias("wt"))), F.transform(place, lambda w: F.struct(w.alias("term"), F.lit(3.0).alias("wt"))))
-    weight = F.aggregate(each, F.lit(0.0), lambda s, x: s + x["wt"])
-    index = t.documents.select("doc_id", weight.alias("dl"), F.inline(each)).groupBy("doc_id", "dl", "term").agg(F.sum("wt").alias("tf"))
+    docs = t.documents.select("doc_id", T.terms(F.col("text")).alias("content"), T.terms(F.concat_ws(" ", "source", "lang")).alias("place"))
+    docs = docs.withColumn("dl", (F.size("content") + 3 * F.size("place")).cast("double"))
+    each = [docs.select("doc_id", "dl", F.explode(words).alias("term"), F.lit(w).alias("wt")) for words, w in (("content", 1.0), ("place", 3.0))]
+    index = each[0].union(each[1]).groupBy("doc_id", "dl", "term").agg(F.sum("wt").alias("tf"))
     matched = index.join(wanted.select("term").distinct(), "term")
     df = matched.groupBy("term").agg(F.count("*").alias("df"))
-    stats = t.documents.select(weight.alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
+    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
     part = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("a")))
     scored = wanted.join(matched, "term").join(df, "term").join(F.broadcast(stats)).groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return H.top(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 3).withColumn("rank", F.col("rank").cast("long"))
@@ -181,7 +181,7 @@ def rrf_fusion(t):
 
 @query(
     f"with recursive {ENTRIES}, {ASKED}, qq as (select *, list_slice(list_transform(list_sort(list_transform(list_distinct(list_filter(ws, lambda x: length(x) >= 6)), lambda x: struct_pack(p := list_position(ws, x), x := x))), lambda s: s.x), 1, 3) xt "
-    f"from (select *, {TERMS.format('request')} ws from q)), v as (select e.*, at, xt, ' ' || array_to_string({TERMS.format('text')}, ' ') || ' ' plain from e join qq on e.session_id = qq.session_id and created_at < at and length(trim(text)) > 0), "
+    f"from (select *, {TERMS.format('request')} ws from q)), v as (select e.*, xt, ' ' || array_to_string({TERMS.format('text')}, ' ') || ' ' plain from e join qq on e.session_id = qq.session_id and created_at < asked_at and length(trim(text)) > 0), "
     "mk as (select *, len(list_filter(xt, lambda x: contains(plain, ' ' || x || ' '))) ne, len(xt) > 1 and contains(plain, ' ' || xt[1] || ' ' || xt[2] || ' ') hp from v), want as (select session_id, unnest(ws) term from qq), "
     + BM25.format(s="session_id", d="entry_id", t="v")
     + ", ft as (select session_id, entry_id, row_number() over (partition by session_id order by round(bm25, 6) desc, entry_id) - 1 fo from b qualify fo < 36), "
