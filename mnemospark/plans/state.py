@@ -1 +1,197 @@
-"""Queries."""
+"""Queries over event-sourced state, graphs and references."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mnemospark.functions import text as T
+from mnemospark.operators import state as S
+from mnemospark.plans.registry import query
+
+LOG = (
+    "lg as (select user_id session, event_id % 40 item, event_id seq, case when event_id % 3 = 0 then 'status' else 'add' end op, 'k' || event_id % 9 as key, event_type claim, "
+    "case event_id % 4 when 0 then 'archived' when 1 then 'active' else 'superseded' end status from events)"
+)
+REPLAY = (
+    f"{LOG}, mk as (select session, item, min(seq) created, arg_min(key, seq) as key, arg_min(claim, seq) claim from lg where op = 'add' group by all), mv as (select session, item, max(seq) seq, arg_max(status, seq) status from lg where op = 'status' group by all), "
+    "it as (select mk.session, mk.item, created, mk.key, claim, case when mv.seq > created then mv.status else 'active' end status from mk left join mv using (session, item)), "
+    "rp as (select session, item, created, key, claim, case when status = 'active' and key is not null and row_number() over (partition by session, key, status order by created, item) > 1 then 'invalid' else status end status from it)"
+)
+
+
+def log(t):
+    e = F.col("event_id")
+    return t.events.select(
+        F.col("user_id").alias("session"), (e % 40).alias("item"), e.alias("seq"), F.when(e % 3 == 0, "status").otherwise("add").alias("op"), F.concat(F.lit("k"), e % 9).alias("key"),
+        F.col("event_type").alias("claim"), F.when(e % 4 == 0, "archived").when(e % 4 == 1, "active").otherwise("superseded").alias("status"),
+    )
+
+
+@query(f"with {REPLAY} select * from rp")
+def memory_replay(t):
+    return S.replay(log(t))
+
+
+@query(f"with {REPLAY} select session, count(*) filter (where status = 'active') active, count(*) filter (where status <> 'active') inactive, count(distinct key) keys from rp group by 1")
+def memory_stats(t):
+    return S.replay(log(t)).groupBy("session").agg(F.count_if(F.col("status") == "active").alias("active"), F.count_if(F.col("status") != "active").alias("inactive"), F.count_distinct("key").alias("keys"))
+
+
+@query(
+    f"with {REPLAY}, v as (select rp.*, case when item % 3 = 0 then 'project' else 'session' end scope, 'p' || session % 4 project from rp) select session, item from v where session = 7 or (scope = 'project' and project = 'p3')"
+)
+def memory_visible(t):
+    items = S.replay(log(t)).withColumn("scope", F.when(F.col("item") % 3 == 0, "project").otherwise("session")).withColumn("project", F.concat(F.lit("p"), F.col("session") % 4))
+    return S.visible(items, F.lit(7), F.lit("p3")).select("session", "item")
+
+
+CLAIMS = (
+    "cl as (select c_nationkey session, c_custkey id, case c_custkey % 4 when 0 then 'The ' || c_mktsegment || ' cache is enabled' when 1 then 'the ' || lower(c_mktsegment) || ' cache is disabled' "
+    "when 2 then c_mktsegment || ' limit: ' || c_custkey % 3 else 'never the ' || c_mktsegment || '  cache' end claim from customer)"
+)
+
+
+def claims(t):
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    claim = (
+        F.when(k % 4 == 0, F.concat(F.lit("The "), segment, F.lit(" cache is enabled"))).when(k % 4 == 1, F.concat(F.lit("the "), F.lower(segment), F.lit(" cache is disabled")))
+        .when(k % 4 == 2, F.concat(segment, F.lit(" limit: "), (k % 3).cast("string"))).otherwise(F.concat(F.lit("never the "), segment, F.lit("  cache")))
+    )
+    return t.customer.select(F.col("c_nationkey").alias("session"), k.alias("id"), claim.alias("claim"))
+
+
+SLUG = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9._/-]+', '-', 'g'), '^-+|-+$', '', 'g')"
+FACTS = (
+    f"{CLAIMS}, pl as (select *, trim(regexp_replace(claim, '\\s+', ' ', 'g')) n from cl), "
+    "sb as (select *, coalesce(nullif(regexp_extract(n, '(?i)^(.{2,160}?) defaults? to .+$', 1), ''), nullif(regexp_extract(n, '(?i)^(.{2,160}?) (?:is|are|must be|should be) .+$', 1), ''), nullif(regexp_extract(n, '^(.{2,160}?) ?[:=] ?.+$', 1), '')) sub from pl), "
+    f"fc as (select session, id, claim, {SLUG.format('sub')} as key, case when regexp_matches(lower(n), '(^|[^a-z0-9_])({T.NEGATIVE})([^a-z0-9_]|$)') then -1 when regexp_matches(lower(n), '(^|[^a-z0-9_])({T.POSITIVE})([^a-z0-9_]|$)') then 1 else 0 end polarity, "
+    "array_to_string(list_filter(regexp_extract_all(lower(n), '[a-z0-9]+'), lambda w: w not in ('not','never','no','true','false','enabled','enable','disabled','disable','on','off','required','forbidden')), ' ') base from sb)"
+)
+
+
+@query(f"with {FACTS} select session, id, key, polarity, base from fc")
+def memory_claims(t):
+    c = F.col("claim")
+    return claims(t).select("session", "id", T.derived_key(c).alias("key"), T.polarity(c).alias("polarity"), T.contradiction_base(c).alias("base"))
+
+
+@query(
+    f"with {FACTS} select a.session, a.id left_id, b.id right_id, cast(coalesce(a.key = b.key, false) as int) same_key, cast(a.polarity <> 0 and a.polarity = -b.polarity and a.base = b.base as int) opposite from fc a join fc b on a.session = b.session and a.id < b.id "
+    "where a.key = b.key or (a.polarity <> 0 and a.polarity = -b.polarity and a.base = b.base)"
+)
+def contradictions(t):
+    return S.contradictions(claims(t))
+
+
+@query(
+    f"with {FACTS}, sc as (select session, id, 30 + case when id % 2 = 0 then 8 else 4 end + case when contains(coalesce(key, ''), 'machinery') then 45 else 0 end + least(60, 12 * (cast(contains(lower(claim), 'machinery') as int) + cast(contains(lower(claim), 'cache') as int))) score, "
+    "contains(coalesce(key, ''), 'machinery') or contains(lower(claim), 'machinery') or contains(lower(claim), 'cache') hit from fc), "
+    "an as (select *, bool_or(hit) over (partition by session) any_hit, row_number() over (partition by session order by score desc, id desc) r0 from sc), "
+    "r as (select session, id, score, row_number() over (partition by session order by score desc, id desc) - 1 as rank from an where hit or (not any_hit and r0 <= 3)) select * from r where rank < 6"
+)
+def memory_selection(t):
+    """Memories for a request about the machinery cache: 30, 8 or 4 by scope, 45 for the key, 12 a matched word; without any, the best three."""
+    from mnemospark.operators.history import top
+
+    words, c = ("machinery", "cache"), F.translate(F.col("claim"), T.UPPER, T.LOWER)
+    key_hit = F.contains(F.coalesce(T.derived_key(F.col("claim")), F.lit("")), F.lit(words[0]))
+    matched = sum((F.contains(c, F.lit(w)).cast("int") for w in words[1:]), F.contains(c, F.lit(words[0])).cast("int"))
+    rows = claims(t).select("session", "id", (30 + F.when(F.col("id") % 2 == 0, 8).otherwise(4) + F.when(key_hit, 45).otherwise(0) + F.least(F.lit(60), 12 * matched)).alias("score"), (key_hit | (matched > 0)).alias("hit"))
+    order = [F.desc("score"), F.desc("id")]
+    hits, fallback = rows.where("hit"), top(rows.join(rows.where("hit").select("session").distinct(), "session", "left_anti"), ["session"], order, 3)
+    return top(hits.unionByName(fallback.drop("rank")), ["session"], order, 6).select("session", "id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+EDGES = "ed as (select distinct p_size % 40 + 40 * (p_partkey % 3) child, (p_size % 40) // 2 + 40 * (p_partkey % 3) parent from part where p_size % 40 > 0)"
+
+
+def edges(t):
+    size, tree = F.col("p_size") % 40, 40 * (F.col("p_partkey") % 3)
+    return t.part.where(size > 0).select((size + tree).alias("child"), (F.floor(size / 2) + tree).alias("parent")).distinct()
+
+
+@query(f"with recursive {EDGES}, r as (select parent ancestor, child node, 1 depth from ed union select r.ancestor, ed.child, depth + 1 from r join ed on ed.parent = r.node) select ancestor, node, cast(min(depth) as int) depth from r group by all")
+def ancestor_chain(t):
+    return S.reachable(edges(t))
+
+
+@query(f"with recursive {EDGES}, r as (select parent, child from ed union select r.parent, ed.child from r join ed on ed.parent = r.child) select distinct node from (select parent node from r where child % 11 = 5 union all select child from ed where child % 11 = 5)")
+def dag_invalidation(t):
+    e = edges(t)
+    return S.invalidated(e, e.where("child % 11 = 5").select(F.col("child").alias("node")).distinct())
+
+
+@query("select o_custkey operation, case max(case o_orderstatus when 'F' then 3 when 'O' then 1 else 2 end) when 3 then 'committed' when 2 then 'failed' else 'prepared' end state from orders group by 1")
+def lifecycle_state(t):
+    state = F.when(F.col("o_orderstatus") == "F", "committed").when(F.col("o_orderstatus") == "O", "prepared").otherwise("failed")
+    return S.lifecycle(t.orders.select(F.col("o_custkey").alias("operation"), state.alias("state")))
+
+
+@query(
+    "with n as (select o_orderkey, md5(o_orderstatus) hash from orders), o as (select o_orderkey, case when o_orderkey % 7 = 0 then 'x' else md5(o_orderstatus) end hash from orders where o_orderkey % 5 <> 0) "
+    "select n.o_orderkey, n.hash, case when o.hash is null then 'insert' when o.hash = n.hash then 'unchanged' else 'rebuild' end as action from n left join o using (o_orderkey)"
+)
+def append_decision(t):
+    rows = t.orders.select("o_orderkey", F.md5("o_orderstatus").alias("hash"))
+    stored = rows.where("o_orderkey % 5 != 0").withColumn("hash", F.when(F.col("o_orderkey") % 7 == 0, "x").otherwise(F.col("hash")))
+    return S.append_decision(stored, rows, ["o_orderkey"])
+
+
+@query(
+    "with f as (select page_id file, 'h' || page_id % 5 header, length(html) size, md5(html) prefix_hash from pages), s as (select page_id file, case when page_id % 9 = 0 then 'other' else 'h' || page_id % 5 end old_header, "
+    "length(html) + page_id % 3 - 1 old_size, case when page_id % 8 = 0 then null when page_id % 7 = 0 then 'x' else md5(html) end old_hash from pages where page_id % 4 <> 0), "
+    "r as (select f.*, old_size, case when old_size is null then 'initial' when header <> old_header then 'header-changed' when size < old_size then 'truncated' when old_hash is null then 'hash-missing' when prefix_hash <> old_hash then 'hash-mismatch' end reason from f left join s using (file)) "
+    "select file, case when reason is not null then 'rebuild' when size = old_size then 'noop' else 'append' end as action, reason from r"
+)
+def sync_decision(t):
+    k, size = F.col("page_id"), F.length("html")
+    files = t.pages.select(k.alias("file"), F.concat(F.lit("h"), k % 5).alias("header"), size.alias("size"), F.md5("html").alias("prefix_hash"))
+    old_hash = F.when(k % 8 == 0, F.lit(None)).when(k % 7 == 0, "x").otherwise(F.md5("html"))
+    states = t.pages.where(k % 4 != 0).select(k.alias("file"), F.when(k % 9 == 0, "other").otherwise(F.concat(F.lit("h"), k % 5)).alias("old_header"), (size + k % 3 - 1).alias("old_size"), old_hash.alias("old_hash"))
+    return S.sync_decision(files, states)
+
+
+@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 49 and l_partkey is not null)")
+def orphan_objects(t):
+    return S.orphans(t.part.select("p_partkey"), t.lineitem.where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey")), "p_partkey")
+
+
+@query("select c_custkey, not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 150000) deleted from customer")
+def stale_anti_join(t):
+    return S.mark_deleted(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query("select c_nationkey as key, c_custkey item, 'native' origin from (select *, row_number() over (partition by c_nationkey order by c_custkey) n from customer where c_custkey % 2 = 0 and c_nationkey % 3 = 0) where n = 1 "
+       "union all select s_nationkey, s_suppkey, 'inherited' from (select *, row_number() over (partition by s_nationkey order by s_suppkey) n from supplier) where n = 1 and s_nationkey not in (select c_nationkey from customer where c_custkey % 2 = 0 and c_nationkey % 3 = 0)")
+def inheritance(t):
+    native = t.customer.where("c_custkey % 2 = 0 and c_nationkey % 3 = 0").groupBy(F.col("c_nationkey").alias("key")).agg(F.min("c_custkey").alias("item"))
+    inherited = t.supplier.groupBy(F.col("s_nationkey").alias("key")).agg(F.min("s_suppkey").alias("item"))
+    return S.inherit(native, inherited, "key")
+
+
+@query(
+    "with r as (select o_custkey session, o_orderkey id, o_orderdate created_at, cast(floor(o_totalprice) as bigint) bytes from orders), a as (select *, row_number() over (partition by session order by created_at desc, id desc) age from r), "
+    "x as (select *, row_number() over (partition by session order by created_at, id) nth, sum(bytes) over (partition by session order by created_at, id) upto from a where age > 4) select session, id, nth, cast(upto as bigint) upto from x where nth = 1 or (nth <= 3 and upto <= 400000)"
+)
+def manifest_prune(t):
+    rows = t.orders.select(F.col("o_custkey").alias("session"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.floor("o_totalprice").alias("bytes"))
+    return S.bounded_prune(rows, 4, 3, 400_000).select("session", "id", F.col("nth").cast("long").alias("nth"), "upto")
+
+
+@query(
+    "with d as (select p_brand capability, count(*) times, max(p_size) version from part where p_partkey % 50 = 0 group by 1), r as (select p_brand capability, max(p_size % 30) least, max(cast(p_size % 2 = 0 as int)) required from part where p_partkey % 40 = 1 group by 1) "
+    "select coalesce(d.capability, r.capability) capability, case when times > 1 then 'duplicate' when required is null then 'unused' when times is not null and version >= least then 'granted' when required = 1 then 'missing' else 'optional-missing' end status from d full join r using (capability)"
+)
+def capability_negotiation(t):
+    declared = t.part.where("p_partkey % 50 = 0").select(F.col("p_brand").alias("capability"), F.col("p_size").alias("version"))
+    requested = t.part.where("p_partkey % 40 = 1").select(F.col("p_brand").alias("capability"), (F.col("p_size") % 30).alias("least"), (F.col("p_size") % 2 == 0).alias("required"))
+    return S.negotiate(declared, requested)
+
+
+@query(
+    "with r as (select l_orderkey % 50 session, l_partkey first, l_partkey + cast(l_quantity as bigint) % 9 last from lineitem where l_linenumber = 1), n as (select *, coalesce(first > max(last) over (partition by session order by first, last rows between unbounded preceding and 1 preceding), true) new from r), "
+    "i as (select *, sum(cast(new as int)) over (partition by session order by first, last) island from n) select session, cast(island as bigint) island, min(first) first, max(last) last, count(*) ranges from i group by all"
+)
+def segment_islands(t):
+    rows = t.lineitem.where("l_linenumber = 1").select((F.col("l_orderkey") % 50).alias("session"), F.col("l_partkey").alias("first"), (F.col("l_partkey") + F.col("l_quantity").cast("long") % 9).alias("last"))
+    return S.overlap_groups(rows)
