@@ -1 +1,161 @@
-"""Queries."""
+"""Queries over texts: credentials, artifacts, snippets, embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from mnemospark.functions import text as T
+from mnemospark.operators import content as C
+from mnemospark.plans.registry import query
+
+
+def duck(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+ASSIGNED = duck(T.FILE_ASSIGNMENT)
+
+
+@query(
+    "with d as (select doc_id, coalesce(text, '') t from documents) select doc_id, "
+    + " or ".join(f"regexp_matches(t, '{duck(p)}')" for p in T.FILE_SECRETS)
+    + f" or len(list_filter(regexp_extract_all(t, '{ASSIGNED}', 1), lambda v: not regexp_matches(trim(v), '{duck(T.EXAMPLE_VALUE)}'))) > 0 secret from d"
+)
+def secret_flag(t):
+    return t.documents.select("doc_id", T.likely_secret(F.coalesce("text", F.lit(""))).alias("secret"))
+
+
+SECRETIVE = "coalesce(text, '') || case doc_id % 5 when 0 then ' password = hunter2xx' when 1 then ' Bearer abcdefgh.12345' when 2 then ' sk-abcdefgh1234' when 3 then ' api_key: ''qwertyuiop''' else '' end"
+
+
+@query(
+    f"with d as (select doc_id, {SECRETIVE} t from documents), a as (select doc_id, regexp_extract_all(t, '\\b(?:sk-(?:ant-)?[A-Za-z0-9_-]{{8,}}|gh[pousr]_[A-Za-z0-9]{{12,}}|AKIA[0-9A-Z]{{16}})\\b') c, "
+    "regexp_replace(t, '\\b(?:sk-(?:ant-)?[A-Za-z0-9_-]{8,}|gh[pousr]_[A-Za-z0-9]{12,}|AKIA[0-9A-Z]{16})\\b', '[REDACTED CREDENTIAL]', 'g') t from d), "
+    "b as (select doc_id, c, regexp_extract_all(t, '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]{8,}') bb, regexp_replace(t, '(?i)\\b(Bearer\\s+)[A-Za-z0-9._~+/=-]{8,}', '\\1[REDACTED TOKEN]', 'g') t from a), "
+    "k as (select *, '(?i)\\b(api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|password)\\b(\\s*[:=]\\s*)(?:''[^\\s,\"'';}\\]]{4,}''|\"[^\\s,\"'';}\\]]{4,}\"|[^\\s,\"'';}\\]]{4,})' re from b) "
+    "select doc_id, cast(len(c) + len(bb) + len(regexp_extract_all(t, re)) as int) n, sha256(regexp_replace(regexp_replace(t, '(?i)\\b(api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|password)\\b(\\s*[:=]\\s*)''[^\\s,\"'';}\\]]{4,}''', '\\1\\2''[REDACTED SECRET]''', 'g'), "
+    "'(?i)\\b(api[_-]?key|access[_-]?token|auth[_-]?token|client[_-]?secret|password)\\b(\\s*[:=]\\s*)[^\\s,\"'';}\\]]{4,}', '\\1\\2[REDACTED SECRET]', 'g')) redacted from k"
+)
+def provider_redaction(t):
+    k = F.col("doc_id") % 5
+    tail = F.when(k == 0, " password = hunter2xx").when(k == 1, " Bearer abcdefgh.12345").when(k == 2, " sk-abcdefgh1234").when(k == 3, " api_key: 'qwertyuiop'").otherwise("")
+    text, count = T.redact_for_provider(F.concat(F.coalesce("text", F.lit("")), tail))
+    return t.documents.select("doc_id", count.alias("n"), F.sha2(text, 256).alias("redacted"))
+
+
+@query(
+    "select doc_id, sha256(regexp_replace(regexp_replace(coalesce(text, ''), '\\b(?:AKIA|ASIA)[A-Z0-9]{6,}', '[REDACTED ACCESS KEY]', 'g'), "
+    "'(?i)(\\b(?:api[_-]?key|authorization|client[_-]?secret|password|private[_-]?key|secret|token)\\b\\s*[:=]\\s*[\"''])([^\"''\\r\\n]{8,})', '\\1[REDACTED]', 'g')) redacted from documents"
+)
+def artifact_redaction(t):
+    return t.documents.select("doc_id", F.sha2(T.redact_artifact(F.coalesce("text", F.lit(""))), 256).alias("redacted"))
+
+
+@query("with s as (select sha256(html) sha, strlen(html) bytes from pages where html is not null) select sha, substr(sha, 1, 2) || '/' || sha place, any_value(bytes) bytes, count(*) \"references\" from s group by sha")
+def artifact_objects(t):
+    return C.objects(t.pages.where("html is not null").select(F.col("html").alias("content"))).withColumn("bytes", F.col("bytes").cast("long"))
+
+
+@query("select page_id, case when page_id % 7 = 0 then 'missing' when page_id % 5 = 0 then 'corrupt' else 'available' end status from pages")
+def artifact_status(t):
+    rows = t.pages.select("page_id", F.sha2(F.concat_ws(":", "page_id", "url"), 256).alias("sha"))
+    found = rows.where("page_id % 7 != 0").select("sha", F.when(F.col("page_id") % 5 == 0, "0" * 64).otherwise(F.col("sha")).alias("actual"))
+    return rows.join(C.object_status(rows.select("sha"), found), "sha").select("page_id", "status")
+
+
+@query(
+    "select page_id, sha256(case when length(html) <= 400 then html else substr(html, 1, 266) || chr(10) || '[... ' || (length(html) - 400) || ' characters left out ...]' || chr(10) || right(html, 134) end) condensed, length(html) > 400 cut from pages"
+)
+def artifact_condense(t):
+    return t.pages.select("page_id", F.sha2(C.condensed(F.col("html")), 256).alias("condensed"), (F.length("html") > 400).alias("cut"))
+
+
+@query(
+    "with p as (select page_id, html, string_split(lower(html), '<p') s from pages), h as (select page_id, html, unnest(range(1, least(5, len(s) - 1) + 1)) nth, s from p where len(s) > 1), "
+    "k as (select page_id, html, nth, cast(list_sum(list_transform(list_slice(s, 1, nth), lambda x: length(x))) + 2 * (nth - 1) as int) start from h) "
+    "select page_id, cast(nth as int) nth, start, sha256(substr(html, greatest(0, start - 30) + 1, start - greatest(0, start - 30) + 32)) excerpt from k"
+)
+def artifact_search(t):
+    hits = C.literal_search(t.pages.select("page_id", F.col("html").alias("text")), "page_id", "<P", 5, 30)
+    return hits.withColumn("excerpt", F.sha2("excerpt", 256))
+
+
+@query(
+    "with l as (select doc_id, string_split_regex(text, '\\r?\\n') a from documents where text is not null), s as (select doc_id, a, unnest(range(0, greatest(0, cast(ceil((len(a) - 8) / 6.0) as bigint)) + 1)) k from l), "
+    "c as (select doc_id, k * 6 + 1 start_line, least(len(a), k * 6 + 8) end_line, array_to_string(list_slice(a, k * 6 + 1, k * 6 + 8), chr(10)) content from s where k < 200) "
+    "select doc_id, cast(start_line as int) start_line, cast(end_line as int) end_line, cast(ceil(length(content) / 4.0) + 48 as bigint) tokens, sha256(doc_id || chr(0) || start_line || chr(0) || end_line) snippet_id from c where regexp_matches(content, '\\S')"
+)
+def line_chunks(t):
+    return C.line_chunks(t.documents.where("text is not null").select("doc_id", "text"), ["doc_id"], 8, 2).drop("content")
+
+
+FEATURES = (
+    "w0 as (select doc_id, list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(coalesce(text, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '[_./\\\\:-]+', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2) r from documents), "
+    "st as (select doc_id, list_filter(list_transform(r, lambda x: coalesce({m}[x], {m}[{s}], {s})), lambda x: length(x) >= 2) w from w0)"
+).format(
+    m="map([" + ",".join(f"'{k}'" for k in C.CONCEPTS) + "],[" + ",".join(f"'{v}'" for v in C.CONCEPTS.values()) + "])",
+    s="case when length(x) > 6 and ends_with(x, 'ing') then substr(x, 1, length(x) - 3) when length(x) > 5 and (ends_with(x, 'ed') or ends_with(x, 'es')) then substr(x, 1, length(x) - 2) when length(x) > 4 and ends_with(x, 's') then substr(x, 1, length(x) - 1) else x end",
+)
+
+
+@query(
+    f"with {FEATURES}, f as (select doc_id, 'token:' || t f, 1 + ln(count(*)) v from (select doc_id, unnest(w) t from st) group by doc_id, t union all select doc_id, 'pair:' || w[i] || ':' || w[i + 1], 0.35 from st, unnest(range(1, len(w))) u(i) "
+    "union all select doc_id, 'empty', 1.0 from st where len(w) = 0), g as (select doc_id, f, sum(v) v, sha256(f) h from f group by all), "
+    "b as (select doc_id, cast('0x' || substr(h, 1, 8) as bigint) % 256 bucket, sum(v * case when cast('0x' || substr(h, 9, 2) as bigint) % 2 = 0 then 1.0 else -1.0 end) v from g group by all), n as (select *, sqrt(sum(v * v) over (partition by doc_id)) norm from b) "
+    "select doc_id, count(*) buckets, round(sum(abs(v / norm)), 6) l1, round(sum(v / norm * (bucket % 7)), 6) probe from n group by 1"
+)
+def feature_hash_embedding(t):
+    cells = C.hashed_features(t.documents, "doc_id")
+    return cells.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.abs("value")), 6).alias("l1"), F.round(F.sum(F.col("value") * (F.col("bucket") % 7)), 6).alias("probe"))
+
+
+@query("with w as (select doc_id, translate(translate(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g'), '" + T.UPPER + "', '" + T.LOWER + "'), '" + T.MARKED + "', '" + T.PLAIN + "') t from documents), "
+       "a as (select doc_id, list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda x: x <> '') w from w) select w[i] this, w[i + 1] next, count(*) n from a, unnest(range(1, len(w))) u(i) group by all having count(*) > 3")
+def bigram_features(t):
+    words = t.documents.select(T.terms(F.col("text")).alias("w")).where("size(w) > 1")
+    pairs = words.select(F.explode(F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("this"), b.alias("next")))).alias("p"))
+    return pairs.select("p.*").groupBy("this", "next").agg(F.count("*").alias("n")).where("n > 3")
+
+
+
+
+@query("select doc_id, case doc_id % 6 when 0 then 'python' when 1 then 'typescript' when 2 then 'go' when 4 then 'markdown' when 5 then 'c' end lang_of from documents")
+def language_for(t):
+    ext = F.element_at(F.array(*map(F.lit, ("py", "ts", "GO", "zz", "md", "h"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return t.documents.select("doc_id", C.language(F.concat_ws(".", F.concat(F.lit("src/a.b/"), "doc_id"), ext)).alias("lang_of"))
+
+
+@query(
+    "with d as (select doc_id, coalesce(text, '') t from documents), m as (select *, case when strpos(lower(t), 'the') > 0 or strpos(lower(t), 'que') > 0 then least(coalesce(nullif(strpos(lower(t), 'the'), 0), 1000000000), coalesce(nullif(strpos(lower(t), 'que'), 0), 1000000000)) else 1 end - 1 at0 from d), "
+    "s as (select *, greatest(0, least(length(t) - 120, at0 - 40)) st from m) select doc_id, sha256(case when length(t) <= 120 then t else (case when st > 0 then '…' else '' end) || substr(t, st + 1, 120) || (case when st + 120 < length(t) then '…' else '' end) end) excerpt from s"
+)
+def excerpts(t):
+    text = F.coalesce("text", F.lit(""))
+    return t.documents.select("doc_id", F.sha2(T.excerpt(text, [F.lit("the"), F.lit("QUE")], 120), 256).alias("excerpt"))
+
+
+@query("select doc_id, coalesce(contains(text, chr(0)) or length(regexp_replace(substr(text, 1, 8192), '[^\\x01-\\x06\\x0E-\\x1F]', '', 'g')) > 0, false) as \"binary\" from documents")
+def binary_sniff(t):
+    return t.documents.select("doc_id", T.binary_like(F.col("text")).alias("binary"))
+
+
+SYMBOLS = "s as (select l_orderkey // 8 file, l_orderkey * 10 + l_linenumber id, l_partkey % 100 first, l_partkey % 100 + cast(l_quantity as bigint) last from lineitem)"
+
+
+def symbols(t):
+    first = F.col("l_partkey") % 100
+    return t.lineitem.select(F.floor(F.col("l_orderkey") / 8).alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), first.alias("first"), (first + F.col("l_quantity").cast("long")).alias("last"))
+
+
+@query(
+    f"with {SYMBOLS}, h as (select a.file, a.id, b.id parent, row_number() over (partition by a.file, a.id order by b.last - b.first, b.id) n from s a join s b on a.file = b.file and b.first <= a.first and a.last <= b.last and a.id <> b.id "
+    "and (b.last - b.first > a.last - a.first or (b.last - b.first = a.last - a.first and b.id < a.id))) select s.*, parent from s left join (select * from h where n = 1) h using (file, id)"
+)
+def enclosing_symbols(t):
+    return C.enclosing(symbols(t))
+
+
+@query(f"with {SYMBOLS}, p as (select a.file, a.id left_id, b.id right_id, least(a.last, b.last) - greatest(a.first, b.first) + 1 common, least(a.last - a.first, b.last - b.first) + 1 shorter from s a join s b on a.file = b.file and a.id < b.id) select file, left_id, right_id, common from p where common * 2 >= shorter")
+def overlapping_snippets(t):
+    return C.overlapping(symbols(t))
