@@ -92,16 +92,19 @@ def hashed_features(docs: DataFrame, key: str, dimensions: int = 256) -> DataFra
     A word counts 1 + ln(tf), each pair of neighbours 0.35; the first 32 bits of the feature's SHA-256 choose the bucket,
     the parity of the next 8 bits its sign. A text without words has the one feature 'empty'.
     """
+    # one pass over the words: all of a text's features are exploded together
     words = docs.select(key, feature_tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    single = words.select(key, F.explode("w").alias("t")).groupBy(key, "t").agg((1 + F.ln(F.count("*"))).alias("v")).select(key, F.concat(F.lit("token:"), "t").alias("f"), "v")
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(F.lit("pair:"), a, F.lit(":"), b))
-    double = words.where("size(w) > 1").select(key, F.explode(pairs).alias("f"), F.lit(0.35).alias("v"))
-    none = words.where("size(w) = 0").select(key, F.lit("empty").alias("f"), F.lit(1.0).alias("v"))
+    feature = lambda f, pair: F.struct(f.alias("f"), F.lit(pair).alias("pair"))
+    single = F.transform("w", lambda t: feature(F.concat(F.lit("token:"), t), False))
+    later = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    double = F.filter(F.zip_with("w", later, lambda a, b: feature(F.concat(F.lit("pair:"), a, F.lit(":"), b), True)), lambda x: x["f"].isNotNull())
+    none = F.when(F.size("w") == 0, F.array(feature(F.lit("empty"), False))).otherwise(F.array().cast("array<struct<f: string, pair: boolean>>"))
+    counted = words.select(key, F.inline(F.concat(single, double, none))).groupBy(key, "f", "pair").agg(F.count("*").alias("n"))
     digest = F.sha2("f", 256)
     bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions
     sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    cells = single.union(double).union(none).groupBy(key, "f").agg(F.sum("v").alias("v")).select(key, bucket.alias("bucket"), (F.col("v") * sign).alias("v"))
-    cells = cells.groupBy(key, "bucket").agg(F.sum("v").alias("v"))
+    value = F.when(F.col("pair"), 0.35 * F.col("n")).otherwise(1 + F.ln("n"))
+    cells = counted.select(key, bucket.alias("bucket"), (value * sign).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v"))
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
     return cells.withColumn("norm", norm).select(key, "bucket", F.when(F.col("norm") > 0, F.col("v") / F.col("norm")).otherwise(0.0).alias("value"))
 
