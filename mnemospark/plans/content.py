@@ -159,3 +159,30 @@ def enclosing_symbols(t):
 @query(f"with {SYMBOLS}, p as (select a.file, a.id left_id, b.id right_id, least(a.last, b.last) - greatest(a.first, b.first) + 1 common, least(a.last - a.first, b.last - b.first) + 1 shorter from s a join s b on a.file = b.file and a.id < b.id) select file, left_id, right_id, common from p where common * 2 >= shorter")
 def overlapping_snippets(t):
     return C.overlapping(symbols(t))
+
+
+CODE = "'export class ' || replace(p_brand, '#', '_') || chr(10) || 'async function f' || p_partkey || '() {}' || chr(10) || '  const c' || p_size || ' = 1' || chr(10) || 'def g' || p_size || '(x):' || chr(10) || 'type f' || p_partkey"
+
+
+@query(
+    f"with c as (select p_partkey, {CODE} t from part), s as (select p_partkey, list_concat(list_concat(regexp_extract_all(t, '\\b(?:class|interface|enum|namespace|record|struct|trait|type)\\s+([A-Za-z_$][\\w$]*)', 1), "
+    "regexp_extract_all(t, '\\b(?:async\\s+)?function\\s+([A-Za-z_$][\\w$]*)', 1)), list_concat(regexp_extract_all(t, '(?m)^\\s*(?:export\\s+)?(?:const|let|var)\\s+([A-Za-z_$][\\w$]*)\\s*[=:]', 1), "
+    "regexp_extract_all(t, '(?m)^\\s*(?:def|fn|func)\\s+([A-Za-z_$][\\w$]*)', 1))) a from c) "
+    "select p_partkey, array_to_string(list_filter(a, lambda v, i: list_position(a, v) = i), ',') symbols, sha256(p_partkey || chr(0) || a[1]) first_id from s"
+)
+def declared_symbols(t):
+    key, size = F.col("p_partkey"), F.col("p_size")
+    lines = [F.concat(F.lit("export class "), F.replace("p_brand", F.lit("#"), F.lit("_"))), F.concat(F.lit("async function f"), key, F.lit("() {}")), F.concat(F.lit("  const c"), size, F.lit(" = 1")), F.concat(F.lit("def g"), size, F.lit("(x):")), F.concat(F.lit("type f"), key)]
+    rows = t.part.select("p_partkey", C.declared_symbols(F.concat_ws("\n", *lines)).alias("s"))
+    return rows.select("p_partkey", F.array_join("s", ",").alias("symbols"), C.symbol_id(F.col("p_partkey"), F.element_at("s", 1)).alias("first_id"))
+
+
+@query(
+    "with d as (select doc_id, coalesce(text, '') t, substr(coalesce(text, ''), 5, 14) h, substr(coalesce(text, ''), 60, 14) l from documents), o as (select *, strpos(t, h) - 1 st, substr(t, strpos(t, h) + length(h)) af from d where length(l) = 14), "
+    "u as (select *, st + length(h) + strpos(af, l) - 1 + length(l) en from o where length(t) - length(replace(t, h, '')) = length(h) and length(af) - length(replace(af, l, '')) = length(l)) "
+    "select doc_id, cast(st as int) as first, cast(en as int) as last, cast(length(regexp_replace(substr(t, 1, st), '[^\\n]', '', 'g')) + 1 as int) first_line, cast(length(regexp_replace(substr(t, 1, en - 1), '[^\\n]', '', 'g')) + 1 as int) last_line from u"
+)
+def anchored_spans(t):
+    text = F.coalesce("text", F.lit(""))
+    rows = t.documents.select("doc_id", text.alias("t"), F.substring(text, 5, 14).alias("h"), F.substring(text, 60, 14).alias("l")).where("length(l) = 14")
+    return rows.select("doc_id", C.anchored_span(F.col("t"), F.col("h"), F.col("l")).alias("s")).where("s is not null").select("doc_id", "s.*")

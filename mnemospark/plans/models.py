@@ -47,7 +47,7 @@ def token_drift(t):
 
 @query(
     f"with {CAL}, w as (select profile, max(actual) hw from r group by 1), x as (select c.*, hw / 1500.0 share from c join w using (profile)), y as (select *, case when not calibrated or accepted < 8 then 'insufficient-samples' when share <= 0.6 then 'expanded' else 'no-headroom' end status from x) "
-    "select profile, status, floor(share * 1000000 + 0.5) / 1000000 high_watermark_ratio, case when status = 'expanded' then 1.125 else 1.0 end boost from y"
+    "select profile, status, floor(share * 1000000 + 0.5) / 1000000 high_watermark_ratio, cast(case when status = 'expanded' then 1.125 else 1.0 end as double) boost from y"
 )
 def auto_tune(t):
     rows = samples(t)
