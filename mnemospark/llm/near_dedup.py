@@ -6,10 +6,15 @@ value over the document's shingles. Bands of coordinates propose pairs; a pair i
 overlap of its whole shingle sets.
 
 Documents with equal shingle sets are one node from the start. In a bucket, members are not paired with each
-other: all are compared with a hub, the member that meets most others in all its buckets. What is linked is one
-component and done; only where a bucket still holds several components further hubs follow, and at last the pairs
-across components that no hub has settled. So no link that the bands propose is lost, and a group of n copies
-costs about n comparisons.
+other: all are compared with a hub, the member that meets most others in all its buckets. Members that are linked
+with their hub are one component. A further link (a, b) of an unlinked member a must have
+
+    |a & b| = |a & b & hub| + |(a - hub) & (b - hub)| >= r(a, b), the overlap that the similarity needs,
+
+while |a & b & hub| <= |a & hub| and |b & hub|. So either a and b share shingles that the hub lacks - at least one of
+each side's rarest, by prefixes whose length follows from what is missing - or both overlaps with the hub reach
+r(a, b), which only members smaller than the hub can do. Pairs are made for these two cases only, and
+confirmed. So no link that the bands propose is lost, and a group of n copies costs about n comparisons.
 
 With 32 bands of 4 a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
 """
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm.bulk import slices, string_column
@@ -33,8 +38,6 @@ from mnemospark.llm.shingles import mix, shingles, words
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
 SLOTS = 1 << 18
-#: Rounds of hubs before the pairs across components are made out one by one.
-HUB_ROUNDS = 2
 
 
 @functools.cache
@@ -112,13 +115,42 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "node binary, own array<long>").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose intersection is at least ``percent`` of their union."""
+def needed(total: Column, percent: int) -> Column:
+    """The least intersection of two sets that have ``total`` elements together."""
+    return F.ceil(total * percent / (100 + percent))
+
+
+def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with both sets, their sizes, and the size of their intersection."""
     left = sets.select(F.col("node").alias("a"), F.col("own").alias("own_a"))
     right = sets.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
-    both = F.size(F.array_intersect("own_a", "own_b"))
-    union = F.size("own_a") + F.size("own_b") - F.col("both")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), "own_a", "own_b").where(100 * F.col("both") >= percent * union).select("a", "b")
+    rows = pairs.join(left, "a").join(right, "b")
+    return rows.select("*", F.size("own_a").alias("n_a"), F.size("own_b").alias("n_b"), F.size(F.array_intersect("own_a", "own_b")).alias("both"))
+
+
+def similar(percent: int) -> Column:
+    return 100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))
+
+
+def further_pairs(stars: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may be linked though one of them is not linked with their common hub."""
+    group = stars.groupBy("hub").agg(F.min("n").alias("least"), F.max(~F.col("linked")).alias("open")).where("open").drop("open")
+    rows = stars.join(group, "hub")
+    # shingles that the hub lacks, rarest first; so many of them may be without a partner
+    rest = rows.select("hub", "node", "linked", F.size("rest").alias("size"), F.greatest(F.lit(1), needed(F.col("n") + F.col("least"), percent) - F.col("both")).alias("share"), F.explode("rest").alias("shingle"))
+    rest = materialize(rest.where("share <= size"), "rest")
+    common = rest.groupBy("hub", "shingle").agg(F.count("*").alias("df"))
+    rarest = Window.partitionBy("hub", "node").orderBy("df", "shingle")
+    prefix = rest.join(common, ["hub", "shingle"]).withColumn("at", F.row_number().over(rarest)).where("at <= size - share + 1 and df > 1")
+    prefix = materialize(prefix.select("hub", "shingle", "node", "linked"), "prefix")
+    other = prefix.select("hub", "shingle", F.col("node").alias("other"))
+    sharing = prefix.where("not linked").join(other, ["hub", "shingle"]).where("node != other").select("node", "other")
+    # overlaps with the hub that are enough by themselves
+    enough = rows.where(F.col("both") >= needed(F.col("n") + F.col("least"), percent))
+    small = enough.where("n < n_hub").select("hub", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("both").alias("both_other"))
+    within = enough.where("not linked").join(small, "hub").where("node != other")
+    within = within.where(F.least("both", "both_other") >= needed(F.col("n") + F.col("n_other"), percent)).select("node", "other")
+    return sharing.union(within).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -134,40 +166,15 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node")
     sets = materialize(full_sets(docs, wanted, n), "sets")
 
-    named, tested, links = members.withColumn("component", F.col("node")), None, None
-    for turn in range(HUB_ROUNDS + 1):
-        ordered = F.struct("weight", "node")
-        if turn:
-            open_ = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("band")
-            named = materialize(named.join(open_, "band"), "open")
-            if named.isEmpty():
-                break
-        if turn < HUB_ROUNDS:
-            source = named if tested is None else named.join(hubs_used, ["band", "node"], "left_anti")
-            hubs = source.groupBy("band").agg(F.max_by(F.struct("node", "component"), ordered).alias("hub"))
-            hubs = materialize(hubs.select("band", "hub.node", "hub.component"), "hubs")
-            hubs_used = hubs.select("band", "node") if tested is None else hubs_used.union(hubs.select("band", "node"))
-            pairs = named.join(hubs.select("band", F.col("node").alias("hub"), F.col("component").alias("hub_component")), "band")
-            pairs = pairs.where("node != hub and component != hub_component")
-        else:
-            other = named.select("band", F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-            pairs = named.join(other, "band").where("node < hub and component != hub_component")
-        pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        new = materialize(verified(pairs, sets, percent), "verified")
-        if turn and new.isEmpty():
-            continue
-        links = new if links is None else links.union(new)
-        names = components(links)
-        named = members.join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named_nodes = nodes.select("node", "doc_id")
-    if links is not None:
-        named_nodes = named_nodes.join(names, "node", "left")
-    else:
-        named_nodes = named_nodes.withColumn("component", F.lit(None).cast("binary"))
+    hubs = members.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    pairs = members.join(hubs, "band").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = beside(pairs, sets).select(
+        F.col("a").alias("node"), F.col("b").alias("hub"), F.col("n_a").alias("n"), F.col("n_b").alias("n_hub"), "both", similar(percent).alias("linked"), F.array_except("own_a", "own_b").alias("rest")
+    )
+    stars = materialize(stars, "stars")
+    more = beside(materialize(further_pairs(stars, percent), "pairs"), sets).where(similar(percent)).select("a", "b")
+    names = components(stars.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(more))
+    named_nodes = nodes.select("node", "doc_id").join(names, "node", "left")
     named_nodes = materialize(named_nodes.select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
     least = named_nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = named_nodes.join(least, "component").select("node", "component", "component_id")
