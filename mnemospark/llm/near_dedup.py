@@ -137,14 +137,16 @@ def further_pairs(stars: DataFrame, percent: int) -> DataFrame:
     group = stars.groupBy("hub").agg(F.min("n").alias("least"), F.max(~F.col("linked")).alias("open")).where("open").drop("open")
     rows = stars.join(group, "hub")
     # shingles that the hub lacks, rarest first; so many of them may be without a partner
-    rest = rows.select("hub", "node", "linked", F.size("rest").alias("size"), F.greatest(F.lit(1), needed(F.col("n") + F.col("least"), percent) - F.col("both")).alias("share"), F.explode("rest").alias("shingle"))
+    rest = rows.select("hub", "node", "linked", "n", "both", F.size("rest").alias("size"), F.greatest(F.lit(1), needed(F.col("n") + F.col("least"), percent) - F.col("both")).alias("share"), F.explode("rest").alias("shingle"))
     rest = materialize(rest.where("share <= size"), "rest")
     common = rest.groupBy("hub", "shingle").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("hub", "node").orderBy("df", "shingle")
     prefix = rest.join(common, ["hub", "shingle"]).withColumn("at", F.row_number().over(rarest)).where("at <= size - share + 1 and df > 1")
-    prefix = materialize(prefix.select("hub", "shingle", "node", "linked"), "prefix")
-    other = prefix.select("hub", "shingle", F.col("node").alias("other"))
-    sharing = prefix.where("not linked").join(other, ["hub", "shingle"]).where("node != other").select("node", "other")
+    prefix = materialize(prefix.select("hub", "shingle", "node", "linked", "n", "both", (F.col("size") - F.col("at") + 1).alias("left")), "prefix")
+    other = prefix.select("hub", "shingle", *[F.col(c).alias(f"{c}_other") for c in ("node", "n", "both", "left")])
+    # a pair's first common shingle leaves room for all that it still has to share
+    room = F.least("left", "left_other") >= needed(F.col("n") + F.col("n_other"), percent) - F.least("both", "both_other")
+    sharing = prefix.where("not linked").join(other, ["hub", "shingle"]).where((F.col("node") != F.col("node_other")) & room).select("node", F.col("node_other").alias("other"))
     # overlaps with the hub that are enough by themselves
     enough = rows.where(F.col("both") >= needed(F.col("n") + F.col("least"), percent))
     small = enough.where("n < n_hub").select("hub", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("both").alias("both_other"))
