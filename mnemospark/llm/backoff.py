@@ -2,7 +2,8 @@
 
 The relations, with n-grams as 64-bit hashes and one row for a packed run of them:
 
-* documents fall into blocks by a hash of their row; a block's n-grams of each order are counted and sorted;
+* documents fall into blocks by a hash of their row; a block's n-grams of each order are counted and sorted; from
+  order 3 on only those whose two shorter n-grams turned out common enough, as no other can be;
 * the count tables are partitioned by the n-gram's hash: each partition adds up its n-grams over all blocks;
 * the sums are joined back to the blocks' n-grams, and each document sums the scores of its positions.
 
@@ -63,23 +64,58 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("row", "ascending"), ("doc_id", "ascending")])
 
 
-def count_blocks(order: int, parts: int):
-    def run(table: pa.Table) -> pa.Table:
-        table = ordered(table)
-        hashes, place, _ = block_words(table)
-        out: dict[str, list] = {"part": [], "block": [], "n": [], "grams": [], "counts": []}
-        for n in range(1, order + 1):
-            found, counts = np.unique(grams(hashes, place, n)[0], return_counts=True)
-            cuts = np.searchsorted(part_of(found, parts), np.arange(parts + 1))
-            for p in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[p], cuts[p + 1]
-                for name, x in (("part", int(p)), ("block", table["block"][0].as_py()), ("n", n), ("grams", shrink(np.diff(found[a:b], prepend=np.uint64(0)))), ("counts", shrink(counts[a:b].astype(np.uint32)))):
-                    out[name].append(x)
-        return pa.table(out, COUNTED)
+def packed(block: int, n: int, every: np.ndarray, parts: int) -> Iterator[dict]:
+    """Count-table rows of a block's n-grams, one for each partition that they fall into."""
+    found, counts = np.unique(every, return_counts=True)
+    cuts = np.searchsorted(part_of(found, parts), np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[p], cuts[p + 1]
+        yield {"part": int(p), "block": block, "n": n, "grams": shrink(np.diff(found[a:b], prepend=np.uint64(0))), "counts": shrink(counts[a:b].astype(np.uint32))}
+
+
+def count_first(orders: range, parts: int):
+    """Rows of the count tables of these orders, from all positions of a block."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        hashes, place, _ = block_words(ordered(docs))
+        block = docs["block"][0].as_py()
+        return pa.Table.from_pylist([r for n in orders for r in packed(block, n, grams(hashes, place, n)[0], parts)], COUNTED)
 
     return run
 
 
+def count_next(n: int, parts: int, least: int):
+    """Rows of the count table of order n, from the positions whose two shorter n-grams were counted often enough."""
+
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        hashes, place, _ = block_words(ordered(docs))
+        counts = known_counts(hashes, place, replies, n - 1, least)
+        found, at = grams(hashes, place, n)
+        return pa.Table.from_pylist(list(packed(docs["block"][0].as_py(), n, found[worth(counts, at, n, least)], parts)), COUNTED)
+
+    return run
+
+
+def worth(counts: np.ndarray, at: np.ndarray, n: int, least: int) -> np.ndarray:
+    """An n-gram can't be more common than the two shorter ones in it, so most need not be counted at all."""
+    return (counts[n - 1, at] >= least) & (counts[n - 1, at - 1] >= least) if n > 2 else np.ones(len(at), bool)
+
+
+def known_counts(hashes: np.ndarray, place: np.ndarray, replies: pa.Table, order: int, least: int) -> np.ndarray:
+    """Row n: the corpus's count of the n-gram that ends at each word; 0 where it was not worth counting."""
+    replies = replies.sort_by([("n", "ascending"), ("part", "ascending")])
+    kind = np.array(replies["n"].to_pylist())
+    counts = np.zeros((order + 1, len(hashes)), np.int64)
+    for n in range(1, order + 1):
+        found, at = grams(hashes, place, n)
+        keep = worth(counts, at, n, least)
+        found, at = found[keep], at[keep]
+        if len(at):
+            _, inverse = np.unique(found, return_inverse=True)
+            counts[n, at] = np.concatenate([grow(replies["totals"][r].as_py(), np.int64) for r in np.flatnonzero(kind == n).tolist()])[inverse]
+    return counts
+
+
 COUNTED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
 REPLIES = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("part", pa.int32()), ("totals", pa.binary())])
 
@@ -114,14 +150,7 @@ def score_block(order: int, alpha: float, least: int, total: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         docs = ordered(docs)
         hashes, place, offsets = block_words(docs)
-        replies = replies.sort_by([("n", "ascending"), ("part", "ascending")])
-        kind = np.array(replies["n"].to_pylist())
-        counts = np.zeros((order + 1, len(hashes)), np.int64)  # of the n-gram that ends at each word
-        for n in range(1, order + 1):
-            found, at = grams(hashes, place, n)
-            if len(at):
-                _, inverse = np.unique(found, return_inverse=True)
-                counts[n, at] = np.concatenate([grow(replies["totals"][r].as_py(), np.int64) for r in np.flatnonzero(kind == n).tolist()])[inverse]
+        counts = known_counts(hashes, place, replies, order, least)
         score, level = np.zeros(len(hashes)), np.zeros(len(hashes), np.int64)
         for n in range(order, 0, -1):
             use = (level == 0) & (place >= n - 1) & ((counts[n] >= least) if n > 1 else True)
@@ -172,8 +201,12 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-order * total // partition_grams))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     rows = rows.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int"))
-    counted = rows.groupBy("block").applyInArrow(count_blocks(order, parts), "part int, block int, n int, grams binary, counts binary")
-    replies = counted.groupBy("part").applyInArrow(add_up, "block int, n int, part int, totals binary")
+    table, reply = "part int, block int, n int, grams binary, counts binary", "block int, n int, part int, totals binary"
+    counted = rows.groupBy("block").applyInArrow(count_first(range(1, min(order, 2) + 1), parts), table)
+    replies = counted.groupBy("part").applyInArrow(add_up, reply)
+    for n in range(3, order + 1):
+        counted = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(count_next(n, parts, least), table)
+        replies = replies.union(counted.groupBy("part").applyInArrow(add_up, reply))
     schema = "doc_id long, n_words long, log10_score double, mean_log10 double" + "".join(f", n_order{n} long" for n in range(1, order + 1))
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(order, alpha, least, total), schema)
 
