@@ -36,7 +36,19 @@ TEMPLATES = (
 #: A line with one of these is a notice; so is the whole of a licence file.
 CUE = "licen[cs]|copyright|spdx|redistribut|permission is hereby|free software"
 LICENCE_FILE = r"(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
+#: Titles that the full texts of licences begin with; only licence files by name are compared with them.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
 LEAST_COSINE, LEAST_COVER = 0.7, 0.5
+#: Lines of a window round a cue; the longest template, wrapped to four words a line, has seven.
+MOST_LINES = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SALTS = 16
 
@@ -49,13 +61,13 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(lowered(text), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def template_terms() -> list[Counter]:
-    return [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in TEMPLATES]
+def template_terms(templates: tuple = TEMPLATES) -> list[Counter]:
+    return [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
 
 
-def idf(docs: DataFrame) -> dict[str, float]:
+def idf(docs: DataFrame, templates: tuple = TEMPLATES) -> dict[str, float]:
     """ln((N + 1) / (df + 1)) + 1 of each template term, N and df over all ``docs`` (null texts are empty ones)."""
-    vocabulary = sorted({t for c in template_terms() for t in c})
+    vocabulary = sorted({t for c in template_terms(templates) for t in c})
     own = F.array_intersect(F.split(lowered(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), F.array(*map(F.lit, vocabulary)))
     # the empty term counts the documents
     rows = docs.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()
@@ -119,6 +131,84 @@ def scan(files: DataFrame, weight: dict[str, float], keep: list[str]) -> DataFra
     )
 
 
+def file_by_name() -> Column:
+    return F.coalesce(lowered(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
+
+
+def surroundings(texts: DataFrame) -> DataFrame:
+    """A row for each cue line ``at`` of ``texts`` (_key, _by_name, _text): the terms of the lines round it, from line ``first``.
+
+    In a licence file each line is a cue. A cue may run over a line's end.
+    """
+    cue = CUE.replace(" ", "[^a-z0-9]+")
+    split = texts.select("_key", "_by_name", F.split(lowered(F.col("_text")), "\n").alias("lines"))
+    split = split.select("*", F.transform("lines", terms).alias("words"), F.size(terms(F.array_join("lines", "\n"))).alias("total"))
+    following = lambda i: F.coalesce(F.get("lines", i + 1), F.lit(""))
+    wrapped = lambda i: F.concat_ws("\n", F.get("lines", i), following(i)).rlike(cue) & ~following(i).rlike(cue)
+    cues = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.col("_by_name") | F.get("lines", i).rlike(cue) | wrapped(i))
+    first = lambda i: F.greatest(F.lit(0), i - (MOST_LINES - 1))
+    around = F.transform(cues, lambda i: F.struct(i.alias("at"), first(i).alias("first"), F.slice("words", first(i) + 1, i + MOST_LINES - first(i)).alias("near")))
+    return split.select("_key", "_by_name", "total", F.inline(around))
+
+
+def best_window(weight: dict[str, float], idf_of: Column) -> Column:
+    """(minus the cosine, lines, a, b, licence) of the best window of ``near`` lines a to b that holds the cue; the shortest of equals."""
+    value = lambda t: F.coalesce(F.element_at(idf_of, t), F.lit(1.0))
+    here = F.col("at") - F.col("first")
+    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, t: Column) -> Column:
+        run = F.when(acc["last"] == t, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(t.alias("last"), run.alias("run"), (acc["sum"] + (2 * run - 1) * value(t) * value(t)).alias("sum"))
+
+    def window(a: Column, b: Column) -> Column:
+        words = F.flatten(F.slice("near", a + 1, b - a + 1))
+        return F.struct(a.alias("a"), b.alias("b"), words.alias("words"), F.sqrt(F.aggregate(F.array_sort(words), zero, step, lambda acc: acc["sum"])).alias("norm"))
+
+    ends = F.sequence(here, F.size("near") - 1)
+    windows = F.flatten(F.transform(F.sequence(F.lit(0), here), lambda a: F.transform(F.filter(ends, lambda b: b - a < MOST_LINES), lambda b: window(a, b))))
+    windows = F.filter(windows, lambda w: F.size(w["words"]) > 0)
+
+    def scored(w: Column) -> Column:
+        out = []
+        for k, ((licence, _), counts) in enumerate(zip(TEMPLATES + TITLES, template_terms(TEMPLATES + TITLES))):
+            length = math.sqrt(sum((n * weight[t]) ** 2 for t, n in counts.items()))
+            dot = F.aggregate(w["words"], F.lit(0.0), adding(weights({t: n * weight[t] ** 2 / length for t, n in counts.items()})))
+            one = F.struct((-F.round(dot / w["norm"], 6)).alias("minus"), (w["b"] - w["a"]).alias("lines"), w["a"].alias("a"), w["b"].alias("b"), F.lit(licence).alias("licence"))
+            out.append(one if k < len(TEMPLATES) else F.when(F.col("_by_name"), one))
+        return F.array_min(F.array(*out))
+
+    return F.array_min(F.transform(windows, scored))
+
+
+def scan_windows(files: DataFrame, keep: list[str]) -> DataFrame:
+    """As `scan`, but a notice is the best window of consecutive lines round a cue, in licence files by name too.
+
+    Each text is scored once; its copies spread over salts when the result is joined back.
+    """
+    text, by_name = F.coalesce(F.col("text"), F.lit("")), file_by_name()
+    speaks = by_name | lowered(text).rlike(CUE.replace(" ", "[^a-z0-9]+"))
+    rows = materialize(files.select(*keep, "path", by_name.alias("_by_name"), F.when(speaks, text).alias("_text")), "notices")
+    texts = rows.where("_text is not null").groupBy(F.sha2("_text", 256).alias("_key"), "_by_name").agg(F.first("_text").alias("_text"))
+    weight = idf(files, TEMPLATES + TITLES)
+    found = surroundings(texts).withColumn("best", best_window(weight, weights(weight))).where(F.col("best.minus") <= -LEAST_COSINE)
+    covered = F.transform(F.sequence("best.a", "best.b"), lambda k: F.struct((F.col("first") + k).alias("line"), F.size(F.get("near", k)).alias("n")))
+    found = found.groupBy("_key", "_by_name").agg(F.min(F.struct("best.minus", "best.licence")).alias("top"), F.array_distinct(F.flatten(F.collect_list(covered))).alias("lines"), F.first("total").alias("total"))
+    cover = F.aggregate("lines", F.lit(0), lambda acc, x: acc + x["n"]) / F.col("total")
+    found = found.select("_key", "_by_name", "top", (F.col("_by_name") | (cover >= LEAST_COVER)).alias("is_file"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    # files that say nothing have keys that no text has, so they spread
+    own = F.xxhash64("path", *keep)
+    rows = rows.withColumns({"_key": F.coalesce(F.sha2("_text", 256), own.cast("string")), "_salt": F.pmod(own, F.lit(SALTS)).cast("int")}).drop("_text")
+    return rows.join(found, ["_key", "_by_name", "_salt"], "left").select(
+        *keep,
+        "path",
+        F.regexp_replace("path", "/?[^/]*$", "").alias("dir"),
+        F.col("top.licence").alias("licence"),
+        (-F.col("top.minus")).alias("cosine"),
+        F.coalesce("is_file", F.lit(False)).alias("is_file"),
+    )
+
+
 def inherited(scanned: DataFrame) -> DataFrame:
     """``scanned`` with origin ('own', 'inherited' or 'none') and from_dir; the rest take the nearest ancestor's licence.
 
@@ -143,12 +233,13 @@ def inherited(scanned: DataFrame) -> DataFrame:
     )
 
 
-def licences(files: DataFrame, keep: list[str]) -> DataFrame:
+def licences(files: DataFrame, keep: list[str], windows: bool = False) -> DataFrame:
     """Scan ``files`` (path, text and the ``keep`` columns) and let directories pass their licences down.
 
-    Null and empty texts have no licence of their own; a null path has no directory.
+    Null and empty texts have no licence of their own; a null path has no directory. With ``windows`` notices may be
+    wrapped and lie in longer licence files; without, they are single lines as in `oracle`.
     """
-    return inherited(materialize(scan(files, idf(files), keep), "licences"))
+    return inherited(materialize(scan_windows(files, keep) if windows else scan(files, idf(files), keep), "licences"))
 
 
 def document_files(docs: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     from mnemospark.llm.licences import document_files, licences
 
-    return licences(document_files(table(spark, sf_dir, "documents")), ["doc_id"])
+    return licences(document_files(table(spark, sf_dir, "documents")), ["doc_id"], windows=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -79,3 +79,41 @@ def test_every_template_finds_itself(spark):
     got = {r.path: r.licence for r in licences.licences(spark.createDataFrame(rows, "path string, text string"), []).collect()}
     marked = {f"d{k}/f.txt": name for k, (name, text) in enumerate(licences.TEMPLATES) if re.search(licences.CUE, text.lower())}
     assert {p: got[p] for p in marked} == marked
+
+
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+MIT_FULL = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+LGPL_HEAD = "GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc.\n" + "Everyone may copy this document word for word.\n" * 60
+
+
+def test_wrapped_headers_and_full_texts(spark):
+    code = "\n\nimport os\nprint(os.name)\n" * 20
+    narrow = "Permission is\nhereby granted, free\nof charge, to any\nperson obtaining a\ncopy of this software\nand associated\ndocumentation files\n" + code
+    files = [("g/x.py", GPL_HEADER + code), ("m/LICENSE", MIT_FULL), ("m/y.py", "x = 1"), ("n/z.py", narrow), ("l/COPYING", LGPL_HEAD), ("l/w.py", "y = 2"), ("f/a.py", "words of no kind")] + [(f"f/{k}.py", f"plain text {k}") for k in range(20)]
+    frame = spark.createDataFrame(files, "path string, text string")
+    got = {r.path: (r.licence, r.origin) for r in licences.licences(frame, [], windows=True).collect()}
+    assert len(got) == len(files)
+    assert got["g/x.py"] == ("GPL-3.0", "own") and got["n/z.py"] == ("MIT", "own")
+    assert got["m/LICENSE"] == ("MIT", "own") and got["m/y.py"] == ("MIT", "inherited")
+    assert got["l/COPYING"] == ("LGPL-3.0", "own") and got["l/w.py"] == ("LGPL-3.0", "inherited")
+    assert got["f/a.py"] == (None, "none")
