@@ -1,9 +1,9 @@
 """Licence scans (operator 10). DataFrame operations only.
 
-A notice (a line that speaks of a licence) and a licence file (as a whole) are compared with templates by the
-cosine of sparse TF-IDF vectors. A term's document frequency is counted over all documents; only the templates' terms
-are counted, so what reaches the driver is bounded by the templates. Any other term weighs as one that every
-document has. A file without a licence of its own has that of its nearest ancestor directory with a
+A notice (lines round one that speaks of a licence) is compared with templates by the cosine of sparse TF-IDF vectors.
+A term's document frequency is counted over all documents and joined to the terms of notices; only those of the
+templates' terms reach the driver. The mode of `oracle` scores single lines, and licence files as a whole, and weighs a
+term that no template has as one that every document has. A file without a licence of its own has that of its nearest ancestor directory with a
 licence file: directories are joined with their ancestors' licences first, files with their directory last.
 """
 
@@ -65,9 +65,9 @@ def template_terms(templates: tuple = TEMPLATES) -> list[Counter]:
     return [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
 
 
-def idf(docs: DataFrame, templates: tuple = TEMPLATES) -> dict[str, float]:
+def idf(docs: DataFrame) -> dict[str, float]:
     """ln((N + 1) / (df + 1)) + 1 of each template term, N and df over all ``docs`` (null texts are empty ones)."""
-    vocabulary = sorted({t for c in template_terms(templates) for t in c})
+    vocabulary = sorted({t for c in template_terms() for t in c})
     own = F.array_intersect(F.split(lowered(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), F.array(*map(F.lit, vocabulary)))
     # the empty term counts the documents
     rows = docs.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()
@@ -151,9 +151,26 @@ def surroundings(texts: DataFrame) -> DataFrame:
     return split.select("_key", "_by_name", "total", F.inline(around))
 
 
+def frequencies(files: DataFrame) -> DataFrame:
+    """(term, df) of every term of all ``files``."""
+    return files.select(F.explode(F.array_distinct(terms(F.coalesce(F.col("text"), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def rarity(df: Column, n: int) -> Column:
+    return F.log(F.lit(float(n + 1)) / (df + 1)) + 1
+
+
+def with_idf(near: DataFrame, df: DataFrame, n: int) -> DataFrame:
+    """``near`` with ``idf``: a map of the idf of each of a row's terms."""
+    row = ["_key", "_by_name", "at"]
+    each = near.select(*row, F.explode(F.array_distinct(F.flatten("near"))).alias("term")).join(df, "term")
+    maps = each.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("term", rarity(F.col("df"), n)))).alias("idf"))
+    return near.join(maps, row)
+
+
 def best_window(weight: dict[str, float], idf_of: Column) -> Column:
     """(minus the cosine, lines, a, b, licence) of the best window of ``near`` lines a to b that holds the cue; the shortest of equals."""
-    value = lambda t: F.coalesce(F.element_at(idf_of, t), F.lit(1.0))
+    value = lambda t: F.element_at(idf_of, t)
     here = F.col("at") - F.col("first")
     zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
 
@@ -184,14 +201,17 @@ def best_window(weight: dict[str, float], idf_of: Column) -> Column:
 def scan_windows(files: DataFrame, keep: list[str]) -> DataFrame:
     """As `scan`, but a notice is the best window of consecutive lines round a cue, in licence files by name too.
 
-    Each text is scored once; its copies spread over salts when the result is joined back.
+    Every term of a notice has its idf over all ``files``. Each text is scored once; its copies spread over salts when the result is joined back.
     """
     text, by_name = F.coalesce(F.col("text"), F.lit("")), file_by_name()
     speaks = by_name | lowered(text).rlike(CUE.replace(" ", "[^a-z0-9]+"))
     rows = materialize(files.select(*keep, "path", by_name.alias("_by_name"), F.when(speaks, text).alias("_text")), "notices")
     texts = rows.where("_text is not null").groupBy(F.sha2("_text", 256).alias("_key"), "_by_name").agg(F.first("_text").alias("_text"))
-    weight = idf(files, TEMPLATES + TITLES)
-    found = surroundings(texts).withColumn("best", best_window(weight, weights(weight))).where(F.col("best.minus") <= -LEAST_COSINE)
+    n, df = rows.count(), materialize(frequencies(files), "frequencies")
+    vocabulary = sorted({t for c in template_terms(TEMPLATES + TITLES) for t in c})
+    known = {r.term: r.df for r in df.where(F.col("term").isin(vocabulary)).collect()}
+    weight = {t: math.log((n + 1) / (known.get(t, 0) + 1)) + 1 for t in vocabulary}
+    found = with_idf(surroundings(texts), df, n).withColumn("best", best_window(weight, F.col("idf"))).where(F.col("best.minus") <= -LEAST_COSINE)
     covered = F.transform(F.sequence("best.a", "best.b"), lambda k: F.struct((F.col("first") + k).alias("line"), F.size(F.get("near", k)).alias("n")))
     found = found.groupBy("_key", "_by_name").agg(F.min(F.struct("best.minus", "best.licence")).alias("top"), F.array_distinct(F.flatten(F.collect_list(covered))).alias("lines"), F.first("total").alias("total"))
     cover = F.aggregate("lines", F.lit(0), lambda acc, x: acc + x["n"]) / F.col("total")
@@ -237,7 +257,7 @@ def licences(files: DataFrame, keep: list[str], windows: bool = False) -> DataFr
     """Scan ``files`` (path, text and the ``keep`` columns) and let directories pass their licences down.
 
     Null and empty texts have no licence of their own; a null path has no directory. With ``windows`` notices may be
-    wrapped and lie in longer licence files; without, they are single lines as in `oracle`.
+    wrapped and lie in longer licence files, and all terms have their idf; without, they are as in `oracle`.
     """
     return inherited(materialize(scan_windows(files, keep) if windows else scan(files, idf(files), keep), "licences"))
 

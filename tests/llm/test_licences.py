@@ -117,3 +117,35 @@ def test_wrapped_headers_and_full_texts(spark):
     assert got["m/LICENSE"] == ("MIT", "own") and got["m/y.py"] == ("MIT", "inherited")
     assert got["l/COPYING"] == ("LGPL-3.0", "own") and got["l/w.py"] == ("LGPL-3.0", "inherited")
     assert got["f/a.py"] == (None, "none")
+
+
+def brute_windows(files):
+    """(licence, cosine) of each file without a licence file's name, from all windows of lines that hold a cue."""
+    docs = [re.findall("[a-z0-9]+", (t or "").lower()) for _, t in files]
+    idf = lambda t: math.log((len(docs) + 1) / (sum(t in d for d in docs) + 1)) + 1
+    out = {}
+    for path, text in files:
+        lines, found = (text or "").lower().split("\n"), []
+        for a in range(len(lines)):
+            for b in range(a + 1, min(len(lines), a + licences.MOST_LINES) + 1):
+                if any(re.search(licences.CUE, s) for s in lines[a:b]):
+                    c = Counter(re.findall("[a-z0-9]+", "\n".join(lines[a:b])))
+                    norm = math.sqrt(sum((n * idf(t)) ** 2 for t, n in c.items()))
+                    for (name, _), other in zip(licences.TEMPLATES, licences.template_terms()):
+                        length = math.sqrt(sum((n * idf(t)) ** 2 for t, n in other.items()))
+                        found.append((-round(sum(c[t] * n * idf(t) ** 2 for t, n in other.items()) / length / norm, 6), name))
+        minus, name = min(found, default=(0, None))
+        out[path] = (name, -minus) if -minus >= licences.LEAST_COSINE else (None, None)
+    return out
+
+
+def test_rare_terms_weigh_in_the_norm(spark):
+    ecl = "Licensed under the Educational Community License, Version 2.0."
+    files = [("e/x.py", ecl), ("a/x.py", f"{APACHE}\nsome code"), ("g/x.py", GPL_HEADER), ("m/x.py", f"one\n{MIT}\ntwo")]
+    files += [(f"n/{k}.py", "the version of this is 2 0 and under that") for k in range(300)] + [(f"p/{k}.py", APACHE) for k in range(40)] + [(f"z/{k}.py", None) for k in range(9)]
+    rows = licences.licences(spark.createDataFrame(files, "path string, text string"), [], windows=True).collect()
+    got = {r.path: (r.licence if r.origin == "own" else None, r.cosine) for r in rows}
+    assert got["e/x.py"] == (None, None) and got["a/x.py"] == ("Apache-2.0", 1.0)
+    want = brute_windows(files)
+    assert {p: v[0] for p, v in got.items()} == {p: v[0] for p, v in want.items()}
+    assert all(abs((got[p][1] or 0) - (want[p][1] or 0)) <= 1e-6 for p in want)
