@@ -49,16 +49,23 @@ def ranks(scored: DataFrame, key: str, by: str, name: str) -> DataFrame:
     return scored.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(F.desc(by), F.asc("id"))) - 1)
 
 
-def disagreement(ranked: DataFrame, key: str, most: int = 64) -> DataFrame:
-    """Pairs of a key's first ``most`` candidates that two rankings order differently, and the mean shift of all.
+def inversions(ranked: DataFrame, key: str) -> DataFrame:
+    """(key, inversions): pairs of a key's candidates that two rankings order differently, counted without making pairs.
 
-    Pairs are of bounded lists, so their number follows the number of keys.
+    The learned ranks of such a pair agree down to one bit, which the earlier by static rank has set and the later has not.
+    So at each bit each row without it counts the rows with it before it among those of equal higher bits.
     """
-    top = ranked.where(F.col("static_rank") < most).select(key, "static_rank", "learned_rank")
-    other = top.select(key, F.col("static_rank").alias("s2"), F.col("learned_rank").alias("l2"))
-    pairs = top.join(other, key).where("static_rank < s2 and learned_rank > l2").groupBy(key).agg(F.count("*").alias("inversions"))
+    bits = F.length(F.bin(F.max("learned_rank").over(Window.partitionBy(key))))
+    rows = ranked.select(key, "static_rank", "learned_rank", bits.alias("_bits")).withColumn("_bit", F.explode(F.sequence(F.lit(1), F.col("_bits"))))
+    rows = rows.select(key, "static_rank", "_bit", F.expr("shiftright(learned_rank, _bit)").alias("_high"), F.expr("shiftright(learned_rank, _bit - 1) & 1").alias("_set"))
+    before = F.sum("_set").over(Window.partitionBy(key, "_bit", "_high").orderBy("static_rank").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_before", before).groupBy(key).agg(F.coalesce(F.sum(F.when(F.col("_set") == 0, F.col("_before"))), F.lit(0)).alias("inversions"))
+
+
+def disagreement(ranked: DataFrame, key: str) -> DataFrame:
+    """Pairs of a key's candidates that two rankings order differently, and the mean shift."""
     shift = ranked.groupBy(key).agg(half_up(F.avg(F.abs(F.col("static_rank") - F.col("learned_rank")))).alias("mean_shift"), F.count("*").alias("candidates"))
-    return shift.join(pairs, key, "left").withColumn("inversions", F.coalesce("inversions", F.lit(0)))
+    return shift.join(inversions(ranked, key), key, "left").withColumn("inversions", F.coalesce("inversions", F.lit(0)))
 
 
 def quality_score(recall: Column, irrelevant: Column, provenance: Column, retention: Column, atomic: Column, overflow: Column, fallback: Column) -> Column:
