@@ -134,8 +134,8 @@ def bm25_topk(t):
     "r as (select *, row_number() over (partition by item_id order by score desc, doc_id) - 1 as rank from s) select item_id, doc_id, score, rank from r where rank < 3"
 )
 def weighted_bm25(t):
-    """Benchmark passages as requests against documents: content weighs 1, where it lies (source, language) 3."""
-    wanted = t.benchmark.select("item_id", F.explode(F.array_distinct(F.slice(T.terms(F.col("text")), 1, 12))).alias("term"))
+    """Whole benchmark passages as requests against documents: content weighs 1, where it lies (source, language) 3."""
+    wanted = t.benchmark.select("item_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
     docs = t.documents.select("doc_id", T.terms(F.col("text")).alias("content"), T.terms(F.concat_ws(" ", "source", "lang")).alias("place"))
     docs = docs.withColumn("dl", (F.size("content") + 3 * F.size("place")).cast("double"))
     each = [docs.select("doc_id", "dl", F.explode(words).alias("term"), F.lit(w).alias("wt")) for words, w in (("content", 1.0), ("place", 3.0))]
