@@ -57,15 +57,17 @@ def literal_search(contents: DataFrame, key: str, needle: str, most: int, around
     return hits.select(key, (F.col("nth") + 1).alias("nth"), "start", F.substring(F.col("text"), begin + 1, F.col("start") - begin + n + around).alias("excerpt"))
 
 
-def line_chunks(files: DataFrame, keys: list[str], lines: int = 80, overlap: int = 12, most: int = 200) -> DataFrame:
-    """Windows of lines that overlap, blank ones left out: keys, start_line, end_line, content, tokens, snippet_id."""
+def line_chunks(files: DataFrame, keys: list[str], lines: int = 80, overlap: int = 12, most: int | None = 200) -> DataFrame:
+    """Windows of lines that overlap, blank ones left out: keys, start_line, end_line, content, tokens, snippet_id.
+
+    Of the others a text's first ``most`` are kept, or all.
+    """
     step = lines - overlap
     split = files.select(*keys, F.split("text", r"\r?\n").alias("all"))
     last = F.greatest(F.lit(0), F.ceil((F.size("all") - lines) / step)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), F.least(last, F.lit(most - 1))), lambda k: k * step)
-    rows = split.select(*keys, "all", F.explode(starts).alias("start"))
-    content = F.array_join(F.slice("all", F.col("start") + 1, F.lit(lines)), "\n")
-    rows = rows.select(*keys, (F.col("start") + 1).alias("start_line"), F.least(F.size("all"), F.col("start") + lines).alias("end_line"), content.alias("content")).where("length(trim(regexp_replace(content, '[\\\\s]+', ''))) > 0")
+    window = lambda k: F.struct((k * step + 1).alias("start_line"), F.least(F.size("all"), k * step + lines).alias("end_line"), F.array_join(F.slice("all", k * step + 1, F.lit(lines)), "\n").alias("content"))
+    windows = F.filter(F.transform(F.sequence(F.lit(0), last), window), lambda w: F.length(F.trim(F.regexp_replace(w["content"], r"[\s]+", ""))) > 0)
+    rows = split.select(*keys, F.inline(windows if most is None else F.slice(windows, 1, most)))
     return rows.select("*", (T.text_tokens(F.col("content")) + 48).alias("tokens"), F.sha2(F.concat_ws("\0", *keys, "start_line", "end_line"), 256).alias("snippet_id"))
 
 

@@ -87,7 +87,7 @@ def artifact_search(t):
     "select doc_id, cast(start_line as int) start_line, cast(end_line as int) end_line, cast(ceil(length(content) / 4.0) + 48 as bigint) tokens, sha256(doc_id || chr(0) || start_line || chr(0) || end_line) snippet_id from c where regexp_matches(content, '\\S')"
 )
 def line_chunks(t):
-    return C.line_chunks(t.documents.where("text is not null").select("doc_id", "text"), ["doc_id"], 8, 2).drop("content")
+    return C.line_chunks(t.documents.where("text is not null").select("doc_id", "text"), ["doc_id"], 8, 2, most=None).drop("content")
 
 
 FEATURES = (
