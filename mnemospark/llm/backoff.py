@@ -27,9 +27,9 @@ from mnemospark.llm.bulk import slices, string_column
 from mnemospark.llm.shingles import STEP, mix, words
 
 ORDER, ALPHA, LEAST = 3, 0.4, 2
-#: Bits of an n-gram's hash. What is sent is the gaps of sorted hashes, so each bit less is one less of about 46; among
-#: 10**8 different n-grams two are taken for one with probability 0.02, among 10**13 one in 30,000 is.
-HASH_BITS = 58
+#: Bits of an n-gram's hash, its only identity: all there are. Among 10**9 different n-grams 0.03 pairs are expected to be
+#: taken for one, among 3 * 10**9 0.24.
+HASH_BITS = 64
 #: Bytes of text in a block and n-grams in a partition of the tables, about.
 BLOCK_BYTES, PARTITION_GRAMS = 6_000_000, 3_000_000
 
@@ -52,7 +52,7 @@ def grams(hashes: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np
     with np.errstate(over="ignore"):
         for k in range(n - 1, -1, -1):
             rolled = rolled * STEP + hashes[at - k]
-    return mix(rolled) >> np.uint64(64 - HASH_BITS), at
+    return mix(rolled), at
 
 
 def block_words(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

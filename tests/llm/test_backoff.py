@@ -56,3 +56,12 @@ def test_planes_are_lossless():
     found = np.sort(np.random.default_rng(2).integers(0, 2**backoff.HASH_BITS, 1000).astype(np.uint64))
     parts = backoff.part_of(found, 7)
     assert (np.diff(parts) >= 0).all() and parts.min() == 0 and parts.max() == 6
+
+
+def test_all_bits_of_a_hash_are_kept():
+    hashes = np.arange(1, 1001, dtype=np.uint64)
+    for n in (1, 2, 3):
+        found, _ = backoff.grams(hashes, np.arange(1000), n)
+        assert np.bitwise_or.reduce(found) == np.uint64(2**64 - 1)
+    parts = backoff.part_of(np.array([0, 2**63, 2**64 - 1], np.uint64), 7)
+    assert parts.tolist() == [0, 3, 6]
