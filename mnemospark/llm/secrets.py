@@ -95,11 +95,17 @@ def scan(
 ) -> tuple[DataFrame, DataFrame]:
     """Findings of all blobs of ``history``, and the ledger's new rows.
 
-    ``known`` holds the findings of earlier runs (sha, spans). Null texts are empty blobs.
+    ``known`` holds the findings of earlier runs (sha, spans, and rule_version where there are several). Those of blobs that the ledger lacks under this rule version
+    are left out, as such blobs are scanned anew if they are there at all. Null texts are empty blobs.
     """
     blobs = unseen(history, ledger, version)
     found = findings(blobs, rules)
-    return found if known is None else found.unionByName(known), blobs.select("sha", F.lit(version).alias("rule_version"))
+    if known is not None and ledger is not None:
+        current = ledger.where(F.col("rule_version") == version).select("sha").distinct()
+        if "rule_version" in known.columns:
+            known = known.where(F.col("rule_version") == version)
+        found = found.unionByName(known.select("sha", "spans").join(current, "sha", "left_semi").dropDuplicates(["sha"]))
+    return found, blobs.select("sha", F.lit(version).alias("rule_version"))
 
 
 def by_path(history: DataFrame, found: DataFrame, paths: list[str], salts: int = SALTS) -> DataFrame:

@@ -66,3 +66,15 @@ def test_redaction_replaces_overlapping_spans_once(spark):
         new = None if t is None else "".join(out) + t[at:]
         want.append((d, new, len(new or ""), "x"))
     assert got == sorted(want, key=key)
+
+
+def test_findings_of_other_rule_versions_are_left_out(spark):
+    docs = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[3]), (3, "nothing")], "doc_id long, text string")
+    found, ledger = secrets.scan(docs)
+    found, ledger = materialize(found, "found"), materialize(ledger, "ledger")
+    again, rows = secrets.scan(docs, ledger, found, version="2")
+    assert rows.count() == 3 and again.count() == again.select("sha").distinct().count() == 2
+    assert secrets.by_path(docs, again, ["doc_id"]).count() == 3
+    both = found.selectExpr("sha", "slice(spans, 1, 0) spans", "'1' rule_version").union(again.selectExpr("sha", "spans", "'2'"))
+    kept, rows = secrets.scan(docs, ledger.union(ledger.selectExpr("sha", "'2'")), both, version="2")
+    assert rows.count() == 0 and sorted(len(r.spans) for r in kept.collect()) == sorted(len(r.spans) for r in found.collect())
