@@ -1,28 +1,38 @@
 """Best-fit packing of documents into sequences (operator 7).
 
-Capacity bounds the lengths, so documents and gaps fall into at most ``capacity`` ranges each, one for a
-length. Documents are ranked inside their range by a distributed count; the sweep goes through the ranges from
-the longest documents down. All documents of a range propose at once to the successor range of gaps, that is the
-smallest gaps that hold them; where documents and gaps differ in number, the ranks decide who is served, the
-gaps shrink and move to the range of what is left, and the rest proposes again. Documents without a gap open
-sequences. This is best-fit decreasing, carried out for whole ranges. The sweep sees the sizes of ranges only
-(at most ``capacity`` numbers, whatever the input); rows meet their place by rank in a last distributed step.
+Bulk-synchronous rounds over two tables: documents that wait for a place, and gaps of open sequences. In a round both
+are range-sorted together, largest first, and swept: a gap opens a level, a document takes the last gap that is still
+open, which is its successor (the smallest gap left that holds it). The sweep is a running count, made for each range
+by itself and shifted by the ranges before it. Where several documents want one gap, their rank decides: what
+meets on a level is one gap and one document at a time, the other documents find the level below. Then gaps shrink by
+what they took, and the rest goes into the next round. When no gap holds any document, the longest class of documents
+opens as many sequences as it needs.
+
+A gap that holds several of the longest waiting documents is split for a round, so rounds stay few.
+Nothing but sums, extremes and one count for each range reaches the driver.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemospark.llm import vocab
 from mnemospark.llm.bulk import slices, string_column
 from mnemospark.llm.shared import materialize
 
+#: Rows of a range, about; a task sorts one.
+RANGE_ROWS = 200_000
+#: Documents of which fewer fit into a sequence open sequences by their own number, shorter ones by the sum of their lengths.
+MOST_FIT = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -58,76 +68,100 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2,
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def sweep(sizes: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Where documents go, for whole ranges: (length, first rank, last rank + 1, first sequence, offset) runs.
+def ranges(df: DataFrame, n: int) -> int:
+    """Ranges for ``n`` rows: as many as a shuffle has, or fewer for few rows."""
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // RANGE_ROWS)))
 
-    ``sizes`` counts the documents of each length. Document ``first rank + i`` of a run goes to sequence
-    ``first sequence + i``. Also the number of sequences.
+
+def counted(rows: DataFrame, order: list[Column], step: Column, n: int, name: str) -> DataFrame:
+    """``rows`` (written once) with ``at``, ascending in ``order``, and ``level``, the sum of ``step`` up to and with the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, level = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            upto = np.cumsum(batch.column(batch.schema.get_field_index("step")).to_numpy(zero_copy_only=False)) + level
+            own = batch.drop_columns(["step"])
+            where = (part << 40) + at + np.arange(len(upto))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(where, pa.int64()), pa.array(upto.astype(np.int64))], [*own.schema.names, "at", "own"])
+            at, level = at + len(upto), int(upto[-1]) if len(upto) else level
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("at", T.LongType()), T.StructField("own", T.LongType())])
+    parts = rows.withColumn("step", step.cast("long")).repartitionByRange(ranges(rows, n), *order).sortWithinPartitions(*order)
+    found = materialize(parts.mapInArrow(run, schema), name)
+    part = F.shiftright("at", 40)
+    ends = sorted(tuple(r) for r in found.groupBy(part.alias("part")).agg(F.max_by("own", "at")).collect())
+    before = np.cumsum([0, *(e[1] for e in ends)]).tolist()
+    shift = found.sparkSession.createDataFrame([(e[0], b) for e, b in zip(ends, before)], "part long, before long")
+    return found.withColumn("part", part).join(F.broadcast(shift), "part").withColumn("level", F.col("own") + F.col("before")).drop("part", "own", "before")
+
+
+def sweep(docs: DataFrame, gaps: DataFrame, n: int, longest: int, share: int) -> DataFrame:
+    """One round: kind (0 gap, 1 document), owner, size, partner, taken.
+
+    A document's partner is the sequence whose gap it takes (null without one); ``taken`` is what a gap gave away. Gaps are split
+    into parts for up to ``share`` documents of length ``longest``.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # size of gap: runs of sequences (first, count)
-    runs, opened = [], 0
-    for length in sorted(sizes, reverse=True):
-        rank, left = 0, sizes[length]
-        while left:
-            size = min((g for g in gaps if g >= length), default=None)
-            if size is None:
-                size, first, count = capacity, opened, -(-left // max(1, capacity // length))
-                opened += count
-            else:
-                first, count = gaps[size].pop()
-                if not gaps[size]:
-                    del gaps[size]
-            take = min(left, count)
-            runs.append((length, rank, rank + take, first, capacity - size))
-            if count > take:
-                gaps.setdefault(size, []).append((first + take, count - take))
-            if size > length:
-                gaps.setdefault(size - length, []).append((first, take))
-            rank, left = rank + take, left - take
-    return runs, opened
-
-
-def best_fit(pieces: DataFrame, capacity: int = 1024, buckets: int = 64) -> DataFrame:
-    """Add sequence_id and offset to ``pieces`` (any columns, ``length`` from 1 to ``capacity``).
-
-    Ranks of a length are counted within ``buckets`` salts, so that no length, however common, is one task's; the
-    counts of (length, salt) are at most ``capacity * buckets`` rows and are collected. Rows of no length or one out
-    of range raise an error, since a packer that drops documents is of no use.
+    times = F.greatest(F.lit(1), F.least(F.lit(share), F.floor(F.col("size") / longest))).cast("long")
+    cut = gaps.select("owner", "size", times.alias("times"), F.explode(F.sequence(F.lit(0), times.cast("int") - 1)).alias("nth"))
+    part = F.floor(F.col("size") / F.col("times")) + F.when(F.col("nth") == 0, F.col("size") % F.col("times")).otherwise(0)
+    events = cut.select(F.lit(0).alias("kind"), "owner", "nth", part.cast("long").alias("size"))
+    events = events.unionByName(docs.select(F.lit(1).alias("kind"), "owner", F.lit(0).alias("nth"), "size"))
+    step = F.when(F.col("kind") == 0, 1).otherwise(-1)
+    rows = counted(events, [F.desc("size"), F.col("kind"), F.col("owner"), F.col("nth")], step, n, "sweep")
+    # a level is crossed upwards by gaps and downwards by documents, in turn; one size crosses it once each way at most
+    rows = rows.withColumn("level", F.col("level") + F.col("kind"))
+    level = Window.partitionBy("level").orderBy("at")
+    before, after = F.lag(F.struct("kind", "owner")).over(level), F.lead(F.struct("kind", "size")).over(level)
+    rows = rows.select(
+        "kind", "owner", "size",
+        F.when((F.col("kind") == 1) & (before["kind"] == 0), before["owner"]).alias("partner"),
+        F.when((F.col("kind") == 0) & (after["kind"] == 1), after["size"]).otherwise(0).alias("taken"),
+    )
+    return materialize(rows, "matched")
+
+
+def best_fit(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+    """Add sequence_id and offset to ``pieces``: any columns, ``length`` from 1 to ``capacity``, repeated rows too.
+
+    Columns named like the two new ones are replaced; no other name clashes, as the columns travel as one. Rows of no length or
+    one out of range raise an error, since a packer that drops documents is of no use. An empty table has no sequences.
     """
-    spark = pieces.sparkSession
-    salt = F.pmod(F.xxhash64(*[c for c in pieces.columns if c != "length"]), F.lit(buckets)).cast("int")
-    salted = pieces.withColumn("_salt", salt)
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()
-    if any(r.length is None or not 0 < r.length <= capacity for r in counts):
+    own = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = pieces.select(F.col("length").cast("long").alias("size"), F.struct(*own).alias("row"))
+    some = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("size").between(1, capacity) & F.col("size").isNotNull()).cast("long")), F.lit(0)).alias("good")).first()
+    if some.n != some.good:
         raise ValueError(f"every length has to be from 1 to {capacity}")
-    sizes: dict[int, int] = {}
-    bases = []
-    for r in sorted(counts, key=lambda r: (r.length, r._salt)):
-        bases.append((r.length, r._salt, sizes.get(r.length, 0)))
-        sizes[r.length] = sizes.get(r.length, 0) + r.n
-    runs, _ = sweep(sizes, capacity)
-    base = spark.createDataFrame(bases, "length long, _salt int, _base long")
-    by_length: dict[int, list] = {}
-    for length, low, high, first, offset in runs:
-        by_length.setdefault(length, []).append((low, high, first, offset))
-    # one row for a length: its runs in order of rank, searched by position
-    table = spark.createDataFrame(
-        [(k, [x[0] for x in v], [x[2] for x in v], [x[3] for x in v]) for k, v in by_length.items()],
-        "length long, _low array<long>, _first array<long>, _offset array<long>",
-    )
-    inner = Window.partitionBy("length", "_salt").orderBy(*[c for c in pieces.columns if c != "length"])
-    ranked = salted.withColumn("_rank", F.row_number().over(inner) - 1)
-    ranked = ranked.join(F.broadcast(base), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
-    run = F.size(F.filter("_low", lambda low: low <= F.col("_rank")))
-    return (
-        ranked.join(F.broadcast(table), "length")
-        .withColumn("_run", run)
-        .withColumn("sequence_id", F.element_at("_first", F.col("_run")) + F.col("_rank") - F.element_at("_low", F.col("_run")))
-        .withColumn("offset", F.element_at("_offset", F.col("_run")))
-        .select(*pieces.columns, "sequence_id", "offset")
-    )
+    # longest first; a document's number names the sequence that it opens
+    rows = counted(rows, [F.desc("size"), F.xxhash64("row")], F.lit(1), some.n, "numbered").select("row", "size", (F.col("level") - 1).alias("owner"))
+    docs, gaps, placed, nth = rows.where(F.col("size") < capacity).select("owner", "size"), None, [], 0
+    whole = rows.where(F.col("size") == capacity).select("owner", F.col("owner").alias("sequence_id"), F.lit(0).alias("nth"))
+    while True:
+        waiting = docs.agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("all"), F.min("owner").alias("first")).first()
+        if not waiting.n:
+            break
+        room = gaps.where(F.col("size") >= waiting.least).agg(F.count("*").alias("n")).first().n if gaps is not None else 0
+        if room:
+            share = -(-2 * waiting.n // room)
+            swept = sweep(docs, gaps.where(F.col("size") >= waiting.least), waiting.n + room, waiting.most, share)
+            docs = swept.where("kind = 1 and partner is null").select("owner", "size")
+            placed.append(swept.where("kind = 1 and partner is not null").select("owner", F.col("partner").alias("sequence_id"), F.lit(nth).alias("nth")))
+            gaps = swept.where("kind = 0").groupBy("owner").agg(F.sum(F.col("size") - F.col("taken")).alias("size"))
+        else:
+            ranked = docs.select("owner", "size", (F.col("owner") - waiting.first + 1).alias("level")) if nth == 0 else counted(docs, [F.col("owner")], F.lit(1), waiting.n, "opening").drop("at")
+            opens = F.col("level") <= -(-waiting.all // capacity)
+            if (fit := capacity // waiting.most) < MOST_FIT:
+                # of those that fit as often as the longest every fit-th opens, so that its like can join it
+                opens = (F.col("size") > capacity // (fit + 1)) & ((F.col("level") - 1) % fit == 0)
+            placed.append(ranked.where(opens).select("owner", F.col("owner").alias("sequence_id"), F.lit(nth).alias("nth")))
+            gaps = ranked.where(opens).select("owner", (capacity - F.col("size")).alias("size"))
+            docs = ranked.where(~opens).select("owner", "size")
+        nth += 1
+    places = functools.reduce(DataFrame.unionByName, placed, whole)
+    before = Window.partitionBy("sequence_id").orderBy("nth", "owner").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.join(places, "owner").withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    return found.select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, capacity: int = 1024) -> DataFrame:
-    """Pack every document; the pieces are written once, as both the count and the placing read them."""
+    """Pack every document; the pieces are written once, as every pass over their lengths reads them."""
     return best_fit(materialize(token_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)

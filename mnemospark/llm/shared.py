@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a single machine) a temporary one is made and set.
+    Only where the session names none and runs on one machine (tests) a temporary one is made and set; on a cluster executors
+    would each write to a folder of their own, so that raises an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mnemospark-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")

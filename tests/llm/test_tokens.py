@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -154,14 +155,22 @@ def decreasing(lengths, capacity):
     return len(gaps)
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 50), max_size=120))
-def test_the_sweep_is_as_good_as_best_fit_decreasing(lengths):
-    runs, opened = packing.sweep({x: lengths.count(x) for x in set(lengths)}, 50)
-    assert opened <= decreasing(lengths, 50)
-    assert sorted(x for length, a, b, _, _ in runs for x in [length] * (b - a)) == sorted(lengths)
-    for length in set(lengths):
-        assert [r for x, a, b, _, _ in runs if x == length for r in range(a, b)] == list(range(lengths.count(length)))
+@pytest.mark.parametrize("seed,capacity", [(1, 50), (2, 64), (3, 1024), (4, 1024)])
+def test_rounds_are_about_as_good_as_best_fit_decreasing(spark, monkeypatch, seed, capacity):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 60)  # several ranges
+    r = np.random.default_rng(seed)
+    lengths = [r.integers(1, capacity + 1, 400), r.integers(1, capacity // 8, 900), r.choice([capacity, capacity * 2 // 5, 1], 500), np.sort(r.integers(capacity // 4, capacity // 2, 300))][seed - 1].tolist()
+    frame = spark.createDataFrame([(i, x, "a", -1) for i, x in enumerate(lengths)], "k long, length long, owner string, level int")
+    rows = packing.best_fit(frame, capacity).collect()
+    assert sorted((r.k, r.length, r.owner, r.level) for r in rows) == [(i, x, "a", -1) for i, x in enumerate(lengths)]
+    assert check_sequences(rows, capacity) <= 1.02 * decreasing(lengths, capacity) + 2
+
+
+def test_a_document_takes_the_smallest_gap_that_holds_it(spark):
+    docs = spark.createDataFrame([(1, 30), (2, 20), (3, 20), (4, 5)], "owner long, size long")
+    gaps = spark.createDataFrame([(7, 50), (8, 20), (9, 4)], "owner long, size long")
+    got = {r.owner: r.partner for r in packing.sweep(docs, gaps, 7, 30, 1).where("kind = 1").collect()}
+    assert got == {1: 7, 2: 8, 3: None, 4: None}  # ranks decide between 2 and 3
 
 
 def test_hot_lengths_and_bad_lengths(spark):
