@@ -1,17 +1,19 @@
 """Secret scans over an incremental blob ledger (operator 4). DataFrame operations only.
 
-Every version of every path is addressed by the SHA-256 of its content. The ledger holds the (blob, rule version)
-pairs that were scanned, so a run scans a blob once, however many paths or versions show it, and not at all if an
-earlier run did under the same rules. Findings belong to blobs and are joined back to all paths.
+Every version of every path is addressed by the SHA-256 of its content. The ledger is a stored table with a row for each
+(blob, rule version) that was scanned, with what was found in it; so a run scans a blob once, however many
+paths or versions show it, and not at all if an earlier run did under the same rules. Findings belong to blobs and
+are joined back to all paths. A blob is in the ledger with its findings or not at all: a run that fails leaves no half.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from mnemospark.llm.shared import new_path, spread_join
 
 
 @dataclass(frozen=True)
@@ -41,13 +43,13 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
 )
-RULES = (*BASE, Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"), Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"))
+# A key goes up to its last line, or to the text's end where that is cut off.
+PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----|[\s\S]*)"
+RULES = (*BASE, Rule("pem", PEM), Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"))
 #: Raised whenever a rule changes; blobs that were scanned under another one are unseen.
-RULE_VERSION = "1"
-#: Salts over which the versions of one blob spread when findings are joined back.
-SALTS = 16
-LEDGER = "sha binary, rule_version string"
+RULE_VERSION = "2"
 SPANS = "array<struct<start: int, rule: int, end: int>>"
+LEDGER = f"sha binary, spans {SPANS}, rule_version string"
 
 
 def content() -> Column:
@@ -81,38 +83,33 @@ def hits(rule: Rule, number: int) -> Column:
 
 
 def findings(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(sha, spans) of the blobs that have any; spans in code points, by start and then rule."""
-    rows = blobs.select("sha", F.explode(F.concat(*[hits(r, k) for k, r in enumerate(rules)])).alias("hit")).select("sha", "hit.*")
+    """(sha, spans) of every blob; spans in code points, by start and then rule, none of a clean blob."""
+    rows = blobs.select("sha", F.explode_outer(F.concat(*[hits(r, k) for k, r in enumerate(rules)])).alias("hit")).select("sha", "hit.*")
     upto = Window.partitionBy("sha", "rule").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("skip") + F.col("n")).over(upto).cast("int")
-    spans = rows.withColumn("end", end).where("good")
     span = F.struct((F.col("end") - F.col("n")).alias("start"), F.col("rule"), F.col("end"))
-    return spans.groupBy("sha").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    return rows.withColumn("end", end).groupBy("sha").agg(F.array_sort(F.collect_list(F.when(F.col("good"), span))).alias("spans"))
 
 
-def scan(
-    history: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION
-) -> tuple[DataFrame, DataFrame]:
-    """Findings of all blobs of ``history``, and the ledger's new rows.
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(sha, spans, rule_version) of all runs so far; empty where there was none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
 
-    ``known`` holds the findings of earlier runs (sha, spans, and rule_version where there are several). Those of blobs that the ledger lacks under this rule version
-    are left out, as such blobs are scanned anew if they are there at all. Null texts are empty blobs.
-    """
-    blobs = unseen(history, ledger, version)
-    found = findings(blobs, rules)
-    if known is not None and ledger is not None:
-        current = ledger.where(F.col("rule_version") == version).select("sha").distinct()
-        if "rule_version" in known.columns:
-            known = known.where(F.col("rule_version") == version)
-        found = found.unionByName(known.select("sha", "spans").join(current, "sha", "left_semi").dropDuplicates(["sha"]))
-    return found, blobs.select("sha", F.lit(version).alias("rule_version"))
 
+def scan(history: DataFrame, path: str, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
+    """Scan what the ledger at ``path`` lacks of ``history``'s blobs and add it; (sha, spans) of all blobs with any under ``version``.
 
-def by_path(history: DataFrame, found: DataFrame, paths: list[str], salts: int = SALTS) -> DataFrame:
-    """Each row of ``history`` with the spans of its blob (null without any)."""
-    spread = found.select("sha", "spans", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = history.select(*[F.col(p) for p in paths], address().alias("sha"), F.pmod(F.xxhash64(*paths), F.lit(salts)).cast("int").alias("salt"))
-    return rows.join(spread, ["sha", "salt"], "left").select(*paths, "spans")
+    Null texts are empty blobs. Rows of other rule versions stay in the ledger and count for nothing. Where two runs
+    scanned a blob at the same time, its equal rows are one.
+    """
+    spark = history.sparkSession
+    blobs = unseen(history, read_ledger(spark, path), version)
+    findings(blobs, rules).withColumn("rule_version", F.lit(version)).write.mode("append").partitionBy("rule_version").parquet(path)
+    found = read_ledger(spark, path).where((F.col("rule_version") == version) & (F.size("spans") > 0))
+    return found.select("sha", "spans").dropDuplicates(["sha"])
 
 
 def shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -120,14 +117,15 @@ def shown(spans: Column, rules: tuple[Rule, ...]) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rule"]), s["start"], s["end"])), ",")
 
 
-def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+def secret_spans(docs: DataFrame, path: str | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, counts of the base kinds, base_sha256, and all spans as text.
 
-    Rows stay, repeated ones and null doc_ids too; other columns are ignored.
+    ``path`` is the ledger's folder, kept from run to run; without one the run has a ledger of its own. Rows stay, repeated
+    ones and null doc_ids too; other columns are ignored.
     """
-    found, _ = scan(docs, ledger, known)
+    found = scan(docs, path or new_path(docs.sparkSession, "ledger"))
     spans = F.coalesce("spans", F.array().cast(SPANS))
-    rows = by_path(docs, found, ["doc_id"]).select("doc_id", spans.alias("spans"))
+    rows = spread_join(docs.select("doc_id", address().alias("sha")), found, "sha", ["doc_id"]).select("doc_id", spans.alias("spans"))
     base = F.filter("spans", lambda s: s["rule"] < len(BASE))
     count = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long")
     return rows.select(
@@ -138,27 +136,29 @@ def secret_spans(docs: DataFrame, ledger: DataFrame | None = None, known: DataFr
     )
 
 
-def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redacted(docs: DataFrame, mask: str = "[SECRET]", path: str | None = None) -> DataFrame:
     """``docs`` with each stretch of overlapping spans in ``text`` replaced by ``mask``; all columns and rows stay.
 
-    ``n_chars``, where there is one, follows the text. Copies of a hot blob spread over salts.
+    ``n_chars``, where there is one, follows the text. Columns of other names are kept as they are, whatever they are called.
+    Copies of a hot blob spread over tasks. ``path`` is as in `secret_spans`.
     """
-    found, _ = scan(docs)
-    spread = found.select(F.col("sha").alias("_sha"), "spans", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    rows = docs.withColumns({"_sha": address(), "_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
-    spread = spread.withColumnRenamed("spans", "_spans")
+    found = scan(docs, path or new_path(docs.sparkSession, "ledger"))
+    rows = spread_join(docs.select(address().alias("sha"), F.col("doc_id").alias("by"), F.struct(*docs.columns).alias("row")), found, "sha", ["by"])
+    old = F.col("row.text")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
+        piece = F.array(F.substring(old, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
-    text = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
-    out = rows.join(spread, ["_sha", "_salt"], "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(text))
+    masked = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(old, acc["at"] + 1, F.lit(2**31 - 1))))
+    clean = F.col("spans").isNull()
+    out = rows.withColumn("new", F.when(clean, old).otherwise(masked))
+    new = {"text": F.col("new")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(clean, F.col("row.n_chars")).otherwise(F.length("new").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def oracle() -> str:
