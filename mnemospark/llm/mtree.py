@@ -5,10 +5,11 @@ entries, each entry with its distance to the page's own routing object, and rout
 radius. For a metric, a tree's vectors get one more component that brings all to the same norm; then the nearest
 vector is the one of largest inner product.
 
-Pages are rows of a table. A block of queries meets every tree (a stated query set against all rows); in a tree a
-query takes pages by their least possible distance, until that exceeds its k-th best. Stored distances rule entries
+Pages are rows of a table. A block of queries meets every tree (a stated query set against all rows); blocks are large,
+since the pages are sent once for each; in a tree a query takes pages by their least possible distance, until that exceeds its k-th best. Stored distances rule entries
 out before their own distance is computed: |d(query, routing object) - d(entry, routing object)| is a lower bound.
-Scores are integers, and bounds are widened by ``SLACK``, so the result is exact, ties included.
+Scores are 64-bit integers, and bounds are widened by more than rounding can take from a distance, so the result is exact,
+ties included. Vectors whose scores might not fit 64 bits are refused.
 """
 
 from __future__ import annotations
@@ -23,15 +24,18 @@ from pyspark.sql import functions as F
 from mnemospark.llm.shared import materialize
 
 PAGE, FANOUT = 192, 12
-TREE_VECTORS, QUERY_BLOCK = 25_000, 2_000
-SLACK = 1e-6
+TREE_VECTORS, QUERY_BLOCK = 25_000, 100_000
+#: What bounds are widened by: a constant and a share of the norm. A squared distance is off by less than 2**-50 of the norm's square.
+SLACK, SLACK_SHARE = 1e-6, 2.0**-22
+#: Least bound on dim * component**2 that is refused.
+TOO_LARGE = 2.0**62
 
 PAGES = "dim int, part int, page int, leaf boolean, norm double, ids binary, vectors binary, radii binary, to_parent binary"
 _BINARY = pa.binary()
 PAGE_SCHEMA = pa.schema(
     [("dim", pa.int32()), ("part", pa.int32()), ("page", pa.int32()), ("leaf", pa.bool_()), ("norm", pa.float64()), *((c, _BINARY) for c in ("ids", "vectors", "radii", "to_parent"))]
 )
-HIT_SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+HIT_SCHEMA = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 class Builder:
@@ -102,7 +106,8 @@ class Tree:
 
     def nearest(self, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k largest (score, vec_id), ties to the smaller id."""
-        lift = int(query @ query) + self.norm
+        lift = int(query @ query) + int(self.norm)
+        slack = SLACK + SLACK_SHARE * np.sqrt(float(lift))
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         bound, queue = np.inf, [(0.0, 0, 0.0)]
         while queue:
@@ -122,7 +127,7 @@ class Tree:
                     best = np.lexsort((ids, -scores))[:k]
                     ids, scores = ids[best], scores[best]
                 if len(ids) == k:
-                    bound = np.sqrt(max(0.0, lift - 2.0 * int(scores.min()))) + SLACK
+                    bound = np.sqrt(max(0.0, float(lift - 2 * int(scores.min())))) + slack
                 continue
             d = np.sqrt(np.maximum(0.0, lift - 2.0 * products))
             low = np.maximum(0.0, d - radii[keep])
@@ -137,48 +142,59 @@ def search_block(k: int):
         if not pages.num_rows or not queries.num_rows:
             return HIT_SCHEMA.empty_table()
         tree, out = Tree(pages), []
-        for query_id, v in zip(queries["vec_id"].to_pylist(), queries["v"].to_pylist()):
+        for number, query_id, v in zip(queries["query"].to_pylist(), queries["vec_id"].to_pylist(), queries["v"].to_pylist()):
             query = np.array(v, np.int64)
             found = tree.nearest(query, k + 1)
             own = (int(query @ query), query_id)
             if own in found:  # the query's row itself, once
                 found.remove(own)
-            out += [(query_id, i, s) for s, i in found[:k]]
+            out += [(number, query_id, i, s) for s, i in found[:k]]
         return pa.table({n: [r[c] for r in out] for c, n in enumerate(HIT_SCHEMA.names)}, HIT_SCHEMA)
 
     return run
 
 
+def taking_part() -> Column:
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
+    some = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
+    return some & F.forall("embedding", finite)
+
+
 def usable(vectors: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, dim, v) of the rows that take part; v holds floor(scale * x) of each component."""
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
-    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
-    rows = vectors.where(good).where(F.forall("embedding", finite))
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    return rows.select("vec_id", F.size("embedding").alias("dim"), v.alias("v"))
+    return vectors.where(taking_part()).select("vec_id", F.size("embedding").alias("dim"), v.alias("v"))
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, tree_vectors: int = TREE_VECTORS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score of the ``k`` best rows for each row that ``is_query`` tells, by integer inner product.
 
     Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without vec_id.
-    Vectors of different length are never compared. A repeated row is another candidate; only one row, the query
-    itself, is left out, and a repeated query row answers once. Components are taken to stay below 2**22.
+    Vectors of different length are never compared. Each query row has a list of its own, also where rows share a vec_id or are
+    equal; a repeated row is another candidate. Only one row, the query itself, is left out. Components so large
+    that a score might exceed 64 bits raise an error.
     """
     rows = usable(vectors, scale)
-    n = rows.count()
-    parts = max(1, -(-n // tree_vectors))
+    size = F.array_max(F.transform("embedding", lambda x: F.abs(F.floor(x.cast("double") * scale).cast("double"))))
+    bound = vectors.where(taking_part()).agg(F.count("*").alias("n"), F.max(size * size * F.size("embedding")).alias("bound")).first()
+    if (bound.bound or 0) >= TOO_LARGE:
+        raise ValueError("components are too large for 64-bit scores")
+    parts = max(1, -(-bound.n // tree_vectors))
     placed = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     pages = materialize(placed.groupBy("dim", "part").applyInArrow(build_tree, PAGES), "mtree")
-    queries = rows.where(is_query).dropDuplicates(["vec_id", "v"])
+    queries = rows.where(is_query).groupBy("vec_id", "dim", "v").agg(F.count("*").alias("times"))
+    queries = materialize(queries.withColumn("query", F.monotonically_increasing_id()), "queries")
     blocks = max(1, -(-queries.count() // query_block))
-    asked = queries.withColumn("block", F.pmod(F.hash("vec_id"), F.lit(blocks)).cast("int"))
+    asked = queries.select("query", "vec_id", "dim", "v", F.pmod(F.hash("query"), F.lit(blocks)).cast("int").alias("block"))
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     spread = pages.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     key = ["dim", "part", "block"]
-    hits = spread.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(search_block(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    hits = spread.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(search_block(k), "query long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+    ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    repeated = queries.where("times > 1").select("query", "times")
+    ranked = ranked.join(repeated, "query", "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
+    return ranked.select("query_id", "rank", "vec_id", "score")
 
 
 def oracle(k: int = 5, every: int = 50) -> str:
@@ -186,7 +202,7 @@ def oracle(k: int = 5, every: int = 50) -> str:
     dot = "cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) as bigint)"
     return (
         f"with e as (select row_number() over () r, vec_id, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 256) as bigint)) v from embeddings where {good}), "
-        f"s as (select a.vec_id query_id, b.vec_id, {dot} score from e a join e b on a.r <> b.r and len(a.v) = len(b.v) where a.vec_id % {every} = 0), "
-        "w as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) "
+        f"s as (select a.r q, a.vec_id query_id, b.vec_id, {dot} score from e a join e b on a.r <> b.r and len(a.v) = len(b.v) where a.vec_id % {every} = 0), "
+        "w as (select *, row_number() over (partition by q order by score desc, vec_id) as rank from s) "
         f"select query_id, cast(rank as integer) as rank, vec_id, score from w where rank <= {k}"
     )

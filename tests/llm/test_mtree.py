@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.llm import mtree
@@ -6,11 +7,10 @@ from mnemospark.llm import mtree
 
 def brute(rows, k, every):
     good = [(i, np.floor(np.array(v, np.float64) * 256).astype(np.int64)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    out, seen = [], set()
+    out = []
     for r, (q, v) in enumerate(good):
-        if q % every or (q, v.tobytes()) in seen:
+        if q % every:
             continue
-        seen.add((q, v.tobytes()))
         found = sorted((-int(v @ w), i) for s, (i, w) in enumerate(good) if s != r and len(w) == len(v))[:k]
         out += [(q, rank, i, -score) for rank, (score, i) in enumerate(found, 1)]
     return sorted(out)
@@ -20,7 +20,7 @@ def test_against_brute_force_in_many_trees_and_blocks(spark):
     r = np.random.default_rng(3)
     rows = [(int(i), (r.normal(size=8) * r.choice([0.1, 1, 3])).astype(np.float32).tolist()) for i in r.permutation(1500)]
     rows += [(2000 + i, rows[0][1]) for i in range(400)]  # a vector that is there very often: ties
-    rows += [(None, [1.0] * 8), (3000, None), (3010, [float("nan")] * 8), (3020, [float("inf")] + [0.0] * 7), (3030, [None] + [0.0] * 7), (3040, []), (3050, [1.0, 2.0]), (3060, [1.0, 2.0]), (3061, [0.5, 0.5]), (2000, rows[0][1])]
+    rows += [(2010, rows[5][1]), (None, [1.0] * 8), (3000, None), (3010, [float("nan")] * 8), (3020, [float("inf")] + [0.0] * 7), (3030, [None] + [0.0] * 7), (3040, []), (3050, [1.0, 2.0]), (3060, [1.0, 2.0]), (3061, [0.5, 0.5]), (2000, rows[0][1])]
     frame = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, dim string, part int")
     for sizes in ((25_000, 2_000), (300, 17)):
         got = mtree.top_k(frame, F.col("vec_id") % 10 == 0, 5, tree_vectors=sizes[0], query_block=sizes[1])
@@ -50,3 +50,14 @@ def test_bounds_spare_distances():
         assert tree.nearest(q, 5) == [(int(scores[i]), int(i)) for i in best]
     assert tree.computed < 50 * 6000 / 3
     assert max(len(p["ids"]) for p in b.pages if p["leaf"]) <= mtree.PAGE
+
+
+def test_large_components_are_right_or_refused(spark):
+    schema = "vec_id long, embedding array<double>"
+    r = np.random.default_rng(5)
+    rows = [(i, (r.normal(size=4) * 1e6).tolist()) for i in range(300)]
+    got = mtree.top_k(spark.createDataFrame(rows, schema), F.col("vec_id") % 10 == 0, tree_vectors=100).collect()
+    assert sorted(tuple(x) for x in got) == brute(rows, 5, 10) and max(x.score for x in got) > 2**56
+    for huge in (9e8, 1e30):
+        with pytest.raises(ValueError):
+            mtree.top_k(spark.createDataFrame([*rows, (300, [huge] * 4)], schema), F.col("vec_id") == 0)
