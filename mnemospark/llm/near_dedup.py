@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.bulk import slices, string_column
 from mnemospark.llm.graph import components
-from mnemospark.llm.shared import materialize
+from mnemospark.llm.shared import materialize, spread_join
 from mnemospark.llm.shingles import mix, shingles, words
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-SLOTS = 1 << 18
+SLOTS = 1 << 22
 
 
 @functools.cache
@@ -78,6 +78,12 @@ def sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[pa.Reco
             yield batch.slice(a, b - a), a, b, [shingles(hashes[i:j], n) for i, j in zip(offsets, offsets[1:])]
 
 
+def row_key() -> Column:
+    """128 bits of the SHA-256 of a row's doc_id and text; a null text is an empty one."""
+    content = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\0"), F.coalesce(F.col("text"), F.lit("")))
+    return F.substring(F.unhex(F.sha2(content, 256)), 1, 16)
+
+
 def signed(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, key (of the row's content), n_shingles, node (null without words) and the node's band keys."""
 
@@ -98,8 +104,8 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 ["doc_id", "key", "n_shingles", "node", "bands"],
             )
 
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    return rows.mapInArrow(run, "doc_id long, key long, n_shingles long, node binary, bands array<long>")
+    rows = docs.select("doc_id", "text", row_key().alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key binary, n_shingles long, node binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -111,7 +117,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "own"])
             yield out.filter(pa.array(right, pa.bool_()))
 
-    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("key")).join(wanted, "key").select("node", "text")
+    rows = docs.select("text", row_key().alias("key")).join(wanted, "key").select("node", "text")
     return rows.mapInArrow(run, "node binary, own array<long>").dropDuplicates(["node"])
 
 
@@ -121,10 +127,11 @@ def needed(total: Column, percent: int) -> Column:
 
 
 def beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with both sets, their sizes, and the size of their intersection."""
+    """``pairs`` (a, b) with both sets, their sizes, and the size of their intersection. Pairs of one hub ``b`` spread."""
     left = sets.select(F.col("node").alias("a"), F.col("own").alias("own_a"))
     right = sets.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
-    rows = pairs.join(left, "a").join(right, "b")
+    right = right.join(pairs.select("b").distinct(), "b", "left_semi")
+    rows = spread_join(pairs, right, "b", ["a"]).join(left, "a")
     return rows.select("*", F.size("own_a").alias("n_a"), F.size("own_b").alias("n_b"), F.size(F.array_intersect("own_a", "own_b")).alias("both"))
 
 
@@ -135,7 +142,7 @@ def similar(percent: int) -> Column:
 def further_pairs(stars: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may be linked though one of them is not linked with their common hub."""
     group = stars.groupBy("hub").agg(F.min("n").alias("least"), F.max(~F.col("linked")).alias("open")).where("open").drop("open")
-    rows = stars.join(group, "hub")
+    rows = spread_join(stars, group, "hub", ["node"]).where("least is not null")
     # shingles that the hub lacks, rarest first; so many of them may be without a partner
     rest = rows.select("hub", "node", "linked", "n", "both", F.size("rest").alias("size"), F.greatest(F.lit(1), needed(F.col("n") + F.col("least"), percent) - F.col("both")).alias("share"), F.explode("rest").alias("shingle"))
     rest = materialize(rest.where("share <= size"), "rest")
@@ -161,15 +168,17 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
     placed = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
-    members = materialize(placed.join(buckets, "band"), "members")
+    buckets = materialize(placed.groupBy("band").agg(F.count("*").alias("rows_of_key")), "buckets")
+    shared = buckets.where("rows_of_key > 1")
+    members = materialize(spread_join(placed, shared.withColumnRenamed("rows_of_key", "members"), "band", ["node"], shared).where("members is not null"), "members")
     weight = members.groupBy("node").agg(F.sum("members").alias("weight"))
     members = materialize(members.drop("members").join(weight, "node"), "members")
     wanted = members.select("node").distinct().join(nodes.select("node", "key"), "node")
     sets = materialize(full_sets(docs, wanted, n), "sets")
 
     hubs = members.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
-    pairs = members.join(hubs, "band").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = spread_join(members, hubs, "band", ["node"], shared).where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    pairs = materialize(pairs.distinct(), "stars")
     stars = beside(pairs, sets).select(
         F.col("a").alias("node"), F.col("b").alias("hub"), F.col("n_a").alias("n"), F.col("n_b").alias("n_hub"), "both", similar(percent).alias("linked"), F.array_except("own_a", "own_b").alias("rest")
     )
@@ -179,8 +188,8 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named_nodes = nodes.select("node", "doc_id").join(names, "node", "left")
     named_nodes = materialize(named_nodes.select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
     least = named_nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = named_nodes.join(least, "component").select("node", "component", "component_id")
-    return rows.join(final, "node", "left").select(
+    final = spread_join(named_nodes, least, "component", ["node"]).select("node", "component", "component_id")
+    return spread_join(rows, final, "node", ["doc_id", "key"]).select(
         "doc_id",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
@@ -202,14 +211,15 @@ def classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each class, with all its columns.
+    """``docs`` with one row of each class, with all its columns, whatever they are called.
 
-    The row with the least doc_id stays (a null one last, then by content). Rows without words all stay.
+    The row with the least doc_id stays (a null one last, then by content); of rows equal in doc_id and text any one, with
+    its other columns. Rows without words all stay.
     """
     found = classified(docs, n, percent)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
     stays = found.where("component is not null").groupBy("component").agg(best.alias("best")).select("best.key")
-    marked = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    with_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = marked.where(with_words).join(stays, F.col("_key") == F.col("key"), "left_semi").dropDuplicates(["_key"])
-    return one.unionByName(marked.where(~with_words)).select(docs.columns)
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    marked = docs.select(row_key().alias("key"), words.alias("words"), F.struct(*docs.columns).alias("row"))
+    one = marked.where("words").join(stays, "key", "left_semi").dropDuplicates(["key"])
+    return one.unionByName(marked.where("not words")).select("row.*")

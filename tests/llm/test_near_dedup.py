@@ -114,3 +114,15 @@ def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (7, 7)], "a long, b long")
     names = {r.node: r.component for r in components(links).collect()}
     assert names == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_columns_of_any_name_stay_and_hot_groups_spread(spark):
+    same = "one two three four five six seven eight nine ten"
+    rows = [(i, same if i % 3 else f"{same} and number {i} comes here too", "k", "r", 1) for i in range(1, 1500)] + [(None, None, "k", "r", 1), (None, "", "k", "r", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key string, row string, _key int")
+    got = near_dedup.deduplicated(frame)
+    assert got.columns == frame.columns
+    kept = [(r.doc_id, r.key, r.row, r._key) for r in got.collect()]
+    want = {d: c for (d, *_), (_, _, c) in zip(rows, brute([r[:2] for r in rows], 5, 80))}
+    assert all(r[1:] == ("k", "r", 1) for r in kept)
+    assert sorted(d for d, *_ in kept if d is not None) == sorted(d for d, c in want.items() if d is not None and d == c) and sum(d is None for d, *_ in kept) == 2
