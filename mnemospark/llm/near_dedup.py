@@ -37,7 +37,7 @@ from mnemospark.llm.shingles import mix, shingles, words
 
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
-SLOTS = 1 << 22
+SLOTS = 1 << 20
 
 
 @functools.cache
