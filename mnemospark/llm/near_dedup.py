@@ -14,7 +14,8 @@ with their hub are one component. A further link (a, b) of an unlinked member a
 while |a & b & hub| <= |a & hub| and |b & hub|. So either a and b share shingles that the hub lacks - at least one of
 each side's rarest, by prefixes whose length follows from what is missing - or both overlaps with the hub reach
 r(a, b), which only members smaller than the hub can do. Pairs are made for these two cases only, and
-confirmed. So no link that the bands propose is lost, and a group of n copies costs about n comparisons.
+confirmed; not for members that links with hubs have brought into one class already. So no class that the bands propose falls apart, and
+a group of n copies costs about n comparisons.
 
 With 32 bands of 4 a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
 """
@@ -140,26 +141,31 @@ def similar(percent: int) -> Column:
 
 
 def further_pairs(stars: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that may be linked though one of them is not linked with their common hub."""
-    group = stars.groupBy("hub").agg(F.min("n").alias("least"), F.max(~F.col("linked")).alias("open")).where("open").drop("open")
+    """Pairs (a, b) that may be linked though one of them is not linked with their common hub, with the classes (class_a, class_b) they have so far.
+
+    ``stars`` have each node's class by links with hubs. Pairs within a class are not made, as a link would join nothing.
+    """
+    group = stars.groupBy("hub").agg(F.min("n").alias("least"), F.max(~F.col("linked")).alias("open"), F.min("class").alias("one"), F.max("class").alias("other")).where("open and one != other").drop("open", "one", "other")
     rows = spread_join(stars, group, "hub", ["node"]).where("least is not null")
     # shingles that the hub lacks, rarest first; so many of them may be without a partner
-    rest = rows.select("hub", "node", "linked", "n", "both", F.size("rest").alias("size"), F.greatest(F.lit(1), needed(F.col("n") + F.col("least"), percent) - F.col("both")).alias("share"), F.explode("rest").alias("shingle"))
+    rest = rows.select("hub", "node", "class", "linked", "n", "both", F.size("rest").alias("size"), F.greatest(F.lit(1), needed(F.col("n") + F.col("least"), percent) - F.col("both")).alias("share"), F.explode("rest").alias("shingle"))
     rest = materialize(rest.where("share <= size"), "rest")
     common = rest.groupBy("hub", "shingle").agg(F.count("*").alias("df"))
     rarest = Window.partitionBy("hub", "node").orderBy("df", "shingle")
     prefix = rest.join(common, ["hub", "shingle"]).withColumn("at", F.row_number().over(rarest)).where("at <= size - share + 1 and df > 1")
-    prefix = materialize(prefix.select("hub", "shingle", "node", "linked", "n", "both", (F.col("size") - F.col("at") + 1).alias("left")), "prefix")
-    other = prefix.select("hub", "shingle", *[F.col(c).alias(f"{c}_other") for c in ("node", "n", "both", "left")])
+    prefix = materialize(prefix.select("hub", "shingle", "node", "class", "linked", "n", "both", (F.col("size") - F.col("at") + 1).alias("left")), "prefix")
+    other = prefix.select("hub", "shingle", *[F.col(c).alias(f"{c}_other") for c in ("node", "class", "n", "both", "left")])
     # a pair's first common shingle leaves room for all that it still has to share
     room = F.least("left", "left_other") >= needed(F.col("n") + F.col("n_other"), percent) - F.least("both", "both_other")
-    sharing = prefix.where("not linked").join(other, ["hub", "shingle"]).where((F.col("node") != F.col("node_other")) & room).select("node", F.col("node_other").alias("other"))
+    sharing = prefix.where("not linked").join(other, ["hub", "shingle"]).where((F.col("class") != F.col("class_other")) & room).select("node", "class", "node_other", "class_other")
     # overlaps with the hub that are enough by themselves
     enough = rows.where(F.col("both") >= needed(F.col("n") + F.col("least"), percent))
-    small = enough.where("n < n_hub").select("hub", F.col("node").alias("other"), F.col("n").alias("n_other"), F.col("both").alias("both_other"))
-    within = enough.where("not linked").join(small, "hub").where("node != other")
-    within = within.where(F.least("both", "both_other") >= needed(F.col("n") + F.col("n_other"), percent)).select("node", "other")
-    return sharing.union(within).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+    small = enough.where("n < n_hub").select("hub", *[F.col(c).alias(f"{c}_other") for c in ("node", "class", "n", "both")])
+    within = enough.where("not linked").join(small, "hub").where("class != class_other")
+    within = within.where(F.least("both", "both_other") >= needed(F.col("n") + F.col("n_other"), percent)).select("node", "class", "node_other", "class_other")
+    one, two = (F.struct(F.col(f"node{x}").alias("node"), F.col(f"class{x}").alias("class")) for x in ("", "_other"))
+    pairs = sharing.union(within).select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+    return pairs.select("a.node", "a.class", F.col("b.node").alias("b"), F.col("b.class").alias("class_b")).toDF("a", "class_a", "b", "class_b")
 
 
 def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -183,10 +189,13 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
         F.col("a").alias("node"), F.col("b").alias("hub"), F.col("n_a").alias("n"), F.col("n_b").alias("n_hub"), "both", similar(percent).alias("linked"), F.array_except("own_a", "own_b").alias("rest")
     )
     stars = materialize(stars, "stars")
-    more = beside(materialize(further_pairs(stars, percent), "pairs"), sets).where(similar(percent)).select("a", "b")
-    names = components(stars.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")).union(more))
-    named_nodes = nodes.select("node", "doc_id").join(names, "node", "left")
-    named_nodes = materialize(named_nodes.select("node", "doc_id", F.coalesce("component", "node").alias("component")), "named")
+    # classes by links with hubs; then links between those classes
+    first = components(stars.where("linked").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    stars = stars.join(first.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    more = beside(materialize(further_pairs(stars, percent), "pairs"), sets).where(similar(percent)).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    second = components(more).select(F.col("node").alias("class"), "component")
+    named_nodes = nodes.select("node", "doc_id").join(first.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    named_nodes = materialize(named_nodes.join(second, "class", "left").select("node", "doc_id", F.coalesce("component", "class").alias("component")), "named")
     least = named_nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = spread_join(named_nodes, least, "component", ["node"]).select("node", "component", "component_id")
     return spread_join(rows, final, "node", ["doc_id", "key"]).select(
