@@ -16,7 +16,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.shared import materialize
+from mnemospark.llm.shared import materialize, spread_join
 
 #: Usual notices of common licences, by SPDX identifier.
 TEMPLATES = (
@@ -32,9 +32,40 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose"),
 )
+#: Identifiers that files name after SPDX-License-Identifier, and the licence of each.
+IDENTIFIERS = (
+    ("Apache-2.0", "Apache-2.0"), ("MIT", "MIT"), ("ISC", "ISC"), ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("BSL-1.0", "BSL-1.0"), ("Unlicense", "Unlicense"), ("Zlib", "Zlib"),
+    ("GPL-2.0", "GPL-2.0"), ("GPL-2.0", "GPL-2.0-only"), ("GPL-2.0", "GPL-2.0-or-later"), ("GPL-3.0", "GPL-3.0"), ("GPL-3.0", "GPL-3.0-only"), ("GPL-3.0", "GPL-3.0-or-later"),
+    ("LGPL-2.1", "LGPL-2.1"), ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-2.1", "LGPL-2.1-or-later"), ("LGPL-3.0", "LGPL-3.0"), ("LGPL-3.0", "LGPL-3.0-only"), ("LGPL-3.0", "LGPL-3.0-or-later"),
+    ("AGPL-3.0", "AGPL-3.0"), ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"), ("CC0-1.0", "CC0-1.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+)
+NOTICES = TEMPLATES + tuple((licence, f"SPDX-License-Identifier: {name}") for licence, name in IDENTIFIERS)
+#: An identifier after that mark counts as one more term, so often that two different ones are never alike.
+TAG, TAG_WEIGHT = "spdx-license-identifier:[ \\t]*([a-z0-9.+-]+)", 4
+_AS_IS = "AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+#: Whole texts of short licences; a licence file by name is compared with them as a whole.
+WHOLE = (
+    ("BSD-2-Clause", f"{_BSD} THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS {_AS_IS}"),
+    ("BSD-3-Clause", f"{_BSD} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS {_AS_IS}"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "ISC License Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("MIT", "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to https://unlicense.org"),
+    ("Zlib", "zlib License This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+)
 #: A line with one of these is a notice; so is the whole of a licence file.
-CUE = "licen[cs]|copyright|spdx|redistribut|permission is hereby|free software"
+CUE = "licen[cs]|copyright|spdx|redistribut|permission is hereby|permission to use|free software|unencumbered software|provided .as-is"
 LICENCE_FILE = r"(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 #: Titles that the full texts of licences begin with; only licence files by name are compared with them.
 TITLES = (
@@ -46,11 +77,11 @@ TITLES = (
     ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
+EVERY = NOTICES + TITLES + WHOLE
 LEAST_COSINE, LEAST_COVER = 0.7, 0.5
 #: Lines of a window round a cue; the longest template, wrapped to four words a line, has seven.
 MOST_LINES = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SALTS = 16
 
 
 def lowered(text: Column) -> Column:
@@ -58,17 +89,25 @@ def lowered(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    return F.filter(F.split(lowered(text), "[^a-z0-9]+"), lambda t: t != "")
+    low = lowered(text)
+    words = F.filter(F.split(low, "[^a-z0-9]+"), lambda t: t != "")
+    tags = F.flatten(F.transform(F.regexp_extract_all(low, F.lit(TAG), F.lit(1)), lambda t: F.array_repeat(F.concat(F.lit("spdx:"), t), TAG_WEIGHT)))
+    return F.when(F.contains(low, F.lit("spdx-license-identifier")), F.concat(words, tags)).otherwise(words)
 
 
-def template_terms(templates: tuple = TEMPLATES) -> list[Counter]:
-    return [Counter(re.findall("[a-z0-9]+", text.lower())) for _, text in templates]
+def words_of(text: str) -> list[str]:
+    low = text.lower()
+    return re.findall("[a-z0-9]+", low) + [f"spdx:{t}" for t in re.findall(TAG, low) for _ in range(TAG_WEIGHT)]
+
+
+def template_terms(templates: tuple = NOTICES) -> list[Counter]:
+    return [Counter(words_of(text)) for _, text in templates]
 
 
 def idf(docs: DataFrame) -> dict[str, float]:
     """ln((N + 1) / (df + 1)) + 1 of each template term, N and df over all ``docs`` (null texts are empty ones)."""
     vocabulary = sorted({t for c in template_terms() for t in c})
-    own = F.array_intersect(F.split(lowered(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), F.array(*map(F.lit, vocabulary)))
+    own = F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))
     # the empty term counts the documents
     rows = docs.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).collect()
     df = {r.term: r.df for r in rows}
@@ -96,7 +135,7 @@ def best_template(words: Column, weight: dict[str, float]) -> Column:
 
     norm = F.sqrt(F.aggregate(F.array_sort(words), zero, step, lambda acc: acc["sum"]))
     scored = []
-    for (licence, _), counts in zip(TEMPLATES, template_terms()):
+    for (licence, _), counts in zip(NOTICES, template_terms()):
         length = math.sqrt(sum((n * weight[t]) ** 2 for t, n in counts.items()))
         product = weights({t: n * weight[t] ** 2 / length for t, n in counts.items()})
         dot = F.aggregate(words, F.lit(0.0), adding(product))
@@ -188,11 +227,12 @@ def best_window(weight: dict[str, float], idf_of: Column) -> Column:
 
     def scored(w: Column) -> Column:
         out = []
-        for k, ((licence, _), counts) in enumerate(zip(TEMPLATES + TITLES, template_terms(TEMPLATES + TITLES))):
+        for k, ((licence, _), counts) in enumerate(zip(EVERY, template_terms(EVERY))):
             length = math.sqrt(sum((n * weight[t]) ** 2 for t, n in counts.items()))
             dot = F.aggregate(w["words"], F.lit(0.0), adding(weights({t: n * weight[t] ** 2 / length for t, n in counts.items()})))
             one = F.struct((-F.round(dot / w["norm"], 6)).alias("minus"), (w["b"] - w["a"]).alias("lines"), w["a"].alias("a"), w["b"].alias("b"), F.lit(licence).alias("licence"))
-            out.append(one if k < len(TEMPLATES) else F.when(F.col("_by_name"), one))
+            whole = F.col("at") < 0
+            out.append(F.when(whole, one) if k >= len(NOTICES + TITLES) else F.when(~whole & (F.lit(True) if k < len(NOTICES) else F.col("_by_name")), one))
         return F.array_min(F.array(*out))
 
     return F.array_min(F.transform(windows, scored))
@@ -201,25 +241,26 @@ def best_window(weight: dict[str, float], idf_of: Column) -> Column:
 def scan_windows(files: DataFrame, keep: list[str]) -> DataFrame:
     """As `scan`, but a notice is the best window of consecutive lines round a cue, in licence files by name too.
 
-    Every term of a notice has its idf over all ``files``. Each text is scored once; its copies spread over salts when the result is joined back.
+    Every term of a notice has its idf over all ``files``. Each text is scored once; its copies spread over tasks when the result is joined back.
     """
     text, by_name = F.coalesce(F.col("text"), F.lit("")), file_by_name()
     speaks = by_name | lowered(text).rlike(CUE.replace(" ", "[^a-z0-9]+"))
     rows = materialize(files.select(*keep, "path", by_name.alias("_by_name"), F.when(speaks, text).alias("_text")), "notices")
     texts = rows.where("_text is not null").groupBy(F.sha2("_text", 256).alias("_key"), "_by_name").agg(F.first("_text").alias("_text"))
     n, df = rows.count(), materialize(frequencies(files), "frequencies")
-    vocabulary = sorted({t for c in template_terms(TEMPLATES + TITLES) for t in c})
+    vocabulary = sorted({t for c in template_terms(EVERY) for t in c})
     known = {r.term: r.df for r in df.where(F.col("term").isin(vocabulary)).collect()}
     weight = {t: math.log((n + 1) / (known.get(t, 0) + 1)) + 1 for t in vocabulary}
-    found = with_idf(surroundings(texts), df, n).withColumn("best", best_window(weight, F.col("idf"))).where(F.col("best.minus") <= -LEAST_COSINE)
+    body = terms(F.col("_text"))
+    whole = texts.where("_by_name").select("_key", "_by_name", F.size(body).alias("total"), F.lit(-1).alias("at"), F.lit(-1).alias("first"), F.array(body).alias("near"))
+    found = with_idf(surroundings(texts).unionByName(whole), df, n).withColumn("best", best_window(weight, F.col("idf"))).where(F.col("best.minus") <= -LEAST_COSINE)
     covered = F.transform(F.sequence("best.a", "best.b"), lambda k: F.struct((F.col("first") + k).alias("line"), F.size(F.get("near", k)).alias("n")))
-    found = found.groupBy("_key", "_by_name").agg(F.min(F.struct("best.minus", "best.licence")).alias("top"), F.array_distinct(F.flatten(F.collect_list(covered))).alias("lines"), F.first("total").alias("total"))
+    found = found.groupBy("_key", "_by_name").agg(F.min(F.struct((F.col("at") >= 0).alias("part"), "best.minus", "best.licence")).alias("top"), F.array_distinct(F.flatten(F.collect_list(covered))).alias("lines"), F.first("total").alias("total"))
     cover = F.aggregate("lines", F.lit(0), lambda acc, x: acc + x["n"]) / F.col("total")
-    found = found.select("_key", "_by_name", "top", (F.col("_by_name") | (cover >= LEAST_COVER)).alias("is_file"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    # files that say nothing have keys that no text has, so they spread
-    own = F.xxhash64("path", *keep)
-    rows = rows.withColumns({"_key": F.coalesce(F.sha2("_text", 256), own.cast("string")), "_salt": F.pmod(own, F.lit(SALTS)).cast("int")}).drop("_text")
-    return rows.join(found, ["_key", "_by_name", "_salt"], "left").select(
+    found = found.select(F.struct("_key", "_by_name").alias("_text_id"), "top", (F.col("_by_name") | (cover >= LEAST_COVER)).alias("is_file"))
+    # files that say nothing have no key
+    own = F.when(F.col("_text").isNotNull(), F.struct(F.sha2("_text", 256).alias("_key"), F.col("_by_name")))
+    return spread_join(rows.withColumn("_text_id", own).drop("_text"), found, "_text_id", ["path", *keep]).select(
         *keep,
         "path",
         F.regexp_replace("path", "/?[^/]*$", "").alias("dir"),
@@ -241,8 +282,8 @@ def inherited(scanned: DataFrame) -> DataFrame:
     ancestors = F.concat(F.array(F.struct(F.lit(0).alias("depth"), F.lit("").alias("up"))), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("up"))))
     dirs = scanned.where("dir is not null").select("dir").distinct().select("dir", F.inline(F.when(F.col("dir") == "", F.slice(ancestors, F.lit(1), F.lit(1))).otherwise(ancestors)))
     nearest = dirs.join(speaking, "up").groupBy("dir").agg(F.max(F.struct("depth", "up", "up_licence")).alias("near"))
-    nearest = nearest.select("dir", F.col("near.up").alias("up"), F.col("near.up_licence").alias("up_licence"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    rows = scanned.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).join(nearest, ["dir", "_salt"], "left")
+    nearest = nearest.select("dir", F.col("near.up").alias("up"), F.col("near.up_licence").alias("up_licence"))
+    rows = spread_join(scanned, nearest, "dir", ["path"])
     own = F.col("licence").isNotNull()
     return rows.select(
         *[c for c in scanned.columns if c not in ("licence", "cosine", "is_file", "dir")],
@@ -272,8 +313,10 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def oracle() -> str:
     """The same rows in DuckDB."""
-    templates = ", ".join(f"({k}, '{licence}', '{text}')" for k, (licence, text) in enumerate(TEMPLATES))
-    words = lambda x: f"regexp_extract_all(translate({x}, '{UPPER}', '{LOWER}'), '[a-z0-9]+')"
+    templates = ", ".join("(%d, '%s', '%s')" % (k, licence, text.replace("'", "''")) for k, (licence, text) in enumerate(NOTICES))
+    low = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
+    tags = lambda x: f"flatten(list_transform(regexp_extract_all({low(x)}, '{TAG}', 1), lambda g: list_transform(range({TAG_WEIGHT}), lambda i: 'spdx:' || g)))"
+    words = lambda x: f"list_concat(regexp_extract_all({low(x)}, '[a-z0-9]+'), {tags(x)})"
     cue = lambda x: f"regexp_matches(translate({x}, '{UPPER}', '{LOWER}'), '{CUE}')"
     return f"""
     with d as (select row_number() over () rid, doc_id, coalesce(text, '') t,

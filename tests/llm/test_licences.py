@@ -26,7 +26,7 @@ def brute(files):
             c = Counter(re.findall("[a-z0-9]+", line.lower()))
             norm = math.sqrt(sum((n * weight(t)) ** 2 for t, n in c.items()))
             scores = []
-            for (name, _), other in zip(licences.TEMPLATES, templates):
+            for (name, _), other in zip(licences.NOTICES, templates):
                 length = math.sqrt(sum((n * weight(t)) ** 2 for t, n in other.items()))
                 scores.append((-round(sum(c[t] * n * weight(t) ** 2 for t, n in other.items()) / length / norm, 6) if c else 0, name))
             if c and -min(scores)[0] >= licences.LEAST_COSINE:
@@ -75,9 +75,9 @@ def test_odd_documents_and_none(spark):
 
 
 def test_every_template_finds_itself(spark):
-    rows = [(f"d{k}/f.txt", f"filler words\n{text}\nmore filler words") for k, (_, text) in enumerate(licences.TEMPLATES)]
+    rows = [(f"d{k}/f.txt", f"filler words\n{text}\nmore filler words") for k, (_, text) in enumerate(licences.NOTICES)]
     got = {r.path: r.licence for r in licences.licences(spark.createDataFrame(rows, "path string, text string"), []).collect()}
-    marked = {f"d{k}/f.txt": name for k, (name, text) in enumerate(licences.TEMPLATES) if re.search(licences.CUE, text.lower())}
+    marked = {f"d{k}/f.txt": name for k, (name, text) in enumerate(licences.NOTICES) if re.search(licences.CUE, text.lower())}
     assert {p: got[p] for p in marked} == marked
 
 
@@ -131,7 +131,7 @@ def brute_windows(files):
                 if any(re.search(licences.CUE, s) for s in lines[a:b]):
                     c = Counter(re.findall("[a-z0-9]+", "\n".join(lines[a:b])))
                     norm = math.sqrt(sum((n * idf(t)) ** 2 for t, n in c.items()))
-                    for (name, _), other in zip(licences.TEMPLATES, licences.template_terms()):
+                    for (name, _), other in zip(licences.NOTICES, licences.template_terms()):
                         length = math.sqrt(sum((n * idf(t)) ** 2 for t, n in other.items()))
                         found.append((-round(sum(c[t] * n * idf(t) ** 2 for t, n in other.items()) / length / norm, 6), name))
         minus, name = min(found, default=(0, None))
@@ -149,3 +149,18 @@ def test_rare_terms_weigh_in_the_norm(spark):
     want = brute_windows(files)
     assert {p: v[0] for p, v in got.items()} == {p: v[0] for p, v in want.items()}
     assert all(abs((got[p][1] or 0) - (want[p][1] or 0)) <= 1e-6 for p in want)
+
+
+def test_whole_texts_and_identifiers(spark):
+    """Every kind of template by the kind of file it is for; an identifier that is not listed is no licence."""
+    code = "\n\ndef run(x):\n    return x\n" * 10
+    wrap = lambda text: "\n".join(text[k : k + 70] for k in range(0, len(text), 70))
+    files = [(f"w{k}/LICENSE", f"Copyright (c) 2021 Some One and others\n\n{wrap(text)}\n") for k, (_, text) in enumerate(licences.WHOLE)] + [(f"w{k}/a/b.py", "y = 1") for k in range(len(licences.WHOLE))]
+    files += [(f"s{k}/x.py", f"# SPDX-License-Identifier: {name}\n{code}") for k, (_, name) in enumerate(licences.IDENTIFIERS)] + [("t/x.py", "// SPDX-License-Identifier: EPL-2.0\n" + code), ("t/y.py", "// spdx-license-identifier:mit\n" + code)]
+    files += [(f"p/{k}.py", "plain version of this software is granted in all copies to the license" if k % 2 else code) for k in range(60)]
+    got = {r.path: (r.licence, r.origin) for r in licences.licences(spark.createDataFrame(files, "path string, text string"), [], windows=True).collect()}
+    for k, (name, _) in enumerate(licences.WHOLE):
+        assert got[f"w{k}/LICENSE"] == (name, "own") and got[f"w{k}/a/b.py"] == (name, "inherited")
+    for k, (name, _) in enumerate(licences.IDENTIFIERS):
+        assert got[f"s{k}/x.py"] == (name, "own")
+    assert got["t/x.py"] == (None, "none") and got["t/y.py"] == ("MIT", "own")
