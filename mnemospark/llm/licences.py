@@ -9,6 +9,7 @@ licence file: directories are joined with their ancestors' licences first, files
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -66,6 +67,8 @@ WHOLE = (
 )
 #: A line with one of these is a notice; so is the whole of a licence file.
 CUE = "licen[cs]|copyright|spdx|redistribut|permission is hereby|permission to use|free software|unencumbered software|provided .as-is"
+#: A text without any of these holds no cue; they are far cheaper to look for.
+HINTS = ("licen", "copyright", "spdx", "redistribut", "permission", "software", "provided")
 LICENCE_FILE = r"(^|/)(licen[cs]e|copying|unlicense)[^/]*$"
 #: Titles that the full texts of licences begin with; only licence files by name are compared with them.
 TITLES = (
@@ -81,11 +84,10 @@ EVERY = NOTICES + TITLES + WHOLE
 LEAST_COSINE, LEAST_COVER = 0.7, 0.5
 #: Lines of a window round a cue; the longest template, wrapped to four words a line, has seven.
 MOST_LINES = 8
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def lowered(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
+    return F.lower(text)
 
 
 def terms(text: Column) -> Column:
@@ -199,43 +201,64 @@ def rarity(df: Column, n: int) -> Column:
     return F.log(F.lit(float(n + 1)) / (df + 1)) + 1
 
 
-def with_idf(near: DataFrame, df: DataFrame, n: int) -> DataFrame:
-    """``near`` with ``idf``: a map of the idf of each of a row's terms."""
+def template_weights(weight: dict[str, float]) -> dict[str, list[float]]:
+    """What one occurrence of a term adds to the product with each template of length 1."""
+    table: dict[str, list[float]] = {}
+    for k, counts in enumerate(template_terms(EVERY)):
+        length = math.sqrt(sum((n * weight[t]) ** 2 for t, n in counts.items()))
+        for t, n in counts.items():
+            table.setdefault(t, [0.0] * len(EVERY))[k] = n * weight[t] ** 2 / length
+    return table
+
+
+def line_products(near: DataFrame, df: DataFrame, n: int, weight: dict[str, float]) -> DataFrame:
+    """``near`` with its terms as numbers, their idf, and each line's products with all templates, written once.
+
+    A term meets its document frequency and its template weights once a row; products of windows are sums of those of their lines.
+    """
     row = ["_key", "_by_name", "at"]
-    each = near.select(*row, F.explode(F.array_distinct(F.flatten("near"))).alias("term")).join(df, "term")
-    maps = each.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("term", rarity(F.col("df"), n)))).alias("idf"))
-    return near.join(maps, row)
+    table = near.sparkSession.createDataFrame(list(template_weights(weight).items()), "term string, w array<double>")
+    each = near.select(*row, F.explode(F.array_distinct(F.flatten("near"))).alias("term")).join(df, "term").join(F.broadcast(table), "term", "left")
+    lists = each.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("term", rarity(F.col("df"), n).alias("idf"), "w"))).alias("terms"))
+    rows = near.join(lists, row).withColumn("codes", F.transform("near", lambda line: F.transform(line, lambda t: (F.array_position(F.col("terms.term"), t) - 1).cast("int"))))
+    zero = F.array_repeat(F.lit(0.0), len(EVERY))
+
+    def add(acc: Column, c: Column) -> Column:
+        w = F.get(F.col("terms.w"), c)
+        return F.when(w.isNull(), acc).otherwise(F.zip_with(acc, w, lambda a, b: a + b))
 
+    products = F.transform("codes", lambda line: F.aggregate(line, zero, add))
+    return materialize(rows.select(*row, "first", "total", "codes", F.col("terms.idf").alias("idf"), products.alias("products")), "lines")
 
-def best_window(weight: dict[str, float], idf_of: Column) -> Column:
-    """(minus the cosine, lines, a, b, licence) of the best window of ``near`` lines a to b that holds the cue; the shortest of equals."""
-    value = lambda t: F.element_at(idf_of, t)
+
+def best_window() -> Column:
+    """(minus the cosine, lines, a, b, licence) of the best window of lines a to b that holds the cue; the shortest of equals."""
     here = F.col("at") - F.col("first")
-    zero = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("sum"))
 
-    def step(acc: Column, t: Column) -> Column:
-        run = F.when(acc["last"] == t, acc["run"] + 1).otherwise(F.lit(1))
-        return F.struct(t.alias("last"), run.alias("run"), (acc["sum"] + (2 * run - 1) * value(t) * value(t)).alias("sum"))
+    def step(acc: Column, c: Column) -> Column:
+        # equal terms stand together, and the k-th of a run adds (k^2 - (k - 1)^2) idf^2
+        run = F.when(acc["last"] == c, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(c.alias("last"), run.alias("run"), (acc["sum"] + (2 * run - 1) * F.pow(F.get("idf", c), F.lit(2))).alias("sum"))
 
     def window(a: Column, b: Column) -> Column:
-        words = F.flatten(F.slice("near", a + 1, b - a + 1))
-        return F.struct(a.alias("a"), b.alias("b"), words.alias("words"), F.sqrt(F.aggregate(F.array_sort(words), zero, step, lambda acc: acc["sum"])).alias("norm"))
+        words = F.flatten(F.slice("codes", a + 1, b - a + 1))
+        rest = F.slice("products", a + 2, b - a)
+        dots = F.aggregate(rest, F.get("products", a), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q))
+        return F.struct(a.alias("a"), b.alias("b"), F.size(words).alias("n"), F.sqrt(F.aggregate(F.array_sort(words), zero, step, lambda acc: acc["sum"])).alias("norm"), dots.alias("dots"))
 
-    ends = F.sequence(here, F.size("near") - 1)
+    ends = F.sequence(here, F.size("codes") - 1)
     windows = F.flatten(F.transform(F.sequence(F.lit(0), here), lambda a: F.transform(F.filter(ends, lambda b: b - a < MOST_LINES), lambda b: window(a, b))))
-    windows = F.filter(windows, lambda w: F.size(w["words"]) > 0)
+    names = F.array(*[F.lit(licence) for licence, _ in EVERY])
+    # notices for every window, titles for those of licence files, whole texts for whole files
+    low = F.when(F.col("at") < 0, len(NOTICES + TITLES)).otherwise(0)
+    high = F.when(F.col("at") < 0, len(EVERY)).when(F.col("_by_name"), len(NOTICES + TITLES)).otherwise(len(NOTICES))
 
     def scored(w: Column) -> Column:
-        out = []
-        for k, ((licence, _), counts) in enumerate(zip(EVERY, template_terms(EVERY))):
-            length = math.sqrt(sum((n * weight[t]) ** 2 for t, n in counts.items()))
-            dot = F.aggregate(w["words"], F.lit(0.0), adding(weights({t: n * weight[t] ** 2 / length for t, n in counts.items()})))
-            one = F.struct((-F.round(dot / w["norm"], 6)).alias("minus"), (w["b"] - w["a"]).alias("lines"), w["a"].alias("a"), w["b"].alias("b"), F.lit(licence).alias("licence"))
-            whole = F.col("at") < 0
-            out.append(F.when(whole, one) if k >= len(NOTICES + TITLES) else F.when(~whole & (F.lit(True) if k < len(NOTICES) else F.col("_by_name")), one))
-        return F.array_min(F.array(*out))
+        one = lambda d, k: F.when((k >= low) & (k < high), F.struct((-F.round(d / w["norm"], 6)).alias("minus"), (w["b"] - w["a"]).alias("lines"), w["a"].alias("a"), w["b"].alias("b"), F.get(names, k).alias("licence")))
+        return F.array_min(F.transform(w["dots"], one))
 
-    return F.array_min(F.transform(windows, scored))
+    return F.array_min(F.transform(F.filter(windows, lambda w: w["n"] > 0), scored))
 
 
 def scan_windows(files: DataFrame, keep: list[str]) -> DataFrame:
@@ -244,7 +267,9 @@ def scan_windows(files: DataFrame, keep: list[str]) -> DataFrame:
     Every term of a notice has its idf over all ``files``. Each text is scored once; its copies spread over tasks when the result is joined back.
     """
     text, by_name = F.coalesce(F.col("text"), F.lit("")), file_by_name()
-    speaks = by_name | lowered(text).rlike(CUE.replace(" ", "[^a-z0-9]+"))
+    low = lowered(text)
+    hinted = functools.reduce(Column.__or__, [F.contains(low, F.lit(h)) for h in HINTS])
+    speaks = by_name | (hinted & low.rlike(CUE.replace(" ", "[^a-z0-9]+")))
     rows = materialize(files.select(*keep, "path", by_name.alias("_by_name"), F.when(speaks, text).alias("_text")), "notices")
     texts = rows.where("_text is not null").groupBy(F.sha2("_text", 256).alias("_key"), "_by_name").agg(F.first("_text").alias("_text"))
     n, df = rows.count(), materialize(frequencies(files), "frequencies")
@@ -253,8 +278,9 @@ def scan_windows(files: DataFrame, keep: list[str]) -> DataFrame:
     weight = {t: math.log((n + 1) / (known.get(t, 0) + 1)) + 1 for t in vocabulary}
     body = terms(F.col("_text"))
     whole = texts.where("_by_name").select("_key", "_by_name", F.size(body).alias("total"), F.lit(-1).alias("at"), F.lit(-1).alias("first"), F.array(body).alias("near"))
-    found = with_idf(surroundings(texts).unionByName(whole), df, n).withColumn("best", best_window(weight, F.col("idf"))).where(F.col("best.minus") <= -LEAST_COSINE)
-    covered = F.transform(F.sequence("best.a", "best.b"), lambda k: F.struct((F.col("first") + k).alias("line"), F.size(F.get("near", k)).alias("n")))
+    lines = line_products(surroundings(texts).unionByName(whole), df, n, weight)
+    found = lines.withColumn("best", best_window()).where(F.col("best.minus") <= -LEAST_COSINE)
+    covered = F.transform(F.sequence("best.a", "best.b"), lambda k: F.struct((F.col("first") + k).alias("line"), F.size(F.get("codes", k)).alias("n")))
     found = found.groupBy("_key", "_by_name").agg(F.min(F.struct((F.col("at") >= 0).alias("part"), "best.minus", "best.licence")).alias("top"), F.array_distinct(F.flatten(F.collect_list(covered))).alias("lines"), F.first("total").alias("total"))
     cover = F.aggregate("lines", F.lit(0), lambda acc, x: acc + x["n"]) / F.col("total")
     found = found.select(F.struct("_key", "_by_name").alias("_text_id"), "top", (F.col("_by_name") | (cover >= LEAST_COVER)).alias("is_file"))
@@ -314,10 +340,10 @@ def document_files(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same rows in DuckDB."""
     templates = ", ".join("(%d, '%s', '%s')" % (k, licence, text.replace("'", "''")) for k, (licence, text) in enumerate(NOTICES))
-    low = lambda x: f"translate({x}, '{UPPER}', '{LOWER}')"
+    low = lambda x: f"lower({x})"
     tags = lambda x: f"flatten(list_transform(regexp_extract_all({low(x)}, '{TAG}', 1), lambda g: list_transform(range({TAG_WEIGHT}), lambda i: 'spdx:' || g)))"
     words = lambda x: f"list_concat(regexp_extract_all({low(x)}, '[a-z0-9]+'), {tags(x)})"
-    cue = lambda x: f"regexp_matches(translate({x}, '{UPPER}', '{LOWER}'), '{CUE}')"
+    cue = lambda x: f"regexp_matches(lower({x}), '{CUE}')"
     return f"""
     with d as (select row_number() over () rid, doc_id, coalesce(text, '') t,
         coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(cast(cast(floor(doc_id / 100) as bigint) as varchar), '_') dir from documents),
