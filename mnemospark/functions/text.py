@@ -50,17 +50,22 @@ def memory_key(text: Column) -> Column:
     return F.substring(F.regexp_replace(dashed, r"^-+|-+$", ""), 1, 160)
 
 
+#: Claims whose subject is a key.
+SUBJECTS = (r"(?i)^(.{2,160}?) defaults? to .+$", r"(?i)^(.{2,160}?) (?:is|are|must be|should be) .+$", r"^(.{2,160}?) ?[:=] ?.+$")
+
+
 def derived_key(claim: Column) -> Column:
     """The slug of what a claim is about, for claims of the form X defaults to, X is, or X: ...; else null."""
     plain = collapsed(claim)
-    found = [
-        memory_key(F.nullif(F.regexp_extract(plain, pattern, 1), F.lit("")))
-        for pattern in (r"(?i)^(.{2,160}?) defaults? to .+$", r"(?i)^(.{2,160}?) (?:is|are|must be|should be) .+$", r"^(.{2,160}?) ?[:=] ?.+$")
-    ]
+    found = [memory_key(F.nullif(F.regexp_extract(plain, pattern, 1), F.lit(""))) for pattern in SUBJECTS]
     return F.coalesce(*[F.when(F.length(k) >= 2, k) for k in found])
 
 
-NEGATIVE, POSITIVE = "not|never|no|false|disabled|disable|off|forbidden", "true|enabled|enable|on|required|must"
+#: Words that deny or assert.
+NEGATIVE = "not|never|no|false|disabled|disable|off|forbidden"
+POSITIVE = "true|enabled|enable|on|required|must"
+#: Words that opposite claims do not share.
+POLAR_WORDS = ("not", "never", "no", "true", "false", "enabled", "enable", "disabled", "disable", "on", "off", "required", "forbidden")
 
 
 def has_word(text: Column, words: str) -> Column:
@@ -73,7 +78,7 @@ def polarity(claim: Column) -> Column:
 
 def contradiction_base(claim: Column) -> Column:
     """A claim without its words of polarity: what two opposite claims share."""
-    words = F.filter(F.split(F.translate(claim, UPPER, LOWER), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin("not|never|no|true|false|enabled|enable|disabled|disable|on|off|required|forbidden".split("|")))
+    words = F.filter(F.split(F.translate(claim, UPPER, LOWER), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(*POLAR_WORDS))
     return F.array_join(words, " ")
 
 
@@ -114,18 +119,32 @@ FILE_ASSIGNMENT = r"""(?i)\b(?:api[_-]?key|authorization|client[_-]?secret|passw
 EXAMPLE_VALUE = r"(?i)(?:example|placeholder|redacted|dummy|changeme|your[_-]|process\.env|\$\{|<[^>]+>)"
 
 
+#: A text without any of these words (lower case) holds no match of the pattern at the same place; they are far cheaper to look for.
+PROVIDER_HINTS = (("-----begin",), ("sk-", "gh", "akia"), ("bearer",), ("key", "token", "secret", "password"))
+ARTIFACT_HINTS = (("-----begin",), ("-----begin",), ("akia", "asia"), ("ghp_", "github_pat_", "glpat-", "xox"), ("key", "authorization", "secret", "password", "token"))
+
+
+def hinted(low: Column, hints: tuple[str, ...]) -> Column:
+    found = F.contains(low, F.lit(hints[0]))
+    for h in hints[1:]:
+        found = found | F.contains(low, F.lit(h))
+    return found
+
+
 def redact_for_provider(text: Column) -> tuple[Column, Column]:
     """The text without credentials, and how many there were; each pattern sees what the ones before left."""
-    count = F.lit(0)
-    for pattern, by in PROVIDER_PATTERNS:
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, by)
+    count, low = F.lit(0), F.lower(text)
+    for (pattern, by), hints in zip(PROVIDER_PATTERNS, PROVIDER_HINTS):
+        may = hinted(low, hints)
+        count = count + F.when(may, F.regexp_count(text, F.lit(pattern))).otherwise(0)
+        text = F.when(may, F.regexp_replace(text, pattern, by)).otherwise(text)
     return text, count
 
 
 def redact_artifact(text: Column) -> Column:
-    for pattern, by in ARTIFACT_PATTERNS:
-        text = F.regexp_replace(text, pattern, by)
+    low = F.lower(text)
+    for (pattern, by), hints in zip(ARTIFACT_PATTERNS, ARTIFACT_HINTS):
+        text = F.when(hinted(low, hints), F.regexp_replace(text, pattern, by)).otherwise(text)
     return text
 
 

@@ -2,26 +2,97 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from mnemospark.functions import text as T
 
 #: Languages by file extension.
 LANGUAGES = {
-    "c": "c", "cc": "cpp", "cpp": "cpp", "cs": "csharp", "css": "css", "go": "go", "h": "c", "hpp": "cpp", "html": "html", "java": "java", "js": "javascript", "json": "json", "jsx": "javascript", "kt": "kotlin",
-    "md": "markdown", "mjs": "javascript", "php": "php", "py": "python", "rb": "ruby", "rs": "rust", "sh": "shell", "sql": "sql", "swift": "swift", "toml": "toml", "ts": "typescript", "tsx": "typescript", "yaml": "yaml", "yml": "yaml",
+    ".c": "c", ".cc": "cpp", ".cpp": "cpp", ".cs": "csharp", ".css": "css",
+    ".go": "go", ".h": "c", ".hpp": "cpp", ".html": "html", ".java": "java",
+    ".js": "javascript", ".json": "json", ".jsx": "javascript", ".kt": "kotlin",
+    ".md": "markdown", ".php": "php", ".proto": "protobuf", ".py": "python",
+    ".rb": "ruby", ".rs": "rust", ".sh": "shell", ".sql": "sql", ".swift": "swift",
+    ".toml": "toml", ".ts": "typescript", ".tsx": "typescript", ".xml": "xml",
+    ".yaml": "yaml", ".yml": "yaml", ".vue": "vue", ".svelte": "svelte",
 }
 #: Words that count as one concept in embeddings.
 CONCEPTS = {
-    "auth": "auth", "authentication": "auth", "authorize": "auth", "authorization": "auth", "credential": "auth", "setting": "configuration", "settings": "configuration", "index": "index", "indexing": "index",
-    "search": "retrieval", "retrieve": "retrieval", "retrieval": "retrieval", "lookup": "retrieval",
-}
+    "auth": "auth",
+    "authentication": "auth",
+    "authorize": "auth",
+    "authorization": "auth",
+    "credential": "credential",
+    "credentials": "credential",
+    "password": "credential",
+    "secret": "credential",
+    "token": "credential",
+    "cache": "cache",
+    "cached": "cache",
+    "caching": "cache",
+    "reuse": "cache",
+    "memoize": "cache",
+    "database": "database",
+    "datastore": "database",
+    "persistence": "database",
+    "sqlite": "database",
+    "storage": "database",
+    "crash": "failure",
+    "error": "failure",
+    "errors": "failure",
+    "fail": "failure",
+    "failed": "failure",
+    "failure": "failure",
+    "exception": "failure",
+    "delete": "remove",
+    "deleted": "remove",
+    "deletion": "remove",
+    "purge": "remove",
+    "remove": "remove",
+    "refresh": "renew",
+    "renew": "renew",
+    "renewal": "renew",
+    "rotate": "renew",
+    "expiry": "expire",
+    "expired": "expire",
+    "expiration": "expire",
+    "timeout": "timeout",
+    "timedout": "timeout",
+    "latency": "performance",
+    "performance": "performance",
+    "slow": "performance",
+    "optimize": "performance",
+    "optimization": "performance",
+    "validate": "validate",
+    "validation": "validate",
+    "verify": "validate",
+    "verification": "validate",
+    "check": "validate",
+    "config": "configuration",
+    "configuration": "configuration",
+    "setting": "configuration",
+    "settings": "configuration",
+    "index": "index",
+    "indexing": "index",
+    "search": "retrieval",
+    "retrieve": "retrieval",
+    "retrieval": "retrieval",
+    "lookup": "retrieval",
+}
 
 
 def language(path: Column) -> Column:
+    """The language that a path's extension tells; null for others and for names that are an extension only."""
     table = F.create_map(*[F.lit(x) for item in LANGUAGES.items() for x in item])
-    return F.element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
+    return F.element_at(table, F.lower(F.regexp_extract(path, r"[^/.](\.[^./]+)$", 1)))
 
 
 def objects(contents: DataFrame) -> DataFrame:
@@ -91,41 +162,77 @@ def feature_tokens(text: Column, most: int = 20_000) -> Column:
 def hashed_features(docs: DataFrame, key: str, dimensions: int = 256) -> DataFrame:
     """(key, bucket, value): a sparse L2-normalised embedding by feature hashing.
 
-    A word counts 1 + ln(tf), each pair of neighbours 0.35; the first 32 bits of the feature's SHA-256 choose the bucket,
-    the parity of the next 8 bits its sign. A text without words has the one feature 'empty'.
+    A word counts 1 + ln(tf), each pair of neighbours 0.35; the first 32 bits of the feature's SHA-256 choose the bucket, the parity of
+    the next 8 bits its sign. A text without words has the one feature 'empty'; a null text is an empty one. A text's features are added up
+    where the text is, so nothing is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                yield embedded(batch.slice(first, 2000))
+
+    def embedded(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column(1)
+        coded, ends = pc.dictionary_encode(lists.values), lists.offsets.to_numpy().astype(np.int64)
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[ends[0] : ends[-1]]
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+        n = max(1, len(names))
+        singles, times = np.unique(doc * n + at, return_counts=True)
+        beside = doc[1:] == doc[:-1]
+        pairs, which = np.unique(at[:-1][beside] * n + at[1:][beside], return_inverse=True)
+        places, signs = places_of([f"token:{w}" for w in names] + [f"pair:{names[p // n]}:{names[p % n]}" for p in pairs.tolist()] + ["empty"], dimensions)
+        none = np.flatnonzero(np.diff(ends) == 0)
+        docs_of = np.concatenate([singles // n, doc[1:][beside], none])
+        feature = np.concatenate([singles % n, len(names) + which, np.full(len(none), len(names) + len(pairs))])
+        weight = np.concatenate([1 + np.log(times), np.full(len(which), 0.35), np.ones(len(none))])
+        cell, back = np.unique(docs_of * dimensions + places[feature], return_inverse=True)
+        sums = np.bincount(back, weight * signs[feature], len(cell))
+        owner = cell // dimensions
+        norm = np.sqrt(np.bincount(owner, sums * sums, batch.num_rows))[owner]
+        value = np.divide(sums, norm, out=np.zeros(len(sums)), where=norm > 0)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(cell % dimensions), pa.array(value)], [key, "bucket", "value"])
+
+    words = docs.select(key, feature_tokens(F.coalesce("text", F.lit(""))).alias("words"))
+    return words.mapInArrow(run, StructType([docs.schema[key], StructField("bucket", LongType()), StructField("value", DoubleType())]))
+
+
+def places_of(features: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and sign of each feature."""
+    heads = np.frombuffer(b"".join(hashlib.sha256(f.encode()).digest()[:5] for f in features), np.uint8).reshape(-1, 5).astype(np.int64)
+    return (heads[:, :4] @ np.array([1 << 24, 1 << 16, 1 << 8, 1])) % dimensions, 1.0 - 2.0 * (heads[:, 4] % 2)
+
+
+def strips(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` (first, last) once for each strip of ``width`` lines that they touch."""
+    strip = lambda c: F.floor(F.col(c) / width).cast("int")
+    return rows.withColumn("strip", F.explode(F.sequence(strip("first"), strip("last"))))
+
+
+def enclosing(symbols: DataFrame, width: int = 64) -> DataFrame:
+    """Each symbol (file, id, first, last) with the smallest other symbol of its file that holds it; null at the top.
+
+    A symbol meets those that touch the strip of ``width`` lines in which it begins, not all of its file.
     """
-    # one pass over the words: all of a text's features are exploded together
-    words = docs.select(key, feature_tokens(F.coalesce("text", F.lit(""))).alias("w"))
-    feature = lambda f, pair: F.struct(f.alias("f"), F.lit(pair).alias("pair"))
-    single = F.transform("w", lambda t: feature(F.concat(F.lit("token:"), t), False))
-    later = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
-    double = F.filter(F.zip_with("w", later, lambda a, b: feature(F.concat(F.lit("pair:"), a, F.lit(":"), b), True)), lambda x: x["f"].isNotNull())
-    none = F.when(F.size("w") == 0, F.array(feature(F.lit("empty"), False))).otherwise(F.array().cast("array<struct<f: string, pair: boolean>>"))
-    counted = words.select(key, F.inline(F.concat(single, double, none))).groupBy(key, "f", "pair").agg(F.count("*").alias("n"))
-    digest = F.sha2("f", 256)
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    value = F.when(F.col("pair"), 0.35 * F.col("n")).otherwise(1 + F.ln("n"))
-    cells = counted.select(key, bucket.alias("bucket"), (value * sign).alias("v")).groupBy(key, "bucket").agg(F.sum("v").alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
-    return cells.withColumn("norm", norm).select(key, "bucket", F.when(F.col("norm") > 0, F.col("v") / F.col("norm")).otherwise(0.0).alias("value"))
-
-
-def enclosing(symbols: DataFrame) -> DataFrame:
-    """Each symbol (file, id, first, last) with the smallest other symbol of its file that holds it; null at the top."""
-    outer = symbols.select("file", F.col("id").alias("parent"), F.col("first").alias("f"), F.col("last").alias("l"))
-    held = symbols.join(outer, "file").where("f <= first and last <= l and parent != id and (l - f > last - first or (l - f = last - first and parent < id))")
+    outer = strips(symbols, width).select("file", "strip", F.col("id").alias("parent"), F.col("first").alias("f"), F.col("last").alias("l"))
+    own = symbols.withColumn("strip", F.floor(F.col("first") / width).cast("int"))
+    held = own.join(outer, ["file", "strip"]).where("f <= first and first <= l and last <= l and parent != id and (l - f > last - first or (l - f = last - first and parent < id))")
     best = held.groupBy("file", "id").agg(F.min(F.struct((F.col("l") - F.col("f")).alias("size"), "parent")).alias("best"))
     return symbols.join(best.select("file", "id", F.col("best.parent").alias("parent")), ["file", "id"], "left")
 
 
-def overlapping(snippets: DataFrame) -> DataFrame:
-    """Pairs (left_id < right_id) of one file whose common lines are at least half of the shorter."""
-    a = snippets.select("file", F.col("id").alias("left_id"), F.col("first").alias("f1"), F.col("last").alias("l1"))
-    b = snippets.select("file", F.col("id").alias("right_id"), F.col("first").alias("f2"), F.col("last").alias("l2"))
-    common = F.least("l1", "l2") - F.greatest("f1", "f2") + 1
-    shorter = F.least(F.col("l1") - F.col("f1"), F.col("l2") - F.col("f2")) + 1
-    return a.join(b, "file").where("left_id < right_id").withColumn("common", common).where(F.col("common") * 2 >= shorter).select("file", "left_id", "right_id", "common")
+def overlapping(snippets: DataFrame, width: int = 64) -> DataFrame:
+    """Pairs (left_id < right_id) of one file whose common lines are at least half of the shorter.
+
+    Pairs meet in the strip of ``width`` lines in which their common lines begin, so each is made once and those apart never.
+    """
+    near = strips(snippets, width)
+    a = near.select("file", "strip", F.col("id").alias("left_id"), F.col("first").alias("f1"), F.col("last").alias("l1"))
+    b = near.select("file", "strip", F.col("id").alias("right_id"), F.col("first").alias("f2"), F.col("last").alias("l2"))
+    begin = F.greatest("f1", "f2")
+    common, shorter = F.least("l1", "l2") - begin + 1, F.least(F.col("l1") - F.col("f1"), F.col("l2") - F.col("f2")) + 1
+    pairs = a.join(b, ["file", "strip"]).where((F.col("left_id") < F.col("right_id")) & (F.floor(begin / width) == F.col("strip")))
+    return pairs.withColumn("common", common).where(F.col("common") * 2 >= shorter).select("file", "left_id", "right_id", "common")
 
 
 #: What declares a symbol, for languages without a parser.

@@ -6,12 +6,18 @@ equi-join on the session, so work spreads over sessions and no pair of foreign o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from mnemospark.functions import text as T
+from mnemospark.storage import materialize
 
 
 def entries(conversations: DataFrame) -> DataFrame:
@@ -75,29 +81,87 @@ def requests(found: DataFrame) -> DataFrame:
     return users.select("session_id", F.col("last.created_at").alias("asked_at"), F.trim(F.coalesce("last.text", F.lit(""))).alias("request"))
 
 
-def postings(found: DataFrame, scope: str, doc: str, text: str = "text") -> DataFrame:
-    """(scope, doc, term, tf, dl): the inverted index as a table, combined within documents before any shuffle."""
-    # the length is a column of its own below the explode; beside it, it would be counted again for each word
-    words = found.select(scope, doc, T.terms(F.col(text)).alias("words")).withColumn("dl", F.size("words"))
-    rows = words.select(scope, doc, "dl", F.explode("words").alias("term"))
-    return rows.groupBy(scope, doc, "dl", "term").agg(F.count("*").alias("tf"))
+def postings(rows: DataFrame, keys: list[str], fields: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(keys, dl, term, tf): the inverted index of ``fields`` (text, weight) as a table; dl is a row's weighted length.
+
+    A row's terms are counted where the row is, so nothing is shuffled.
+    """
+    names, weights = list(fields), [w for _, w in fields.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 2000):
+                yield counted(batch.slice(first, 2000))
+
+    def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [batch.column(len(keys) + k) for k in range(len(names))]
+        ends = [c.offsets.to_numpy().astype(np.int64) for c in lists]
+        coded = pc.dictionary_encode(pa.concat_arrays([c.values.slice(e[0], e[-1] - e[0]) for c, e in zip(lists, ends)]))
+        at, n = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+        doc = np.concatenate([np.repeat(np.arange(batch.num_rows), np.diff(e)) for e in ends])
+        weight = np.concatenate([np.full(e[-1] - e[0], w) for e, w in zip(ends, weights)])
+        cell, back = np.unique(doc * n + at, return_inverse=True)
+        length = np.bincount(doc, weight, batch.num_rows)
+        own = pa.array(cell // n)
+        columns = [batch.column(k).take(own) for k in range(len(keys))]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(length[cell // n]), coded.dictionary.take(pa.array(cell % n)), pa.array(np.bincount(back, weight, len(cell)))], [*keys, "dl", "term", "tf"])
+
+    words = rows.select(*keys, *[T.terms(text).alias(f"field{k}") for k, (text, _) in enumerate(fields.values())])
+    schema = StructType([*[rows.schema[k] for k in keys], StructField("dl", DoubleType()), StructField("term", StringType()), StructField("tf", DoubleType())])
+    return words.mapInArrow(run, schema)
+
+
+def part(tf: Column, dl: Column, df: Column, n: Column, avg_dl: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """What a term adds to a document's BM25. idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    return F.ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avg_dl))
 
 
-def bm25(index: DataFrame, sizes: DataFrame, wanted: DataFrame, scope: str, doc: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(index: DataFrame, sizes: DataFrame, wanted: DataFrame, scope: str, doc: str) -> DataFrame:
     """(scope, doc, bm25) of documents with a wanted term; higher is better.
 
-    ``sizes`` has (scope, n_docs, avg_dl), ``wanted`` (scope, term). idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
+    ``sizes`` has (scope, n_docs, avg_dl), ``wanted`` (scope, term). Of the index only wanted terms are kept, once.
     """
-    matched = index.join(wanted.select(scope, "term").distinct(), [scope, "term"])
+    matched = materialize(index.join(wanted.select(scope, "term").distinct(), [scope, "term"]), "matched")
     df = matched.groupBy(scope, "term").agg(F.count("*").alias("df"))
     scored = matched.join(df, [scope, "term"]).join(sizes, scope)
-    idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return scored.groupBy(scope, doc).agg(F.sum(part).alias("bm25"))
+    return scored.groupBy(scope, doc).agg(F.sum(part(*map(F.col, ("tf", "dl", "df", "n_docs", "avg_dl")))).alias("bm25"))
 
 
 def sizes(found: DataFrame, scope: str) -> DataFrame:
-    return found.groupBy(scope).agg(F.count("*").alias("n_docs"), F.avg(F.size(T.terms(F.col("text")))).alias("avg_dl"))
+    words = F.regexp_count(T.lexical(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"))
+    return found.groupBy(scope).agg(F.count("*").alias("n_docs"), F.avg(words).alias("avg_dl"))
+
+
+#: Documents of a request's rarest terms that are scored first, about, to learn what a result has to score.
+SEED_ROWS = 4000
+
+
+def weighted_search(docs: DataFrame, key: str, fields: dict[str, tuple[Column, float]], wanted: DataFrame, request: str, limit: int) -> DataFrame:
+    """The ``limit`` best documents of each request by weighted BM25: request, ``key``, score, rank. ``wanted`` has (request, term).
+
+    Not every document that shares a common word with a request is scored for it. The rarest terms alone give scores that the results have at least;
+    terms whose greatest possible parts together stay below that can't bring a document in by themselves, so only documents with another
+    term are candidates. Their scores are then summed over all terms; the result is exact.
+    """
+    matched = postings(docs, [key], fields).join(wanted.select("term").distinct(), "term")
+    length = sum((w * F.regexp_count(T.lexical(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+")) for text, w in fields.values()), F.lit(0.0))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(length).alias("a")).first()
+    matched = materialize(matched, "matched")
+    df = matched.groupBy("term").agg(F.count("*").alias("df"))
+    adds = part(F.col("tf"), F.col("dl"), F.col("df"), F.lit(stats.n), F.lit(stats.a))
+    parts = materialize(matched.join(df, "term").select(key, "term", adds.alias("part")), "parts")
+    terms = parts.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("most"))
+    asked = materialize(wanted.select(request, "term").distinct().join(terms, "term"), "asked")
+    rarest = Window.partitionBy(request).orderBy("df", "term")
+    seeds = asked.withColumn("upto", F.sum("df").over(rarest)).withColumn("nth", F.row_number().over(rarest)).where((F.col("nth") == 1) | (F.col("upto") <= SEED_ROWS))
+    seen = seeds.select(request, "term").join(parts, "term").groupBy(request, key).agg(F.sum("part").alias("score"))
+    least = top(seen, [request], [F.desc("score"), F.asc(key)], limit).groupBy(request).agg(F.count("*").alias("n"), F.min("score").alias("least"))
+    weakest = Window.partitionBy(request).orderBy("most", "term")
+    needed = asked.withColumn("together", F.sum("most").over(weakest)).join(least, request, "left")
+    needed = needed.where(F.coalesce(F.col("n") < limit, F.lit(True)) | (F.col("together") >= F.col("least") - 1e-5))
+    chosen = needed.select(request, "term").join(parts, "term").select(request, key).distinct()
+    scored = chosen.join(asked.select(request, "term"), request).join(parts, [key, "term"]).groupBy(request, key).agg(F.round(F.sum("part"), 6).alias("score"))
+    return top(scored, [request], [F.desc("score"), F.asc(key)], limit)
 
 
 @dataclass(frozen=True)
@@ -128,7 +192,7 @@ def hybrid(found: DataFrame, how: Retrieval = Retrieval()) -> DataFrame:
     has_phrase = (F.size("exact_terms") > 1) & F.contains(F.col("plain"), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     marked = marked.withColumn("n_exact", n_exact).withColumn("has_phrase", has_phrase).drop("plain")
     wanted = asked.select("session_id", F.explode(F.array_distinct(T.terms(F.col("request")))).alias("term"))
-    scored = bm25(postings(earlier, "session_id", "entry_id"), sizes(earlier, "session_id"), wanted, "session_id", "entry_id")
+    scored = bm25(postings(earlier, ["session_id", "entry_id"], {"text": (F.col("text"), 1.0)}), sizes(earlier, "session_id"), wanted, "session_id", "entry_id")
     fts = top(scored.withColumn("bm25", F.round("bm25", 6)), ["session_id"], [F.desc("bm25"), F.asc("entry_id")], how.channel_limit, "fts_order").drop("bm25")
     candidates = marked.join(fts, ["session_id", "entry_id"], "left").where("n_exact > 0 or has_phrase or fts_order is not null")
     every = Window.partitionBy("session_id")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
+from mnemospark.storage import drop_path, written
 
 #: The order in which a lifecycle can only move on.
 STATES = ("prepared", "failed", "committed")
@@ -45,28 +46,51 @@ def contradictions(claims: DataFrame) -> DataFrame:
     return by_key.select(*columns, F.lit(1).alias("same_key"), F.lit(0).alias("opposite")).union(opposite.select(*columns, F.lit(0), F.lit(1))).groupBy(*columns).agg(F.max("same_key").alias("same_key"), F.max("opposite").alias("opposite"))
 
 
-def reachable(edges: DataFrame, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame) -> DataFrame:
     """(ancestor, node, depth) for every pair that edges (parent, child) join, by doubling: rounds are the logarithm of the depth.
 
-    A cycle ends the doubling like any other repeat, and shows as a node that reaches itself.
+    The depth is the least. A cycle ends the doubling like any other repeat, and shows as a node that reaches itself. The result has as
+    many rows as there are pairs; where only some nodes are asked for, `upwards` makes none for the others.
     """
-    known = edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("depth")).distinct()
-    reach, span = known, 1
-    while span < most:
+    spark = edges.sparkSession
+    reach, path = written(edges.select(F.col("parent").alias("ancestor"), F.col("child").alias("node"), F.lit(1).alias("depth")).distinct(), "reach")
+    n = reach.count()
+    while True:
         further = reach.alias("a").join(reach.alias("b"), F.col("a.node") == F.col("b.ancestor"))
         further = further.select(F.col("a.ancestor"), F.col("b.node"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        grown = reach.union(further).groupBy("ancestor", "node").agg(F.min("depth").alias("depth"))
-        grown = grown.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else grown.persist()
-        if grown.count() == reach.count():
-            return grown
-        reach, span = grown, span * 2
-    return reach
+        grown, new = written(reach.union(further).groupBy("ancestor", "node").agg(F.min("depth").alias("depth")), "reach")
+        drop_path(spark, path)
+        reach, path, before, n = grown, new, n, grown.count()
+        if n == before:
+            return reach
+
+
+def upwards(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(node): the nodes of ``start`` and all their ancestors over edges (parent, child).
+
+    After round k the result holds all within 2**k steps: those found so far, and what jumps of 2**k steps reach from them. Jumps are then
+    put together to twice their length. A chain needs rounds as the logarithm of its length, with a jump a node; cycles end when nothing is new.
+    """
+    spark = edges.sparkSession
+    found, path = written(start.select("node").distinct(), "found")
+    jumps, old = written(edges.select(F.col("child").alias("node"), F.col("parent").alias("up")).where("up is not null").distinct(), "jumps")
+    n = found.count()
+    while True:
+        grown, new = written(found.union(jumps.join(found, "node", "left_semi").select("up")).distinct(), "found")
+        drop_path(spark, path)
+        found, path, before, n = grown, new, n, grown.count()
+        if n == before:
+            drop_path(spark, old)
+            return found
+        second = jumps.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumps, newer = written(jumps.join(second, "up").select("node", F.col("top").alias("up")).distinct(), "jumps")
+        drop_path(spark, old)
+        old = newer
 
 
 def invalidated(edges: DataFrame, missing: DataFrame) -> DataFrame:
     """(node): all that is missing and every ancestor of it."""
-    up = reachable(edges).join(missing.select("node"), "node", "left_semi").select(F.col("ancestor").alias("node"))
-    return up.union(missing.select("node")).distinct()
+    return upwards(edges, missing)
 
 
 def lifecycle(events: DataFrame) -> DataFrame:
@@ -82,21 +106,34 @@ def append_decision(stored: DataFrame, incoming: DataFrame, keys: list[str]) ->
     return incoming.join(old, keys, "left").withColumn("action", action).drop("old_hash")
 
 
-def sync_decision(files: DataFrame, states: DataFrame) -> DataFrame:
-    """noop, append or rebuild for each file, with the reason; files (file, header, size, prefix_hash), states with old_ names.
+#: Why an index is built anew, in the order in which it is asked.
+REBUILD_REASONS = (
+    "forced", "initial", "locations-missing", "path-changed", "header-changed", "truncated", "changed-in-place", "unterminated-tail", "hash-missing", "hash-mismatch", "entry-changed",
+)
+
+
+def sync_decision(files: DataFrame, states: DataFrame, force: bool = False) -> DataFrame:
+    """noop, append or rebuild for each session's file, with the reason for a rebuild.
 
-    ``prefix_hash`` is the hash of the file up to the stored offset, null where it can't be taken.
+    ``files``: session, path, header_hash, size, mtime, and prefix_hash, the hash of the bytes from the stored hash_start to the stored
+    offset. ``states``: session and path, header_hash, size, mtime, offset (after the last whole line), hash, located (whether entries have their places),
+    each with ``old_`` before it. A file that grew after a last line without an end is read anew, as that line may have changed.
     """
-    both = files.join(states, "file", "left")
+    both = files.join(states, "session", "left")
     reason = (
-        F.when(F.col("old_size").isNull(), "initial")
-        .when(F.col("header") != F.col("old_header"), "header-changed")
+        F.when(F.lit(force), "forced")
+        .when(F.col("old_size").isNull(), "initial")
+        .when(~F.coalesce("old_located", F.lit(False)), "locations-missing")
+        .when(~F.col("path").eqNullSafe(F.col("old_path")), "path-changed")
+        .when(~F.col("header_hash").eqNullSafe(F.col("old_header_hash")), "header-changed")
         .when(F.col("size") < F.col("old_size"), "truncated")
-        .when(F.col("old_hash").isNull(), "hash-missing")
-        .when(F.coalesce(F.col("prefix_hash") != F.col("old_hash"), F.lit(True)), "hash-mismatch")
+        .when((F.col("size") == F.col("old_size")) & ~F.col("mtime").eqNullSafe(F.col("old_mtime")), "changed-in-place")
+        .when((F.col("size") > F.col("old_size")) & (F.col("old_offset") < F.col("old_size")), "unterminated-tail")
+        .when((F.col("old_offset") > 0) & F.col("old_hash").isNull(), "hash-missing")
+        .when((F.col("old_offset") > 0) & ~F.col("prefix_hash").eqNullSafe(F.col("old_hash")), "hash-mismatch")
     )
     action = F.when(reason.isNotNull(), "rebuild").when(F.col("size") == F.col("old_size"), "noop").otherwise("append")
-    return both.select("file", action.alias("action"), reason.alias("reason"))
+    return both.select("session", action.alias("action"), reason.alias("reason"))
 
 
 def orphans(objects: DataFrame, references: DataFrame, key: str) -> DataFrame:

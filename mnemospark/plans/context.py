@@ -6,38 +6,121 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import context as X
 from mnemospark.operators import history as H
+from mnemospark.operators import privacy as P
 from mnemospark.plans.history import ENTRIES, T
 from mnemospark.plans.registry import query
 
-LOW = "translate(t, '" + T.UPPER + "', '" + T.LOWER + "')"
-SAID = "b as (select item_id, coalesce(text, '') || case item_id % 4 when 0 then ' see src/a.ts and lib/B.py with --dry-run ENOENT python' when 1 then ' sqlite ERR_FOO --x SRC/A.ts src/a.ts' else '' end t from benchmark)"
-FIRST = "array_to_string(list_filter({0}, lambda v, i: list_position(list_transform({0}, lambda y: lower(y)), lower(v)) = i)[1:{1}], ',')"
+#: What requests say besides a benchmark passage, by item.
+SAYINGS = (
+    """ see `src/a.ts` and lib/B.py with --dry-run ENOENT in python, "the exact phrase" """,
+    """ sqlite ERR_FOO --x SRC/A.ts src/a.ts `run it` Foo.bar.baz std::vec snake_case camelCase""",
+    """ adesso vorrei \'una frase intera\' HTTP_500 TS2304 kebab-word $dollar XMLHttp C:\\dir\\f.txt ./rel/p.rs""",
+    "",
+    """ --Flag --flag `Same` same SAME `two words` 12345 perché più node git""",
+)
 
 
-@query(
-    f"with {SAID}, x as (select item_id, regexp_extract_all(t, '((?:[A-Za-z0-9_@+-]+/)*[A-Za-z0-9_@+-]+\\.[A-Za-z][A-Za-z0-9]{{0,11}})', 1) f, regexp_extract_all(t, '(?:^|[ \\n\\t])(--[A-Za-z0-9][A-Za-z0-9-]*)', 1) g, "
-    "regexp_extract_all(t, '((?:ERR(?:OR)?|SQLITE|HTTP|CS|TS|E)[-_][A-Z0-9_]{2,}|ENOENT|EACCES|ECONNRESET|ETIMEDOUT|SIG[A-Z]+)', 1) e, "
-    f"list_filter([{', '.join(repr(w) for w in X.TECHNOLOGIES)}], lambda k: regexp_matches({LOW}, '(^|[^a-z0-9])' || k || '([^a-z0-9]|$)')) h, "
-    f"list_filter(regexp_extract_all({LOW}, '([\\p{{L}}\\p{{N}}_-]{{4,}})', 1), lambda w: w not in ({', '.join(repr(w) for w in X.STOPWORDS)}) and not regexp_matches(w, '^\\d+$')) k from b) "
-    f"select item_id, {FIRST.format('f', 16)} files, {FIRST.format('g', 16)} flags, {FIRST.format('e', 12)} errors, array_to_string(h, ',') technologies, {FIRST.format('k', 20)} keywords from x"
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+SAID = "b as (select item_id, substr(trim(coalesce(text, '') || case item_id % 5 " + " ".join(f"when {k} then {quoted(s)}" for k, s in enumerate(SAYINGS)) + " end), 1, 20000) t from benchmark)"
+FIRST = "list_filter({0}, lambda v, i: list_position(list_transform({0}, lambda y: lower(y)), lower(v)) = i)[1:{1}]"
+EVERY = "regexp_extract_all({0}, {1}, 1)"
+STOPPED = "list_contains([" + ", ".join(map(quoted, X.STOPWORDS)) + "], strip_accents(lower(w)))"
+DESCRIBED = (
+    f"{SAID}, m0 as (select item_id, t, lower(t) low, {EVERY.format('t', quoted(X.BACKTICKED))} bk, list_concat({EVERY.format('t', quoted(X.QUOTED[0]))}, {EVERY.format('t', quoted(X.QUOTED[1]))}) qt, {EVERY.format('t', quoted(X.FILE))} fl, "
+    f"{EVERY.format('t', quoted(X.QUALIFIED))} qn, {EVERY.format('t', quoted(X.FLAG))} fg, list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_$-]+'), lambda x: regexp_matches(x, '^[\\p{{L}}_$]') and length(x) >= 3) wd from b), "
+    f"m1 as (select *, {FIRST.format('fl', 16)} files, {FIRST.format('qt', 8)} phrases, list_filter(wd, lambda w: regexp_matches(w, {quoted(X.ERROR_LIKE)})) er0, "
+    f"list_concat(list_concat(list_filter(bk, lambda v: not regexp_matches(v, '\\s')), qn), list_concat(fg, list_filter(wd, lambda w: regexp_matches(w, {quoted(X.SYMBOL_LIKE)}) and not {STOPPED}))) sy0, "
+    f"list_filter({EVERY.format('low', quoted(X.KEYWORD))}, lambda w: not {STOPPED} and not regexp_matches(w, '^\\d+$')) kw0, list_filter([{', '.join(map(quoted, X.TECHNOLOGIES))}], lambda k: regexp_matches(low, '(^|[^a-z0-9])' || k || '([^a-z0-9]|$)')) technologies from m0), "
+    f"m2 as (select *, {FIRST.format('sy0', 20)} symbols, {FIRST.format('er0', 12)} errors, {FIRST.format('kw0', 20)} keywords from m1), m3 as (select *, list_concat(list_concat(bk, files), list_concat(symbols, errors)) id0 from m2), "
+    f"m4 as (select *, {FIRST.format('id0', 24)} identifiers from m3), m5 as (select *, list_concat(identifiers, technologies) en0, list_concat(identifiers, list_concat(phrases, keywords)) te0 from m4), "
+    f"ds as (select *, {FIRST.format('en0', 24)} entities, {FIRST.format('te0', 24)} terms from m5)"
 )
+PARTS = ("files", "symbols", "errors", "technologies", "keywords", "phrases", "identifiers", "entities", "terms")
+
+
+def said(t):
+    tail = F.element_at(F.array(*map(F.lit, SAYINGS)), (F.col("item_id") % 5 + 1).cast("int"))
+    return t.benchmark.select("item_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("text"))
+
+
+@query(f"with {DESCRIBED} select item_id, {', '.join(f'array_to_string({p}, chr(10)) {p}' for p in PARTS)} from ds")
 def describe_task(t):
-    k = F.col("item_id") % 4
-    tail = F.when(k == 0, " see src/a.ts and lib/B.py with --dry-run ENOENT python").when(k == 1, " sqlite ERR_FOO --x SRC/A.ts src/a.ts").otherwise("")
-    said = t.benchmark.select("item_id", F.concat(F.coalesce("text", F.lit("")), tail).alias("t"))
-    return said.select("item_id", *[F.array_join(c, ",").alias(n) for n, c in X.describe(F.col("t")).items()])
+    return X.described(said(t)).select("item_id", *[F.array_join(p, "\n").alias(p) for p in PARTS])
+
+
+@query(f"with {DESCRIBED} select item_id, array_to_string(list_transform(terms[1:16], lambda x: '\"' || replace(x, '\"', '\"\"') || '\"'), ' OR ') fts from ds")
+def fts_query(t):
+    return X.described(said(t)).select("item_id", X.fts_query(F.col("terms")).alias("fts"))
+
+
+#: Documents with marks: a stretch, a whole text, nested and unclosed ones, one after a backslash, and a class that isn't one.
+MARKED = (
+    "[ctx:internal]{0}[/ctx:internal] open {1} [CTX:sensitive]x[/ctx:sensitive]", "  [ctx:local-only] {0}{1}", "[ctx:internal] a [ctx:sensitive] b [/ctx:sensitive] {0}", "\\[ctx:sensitive]{0}\\[/ctx:sensitive] password = hunter2xx",
+    "[ctx:odd]{0}[/ctx:odd]{1}", "{0}[/ctx:internal]{1}", "{0}", "",
+)
+CUT = ("substr(coalesce(text, ''), 1, 40)", "substr(coalesce(text, ''), 41, 200)")
+
+
+def marked_sql(k: int) -> str:
+    return quoted(MARKED[k]).replace("{0}", f"' || {CUT[0]} || '").replace("{1}", f"' || {CUT[1]} || '")
+
+
+MARKS = "d as (select doc_id, doc_id % 2 = 0 remote, case doc_id % 8 " + " ".join(f"when {k} then {marked_sql(k)}" for k in range(8)) + " end t from documents)"
+LEVELS = "['normal', 'internal', 'sensitive', 'local-only']"
+
+
+def marked_texts(t):
+    text = F.coalesce("text", F.lit(""))
+    head, tail = F.substring(text, 1, 40), F.substring(text, 41, 200)
+    forms = [F.replace(F.replace(F.lit(m), F.lit("{0}"), head), F.lit("{1}"), tail) for m in MARKED]
+    return t.documents.select("doc_id", (F.col("doc_id") % 2 == 0).alias("remote"), F.element_at(F.array(*forms), (F.col("doc_id") % 8 + 1).cast("int")).alias("t"))
 
 
 @query(
-    "with d as (select doc_id, case doc_id % 6 when 0 then '[class:internal] a [class:sensitive]' when 1 then 'b [class:normal]' when 2 then '[class:odd] [class:local-only]' when 3 then '[class:odd]' else 'c' end t, doc_id % 2 = 0 remote from documents), "
-    "m as (select *, list_max(list_filter(list_transform(regexp_extract_all(t, '\\[class:([a-z-]+)\\]', 1), lambda c: list_position(['normal', 'internal', 'sensitive', 'local-only'], c)), lambda r: r > 0)) r from d) "
-    "select doc_id, ['normal', 'internal', 'sensitive', 'local-only'][r] klass, not remote or coalesce(r, 1) <= 2 visible from m"
+    f"with {MARKS}, m as (select doc_id, remote, list_max(list_transform(regexp_extract_all(replace(t, '\\[', '('), '(?i)\\[/?ctx:(normal|internal|sensitive|local-only)\\]', 1), lambda c: list_position({LEVELS}, lower(c)))) r from d) "
+    f"select doc_id, {LEVELS}[r] klass, not remote or coalesce(r, 1) <= 2 visible from m"
 )
 def privacy_floor(t):
-    k = F.col("doc_id") % 6
-    text = F.when(k == 0, "[class:internal] a [class:sensitive]").when(k == 1, "b [class:normal]").when(k == 2, "[class:odd] [class:local-only]").when(k == 3, "[class:odd]").otherwise("c")
-    rows = t.documents.select("doc_id", X.marked_class(text).alias("klass"))
-    return rows.select("doc_id", "klass", X.may_see(F.col("klass"), F.col("doc_id") % 2 == 0).alias("visible"))
+    rows = marked_texts(t).select("doc_id", "remote", P.marked_class(F.col("t")).alias("klass"))
+    return rows.select("doc_id", "klass", X.may_see(F.col("klass"), F.col("remote")).alias("visible"))
+
+
+@query(
+    f"with recursive {MARKS}, m as (select doc_id, regexp_extract_all(replace(t, '\\[', '('), '(?i)\\[/?ctx:(?:normal|internal|sensitive|local-only)\\]') ms from d), "
+    f"x as (select doc_id, ms, 1 i, cast([] as int[]) st, 0 fl from m union all select doc_id, ms, i + 1, "
+    f"case when ms[i][2] <> '/' then list_append(st, cast(list_position({LEVELS}, lower(regexp_extract(ms[i], ':([a-zA-Z-]+)', 1))) as int)) else st[1:len(st) - 1] end, "
+    f"case when ms[i][2] <> '/' then case when len(st) = 0 then fl else greatest(fl, list_max(st), list_position({LEVELS}, lower(regexp_extract(ms[i], ':([a-zA-Z-]+)', 1)))) end "
+    f"when len(st) = 0 or st[-1] <> list_position({LEVELS}, lower(regexp_extract(ms[i], ':([a-zA-Z-]+)', 1))) then greatest(fl, coalesce(st[-1], 0), list_position({LEVELS}, lower(regexp_extract(ms[i], ':([a-zA-Z-]+)', 1)))) else fl end "
+    "from x where i <= len(ms)) "
+    f"select doc_id, {LEVELS}[nullif(greatest(fl, coalesce(list_max(st), 0)), 0)] floor from x where i = len(ms) + 1"
+)
+def privacy_structure(t):
+    """The least class that badly nested marks ask for."""
+    return marked_texts(t).select("doc_id", P.structure_floor(F.col("t")).alias("floor"))
+
+
+NOTE = "case when c <= 2 or not remote then b else '[' || " + LEVELS + "[c] || ' content excluded by privacy policy]' end"
+CLOSED = "|".join(f"\\[ctx:{c}\\][\\s\\S]*?\\[/ctx:{c}\\]" for c in P.CLASSES)
+
+
+@query(
+    f"with {MARKS}, e as (select doc_id, remote, replace(t, '\\[', chr(1)) t from d), c as (select *, regexp_extract_all(t, '(?i){CLOSED}') sp, string_split_regex(t, '(?i){CLOSED}') bt, nullif(regexp_extract(t, '(?i)^\\s*\\[ctx:(normal|internal|sensitive|local-only)\\]', 1), '') pre from e), "
+    "p as (select doc_id, remote, t, len(sp) > 0 or pre is not null marked, case when len(sp) > 0 then list_filter(flatten(list_transform(range(1, len(bt) + 1), lambda i: [struct_pack(c := 1, b := bt[i], k := bt[i] <> ''), "
+    f"struct_pack(c := coalesce(list_position({LEVELS}, lower(regexp_extract(sp[i], ':([a-zA-Z-]+)', 1))), 1), b := regexp_replace(regexp_replace(sp[i], '^\\[[^\\]]*\\]', ''), '\\[/[^\\[\\]]*\\]$', ''), k := i <= len(sp))])), lambda x: x.k) "
+    f"when pre is not null then [struct_pack(c := list_position({LEVELS}, lower(pre)), b := regexp_replace(t, '(?i)^\\s*\\[ctx:[a-z-]+\\]\\s*', ''), k := true)] else [struct_pack(c := 1, b := t, k := true)] end ps from c), "
+    "s as (select doc_id, remote, t, marked, list_max(list_transform(ps, lambda x: x.c)) cl, len(list_filter(ps, lambda x: x.c > 2 and remote)) blocked, "
+    f"array_to_string(list_transform(ps, lambda x: case when x.c <= 2 or not remote then x.b else '[' || {LEVELS}[x.c] || ' content excluded by privacy policy]' end), '') v from p), "
+    "r as (select *, case when remote then regexp_replace(v, '(?i)\\b(password)\\b(\\s*[:=]\\s*)[^\\s,\"'';}\\]]{4,}', '\\1\\2[REDACTED SECRET]', 'g') else v end w from s) "
+    f"select doc_id, case when t = '' then '' else replace(w, chr(1), '\\[') end as value, {LEVELS}[cl] classification, cast(case when t = '' then 0 else blocked end as int) blocked, t <> '' and (marked or w <> t) changed from r"
+)
+def privacy_sanitize(t):
+    """What each text becomes for a provider: local ones see all, remote ones normal and internal text, without credentials."""
+    rows = marked_texts(t)
+    remote, allowed = P.provider_policy(F.when(F.col("remote"), "Elsewhere").otherwise(" HERE "), ["here"], {"strict": ["normal"]}, ["normal", "internal"])
+    return rows.select("doc_id", P.sanitized(F.col("t"), allowed, remote).alias("s")).select("doc_id", "s.value", "s.classification", "s.blocked", "s.changed")
 
 
 @query(
@@ -65,17 +148,6 @@ def segment_pack(t):
     return X.segments(groups, "session_id", "turn", 400)
 
 
-@query(
-    "select source, count(*) documents, count(*) filter (where lang = 'en') english, cast(coalesce(sum(n_chars) filter (where lang <> 'en'), 0) as bigint) foreign_chars, count(distinct lang) languages, count(*) filter (where n_chars > 5000) large from documents group by 1"
-)
-def project_stats(t):
-    english = F.col("lang") == "en"
-    return t.documents.groupBy("source").agg(
-        F.count("*").alias("documents"), F.count_if(english).alias("english"), F.coalesce(F.sum(F.when(~english, F.col("n_chars"))), F.lit(0)).alias("foreign_chars"), F.count_distinct("lang").alias("languages"),
-        F.count_if(F.col("n_chars") > 5000).alias("large"),
-    )
-
-
 @query(
     "select s_suppkey, s_nationkey % 4 = 0 excluded, (select count(*) from lineitem where l_suppkey = s_suppkey) items, (select count(distinct l_orderkey) from lineitem where l_suppkey = s_suppkey and l_returnflag = 'R') returned from supplier"
 )

@@ -55,13 +55,6 @@ def scope_empty_set(t):
     return H.entries(t.conversations).where(H.Scope(sessions=frozenset()).condition()).select("entry_id", "created_at")
 
 
-@query(f"with {ENTRIES} select entry_id, tokens from e where (tokens, entry_id) < (100, '5:0') order by tokens desc, entry_id desc limit 26")
-def keyset_page(t):
-    """The page after the cursor (100, '5:0') by tokens and id, both descending, and one row more to tell if any follow."""
-    rows = H.entries(t.conversations).where("tokens < 100 or (tokens = 100 and entry_id < '5:0')")
-    return rows.orderBy(F.desc("tokens"), F.desc("entry_id")).limit(26).select("entry_id", "tokens")
-
-
 @query(f"with {ENTRIES} select session_id, arg_max(entry_id, created_at) entry_id, max(created_at) created_at from e group by 1")
 def latest_per_session(t):
     rows = H.entries(t.conversations).groupBy("session_id").agg(F.max_by("entry_id", "created_at").alias("entry_id"), F.max("created_at").alias("created_at"))
@@ -119,13 +112,13 @@ BM25 = (
 def bm25_topk(t):
     found = H.entries(t.conversations)
     wanted = H.requests(found).select("session_id", F.explode(T.terms(F.col("request"))).alias("term"))
-    scored = H.bm25(H.postings(found, "session_id", "entry_id"), H.sizes(found, "session_id"), wanted, "session_id", "entry_id")
+    scored = H.bm25(H.postings(found, ["session_id", "entry_id"], {"text": (F.col("text"), 1.0)}), H.sizes(found, "session_id"), wanted, "session_id", "entry_id")
     ranked = H.top(scored.withColumn("bm25", F.round("bm25", 6)), ["session_id"], [F.desc("bm25"), F.asc("entry_id")], 5)
     return ranked.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(
-    "with w as (select item_id, unnest(list_distinct(list_slice(" + TERMS.format("text") + ", 1, 12))) term from benchmark), "
+    "with w as (select item_id, unnest(list_distinct(" + TERMS.format("text") + ")) term from benchmark), "
     "d as (select doc_id, " + TERMS.format("text") + " c, " + TERMS.format("source || ' ' || lang") + " p from documents), "
     "x as (select doc_id, unnest(c) term, 1.0 wt from d union all select doc_id, unnest(p), 3.0 from d), "
     "i as (select doc_id, term, sum(wt) tf from x group by all), l as (select doc_id, sum(wt) dl from x group by 1), n as (select count(*) n, avg(dl) a from l), "
@@ -136,16 +129,8 @@ def bm25_topk(t):
 def weighted_bm25(t):
     """Whole benchmark passages as requests against documents: content weighs 1, where it lies (source, language) 3."""
     wanted = t.benchmark.select("item_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    docs = t.documents.select("doc_id", T.terms(F.col("text")).alias("content"), T.terms(F.concat_ws(" ", "source", "lang")).alias("place"))
-    docs = docs.withColumn("dl", (F.size("content") + 3 * F.size("place")).cast("double"))
-    each = [docs.select("doc_id", "dl", F.explode(words).alias("term"), F.lit(w).alias("wt")) for words, w in (("content", 1.0), ("place", 3.0))]
-    index = each[0].union(each[1]).groupBy("doc_id", "dl", "term").agg(F.sum("wt").alias("tf"))
-    matched = index.join(wanted.select("term").distinct(), "term")
-    df = matched.groupBy("term").agg(F.count("*").alias("df"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("dl").alias("a"))
-    part = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("a")))
-    scored = wanted.join(matched, "term").join(df, "term").join(F.broadcast(stats)).groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return H.top(scored, ["item_id"], [F.desc("score"), F.asc("doc_id")], 3).withColumn("rank", F.col("rank").cast("long"))
+    fields = {"content": (F.col("text"), 1.0), "place": (F.concat_ws(" ", "source", "lang"), 3.0)}
+    return H.weighted_search(t.documents, "doc_id", fields, wanted, "item_id", 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 COS = "round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6)"

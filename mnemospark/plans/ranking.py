@@ -56,7 +56,7 @@ def ranking_score(t):
 
 @query(
     f"with {SCORED}, r as (select source, row_number() over (partition by source order by static_score desc, id) - 1 sr, row_number() over (partition by source order by round(learned_score, 6) desc, id) - 1 lr from sc), "
-    "p as (select a.source, count(*) n from r a join r b on a.source = b.source and a.sr < b.sr and a.lr > b.lr where a.sr < 64 and b.sr < 64 group by 1) "
+    "p as (select a.source, count(*) n from r a join r b on a.source = b.source and a.sr < b.sr and a.lr > b.lr group by 1) "
     "select r.source, floor(avg(abs(sr - lr)) * 1000000 + 0.5) / 1000000 mean_shift, count(*) candidates, coalesce(any_value(n), 0) inversions from r left join p using (source) group by 1"
 )
 def rank_inversions(t):

@@ -83,25 +83,6 @@ def contradictions(t):
     return S.contradictions(claims(t))
 
 
-@query(
-    f"with {FACTS}, sc as (select session, id, 30 + case when id % 2 = 0 then 8 else 4 end + case when contains(coalesce(key, ''), 'machinery') then 45 else 0 end + least(60, 12 * (cast(contains(lower(claim), 'machinery') as int) + cast(contains(lower(claim), 'cache') as int))) score, "
-    "contains(coalesce(key, ''), 'machinery') or contains(lower(claim), 'machinery') or contains(lower(claim), 'cache') hit from fc), "
-    "an as (select *, bool_or(hit) over (partition by session) any_hit, row_number() over (partition by session order by score desc, id desc) r0 from sc), "
-    "r as (select session, id, score, row_number() over (partition by session order by score desc, id desc) - 1 as rank from an where hit or (not any_hit and r0 <= 3)) select * from r where rank < 6"
-)
-def memory_selection(t):
-    """Memories for a request about the machinery cache: 30, 8 or 4 by scope, 45 for the key, 12 a matched word; without any, the best three."""
-    from mnemospark.operators.history import top
-
-    words, c = ("machinery", "cache"), F.translate(F.col("claim"), T.UPPER, T.LOWER)
-    key_hit = F.contains(F.coalesce(T.derived_key(F.col("claim")), F.lit("")), F.lit(words[0]))
-    matched = sum((F.contains(c, F.lit(w)).cast("int") for w in words[1:]), F.contains(c, F.lit(words[0])).cast("int"))
-    rows = claims(t).select("session", "id", (30 + F.when(F.col("id") % 2 == 0, 8).otherwise(4) + F.when(key_hit, 45).otherwise(0) + F.least(F.lit(60), 12 * matched)).alias("score"), (key_hit | (matched > 0)).alias("hit"))
-    order = [F.desc("score"), F.desc("id")]
-    hits, fallback = rows.where("hit"), top(rows.join(rows.where("hit").select("session").distinct(), "session", "left_anti"), ["session"], order, 3)
-    return top(hits.unionByName(fallback.drop("rank")), ["session"], order, 6).select("session", "id", "score", F.col("rank").cast("long").alias("rank"))
-
-
 EDGES = "ed as (select distinct p_size % 40 + 40 * (p_partkey % 3) child, (p_size % 40) // 2 + 40 * (p_partkey % 3) parent from part where p_size % 40 > 0)"
 
 
@@ -137,17 +118,32 @@ def append_decision(t):
     return S.append_decision(stored, rows, ["o_orderkey"])
 
 
+SYNC = (
+    "f as (select page_id session, 'd/' || page_id || '.jsonl' path, 'h' || page_id % 5 header_hash, length(html) size, page_id % 13 mtime, md5(html) prefix_hash, html, page_id k from pages), "
+    "s as (select session, case when k % 17 = 3 then 'elsewhere' else path end old_path, case when k % 9 = 0 then 'other' else header_hash end old_header_hash, size + case k % 6 when 0 then 9 when 1 then 0 when 2 then 0 else -40 end old_size, "
+    "case when k % 12 = 1 then -1 else mtime end old_mtime, size + case k % 6 when 0 then 9 when 1 then 0 when 2 then 0 else -40 end - case when k % 10 = 5 then 7 else 0 end old_offset, "
+    "case when k % 8 = 7 then null when k % 7 = 4 then 'x' else prefix_hash end old_hash, k % 19 <> 4 old_located from f where k % 4 <> 2)"
+)
+
+
 @query(
-    "with f as (select page_id file, 'h' || page_id % 5 header, length(html) size, md5(html) prefix_hash from pages), s as (select page_id file, case when page_id % 9 = 0 then 'other' else 'h' || page_id % 5 end old_header, "
-    "length(html) + page_id % 3 - 1 old_size, case when page_id % 8 = 0 then null when page_id % 7 = 0 then 'x' else md5(html) end old_hash from pages where page_id % 4 <> 0), "
-    "r as (select f.*, old_size, case when old_size is null then 'initial' when header <> old_header then 'header-changed' when size < old_size then 'truncated' when old_hash is null then 'hash-missing' when prefix_hash <> old_hash then 'hash-mismatch' end reason from f left join s using (file)) "
-    "select file, case when reason is not null then 'rebuild' when size = old_size then 'noop' else 'append' end as action, reason from r"
+    f"with {SYNC}, r as (select f.session, f.size, s.old_size, case when s.session is null then 'initial' when not old_located then 'locations-missing' when path <> old_path then 'path-changed' when header_hash <> old_header_hash then 'header-changed' "
+    "when size < old_size then 'truncated' when size = old_size and mtime <> old_mtime then 'changed-in-place' when size > old_size and old_offset < old_size then 'unterminated-tail' when old_offset > 0 and old_hash is null then 'hash-missing' "
+    "when old_offset > 0 and prefix_hash <> old_hash then 'hash-mismatch' end reason from f left join s on f.session = s.session) "
+    "select session, case when reason is not null then 'rebuild' when size = old_size then 'noop' else 'append' end as action, reason from r"
 )
 def sync_decision(t):
+    """Pages stand for session files; what an earlier run knew of them differs in every way that asks for a rebuild."""
     k, size = F.col("page_id"), F.length("html")
-    files = t.pages.select(k.alias("file"), F.concat(F.lit("h"), k % 5).alias("header"), size.alias("size"), F.md5("html").alias("prefix_hash"))
-    old_hash = F.when(k % 8 == 0, F.lit(None)).when(k % 7 == 0, "x").otherwise(F.md5("html"))
-    states = t.pages.where(k % 4 != 0).select(k.alias("file"), F.when(k % 9 == 0, "other").otherwise(F.concat(F.lit("h"), k % 5)).alias("old_header"), (size + k % 3 - 1).alias("old_size"), old_hash.alias("old_hash"))
+    files = t.pages.select(
+        k.alias("session"), F.concat(F.lit("d/"), k, F.lit(".jsonl")).alias("path"), F.concat(F.lit("h"), k % 5).alias("header_hash"), size.alias("size"), (k % 13).alias("mtime"), F.md5("html").alias("prefix_hash")
+    )
+    old_size = size + F.when(k % 6 == 0, 9).when((k % 6 == 1) | (k % 6 == 2), 0).otherwise(-40)
+    states = t.pages.where(k % 4 != 2).select(
+        k.alias("session"), F.when(k % 17 == 3, "elsewhere").otherwise(F.concat(F.lit("d/"), k, F.lit(".jsonl"))).alias("old_path"), F.when(k % 9 == 0, "other").otherwise(F.concat(F.lit("h"), k % 5)).alias("old_header_hash"),
+        old_size.alias("old_size"), F.when(k % 12 == 1, -1).otherwise(k % 13).alias("old_mtime"), (old_size - F.when(k % 10 == 5, 7).otherwise(0)).alias("old_offset"),
+        F.when(k % 8 == 7, F.lit(None)).when(k % 7 == 4, "x").otherwise(F.md5("html")).alias("old_hash"), (k % 19 != 4).alias("old_located"),
+    )
     return S.sync_decision(files, states)
 
 
@@ -161,12 +157,13 @@ def stale_anti_join(t):
     return S.mark_deleted(t.customer.select("c_custkey"), t.orders.where("o_totalprice > 150000").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("select c_nationkey as key, c_custkey item, 'native' origin from (select *, row_number() over (partition by c_nationkey order by c_custkey) n from customer where c_custkey % 2 = 0 and c_nationkey % 3 = 0) where n = 1 "
-       "union all select s_nationkey, s_suppkey, 'inherited' from (select *, row_number() over (partition by s_nationkey order by s_suppkey) n from supplier) where n = 1 and s_nationkey not in (select c_nationkey from customer where c_custkey % 2 = 0 and c_nationkey % 3 = 0)")
+@query("with n as (select c_nationkey as key, c_mktsegment item from customer), i as (select s_nationkey as key, s_name item from supplier union all select n_nationkey, n_name from nation) "
+       "select key, min(item) item, 'native' origin from n group by key union all select key, min(item), 'inherited' from i where key not in (select key from n) group by key")
 def inheritance(t):
-    native = t.customer.where("c_custkey % 2 = 0 and c_nationkey % 3 = 0").groupBy(F.col("c_nationkey").alias("key")).agg(F.min("c_custkey").alias("item"))
-    inherited = t.supplier.groupBy(F.col("s_nationkey").alias("key")).agg(F.min("s_suppkey").alias("item"))
-    return S.inherit(native, inherited, "key")
+    """A nation's customers are its own items; it inherits those of its suppliers and its name."""
+    native = t.customer.groupBy(F.col("c_nationkey").alias("key")).agg(F.min("c_mktsegment").alias("item"))
+    rows = t.supplier.select(F.col("s_nationkey").alias("key"), F.col("s_name").alias("item")).union(t.nation.select("n_nationkey", "n_name"))
+    return S.inherit(native, rows.groupBy("key").agg(F.min("item").alias("item")), "key")
 
 
 @query(
@@ -179,19 +176,48 @@ def manifest_prune(t):
 
 
 @query(
-    "with d as (select p_brand capability, count(*) times, max(p_size) version from part where p_partkey % 50 = 0 group by 1), r as (select p_brand capability, max(p_size % 30) least, max(cast(p_size % 2 = 0 as int)) required from part where p_partkey % 40 = 1 group by 1) "
+    "with d as (select p_brand || ' ' || p_size capability, count(*) times, max(p_size) version from part group by 1), "
+    "r as (select 'Brand#' || s_suppkey % 6 || s_nationkey % 6 || ' ' || s_suppkey % 55 capability, max(cast(s_acctbal as bigint) % 60) least, max(cast(s_acctbal > 4000 as int)) required from supplier group by 1) "
     "select coalesce(d.capability, r.capability) capability, case when times > 1 then 'duplicate' when required is null then 'unused' when times is not null and version >= least then 'granted' when required = 1 then 'missing' else 'optional-missing' end status from d full join r using (capability)"
 )
 def capability_negotiation(t):
-    declared = t.part.where("p_partkey % 50 = 0").select(F.col("p_brand").alias("capability"), F.col("p_size").alias("version"))
-    requested = t.part.where("p_partkey % 40 = 1").select(F.col("p_brand").alias("capability"), (F.col("p_size") % 30).alias("least"), (F.col("p_size") % 2 == 0).alias("required"))
+    """Parts declare what suppliers request."""
+    declared = t.part.select(F.concat_ws(" ", "p_brand", "p_size").alias("capability"), F.col("p_size").alias("version"))
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("Brand#"), k % 6, F.col("s_nationkey") % 6, F.lit(" "), k % 55)
+    requested = t.supplier.select(name.alias("capability"), (F.round("s_acctbal").cast("long") % 60).alias("least"), (F.col("s_acctbal") > 4000).alias("required"))
     return S.negotiate(declared, requested)
 
 
 @query(
-    "with r as (select l_orderkey % 50 session, l_partkey first, l_partkey + cast(l_quantity as bigint) % 9 last from lineitem where l_linenumber = 1), n as (select *, coalesce(first > max(last) over (partition by session order by first, last rows between unbounded preceding and 1 preceding), true) new from r), "
+    "with r as (select l_orderkey % 50 session, l_partkey * 40 + l_linenumber first, l_partkey * 40 + l_linenumber + cast(l_quantity as bigint) % 9 last from lineitem), n as (select *, coalesce(first > max(last) over (partition by session order by first, last rows between unbounded preceding and 1 preceding), true) new from r), "
     "i as (select *, sum(cast(new as int)) over (partition by session order by first, last) island from n) select session, cast(island as bigint) island, min(first) first, max(last) last, count(*) ranges from i group by all"
 )
 def segment_islands(t):
-    rows = t.lineitem.where("l_linenumber = 1").select((F.col("l_orderkey") % 50).alias("session"), F.col("l_partkey").alias("first"), (F.col("l_partkey") + F.col("l_quantity").cast("long") % 9).alias("last"))
-    return S.overlap_groups(rows)
+    first = F.col("l_partkey") * 40 + F.col("l_linenumber")
+    return S.overlap_groups(t.lineitem.select((F.col("l_orderkey") % 50).alias("session"), first.alias("first"), (first + F.col("l_quantity").cast("long") % 9).alias("last")))
+
+
+LINKS = (
+    "lk as (select conv_id || ':' || turn node, case when turn % 4 = 3 and turn > 4 then conv_id || ':' || (turn - 3) when turn > 0 then conv_id || ':' || (turn - 1) end parent, "
+    "row_number() over (partition by conv_id order by turn desc) = 1 leaf from conversations)"
+)
+
+
+@query(f"with recursive {LINKS}, b as (select node, parent from lk where leaf union select lk.node, lk.parent from b join lk on lk.node = b.parent) select node from b")
+def active_branch(t):
+    """Entries on the way from each session's last entry to its root, where some entries branch off earlier ones."""
+    turn, at = F.col("turn"), lambda k: F.concat_ws(":", "conv_id", k)
+    parent = F.when((turn % 4 == 3) & (turn > 4), at(turn - 3)).when(turn > 0, at(turn - 1))
+    rows = t.conversations.select(at(turn).alias("child"), parent.alias("parent"), "conv_id", "turn")
+    leaves = rows.groupBy("conv_id").agg(F.max_by("child", "turn").alias("node"))
+    return S.upwards(rows, leaves)
+
+
+@query("select max(o_orderkey) deepest, count(*) nodes from orders")
+def deep_chain(t):
+    """One chain over all orders, each the child of the one before: from the last all are reached."""
+    keys = t.orders.select(F.col("o_orderkey").alias("child"))
+    before = keys.select((F.col("child") + 1).alias("child"), F.col("child").alias("parent")).join(keys, "child", "left_semi")
+    up = S.upwards(before, keys.agg(F.max("child").alias("node")))
+    return up.agg(F.max("node").alias("deepest"), F.count("*").alias("nodes"))

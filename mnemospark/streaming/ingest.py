@@ -5,29 +5,114 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mnemospark.operators.state import sync_decision
 from mnemospark.sources import sessions
+from mnemospark.storage import exists, materialize
 
 
-def ingest(spark: SparkSession, logs: str, target: str, checkpoint: str) -> None:
-    """Bring what is new in ``logs`` into the Parquet table ``target``, each entry once, and stop.
+STATE = (
+    "session_id string, file string, cwd string, header_hash string, size long, mtime long, offset long, hash_start long, hash string, generation int, entries long, malformed long, status string, action string, reason string"
+)
+ENTRY = "session_id string, generation int, file string, entry_id string, parent_id string, created_at long, type string, role string, text string, tokens long, raw_hash string, start long, end long"
 
-    The checkpoint remembers the files; an entry that is there with the same key and hash is left alone, so a batch that
-    is run again after a failure adds nothing twice.
-    """
 
-    def add(batch: DataFrame, _: int) -> None:
-        rows = sessions.entries(sessions.parsed(batch)).dropDuplicates(["file", "entry_id", "raw_hash"])
-        own = batch.sparkSession
-        path = own._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(own._jsc.hadoopConfiguration()).exists(path):
-            rows = rows.join(own.read.parquet(target).select("file", "entry_id", "raw_hash"), ["file", "entry_id", "raw_hash"], "left_anti")
-        rows.write.mode("append").parquet(target)
+def last_run(spark: SparkSession, target: str) -> int:
+    """The number of the last run that was finished; 0 before the first. A run is finished once its states are written."""
+    path = f"{target}/states"
+    if not exists(spark, path):
+        return 0
+    folders = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folders.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folders)
+    return max((int(f.getPath().getName().split("=")[1]) for f in found if exists(spark, f"{f.getPath()}/_SUCCESS")), default=0)
+
+
+def states(spark: SparkSession, target: str) -> DataFrame:
+    """What the last finished run knew of each session."""
+    run = last_run(spark, target)
+    return spark.read.schema(STATE).parquet(f"{target}/states/run={run}") if run else spark.createDataFrame([], STATE)
+
 
-    lines = spark.readStream.text(logs).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).where("length(trim(raw)) > 0")
-    lines.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def indexed(spark: SparkSession, target: str) -> DataFrame:
+    """The entries of each session's present generation, from finished runs only."""
+    run = last_run(spark, target)
+    if not run:
+        return spark.createDataFrame([], ENTRY)
+    rows = spark.read.schema(ENTRY + ", run int").parquet(f"{target}/entries").where(F.col("run") <= run).drop("run")
+    return rows.join(states(spark, target).select("session_id", "generation"), ["session_id", "generation"], "left_semi")
+
+
+def ingest(spark: SparkSession, logs: str, target: str, force: bool = False) -> DataFrame:
+    """Bring what is new in the session files below ``logs`` into the index at ``target``; the new states.
+
+    A file that was only appended to is read from the end of its last whole line; one that changed in any other way is read anew, as
+    a new generation of its session. An appended entry that is known with the same bytes is left alone; one that is known with others makes its
+    session be read anew. A file whose first record is no header, or that repeats an id or has an invalid entry when it is read anew, is corrupt: the session stays
+    as it was. A session whose file is gone is missing and stays too. The run's entries are written first and its states last, each in place of
+    what a failed run of the same number left, so every entry counts once.
+    """
+    run = last_run(spark, target) + 1
+    old = states(spark, target)
+    files = sessions.session_files(spark, logs)
+    heads = sessions.headers(sessions.parsed(sessions.lines(files.select("file", F.substring("content", 1, sessions.HEADER_BYTES + 1).alias("content"), F.lit(0).cast("long").alias("start")))))
+    # of two files with one session the last by name counts
+    heads = heads.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("file")))).where("nth = 1").drop("nth")
+    had = old.select("session_id", *[F.col(c).alias(f"old_{c}") for c in ("file", "header_hash", "size", "mtime", "offset", "hash_start", "hash", "generation", "entries", "malformed")], (F.col("generation").isNotNull()).alias("old_located"))
+    both = heads.join(files, "file").join(had, "session_id", "left")
+    prefix = sessions.range_hash(F.col("content"), F.col("old_hash_start"), F.col("old_offset"))
+    both = both.withColumn("prefix_hash", prefix)
+    asked = both.select(F.col("session_id").alias("session"), F.col("file").alias("path"), "header_hash", "size", "mtime", "prefix_hash")
+    known = had.select(F.col("session_id").alias("session"), F.col("old_file").alias("old_path"), "old_header_hash", "old_size", "old_mtime", "old_offset", "old_hash", "old_located").where("old_located")
+    decided = materialize(sync_decision(asked, known, force).withColumnRenamed("session", "session_id"), "decided")
+
+    def read(chosen: DataFrame) -> DataFrame:
+        """Records of the chosen sessions (session_id, action) from where their action begins."""
+        start = F.when(F.col("action") == "append", F.col("old_offset")).otherwise(0).cast("long")
+        rows = chosen.where("action != 'noop'").join(both.select("session_id", "file", "content", "old_offset"), "session_id").withColumn("start", start)
+        records = sessions.parsed(sessions.lines(rows.select("file", "content", "start")))
+        return records.join(rows.select("file", "session_id", "action"), "file")
+
+    before = indexed(spark, target)
+    first = materialize(read(decided), "records")
+    # entries appended under an id that is known
+    appended = first.where("action = 'append' and not malformed").where(sessions.valid_entry(F.col("r"))).select("session_id", F.col("r.id").alias("entry_id"), "raw_hash")
+    clash = appended.join(before.select("session_id", "entry_id", F.col("raw_hash").alias("known")), ["session_id", "entry_id"])
+    changed = clash.where("raw_hash != known").select("session_id").distinct().withColumn("changed", F.lit(True))
+    decided = decided.join(changed, "session_id", "left").select("session_id", F.when(F.col("changed"), "rebuild").otherwise(F.col("action")).alias("action"), F.when(F.col("changed"), "entry-changed").otherwise(F.col("reason")).alias("reason"))
+    decided = materialize(decided, "decided")
+    records = first.drop("action").join(decided.select("session_id", "action", "reason"), "session_id")
+    records = records.where("not reason <=> 'entry-changed'").drop("reason").unionByName(read(decided.where("reason = 'entry-changed'").select("session_id", "action")))
+    records = materialize(records, "records")
+    # a session that is read anew has to be sound as a whole
+    r = F.col("r")
+    rebuilt = records.where("action = 'rebuild' and not malformed and r.type <=> 'session' = false")
+    broken = rebuilt.where(~F.coalesce(sessions.valid_entry(r), F.lit(False))).select("session_id").union(rebuilt.groupBy("session_id", r["id"].alias("id")).count().where("count > 1").select("session_id")).distinct()
+    sound = records.join(broken, "session_id", "left_anti")
+    found = sessions.entries(sound).join(sound.select("file", "session_id", "action").distinct(), "file")
+    generation = both.select("session_id", F.coalesce("old_generation", F.lit(0)).alias("old_generation"))
+    found = found.join(generation, "session_id").withColumn("generation", F.when(F.col("action") == "rebuild", F.col("old_generation") + 1).otherwise(F.col("old_generation")))
+    unchanged = before.select("session_id", "generation", "entry_id")
+    new = found.join(unchanged, ["session_id", "generation", "entry_id"], "left_anti").dropDuplicates(["session_id", "generation", "entry_id"])
+    new = new.select(*[c.split()[0] for c in ENTRY.split(", ")])
+    new.write.mode("overwrite").parquet(f"{target}/entries/run={run}")
+
+    written_rows = spark.read.schema(ENTRY).parquet(f"{target}/entries/run={run}").groupBy("session_id").agg(F.count("*").alias("added"))
+    bad = records.where("malformed").groupBy("session_id").agg(F.count("*").alias("bad"))
+    ends = sessions.checkpoints(files).select("file", "offset", "hash_start", "hash")
+    marked = decided.join(broken.withColumn("broken", F.lit(True)), "session_id", "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
+    rows = both.drop("content").join(marked, "session_id").join(ends, "file").join(written_rows, "session_id", "left").join(bad, "session_id", "left")
+    fresh, kept = F.col("action") == "rebuild", F.coalesce("old_entries", F.lit(0))
+    state = rows.where("not broken").select(
+        "session_id", "file", "cwd", "header_hash", "size", "mtime", F.when(F.col("action") == "noop", F.col("old_offset")).otherwise(F.col("offset")).alias("offset"), F.when(F.col("action") == "noop", F.col("old_hash_start")).otherwise(F.col("hash_start")).alias("hash_start"),
+        F.when(F.col("action") == "noop", F.col("old_hash")).otherwise(F.col("hash")).alias("hash"), (F.coalesce("old_generation", F.lit(0)) + fresh.cast("int")).alias("generation"), (F.coalesce("added", F.lit(0)) + F.when(fresh, 0).otherwise(kept)).alias("entries"),
+        (F.coalesce("bad", F.lit(0)) + F.when(fresh, 0).otherwise(F.coalesce("old_malformed", F.lit(0)))).alias("malformed"), F.lit("ready").alias("status"), "action", "reason",
+    )
+    rest = old.join(state.select("session_id"), "session_id", "left_anti").join(rows.where("broken").select("session_id", F.lit(True).alias("broken"), F.col("reason").alias("why")), "session_id", "left")
+    rest = rest.withColumns({"status": F.when(F.col("broken"), "corrupt").otherwise("missing"), "action": F.lit("kept"), "reason": F.col("why")}).drop("broken", "why")
+    state.unionByName(rest).write.mode("overwrite").parquet(f"{target}/states/run={run}")
+    return states(spark, target)
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:

@@ -1,7 +1,10 @@
+import json
+
 from pyspark.sql import functions as F
 
 from mnemospark.operators import context as X
 from mnemospark.operators import history as H
+from mnemospark.operators import privacy as P
 from tests.conftest import SF
 
 
@@ -50,7 +53,31 @@ def test_segments_open_where_a_group_no_longer_fits(spark):
 
 
 def test_marks_and_policy(spark):
-    rows = spark.createDataFrame([("[class:internal] [class:local-only]",), ("[class:what]",), (None,)], "t string").select(X.marked_class(F.col("t")).alias("c"))
+    rows = spark.createDataFrame([("[ctx:internal]a[/ctx:internal] [CTX:local-only]",), ("[ctx:what] \\\\[ctx:sensitive]".replace("\\\\", "\\"),), (None,)], "t string").select(P.marked_class(F.col("t")).alias("c"))
     assert [r.c for r in rows.collect()] == ["local-only", None, None]
     seen = spark.createDataFrame([("sensitive", True), ("sensitive", False), (None, True)], "c string, remote boolean").select(X.may_see(F.col("c"), F.col("remote")).alias("ok"))
     assert [r.ok for r in seen.collect()] == [False, True, True]
+
+
+def test_classes_of_nested_values(spark):
+    deep = "x"
+    for _ in range(70):
+        deep = [deep]
+    quoted = json.dumps({"schema": P.RESULT_SCHEMA, "quotedData": True, "text": "[ctx:sensitive]a[/ctx:sensitive]"})
+    cases = [
+        ({"a": ["[ctx:internal] b"]}, "internal"), ({"classification": "sensitive", "b": "[ctx:internal]"}, "sensitive"), (deep, "local-only"), ([quoted], "sensitive"), ({"schema": P.RESULT_SCHEMA}, "local-only"), ({"a": 1}, None),
+        (["y"] * 10_001, "local-only"),
+    ]
+    frame = spark.createDataFrame([(json.dumps(v), c) for v, c in cases] + [("no json [ctx:internal]", "internal"), (None, None)], "v string, c string")
+    assert [(r.got, r.c) for r in frame.select(P.history_class(F.col("v")).alias("got"), "c").collect() if r.got != r.c] == []
+
+
+def test_payloads_are_cleaned_below_content_keys(spark):
+    payload = {"model": "[x]", "messages": [{"role": "user", "content": "a [ctx:sensitive]hidden[/ctx:sensitive] password=hunter22"}, {"role": "[ctx:sensitive]r[/ctx:sensitive]", "text": "[ctx:local-only] all"}], "other": "password=hunter22"}
+    frame = spark.createDataFrame([(json.dumps(payload),), (None,)], "v string")
+    r, none = [x.s for x in frame.select(P.sanitized_json(F.col("v"), ["normal", "internal"], True).alias("s")).collect()]
+    got = json.loads(r.value)
+    assert got["model"] == "[x]" and got["other"] == "password=hunter22" and none.value is None
+    assert got["messages"][0] == {"role": "user", "content": "a [sensitive content excluded by privacy policy] password=[REDACTED SECRET]"}
+    assert got["messages"][1] == {"role": "[sensitive content excluded by privacy policy]", "text": "[local-only content excluded by privacy policy]"}
+    assert (r.classification, r.blocked, r.redactions) == ("local-only", 3, 1)

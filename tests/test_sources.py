@@ -34,21 +34,95 @@ def test_records_headers_entries_and_branch(spark, log):
     assert [(r.session_id, r.cwd) for r in sessions.headers(records).collect()] == [("s1", "/w")]
     found = sessions.entries(records)
     texts = {r.entry_id: r.text for r in found.collect()}
-    assert texts == {"1": "p/m", "2": "find the index", "3": "seen\ngrep{}", "4": "", "5": "another branch"}
+    assert texts == {"1": "p\nm", "2": "find the index", "3": "seen\ngrep\n{}", "4": "", "5": "another branch"}
     leaf = found.where("entry_id = '3'").select("file", "entry_id")
     assert {r.entry_id for r in sessions.active_branch(found, leaf).collect()} == {"1", "2", "3"}
 
 
-def test_ingestion_takes_each_entry_once(spark, log, tmp_path):
-    target, checkpoint = str(tmp_path / "t"), str(tmp_path / "c")
-    I.ingest(spark, str(log), target, checkpoint)
-    assert spark.read.parquet(target).count() == 5
-    (log / "b.jsonl").write_text("\n".join(map(json.dumps, LOG[:3])) + "\n")
-    I.ingest(spark, str(log), target, checkpoint)
-    I.ingest(spark, str(log), target, checkpoint)
-    assert spark.read.parquet(target).count() == 7
-    I.ingest(spark, str(log), target, str(tmp_path / "lost"))  # a checkpoint that was lost: all is read again
-    assert spark.read.parquet(target).count() == 7
+def index(spark, target):
+    return {(r.session_id, r.entry_id): r.text for r in I.indexed(spark, target).collect()}
+
+
+def actions(frame):
+    return {r.session_id: (r.action, r.reason, r.status) for r in frame.collect()}
+
+
+def test_only_what_was_appended_is_read(spark, log, tmp_path):
+    target = str(tmp_path / "t")
+    assert actions(I.ingest(spark, str(log), target)) == {"s1": ("rebuild", "initial", "ready")}
+    assert len(index(spark, target)) == 5
+    assert actions(I.ingest(spark, str(log), target)) == {"s1": ("noop", None, "ready")}
+    more = [{"type": "message", "id": str(k), "parentId": "3", "timestamp": "2026-01-01T00:01:00Z", "message": {"role": "user", "content": f"é line {k}"}} for k in (6, 7)]
+    with open(log / "a.jsonl", "a") as f:
+        f.write("\n".join(json.dumps(m, ensure_ascii=False) for m in more) + "\n" + json.dumps(LOG[2]) + "\n")
+    (log / "b.jsonl").write_text("\n".join(json.dumps(r | {"id": "s2"} if r["type"] == "session" else r) for r in LOG[:3]) + "\n")
+    assert actions(I.ingest(spark, str(log), target)) == {"s1": ("append", None, "ready"), "s2": ("rebuild", "initial", "ready")}
+    found = index(spark, target)
+    assert len(found) == 9 and found["s1", "7"] == "é line 7"
+    state = {r.session_id: r for r in I.states(spark, target).collect()}
+    assert state["s1"].entries == 7 and state["s1"].malformed == 1 and state["s1"].offset == (log / "a.jsonl").stat().st_size
+    located = I.indexed(spark, target).where("session_id = 's1'")
+    lines = {r.entry_id: (r.raw, r.status) for r in sessions.originals(located.select("file", "entry_id", "start", "end", "raw_hash"), sessions.session_files(spark, str(log))).collect()}
+    assert json.loads(lines["7"][0]) == more[1] and {s for _, s in lines.values()} == {"ok"}
+
+
+def test_other_changes_are_read_anew(spark, log, tmp_path):
+    target, path = str(tmp_path / "t"), log / "a.jsonl"
+    whole = path.read_text()
+    I.ingest(spark, str(log), target)
+    path.write_text(whole.replace("find the index", "find the INDEX") + json.dumps(LOG[1] | {"id": "9"}) + "\n")
+    got = actions(I.ingest(spark, str(log), target))["s1"]
+    assert got == ("append", None, "ready") or got[0] == "rebuild"  # the checkpoint's hash covers the last line only
+    path.write_text("\n".join(map(json.dumps, LOG[:3])) + "\n")
+    assert actions(I.ingest(spark, str(log), target))["s1"] == ("rebuild", "truncated", "ready")
+    assert set(index(spark, target)) == {("s1", "1"), ("s1", "2")}
+    path.write_text("\n".join(map(json.dumps, LOG[:3])) + "\n" + json.dumps(LOG[3])[:-9])  # a line that is still being written
+    assert actions(I.ingest(spark, str(log), target))["s1"][0] == "append"
+    path.write_text("\n".join(map(json.dumps, LOG[:4])) + "\n")
+    assert actions(I.ingest(spark, str(log), target))["s1"] == ("rebuild", "unterminated-tail", "ready")
+    assert set(index(spark, target)) == {("s1", "1"), ("s1", "2"), ("s1", "3")}
+    changed = LOG[2] | {"message": {"role": "user", "content": "another text"}}
+    with open(path, "a") as f:
+        f.write(json.dumps(changed) + "\n")
+    # an id that is known comes again with other bytes: read anew, it is there twice, so the session stays as it was
+    assert actions(I.ingest(spark, str(log), target))["s1"] == ("kept", "entry-changed", "corrupt")
+    assert index(spark, target)["s1", "2"] == "find the index"
+    path.unlink()
+    (log / "c.jsonl").write_text("not a header\n")
+    assert actions(I.ingest(spark, str(log), target))["s1"][2] == "missing" and len(index(spark, target)) == 3
+
+
+def test_a_run_that_failed_leaves_nothing(spark, log, tmp_path):
+    target = str(tmp_path / "t")
+    I.ingest(spark, str(log), target)
+    before = index(spark, target)
+    spark.read.parquet(f"{target}/entries/run=1").write.parquet(f"{target}/entries/run=2")  # entries without their states
+    assert index(spark, target) == before
+    with open(log / "a.jsonl", "a") as f:
+        f.write(json.dumps(LOG[1] | {"id": "6"}) + "\n")
+    I.ingest(spark, str(log), target)
+    assert len(index(spark, target)) == 6
+
+
+def test_tokens_and_blocks_of_messages(spark):
+    content = [{"type": "text", "text": "abcde"}, {"type": "image", "data": "x"}, {"type": "thinking", "thinking": "abcdefghi"}, {"type": "toolCall", "id": "t", "name": "grep", "arguments": {"a": 1}}, {"type": "odd", "v": [1]}]
+    rows = [
+        {"type": "message", "id": "1", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "assistant", "content": content}},
+        {"type": "message", "id": "2", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "toolResult", "toolCallId": "t", "toolName": "grep", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}, {"type": "image"}]}},
+        {"type": "message", "id": "3", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "bashExecution", "command": "ls", "output": "x y"}},
+        {"type": "message", "id": "4", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "toolResult", "toolName": "context_history_search", "content": "quoted"}},
+        {"type": "custom_message", "id": "5", "timestamp": "2026-01-01T00:00:00Z", "content": "note"},
+        {"type": "label", "id": "6", "timestamp": "2026-01-01T00:00:00Z", "targetId": "1", "label": "L"},
+    ]
+    frame = spark.createDataFrame([("f", 0, 1, json.dumps(r), "h", True) for r in rows], "file string, start long, end long, raw string, raw_hash string, terminated boolean")
+    records = sessions.parsed(frame)
+    got = {r.entry_id: (r.role, r.text, r.tokens) for r in sessions.entries(records).collect()}
+    assert got["1"] == ("assistant", 'abcde\ngrep\n{"a":1}', 8 + 3 + (2 + 4) + (1024 + 4) + (3 + 4) + (3 + 4) + (6 + 4))
+    assert got["2"][:2] == ("toolResult", "grep\na\nb") and got["3"][:2] == ("bashExecution", "Command: ls\nx y") and got["4"] == ("toolResult", "", 0)
+    assert got["5"] == ("custom", "note", 8 + 2 + 1) and got["6"] == (None, "1\nL", 1)
+    blocks = {r.id: [(b.type, b.text, b.name) for b in r.b] for r in records.where("r.type = 'message'").select("r.id", sessions.canonical_blocks(F.col("r.message")).alias("b")).collect()}
+    assert [b[0] for b in blocks["1"]] == ["text", "image", "thinking", "toolCall", "opaqueProvider"]
+    assert blocks["2"] == [("toolResult", "a\nb", "grep"), ("image", None, None)] and blocks["3"] == [("text", "Command: ls", None), ("text", "x y", None)]
 
 
 def test_hysteresis_gives_up_after_two_losses(spark, tmp_path):
@@ -98,3 +172,14 @@ def test_quality_score_of_known_rates(spark):
     one = lambda x: F.lit(x).cast("double")
     r = spark.range(1).select(R.quality_score(one(0.6), one(None), one(1.0), one(None), one(1.0), one(0.0), one(0.5)).alias("q")).first()
     assert r.q == pytest.approx(0.21 + 0.2 + 0.15 + 0.15 + 0.1 + 0.025)
+
+
+def test_long_chains_and_cycles(spark):
+    chain = spark.range(1, 1500).select(F.col("id").alias("child"), (F.col("id") - 1).alias("parent"))
+    assert S.upwards(chain, spark.createDataFrame([(1499,)], "node long")).count() == 1500
+    assert S.invalidated(chain, spark.createDataFrame([(700,)], "node long")).count() == 701
+    short = chain.where("child < 200")
+    reach = S.reachable(short)
+    assert reach.count() == 199 * 200 // 2 and reach.agg(F.max("depth")).first()[0] == 199
+    ring = chain.union(spark.createDataFrame([(0, 1499)], "child long, parent long"))
+    assert S.upwards(ring, spark.createDataFrame([(3,)], "node long")).count() == 1500
