@@ -1,16 +1,16 @@
 """Stupid-backoff language-model scores from the corpus's own n-grams (operator 2).
 
-The relations, with n-grams as 64-bit hashes and one row for a packed run of them:
+The relations, with n-grams as 64-bit hashes:
 
-* documents fall into blocks by a hash of their row; a block's n-grams of each order are counted and sorted; from
-  order 3 on only those whose two shorter n-grams turned out common enough, as no other can be;
-* the count tables are partitioned by the n-gram's hash: each partition adds up its n-grams over all blocks;
-* the sums are joined back to the blocks' n-grams, and each document sums the scores of its positions.
+* documents fall into blocks by a hash of their text; a block's distinct n-grams with their counts are exploded to rows (part, block, n, gram, count), where ``part`` is a range of
+  the hash. They travel as arrays, one row for a block's n-grams of a part, and are exploded where they arrive;
+* the count tables, partitioned by that range, sum the counts of each n-gram over all blocks;
+* the exploded n-grams are joined with the count tables on the n-gram, in the same partitioning, and the totals go back to their blocks, where each document sums the scores of
+  its positions.
 
-A position's score is count(n-gram) / count(context) of the highest order whose n-gram was counted ``least``
-times or more, times ``alpha`` for each order given up; single words need no least count and are divided by the
-number of words. The tables are those of the whole corpus and grow with it; blocks and partitions are sized
-so that a task holds a fixed amount, and a common n-gram arrives at most once from a block.
+A position's score is count(n-gram) / count(context) of the highest order whose n-gram was counted ``least`` times or more, times ``alpha`` for each order given up; single words
+need no least count and are divided by the number of words. From order 3 on only n-grams whose two shorter ones turned out common enough are counted, as no other can be. The
+tables are those of the whole corpus and grow with it; blocks and parts are sized so that a task holds a fixed amount, and a common n-gram arrives at most once from a block.
 """
 
 from __future__ import annotations
@@ -19,30 +19,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.llm.bulk import slices, string_column
+from mnemospark.llm.shared import materialize
 from mnemospark.llm.shingles import STEP, mix, words
 
 ORDER, ALPHA, LEAST = 3, 0.4, 2
 #: Bits of an n-gram's hash, its only identity: all there are. Among 10**9 different n-grams 0.03 pairs are expected to be
 #: taken for one, among 3 * 10**9 0.24.
 HASH_BITS = 64
+ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 #: Bytes of text in a block and n-grams in a partition of the tables, about.
-BLOCK_BYTES, PARTITION_GRAMS = 6_000_000, 3_000_000
-
-
-def shrink(values: np.ndarray) -> bytes:
-    """Byte planes under zstandard: small differences leave planes of zeros."""
-    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes())
-
-
-def grow(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
+BLOCK_BYTES, PARTITION_GRAMS = 24_000_000, 1_000_000
 
 
 def grams(hashes: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,13 +57,18 @@ def ordered(table: pa.Table) -> pa.Table:
     return table.sort_by([("row", "ascending"), ("doc_id", "ascending")])
 
 
-def packed(block: int, n: int, every: np.ndarray, parts: int) -> Iterator[dict]:
-    """Count-table rows of a block's n-grams, one for each partition that they fall into."""
+def as_signed(hashes: np.ndarray) -> np.ndarray:
+    """The hashes as the 64-bit integers that Spark has, in the same order."""
+    return (hashes ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def exploded(block: int, n: int, every: np.ndarray, parts: int) -> Iterator[dict]:
+    """A block's distinct n-grams with their counts, one row for each part that they fall into."""
     found, counts = np.unique(every, return_counts=True)
     cuts = np.searchsorted(part_of(found, parts), np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[p], cuts[p + 1]
-        yield {"part": int(p), "block": block, "n": n, "grams": shrink(np.diff(found[a:b], prepend=np.uint64(0))), "counts": shrink(counts[a:b].astype(np.uint32))}
+        yield {"part": int(p), "block": block, "n": n, "grams": as_signed(found[a:b]), "counts": counts[a:b].astype(np.int32)}
 
 
 def count_first(orders: range, parts: int):
@@ -82,7 +77,7 @@ def count_first(orders: range, parts: int):
     def run(docs: pa.Table) -> pa.Table:
         hashes, place, _ = block_words(ordered(docs))
         block = docs["block"][0].as_py()
-        return pa.Table.from_pylist([r for n in orders for r in packed(block, n, grams(hashes, place, n)[0], parts)], COUNTED)
+        return pa.Table.from_pylist([r for n in orders for r in exploded(block, n, grams(hashes, place, n)[0], parts)], COUNTED)
 
     return run
 
@@ -92,9 +87,9 @@ def count_next(n: int, parts: int, least: int):
 
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         hashes, place, _ = block_words(ordered(docs))
-        counts = known_counts(hashes, place, replies, n - 1, least)
+        counts = known_counts(hashes, place, replies, n - 1, least, range(2, n))
         found, at = grams(hashes, place, n)
-        return pa.Table.from_pylist(list(packed(docs["block"][0].as_py(), n, found[worth(counts, at, n, least)], parts)), COUNTED)
+        return pa.Table.from_pylist(list(exploded(docs["block"][0].as_py(), n, found[worth(counts, at, n, least)], parts)), COUNTED)
 
     return run
 
@@ -104,23 +99,23 @@ def worth(counts: np.ndarray, at: np.ndarray, n: int, least: int) -> np.ndarray:
     return (counts[n - 1, at] >= least) & (counts[n - 1, at - 1] >= least) if n > 2 else np.ones(len(at), bool)
 
 
-def known_counts(hashes: np.ndarray, place: np.ndarray, replies: pa.Table, order: int, least: int) -> np.ndarray:
+def known_counts(hashes: np.ndarray, place: np.ndarray, replies: pa.Table, order: int, least: int, orders: range | None = None) -> np.ndarray:
     """Row n: the corpus's count of the n-gram that ends at each word; 0 where it was not worth counting."""
     replies = replies.sort_by([("n", "ascending"), ("part", "ascending")])
     kind = np.array(replies["n"].to_pylist())
     counts = np.zeros((order + 1, len(hashes)), np.int64)
-    for n in range(1, order + 1):
+    for n in orders or range(1, order + 1):
         found, at = grams(hashes, place, n)
         keep = worth(counts, at, n, least)
         found, at = found[keep], at[keep]
         if len(at):
             _, inverse = np.unique(found, return_inverse=True)
-            counts[n, at] = np.concatenate([grow(replies["totals"][r].as_py(), np.int64) for r in np.flatnonzero(kind == n).tolist()])[inverse]
+            totals = replies["totals"].take(pa.array(np.flatnonzero(kind == n))).combine_chunks()
+            counts[n, at] = (pa.concat_arrays(totals.chunks) if isinstance(totals, pa.ChunkedArray) else totals).flatten().to_numpy()[inverse]
     return counts
 
 
-COUNTED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())])
-REPLIES = pa.schema([("block", pa.int32()), ("n", pa.int32()), ("part", pa.int32()), ("totals", pa.binary())])
+COUNTED = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("grams", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
 
 
 def part_of(found: np.ndarray, parts: int) -> np.ndarray:
@@ -128,25 +123,29 @@ def part_of(found: np.ndarray, parts: int) -> np.ndarray:
     return ((found >> np.uint64(HASH_BITS - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def add_up(table: pa.Table) -> pa.Table:
-    """Totals of one partition's n-grams over all blocks, in the order in which each block has them."""
-    out: dict[str, list] = {name: [] for name in REPLIES.names}
-    order_of = np.array(table["n"].to_pylist())
-    for n in np.unique(order_of):
-        rows = np.flatnonzero(order_of == n).tolist()
-        lists = [np.cumsum(grow(table["grams"][r].as_py(), np.uint64)) for r in rows]
-        counts = np.concatenate([grow(table["counts"][r].as_py(), np.uint32) for r in rows]).astype(np.int64)
-        every = np.concatenate(lists)
-        by = np.argsort(every, kind="stable")
-        new = np.concatenate([[True], np.diff(every[by]) != 0])
-        group = np.cumsum(new) - 1
-        totals = np.empty(len(every), np.int64)
-        totals[by] = np.add.reduceat(counts[by], np.flatnonzero(new))[group]
-        ends = np.cumsum([len(x) for x in lists])
-        for r, a, b in zip(rows, ends - [len(x) for x in lists], ends):
-            for name, x in (("block", table["block"][r].as_py()), ("n", int(n)), ("part", table["part"][r].as_py()), ("totals", shrink(totals[a:b]))):
-                out[name].append(x)
-    return pa.table(out, REPLIES)
+def joined(counted: DataFrame, parts: int) -> DataFrame:
+    """(part, block, n, gram, total) of each of a block's n-grams; ``counted`` has a block's n-grams of a part in a row.
+
+    The n-grams are exploded, summed to the count tables and joined with them within their part, if the planner takes
+    partitions by one of a join's keys for partitions by all (`totals` has it do so); otherwise it shuffles them once more.
+    """
+    rows = counted.repartition(parts, "part").select("part", "block", "n", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("count"))))
+    tables = rows.groupBy("part", "n", "gram").agg(F.sum("count").alias("total"), F.max("block").alias("last"))
+    # a part's table is of bounded size, so it is hashed and nothing is sorted
+    # both sides ask for all columns (the conditions hold for every row), so that both read one shuffle
+    return rows.where("count > 0").join(tables.hint("shuffle_hash"), ["part", "n", "gram"]).where("last >= 0").select("part", "block", "n", "gram", "total")
+
+
+def totals(counted: DataFrame, parts: int) -> DataFrame:
+    """(block, n, part, totals): the corpus's counts of each block's n-grams in the order of the n-grams, written once."""
+    conf = counted.sparkSession.conf
+    before = conf.get(ALL_KEYS)
+    conf.set(ALL_KEYS, "false")
+    try:
+        found = joined(counted, parts).groupBy("part", "block", "n").agg(F.array_sort(F.collect_list(F.struct("gram", "total"))).alias("found"))
+        return materialize(found.select("block", "n", "part", F.col("found.total").alias("totals")), "totals")
+    finally:
+        conf.set(ALL_KEYS, before)
 
 
 def score_block(order: int, alpha: float, least: int, total: int):
@@ -204,12 +203,10 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     blocks, parts = max(1, -(-size // block_bytes)), max(1, -(-order * total // partition_grams))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     rows = rows.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int"))
-    table, reply = "part int, block int, n int, grams binary, counts binary", "block int, n int, part int, totals binary"
-    counted = rows.groupBy("block").applyInArrow(count_first(range(1, min(order, 2) + 1), parts), table)
-    replies = counted.groupBy("part").applyInArrow(add_up, reply)
+    table = "part int, block int, n int, grams array<long>, counts array<int>"
+    replies = totals(rows.groupBy("block").applyInArrow(count_first(range(1, min(order, 2) + 1), parts), table), parts)
     for n in range(3, order + 1):
-        counted = rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(count_next(n, parts, least), table)
-        replies = replies.union(counted.groupBy("part").applyInArrow(add_up, reply))
+        replies = replies.union(totals(rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(count_next(n, parts, least), table), parts))
     schema = "doc_id long, n_words long, log10_score double, mean_log10 double" + "".join(f", n_order{n} long" for n in range(1, order + 1))
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(order, alpha, least, total), schema)
 

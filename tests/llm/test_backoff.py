@@ -49,13 +49,24 @@ def test_empty_table_and_unseen_context(spark):
     assert r.log10_score == pytest.approx(want, abs=1e-4) and (r.n_order1, r.n_order2) == (1, 4)
 
 
-def test_planes_are_lossless():
-    for kind in (np.uint64, np.int64, np.uint32):
-        x = np.random.default_rng(1).integers(0, 2**31, 1000).astype(kind)
-        assert (backoff.grow(backoff.shrink(x), kind) == x).all()
-    found = np.sort(np.random.default_rng(2).integers(0, 2**backoff.HASH_BITS, 1000).astype(np.uint64))
-    parts = backoff.part_of(found, 7)
+def test_parts_are_ranges_in_spark_s_order():
+    found = np.sort(np.frombuffer(np.random.default_rng(2).bytes(8000), np.uint64))
+    parts, signed = backoff.part_of(found, 7), backoff.as_signed(found)
     assert (np.diff(parts) >= 0).all() and parts.min() == 0 and parts.max() == 6
+    assert (np.diff(signed) > 0).all() and len(np.unique(signed)) == 1000
+
+
+def test_counts_are_those_of_all_blocks(spark):
+    """The count tables are joined with the exploded n-grams without another shuffle of them."""
+    rows = [(0, 1, 1, [5, -3], [2, 1]), (0, 2, 1, [5], [4]), (1, 1, 1, [9], [1]), (0, 1, 2, [5], [7])]
+    frame = spark.createDataFrame(rows, "part int, block int, n int, grams array<long>, counts array<int>")
+    got = {(r.block, r.n, r.part): r.totals for r in backoff.totals(frame, 3).collect()}
+    assert got == {(1, 1, 0): [1, 6], (2, 1, 0): [6], (1, 1, 1): [1], (1, 2, 0): [7]}
+    spark.conf.set(backoff.ALL_KEYS, "false")
+    plan = backoff.joined(frame, 3)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(backoff.ALL_KEYS, "true")
+    assert "ShuffledHashJoin" in plan and plan.count("Exchange hashpartitioning(part") == plan.count("Exchange ") == 2, plan
+    backoff.joined(frame, 3).write.format("noop").mode("overwrite").save()
 
 
 def test_all_bits_of_a_hash_are_kept():
