@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,27 +66,32 @@ def encode(docs: DataFrame, ranks: str | None = None, with_offsets: bool = True)
 def digests(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     """Encode every text, decode its ids again, and tell both by digest; the ids never leave the worker.
 
-    ``same`` says whether the decoded bytes are the text's own. Null texts count as empty ones.
+    ``same`` says whether the decoded bytes are the text's own, ``offsets_crc32`` is that of the tokens' starts and then ends in code points (little-endian
+    32-bit integers), ``split_tokens`` counts tokens that share a character with the one before. Null texts count as empty ones.
     """
     path = ranks or vocab.default_path("byte_bpe_multi_50k.tiktoken")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = vocab.rank_encoder(path)
         decimal = [str(i) for i in range(len(table))]
+        width = np.array([len(t) for t in table], np.int64)
         for batch in batches:
             texts, doc_ids = string_column(batch, "text"), batch.column(batch.schema.get_field_index("doc_id"))
             for a, b in slices(texts):
                 flat, at = encoder.encode(texts.slice(a, b - a))
-                shown, back, same = [], [], []
+                shown, back, same, places, split = [], [], [], [], []
                 for text, i, j in zip(texts.slice(a, b - a).to_pylist(), at.tolist(), at[1:].tolist()):
                     ids = flat[i:j].tolist()
                     shown.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                     decoded = decode_bytes(ids, table)
                     back.append(hashlib.sha256(decoded).hexdigest())
                     same.append(decoded == (text or "").encode())
+                    starts, ends = offsets(decoded, width[flat[i:j]])
+                    places.append(zlib.crc32(ends.astype("<i4"), zlib.crc32(starts.astype("<i4"))))
+                    split.append(int((starts[1:] < ends[:-1]).sum()))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(a, b - a), pa.array(np.diff(at)), pa.array(shown, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_())],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"],
+                    [doc_ids.slice(a, b - a), pa.array(np.diff(at)), pa.array(shown, pa.string()), pa.array(back, pa.string()), pa.array(same, pa.bool_()), pa.array(places, pa.int64()), pa.array(split, pa.int64())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same", "offsets_crc32", "split_tokens"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean, offsets_crc32 long, split_tokens long")

@@ -27,6 +27,10 @@ from mnemospark.llm.bulk import slices, string_column
 BUCKETS = 1 << 20
 #: Labelled documents that the model is fitted on, at most; the ones of least hash, so any number of workers picks the same.
 SAMPLE = 12_000
+#: Characters of the texts that the model is fitted on, about; bounds what reaches the driver, however long texts are.
+SAMPLE_CHARS = 100_000_000
+#: Features that the fit sums up at a time, about.
+RUN = 400_000
 #: A document stays where P(good) is at least this.
 LEAST = 0.6
 RUNS = [(re.compile(p), s) for p, s in ((r"[^\W\d_]+", lambda m: "a" if m[0].islower() else "A" if m[0].isupper() else "Aa"), (r"\d+", "0"), (r"([^\w])\1+", r"\1"))]
@@ -81,14 +85,20 @@ class Ordinal:
 
     @classmethod
     def fit(cls, number, value, offsets, grade, steps: int = 200, rate: float = 0.5, ridge: float = 4e-6) -> Ordinal:
-        """Maximum likelihood with a ridge, by Adam over all rows. Thresholds are a first one and positive steps."""
+        """Maximum likelihood with a ridge, by Adam over all rows. Thresholds are a first one and positive steps.
+
+        Sums over features go through runs of rows, so that besides the features themselves little memory is used.
+        """
         if not len(grade):
             return cls()
         levels = int(grade.max())
         if levels == 0:
             return cls(thresholds=np.array([np.inf]))
-        of, used = np.repeat(np.arange(len(grade)), np.diff(offsets)), np.unique(number)
-        at = np.searchsorted(used, number)
+        used = np.unique(number)
+        at = np.searchsorted(used, number).astype(np.int32)
+        cuts_of = np.unique(np.concatenate([[0], np.searchsorted(offsets, np.arange(0, offsets[-1], RUN), side="right"), [len(grade)]]))
+        runs = [(i, j, slice(offsets[i], offsets[j])) for i, j in zip(cuts_of.tolist(), cuts_of[1:].tolist())]
+        of = lambda i, j: np.repeat(np.arange(j - i), np.diff(offsets[i : j + 1]))
         share = np.array([(grade >= k).mean() for k in range(1, levels + 1)])
         first = -np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
         w, t = np.zeros(len(used)), np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 0.1))])
@@ -97,13 +107,15 @@ class Ordinal:
         below = np.where(grade < levels, grade, 0)
         for step in range(1, steps + 1):
             cuts = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-            score = np.bincount(of, w[at] * value, len(grade))
+            score = np.concatenate([np.bincount(of(i, j), w[at[c]] * value[c], j - i) for i, j, c in runs])
             low = np.where(grade > 0, 1 / (1 + np.exp(np.clip(score - cuts[above], -50, 50))), 0.0)  # P(y < grade)
             high = np.where(grade < levels, 1 / (1 + np.exp(np.clip(score - cuts[below], -50, 50))), 1.0)  # P(y <= grade)
             p = np.maximum(high - low, 1e-12)
             d_low, d_high = low * (1 - low) / p, high * (1 - high) / p
             slope = (d_high - d_low) / len(grade)  # of the loss by the score
-            g_w = np.bincount(at, value * slope[of], len(used)) + ridge * w
+            g_w = ridge * w
+            for i, j, c in runs:
+                g_w += np.bincount(at[c], value[c] * slope[i:j][of(i, j)], len(used))
             g_cut = np.bincount(above, np.where(grade > 0, d_low, 0), levels) - np.bincount(below, np.where(grade < levels, d_high, 0), levels)
             g_cut /= len(grade)
             g_t = np.cumsum(g_cut[::-1])[::-1] * np.concatenate([[1.0], np.exp(t[1:])])
@@ -124,12 +136,18 @@ def graded(labels: DataFrame) -> DataFrame:
     return rated.select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal:
+def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Ordinal:
     """Fit on the ``sample`` rated documents (doc_id, text; ratings doc_id, grade) whose ids hash lowest.
 
-    The sample's ratings are that many rows and are broadcast; its features are collected.
+    The sample's ratings are that many rows and are broadcast; its features are collected. Each rated document counts once: of several rows with its id the
+    one of least hash. Texts are taken in the order of the hash as long as they hold ``chars`` characters together, so the sample is bounded in both ways.
     """
     chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    order = F.xxhash64("doc_id", "text")
+    sizes = docs.select("doc_id", order.alias("order"), F.length(F.coalesce("text", F.lit(""))).alias("n")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
+    picked = sorted(tuple(r.one) for r in sizes.groupBy("doc_id").agg(F.min(F.struct("order", "n")).alias("one")).select("one").collect())
+    fitting = np.searchsorted(np.cumsum([n for _, n in picked]), chars, side="right") if picked else 0
+    taken = F.broadcast(docs.sparkSession.createDataFrame([(o,) for o, _ in picked[: max(1, int(fitting))]], "order long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,12 +160,13 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Ordinal:
                     ["grade", "order", "number", "value"],
                 )
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade", F.xxhash64("doc_id", "text").alias("order"))
+    rows = docs.select("doc_id", "text", order.alias("order")).join(F.broadcast(chosen), "doc_id").join(taken, "order", "left_semi").dropDuplicates(["order"]).select("text", "grade", "order")
     got = rows.mapInArrow(run, "grade int, order long, number array<int>, value array<float>").toArrow().sort_by("order")
-    lists = [got.column(c).combine_chunks() for c in ("number", "value")]
-    number, value = (x.flatten().to_numpy() for x in lists)
+    grades, lists = got.column("grade").to_numpy(), [got.column(c).combine_chunks() for c in ("number", "value")]
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy())]) if len(got) else np.zeros(1, np.int64)
-    return Ordinal.fit(number.astype(np.int64), value.astype(np.float64), offsets, got.column("grade").to_numpy())
+    del got
+    number, value = (x.flatten().to_numpy() for x in lists)
+    return Ordinal.fit(number, value, offsets, grades)
 
 
 def classify(docs: DataFrame, model: Ordinal, least: float = LEAST, grade: int = 2) -> DataFrame:

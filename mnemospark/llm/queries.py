@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mnemospark.llm import backoff, byte_bpe, jpeg, licences, mtree, near_dedup, ordinal, packing, secrets, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,66 +15,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.ordinal import classify, graded, train
-
     docs = table(spark, sf_dir, "documents")
-    return classify(docs, train(docs, graded(table(spark, sf_dir, "labels"))))
+    return ordinal.classify(docs, ordinal.train(docs, ordinal.graded(table(spark, sf_dir, "labels"))))
 
 
 def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.backoff import scores
-
-    return scores(table(spark, sf_dir, "documents"))
+    return backoff.scores(table(spark, sf_dir, "documents"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.token_files import token_files
-
-    return token_files(table(spark, sf_dir, "documents"))
+    return token_files.token_files(table(spark, sf_dir, "documents"))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.byte_bpe import digests
-
-    return digests(table(spark, sf_dir, "documents"))
+    return byte_bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.packing import pack_documents
-
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
 def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.jpeg import digests
-
-    return digests(table(spark, sf_dir, "documents"))
+    return jpeg.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.near_dedup import classes
-
-    return classes(table(spark, sf_dir, "documents"), n=4, percent=80)
+    return near_dedup.classes(table(spark, sf_dir, "documents"), n=4, percent=80)
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.secrets import secret_spans
-
-    return secret_spans(table(spark, sf_dir, "documents"))
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
 def op9_mtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    from mnemospark.llm.mtree import top_k
-
-    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op10_licence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from mnemospark.llm.licences import document_files, licences
-
-    return licences(document_files(table(spark, sf_dir, "documents")), ["doc_id"], windows=True)
+    return licences.licences(licences.document_files(table(spark, sf_dir, "documents")), ["doc_id"], windows=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -79,6 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from mnemospark.llm import backoff, licences, mtree, secrets
-
     return {"op10_licence_cosine": licences.oracle(), "op9_mtree_top_k": mtree.oracle(), "op2_stupid_backoff": backoff.oracle(), "op4_secret_ledger": secrets.oracle()}
