@@ -1,26 +1,27 @@
 """Progressive JPEG in numpy: coefficients by scans, inverse transform, chroma upsampling (operator 6).
 
-`decode_coefficients` takes any progressive Huffman JPEG with 8-bit samples. Scans whose Huffman table makes
-every coefficient equally wide are read with whole-array operations; all others bit by bit, by the rules of
-ITU-T T.81, annexes F and G.
-
-`store` writes bytes losslessly as coefficients: a byte is the eight extra bits of a coefficient of size
-category eight, so all 256 values differ and none is zero. Bands 1 to 5 and 6 to 48 of a block carry them
-(spectral selection, for luma); a first pass leaves out their lowest bit and a refining pass brings it
-(successive approximation). Twelve blocks of 48 coefficients are a unit of 576 bytes: two 4:2:0 macroblocks.
+`decode_coefficients` takes any progressive Huffman JPEG with 8-bit samples, symbol by symbol through a table of 16-bit
+prefixes, by the rules of ITU-T T.81, annexes F and G. `decode_many` reads many pictures at once: the stretches between
+restart markers of one scan of all pictures are lanes that advance together, a symbol of every lane a step.
+
+`store_many` writes bytes losslessly as coefficients: a blank is 0, any other byte a coefficient of magnitude 2 to 129. Bands 1
+to 5 and 6 to 48 of a block carry them (spectral selection, for luma); a first pass leaves out their lowest bit and a
+refining pass brings it (successive approximation). Runs of zeros, sizes and bits are Huffman-coded. Twelve blocks of 48 coefficients are a
+unit of 576 bytes: two 4:2:0 macroblocks.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
+import heapq
+import re
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from mnemospark.llm.bulk import slices, string_column
 
@@ -57,9 +58,61 @@ def part(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 255, marker, len(body) + 2) + body
 
 
-def one_symbol_table(kind: int, number: int, symbol: int) -> bytes:
-    """A Huffman table whose only code is a single 0 bit."""
-    return part(0xC4, bytes([kind << 4 | number, 1, *[0] * 15, symbol]))
+def code_lengths(weights: dict[int, float]) -> dict[int, int]:
+    """Lengths of a Huffman code, with one more leaf so that no code is all ones."""
+    heap = [(w, i, (symbol,)) for i, (symbol, w) in enumerate(weights.items())] + [(0.0, -1, (None,))]
+    heapq.heapify(heap)
+    lengths, n = dict.fromkeys([*weights, None], 0), len(heap)
+    while len(heap) > 1:
+        (u, _, x), (v, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        for symbol in x + y:
+            lengths[symbol] += 1
+        n += 1
+        heapq.heappush(heap, (u + v, n, x + y))
+    # the leaf without a symbol is one of the longest, and comes last
+    del lengths[None]
+    return lengths
+
+
+class Table:
+    """A Huffman table from its lengths: codes to write, prefixes to read, and its bytes."""
+
+    def __init__(self, lengths: dict[int, int]):
+        self.code, self.length = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        order = sorted(lengths, key=lambda k: (lengths[k], k))
+        code = before = 0
+        for symbol in order:
+            code <<= lengths[symbol] - before
+            before = lengths[symbol]
+            self.code[symbol], self.length[symbol] = code, before
+            code += 1
+        counts = [sum(n == k for n in lengths.values()) for k in range(1, 17)]
+        self.body = bytes(counts) + bytes(order)
+
+    @staticmethod
+    @functools.cache
+    def prefixes(body: bytes) -> np.ndarray:
+        """For each 16 bits the length of the code that they begin with, times 256, and its symbol; 0 without any."""
+        table, code, place = np.zeros(1 << 16, np.int64), 0, 16
+        for n, count in enumerate(body[:16], 1):
+            for _ in range(count):
+                table[code << (16 - n) : (code + 1) << (16 - n)] = n << 8 | body[place]
+                code, place = code + 1, place + 1
+            code <<= 1
+        return table
+
+
+@functools.cache
+def first_table() -> Table:
+    """For first passes: short runs and middling sizes are the most common; ends and runs of sixteen are rarer."""
+    weights = {r << 4 | n: 0.7**r * (0.1 + (n >= 4)) for r in range(16) for n in range(1, 8)}
+    return Table(code_lengths({**weights, 0x00: 0.5, 0xF0: 0.01}))
+
+
+@functools.cache
+def runs_table() -> Table:
+    """For refining passes in which no coefficient is new: runs of blocks that end."""
+    return Table({r << 4: min(r + 1, 15) for r in range(15)})
 
 
 # --- writing ---------------------------------------------------------------------------------------------
@@ -80,82 +133,176 @@ def packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(np.concatenate([bits, np.ones(-len(bits) % 8, np.uint8)]))
 
 
-def refining(low: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Correction bits of blocks without new coefficients: runs of end-of-band codes, then the blocks' bits."""
-    runs, out, at = [], [], 0
-    while at < len(low):
-        n = min(len(low) - at, 32767)
-        runs.append((n.bit_length() - 1, n, at))
-        at += n
-    kinds = sorted({k for k, _, _ in runs})
-    counts = [len(kinds) == 1, len(kinds) == 2]
-    # one code of one bit, or codes 0 and 10
-    table = part(0xC4, bytes([0x10, 1, 1 if counts[1] else 0, *[0] * 14, *(k << 4 for k in kinds)]))
-    for k, n, at in runs:
-        code = [0] if k == kinds[0] else [1, 0]
-        extra = [(n - (1 << k)) >> s & 1 for s in range(k - 1, -1, -1)]
-        out.append(np.array(code + extra, np.uint8))
-        out.append(low[at : at + n].ravel())
-    return table, packed(np.concatenate(out))
+#: Blocks between restart markers of scans that carry data.
+RESTART = 4
+#: First passes: component, band.
+BANDS = ((0, 1, 5), (1, 1, USED), (2, 1, USED), (0, 6, USED))
+
+
+@functools.cache
+def byte_values() -> np.ndarray:
+    """The coefficient of each byte: 0 for a blank, magnitudes from 2 on for the rest, positive and negative in turn."""
+    at = (np.arange(256) - 33) % 256
+    return np.where(np.arange(256) == 32, 0, (at // 2 + 2) * (1 - 2 * (at % 2))).astype(np.int32)
+
+
+@functools.cache
+def value_bytes() -> np.ndarray:
+    """The byte of each coefficient, from -129 on."""
+    out = np.zeros(259, np.uint8)
+    out[byte_values() + 129] = np.arange(256)
+    return out
+
+
+def laid_out(values: np.ndarray, lengths: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of all items in order, each run filled up with ones to whole bytes: the bytes, and where each run begins."""
+    total = np.bincount(run, lengths, n_runs).astype(np.int64)
+    size = -(-total // 8)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    upto = np.cumsum(lengths) - lengths
+    at = upto - (np.cumsum(total) - total)[run] + 8 * begin[run]
+    pad = 8 * size - total
+    some = np.flatnonzero(pad)
+    values, lengths = np.concatenate([values, (1 << pad[some]) - 1]), np.concatenate([lengths, pad[some]])
+    at = np.concatenate([at, 8 * begin[some] + total[some]])
+    # an item lies in one or two words of 32 bits; the bits of different items never meet, so sums are unions
+    word = at >> 5
+    wide = values.astype(np.uint64) << (64 - (at & 31) - lengths).astype(np.uint64)
+    n = int(begin[-1] // 4 + 2)
+    words = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
+    return words.astype(">u4").view(np.uint8)[: begin[-1]], begin
+
+
+def first_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entropy-coded blocks (rows of ``values``), whose runs between restart markers are numbered by ``run``."""
+    table, width = first_table(), values.shape[1]
+    block, k = np.nonzero(values)
+    value = values[block, k].astype(np.int64)
+    size = np.ceil(np.log2(np.abs(value) + 1)).astype(np.int64)
+    same = np.concatenate([[False], block[1:] == block[:-1]]) if len(block) else np.zeros(0, bool)
+    gap = k - np.where(same, np.concatenate([[0], k[:-1]]) if len(k) else k, -1) - 1
+    symbol = (gap % 16) << 4 | size
+    bits = np.where(value > 0, value, value + (1 << size) - 1)
+    long = np.repeat(np.flatnonzero(gap >= 16), (gap // 16)[gap >= 16])
+    last = np.full(len(values), -1)
+    last[block] = k
+    ends = np.flatnonzero(last < width - 1)
+    order = np.concatenate([block * 128 + 2 * k + 1, block[long] * 128 + 2 * k[long], ends * 128 + 127])
+    items = np.concatenate([table.code[symbol] << size | bits, np.full(len(long), table.code[0xF0]), np.full(len(ends), table.code[0])])
+    lengths = np.concatenate([table.length[symbol] + size, np.full(len(long), table.length[0xF0]), np.full(len(ends), table.length[0])])
+    by = np.argsort(order, kind="stable")
+    return laid_out(items[by], lengths[by], run[order[by] >> 7], n_runs)
+
+
+def refining_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lowest bits of all coefficients that are not 0: for each run of blocks one end-of-band code, then the bits."""
+    table, blocks = runs_table(), np.bincount(run, minlength=n_runs)
+    kind = np.floor(np.log2(blocks)).astype(np.int64)
+    head, width = table.code[kind << 4] << kind | (blocks - (1 << kind)), table.length[kind << 4] + kind
+    block, k = np.nonzero(values)
+    order = np.concatenate([np.arange(n_runs) * 2, run[block] * 2 + 1])
+    by = np.argsort(order, kind="stable")
+    items, lengths = np.concatenate([head, np.abs(values[block, k]) & 1]), np.concatenate([width, np.ones(len(block), np.int64)])
+    return laid_out(items[by], lengths[by], order[by] >> 1, n_runs)
+
+
+def marked(raw: np.ndarray, begin: np.ndarray, firsts: np.ndarray) -> list[bytes]:
+    """Each picture's scan data: zeros after 255, and restart markers before all its runs but the first (numbers ``firsts``)."""
+    n = len(begin) - 1
+    own = np.searchsorted(firsts, np.arange(n), side="right") - 1
+    later = np.flatnonzero(np.arange(n) != firsts[own])
+    number = (later - firsts[own[later]] - 1) % 8
+    full = np.flatnonzero(raw == 255) + 1
+    places = np.concatenate([full, np.repeat(begin[later], 2)])
+    out = np.insert(raw, places, np.concatenate([np.zeros(len(full), np.uint8), np.stack([np.full(len(later), 255), 0xD0 + number], 1).ravel()]).astype(np.uint8))
+    starts = begin[firsts] + np.searchsorted(np.sort(places), begin[firsts], side="right")
+    ends = np.append(starts[1:], len(out))
+    whole = out.tobytes()
+    return [whole[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+
+
+def runs_of(blocks: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
+    """The run between restart markers of every block of pictures with so many ``blocks``, the runs' number, and each picture's first."""
+    runs = -(-blocks // RESTART)
+    firsts = np.cumsum(runs) - runs
+    inside = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    return np.repeat(firsts, blocks) + inside // RESTART, int(runs.sum()), firsts
+
+
+def store_many(payloads: list[tuple[np.ndarray, int]]) -> list[bytes]:
+    """A progressive JPEG for each payload (whole units, true length); the comment keeps the true length."""
+    if not payloads:
+        return []
+    shapes = [layout(len(p) // UNIT) for p, _ in payloads]
+    units = np.array([a * d for a, d in shapes])
+    values = np.full(int(units.sum()) * UNIT, FILL, np.uint8)
+    cuts = np.cumsum(units) - units
+    planes_ = [[], [], []]
+    for (p, _), at, n in zip(payloads, cuts.tolist(), units.tolist()):
+        own = values[at * UNIT : (at + n) * UNIT]
+        own[: len(p)] = p
+        for c, (a, b) in enumerate(((0, 384), (384, 480), (480, 576))):
+            planes_[c].append(own[a * n : b * n])
+    planes_ = [byte_values()[np.concatenate(p)].reshape(-1, USED) for p in planes_]
+    blocks = [8 * units, 2 * units, 2 * units]
+    runs = [runs_of(b) for b in blocks]
+    coded = []
+    for c, first, last in BANDS:
+        own = planes_[c][:, first - 1 : last]
+        run, n, firsts = runs[c]
+        coded.append((scan_head(c, first, last, 0, 1), marked(*first_pass(np.sign(own) * (np.abs(own) >> 1), run, n), firsts)))
+    for c in range(3):
+        run, n, firsts = runs[c]
+        coded.append((scan_head(c, 1, USED, 1, 0), marked(*refining_pass(planes_[c], run, n), firsts)))
+    dc_table, ac, refining = part(0xC4, bytes([0, 1, *[0] * 15, 0])), part(0xC4, bytes([0x10]) + first_table().body), part(0xC4, bytes([0x10]) + runs_table().body)
+    out = []
+    for i, ((payload, n_bytes), (across, down)) in enumerate(zip(payloads, shapes)):
+        parts = [
+            b"\xff\xd8", part(0xFE, b"units %d bytes %d" % (len(payload) // UNIT, n_bytes)), part(0xDB, bytes([0]) + bytes([1] * 64)),
+            part(0xC2, struct.pack(">BHHB", 8, 16 * down, 32 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])), dc_table,
+            scan([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 0, packed(np.zeros(12 * across * down, np.uint8))), part(0xDD, struct.pack(">H", RESTART)), ac,
+        ]
+        for k, (head, data) in enumerate(coded):
+            if k == len(BANDS):
+                parts.append(refining)
+            parts += [head, data[i]]
+        out.append(b"".join([*parts, b"\xff\xd9"]))
+    return out
+
+
+def scan_head(c: int, first: int, last: int, high: int, low: int) -> bytes:
+    return part(0xDA, bytes([1, c + 1, 0, first, last, high << 4 | low]))
 
 
 def store(payload: np.ndarray, n_bytes: int) -> bytes:
-    """A progressive JPEG that holds ``payload`` (whole units); the comment keeps the true length."""
-    n_units = len(payload) // UNIT
-    across, down = layout(n_units)
-    filled = np.full(across * down * UNIT, FILL, np.uint8)
-    filled[: len(payload)] = payload
-    blocks = across * down
-    planes = [filled[: 384 * blocks], filled[384 * blocks : 480 * blocks], filled[480 * blocks :]]
-    planes = [p.reshape(-1, USED) for p in planes]
-    out = [
-        b"\xff\xd8",
-        part(0xFE, b"units %d bytes %d" % (n_units, n_bytes)),
-        part(0xDB, bytes([0]) + bytes([1] * 64)),
-        part(0xC2, struct.pack(">BHHB", 8, 16 * down, 32 * across, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])),
-        one_symbol_table(0, 0, 0),
-    ]
-    dc = packed(np.zeros(12 * blocks, np.uint8))
-    out.append(scan([(1, 0), (2, 0), (3, 0)], 0, 0, 0, 0, dc))
-    # the first pass has the upper seven bits: magnitude halved, and the complement where negative, is the byte's
-    # own upper bits for positive ones (128..255) and those of byte for negative ones (byte - 255)
-    out.append(one_symbol_table(1, 0, 7))
-    magnitude = [np.where(p >= 128, p, 255 - p) for p in planes]
-    for c, first, last in ((0, 1, 5), (1, 1, USED), (2, 1, USED), (0, 6, USED)):
-        own, size = planes[c][:, first - 1 : last], magnitude[c][:, first - 1 : last] >> 1
-        out.append(scan([(c + 1, 0)], first, last, 0, 1, np.where(own >= 128, size, 127 - size).ravel()))
-    for c, m in enumerate(magnitude):
-        table, data = refining((m & 1).astype(np.uint8))
-        out += [table, scan([(c + 1, 0)], 1, USED, 1, 0, data)]
-    return b"".join([*out, b"\xff\xd9"])
+    return store_many([(payload, n_bytes)])[0]
 
 
 # --- reading ---------------------------------------------------------------------------------------------
 
 
 class Bits:
-    """Bit by bit, for tables that are not uniform."""
+    """Bits of entropy-coded data, up to sixteen at a time; zeros follow its end."""
 
     def __init__(self, raw: np.ndarray):
-        self.bits, self.at = np.unpackbits(raw).tolist(), 0
-
-    def one(self) -> int:
-        self.at += 1
-        return self.bits[self.at - 1] if self.at <= len(self.bits) else 0
+        self.raw, self.at = raw.tobytes() + bytes(8), 0
+        self.last = 8 * len(raw)
 
     def take(self, n: int) -> int:
-        value = 0
-        for _ in range(n):
-            value = value << 1 | self.one()
+        window = int.from_bytes(self.raw[self.at >> 3 : (self.at >> 3) + 4], "big") if self.at < self.last else 0
+        value = window >> (32 - n - (self.at & 7)) & ((1 << n) - 1)
+        self.at += n
         return value
 
-    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | self.one()
-            if (n, code) in codes:
-                return codes[n, code]
-        raise ValueError("no such Huffman code")
+    def one(self) -> int:
+        return self.take(1)
+
+    def symbol(self, table: np.ndarray) -> int:
+        found = int(table[self.take(16)])
+        if not found:
+            raise ValueError("no such Huffman code")
+        self.at += (found >> 8) - 16
+        return found & 255
 
 
 def signed(value: int, size: int) -> int:
@@ -171,7 +318,7 @@ class Component:
         self.across, self.down = mcu_w * self.h, mcu_h * self.v  # blocks that are stored
         self.own_across = -(-(-(-width * self.h // most_h)) // 8)  # blocks of a scan of this component alone
         self.own_down = -(-(-(-height * self.v // most_v)) // 8)
-        self.coefficients = np.zeros((self.down, self.across, 64), np.int32)
+        self.coefficients = np.zeros((0, 0, 64), np.int32)
 
 
 class Image:
@@ -180,10 +327,15 @@ class Image:
 
     def __init__(self) -> None:
         self.tables: dict[int, np.ndarray] = {}
-        self.codes: dict[tuple[int, int], dict[tuple[int, int], int]] = {}
+        self.codes: dict[tuple[int, int], bytes] = {}
+        self.scans: list[tuple] = []
         self.components: list[Component] = []
         self.restart = 0
 
+    def allocate(self) -> None:
+        for c in self.components:
+            c.coefficients = np.zeros((c.down, c.across, 64), np.int32)
+
 
 def block_order(image: Image, chosen: list[Component]) -> list[tuple[int, int, int]]:
     """(component, row, column) of each block of a scan, in order."""
@@ -196,50 +348,8 @@ def block_order(image: Image, chosen: list[Component]) -> list[tuple[int, int, i
     ]
 
 
-def uniform(codes: dict | None) -> int | None:
-    """The symbol of a table that has one code, of one bit."""
-    return next(iter(codes.values())) if codes and len(codes) == 1 and (1, 0) in codes else None
-
-
-def read_scan(image: Image, chosen: list[tuple[Component, int, int]], first: int, last: int, high: int, low: int, raw: np.ndarray) -> None:
-    parts = [c for c, _, _ in chosen]
-    alone = parts[0] if len(parts) == 1 else None
-    width = last - first + 1
-    if not image.restart and first == 0:
-        symbols = {uniform(image.codes.get((0, dc))) for _, dc, _ in chosen}
-        if high == 0 and symbols == {0}:
-            return  # every difference is zero
-        if high:
-            n = alone.own_down * alone.own_across if alone else sum(c.down * c.across for c in parts)
-            got = np.unpackbits(raw, count=n)
-            if got.any():
-                for (i, r, k), bit in zip(block_order(image, parts), got.tolist()):
-                    parts[i].coefficients[r, k, 0] |= bit << low
-            return
-    if alone is not None and not image.restart and first:
-        symbol, n = uniform(image.codes.get((1, chosen[0][2]))), alone.own_down * alone.own_across
-        view = alone.coefficients[: alone.own_down, : alone.own_across, first : last + 1]
-        if high == 0 and symbol and symbol < 16:  # no runs: each coefficient is a 0 bit and `symbol` more
-            if symbol == 7:
-                value = raw[: n * width].astype(np.int32)
-            else:
-                cells = np.unpackbits(raw, count=n * width * (symbol + 1)).reshape(-1, symbol + 1)[:, 1:]
-                value = cells.astype(np.int32) @ (1 << np.arange(symbol - 1, -1, -1))
-            value -= np.where(value >> (symbol - 1), 0, (1 << symbol) - 1)
-            view[...] = (value * (1 << low)).reshape(view.shape)
-            return
-        if high and symbol is not None and symbol % 16 == 0 and symbol >> 4 < 15 and np.all(view):
-            # every coefficient is known already: an end-of-band run, then one bit for each
-            run = symbol >> 4
-            head = np.unpackbits(raw, count=1 + run)
-            if (1 << run) + int("0" + "".join(map(str, head[1:])), 2) == n:
-                bit = np.unpackbits(raw, count=1 + run + n * width)[1 + run :].reshape(view.shape).astype(np.int32) << low
-                view += np.where(view > 0, bit, -bit)
-                return
-    slow_scan(image, chosen, first, last, high, low, raw)
-
-
-def slow_scan(image: Image, chosen, first: int, last: int, high: int, low: int, raw: np.ndarray) -> None:
+def read_scan(image: Image, chosen: list, first: int, last: int, high: int, low: int, raw: np.ndarray) -> None:
+    """One scan, symbol by symbol; ``chosen`` has components with the prefixes of their DC and AC tables."""
     parts = [c for c, _, _ in chosen]
     bits, previous, run = Bits(raw), [0] * len(parts), 0
     unit = sum(c.h * c.v for c in parts) if len(parts) > 1 else 1
@@ -251,11 +361,11 @@ def slow_scan(image: Image, chosen, first: int, last: int, high: int, low: int,
             if high:
                 block[0] |= bits.one() << low
             else:
-                size = bits.symbol(image.codes[0, chosen[i][1]])
+                size = bits.symbol(chosen[i][1])
                 previous[i] += signed(bits.take(size), size)
                 block[0] = previous[i] * (1 << low)
             continue
-        codes, at = image.codes[1, chosen[i][2]], first
+        codes, at = chosen[i][2], first
         step = 1 << low
         if high == 0:
             if run:
@@ -302,20 +412,18 @@ def slow_scan(image: Image, chosen, first: int, last: int, high: int, low: int,
             run -= 1
 
 
-def decode_coefficients(data: bytes) -> Image:
-    """All scans of a progressive JPEG gathered into coefficient arrays (in scan order within a block)."""
-    raw = np.frombuffer(data, np.uint8)
-    image, at = Image(), 2
-    # markers that end a scan's data: neither stuffing nor a restart
-    marks = np.flatnonzero(raw[:-1] == 255)
-    after = raw[marks + 1]
-    marks = marks[(after != 0) & ((after < 0xD0) | (after > 0xD7)) & (after != 255)]
+SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
+
+
+def read_markers(data: bytes) -> Image:
+    """The picture's tables, components and scans; entropy-coded data stay as they are."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
+    image, at = Image(), 2
     while True:
-        while data[at] == 255 and data[at + 1] == 255:
+        while data[at : at + 2] == b"\xff\xff":
             at += 1
-        if data[at] != 255:
+        if data[at : at + 1] != b"\xff":
             raise ValueError("a marker is missing")
         marker = data[at + 1]
         if marker == 0xD9:
@@ -335,14 +443,9 @@ def decode_coefficients(data: bytes) -> Image:
         elif marker == 0xC4:
             k = 0
             while k < len(body):
-                counts, codes, code, place = body[k + 1 : k + 17], {}, 0, k + 17
-                for n, count in enumerate(counts, 1):
-                    for _ in range(count):
-                        codes[n, code] = body[place]
-                        code, place = code + 1, place + 1
-                    code <<= 1
-                image.codes[body[k] >> 4, body[k] & 15] = codes
-                k = place
+                end = k + 17 + sum(body[k + 1 : k + 17])
+                image.codes[body[k] >> 4, body[k] & 15] = body[k + 1 : end]
+                k = end
         elif marker == 0xC2:
             _, image.height, image.width, n = struct.unpack_from(">BHHB", body)
             image.components = [Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
@@ -352,18 +455,158 @@ def decode_coefficients(data: bytes) -> Image:
             raise ValueError("only progressive Huffman JPEG")
         elif marker == 0xDA:
             n = body[0]
-            named = {c.number: c for c in image.components}
-            chosen = [(named[body[1 + 2 * i]], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(n)]
+            named = {c.number: i for i, c in enumerate(image.components)}
+            chosen = tuple((named[body[1 + 2 * i]], image.codes.get((0, body[2 + 2 * i] >> 4)), image.codes.get((1, body[2 + 2 * i] & 15))) for i in range(n))
             first, last, approx = body[1 + 2 * n : 4 + 2 * n]
-            end = int(marks[np.searchsorted(marks, at)])
-            coded = raw[at:end]
-            if image.restart:
-                keep = np.ones(len(coded), bool)
-                for m in np.flatnonzero((coded[:-1] == 255) & (coded[1:] >= 0xD0) & (coded[1:] <= 0xD7)):
-                    keep[m : m + 2] = False
-                coded = coded[keep]
-            read_scan(image, chosen, first, last, approx >> 4, approx & 15, unstuff(coded))
-            at = end
+            found = SCAN_END.search(data, at)
+            if not found:
+                raise ValueError("a marker is missing")
+            image.scans.append(((chosen, first, last, approx >> 4, approx & 15, image.restart), at, found.start()))
+            at = found.start()
+
+
+def decode_coefficients(data: bytes) -> Image:
+    """All scans of a progressive JPEG gathered into coefficient arrays (in scan order within a block)."""
+    image = read_markers(data)
+    image.allocate()
+    raw = np.frombuffer(data, np.uint8)
+    for (chosen, first, last, high, low, restart), a, b in image.scans:
+        coded = raw[a:b]
+        if restart:
+            keep = np.ones(len(coded), bool)
+            for m in np.flatnonzero((coded[:-1] == 255) & (coded[1:] >= 0xD0) & (coded[1:] <= 0xD7)):
+                keep[m : m + 2] = False
+            coded = coded[keep]
+        image.restart = restart
+        table = lambda body: None if body is None else Table.prefixes(body)
+        read_scan(image, [(image.components[i], table(dc), table(ac)) for i, dc, ac in chosen], first, last, high, low, unstuff(coded))
+    return image
+
+
+class Lanes:
+    """The stretches between restart markers of one scan of many pictures, side by side."""
+
+    def __init__(self, pieces: list[bytes], blocks: np.ndarray, restart: int):
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        edge = np.cumsum([0, *map(len, pieces)])
+        full = np.flatnonzero(raw[:-1] == 255)
+        after = raw[full + 1]
+        marks = full[(after >= 0xD0) & (after <= 0xD7)]
+        keep = np.ones(len(raw), bool)
+        keep[full[after == 0] + 1] = False
+        keep[marks] = keep[marks + 1] = False
+        place = np.concatenate([[0], np.cumsum(keep)])
+        self.at = 8 * place[np.sort(np.concatenate([edge[:-1], marks + 2]))]
+        clean = np.concatenate([raw[keep], np.zeros(8, np.uint8)]).astype(np.int64)
+        self.words = clean[:-3] << 24 | clean[1:-2] << 16 | clean[2:-1] << 8 | clean[3:]
+        runs = -(-blocks // restart)
+        self.sound = len(self.at) == runs.sum()
+        begin = np.repeat(np.cumsum(blocks) - blocks, runs)
+        inside = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+        self.first = begin + inside * restart
+        self.count = np.minimum(restart, np.repeat(blocks, runs) - inside * restart)
+
+    def bits(self, at: np.ndarray, n) -> np.ndarray:
+        """``n`` bits (up to 25) at each place."""
+        return self.words[np.minimum(at >> 3, len(self.words) - 1)] >> (32 - n - (at & 7)) & ((1 << n) - 1)
+
+    def first_pass(self, out: np.ndarray, low: int, table: np.ndarray) -> None:
+        """Fill ``out`` (blocks, band): one symbol of every lane a step, until all lanes are through."""
+        width = out.shape[1]
+        at, block, end, k = self.at.copy(), self.first.copy(), self.first + self.count, np.zeros(len(self.at), np.int64)
+        while len(at):
+            found = table[self.bits(at, 16)]
+            if not found.all():
+                raise ValueError("no such Huffman code")
+            run, size = found >> 4 & 15, found & 15
+            at += found >> 8
+            ends = (size == 0) & (run < 15)
+            n = np.where(ends, run, size)
+            extra = self.bits(at, n)
+            at += n
+            k += np.where(ends, 0, run)
+            here = np.flatnonzero(size)
+            if len(here):
+                s, e = size[here], extra[here]
+                if (k[here] >= width).any():
+                    raise ValueError("a run leaves its band")
+                out[block[here], k[here]] = np.where(e >> (s - 1), e, e - (1 << s) + 1) << low
+            k += ~ends
+            block += np.where(ends, (1 << run) + extra, 0)
+            over = k >= width
+            block += over & ~ends
+            k[over | ends] = 0
+            if (active := block < end).sum() < 0.8 * len(at) or not active.any():
+                at, block, end, k = at[active], block[active], end[active], k[active]
+            elif not active.all():
+                # lanes that are through read on in place until they are taken out
+                stay = ~active
+                block[stay], at[stay], k[stay] = end[stay], at[stay], 0
+                at, block, end, k = at[active], block[active], end[active], k[active]
+
+    def refining_pass(self, out: np.ndarray, low: int, table: np.ndarray) -> bool:
+        """Add the bits of coefficients that are there; False, and nothing done, if a lane is not one end-of-band run."""
+        found = table[self.bits(self.at, 16)]
+        run = found >> 4 & 15
+        at = self.at + (found >> 8)
+        if ((found == 0) | (found & 15 != 0) | (run == 15)).any() or ((1 << run) + self.bits(at, run) != self.count).any():
+            return False
+        at += run
+        block, k = np.nonzero(out)
+        lane = np.searchsorted(self.first, block, side="right") - 1
+        upto = np.searchsorted(lane, np.arange(len(at)))
+        bit = self.bits(at[lane] + np.arange(len(block)) - upto[lane], 1) << low
+        value = out[block, k]
+        out[block, k] = np.where(value > 0, value + bit, value - bit)
+        return True
+
+
+def decode_many(datas: list[bytes]) -> list[Image]:
+    """As `decode_coefficients`, for many pictures: those with the same scans and restart markers are read side by side."""
+    images = [read_markers(d) for d in datas]
+    alike: dict[tuple, list[int]] = {}
+    for i, image in enumerate(images):
+        alike.setdefault((tuple((c.number, c.h, c.v) for c in image.components), tuple(s[0] for s in image.scans)), []).append(i)
+    for (_, scans), members in alike.items():
+        if not side_by_side([images[i] for i in members], [datas[i] for i in members], scans):
+            for i in members:
+                images[i] = decode_coefficients(datas[i])
+    return images
+
+
+def side_by_side(images: list[Image], datas: list[bytes], scans: tuple) -> bool:
+    if any(c.own_across != c.across or c.own_down != c.down for image in images for c in image.components):
+        return False
+    blocks = [np.array([image.components[c].across * image.components[c].down for image in images]) for c in range(len(images[0].components))]
+    every = [np.zeros((int(n.sum()), 64), np.int32) for n in blocks]
+    for k, (chosen, first, last, high, low, restart) in enumerate(scans):
+        pieces = [d[image.scans[k][1] : image.scans[k][2]] for image, d in zip(images, datas)]
+        if first == 0:
+            # differences that are all zero, in one bit each
+            if high or any(Table.prefixes(dc)[0] != 1 << 8 for _, dc, _ in chosen) or any(p.strip(b"\0") not in (b"", *FILLED) for p in pieces):
+                return False
+            continue
+        if len(chosen) != 1 or not restart:
+            return False
+        c, _, body = chosen[0]
+        lanes, table = Lanes(pieces, blocks[c], restart), Table.prefixes(body)
+        if not lanes.sound:
+            return False
+        band = every[c][:, first : last + 1]
+        if not high:
+            lanes.first_pass(band, low, table)
+        elif not lanes.refining_pass(band, low, table):
+            return False
+    for c, n in enumerate(blocks):
+        ends = np.cumsum(n)
+        for image, a, b in zip(images, (ends - n).tolist(), ends.tolist()):
+            own = image.components[c]
+            own.coefficients = every[c][a:b].reshape(own.down, own.across, 64)
+    return True
+
+
+#: Last bytes of data whose bits are zeros, filled up with ones.
+FILLED = tuple(bytes([(1 << n) - 1]) for n in range(1, 8))
 
 
 def planes(image: Image) -> list[np.ndarray]:
@@ -397,13 +640,18 @@ def rgb(image: Image) -> np.ndarray:
     return out
 
 
-def restore(data: bytes) -> tuple[np.ndarray, int, Image]:
-    """The payload, its unpadded length, and the image it lies in."""
-    image = decode_coefficients(data)
+def payload_of(image: Image) -> tuple[np.ndarray, int]:
+    """The payload that `store_many` put into a picture, and its unpadded length."""
     words = image.comment.split()
     n_units, n_bytes = int(words[1]), int(words[3])
     values = np.concatenate([c.coefficients[: c.own_down, : c.own_across, 1 : USED + 1].reshape(-1) for c in image.components])
-    return np.where(values > 0, values, values + 255).astype(np.uint8)[: n_units * UNIT], n_bytes, image
+    return value_bytes()[values + 129][: n_units * UNIT], n_bytes
+
+
+def restore(data: bytes) -> tuple[np.ndarray, int, Image]:
+    """The payload, its unpadded length, and the image it lies in."""
+    image = decode_many([data])[0]
+    return *payload_of(image), image
 
 
 # --- columns ---------------------------------------------------------------------------------------------
@@ -429,46 +677,33 @@ def feature(pixels: np.ndarray) -> str:
 
 
 def media(docs: DataFrame) -> DataFrame:
-    """doc_id, media (the JPEG), height, width, and pixels (height x width x 3 bytes) of every text."""
+    """doc_id, media (the JPEG), payload and n_bytes as read back from it, height, width, pixels (height x width x 3 bytes) and feature of every text.
+
+    A null text is an empty one, whose payload is a unit of 255. Repeated rows stay; other columns are not kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, doc_ids = string_column(batch, "text"), batch.column(batch.schema.get_field_index("doc_id"))
             for a, b in slices(texts, 1_000_000):
-                stored = [store(*padded(t)) for t in texts.slice(a, b - a).to_pylist()]
-                pixels = [rgb(decode_coefficients(s)) for s in stored]
+                stored = store_many([padded(t) for t in texts.slice(a, b - a).to_pylist()])
+                images = decode_many(stored)
+                back, pixels = [payload_of(i) for i in images], [rgb(i) for i in images]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        doc_ids.slice(a, b - a), pa.array(stored, pa.binary()), pa.array([p.shape[0] for p in pixels], pa.int32()),
-                        pa.array([p.shape[1] for p in pixels], pa.int32()), pa.array([p.tobytes() for p in pixels], pa.binary()),
+                        doc_ids.slice(a, b - a), pa.array(stored, pa.binary()), pa.array([p.tobytes() for p, _ in back], pa.binary()), pa.array([n for _, n in back], pa.int64()), pa.array([p.shape[0] for p in pixels], pa.int32()),
+                        pa.array([p.shape[1] for p in pixels], pa.int32()), pa.array([p.tobytes() for p in pixels], pa.binary()), pa.array([feature(p) for p in pixels], pa.string()),
                     ],
-                    ["doc_id", "media", "height", "width", "pixels"],
+                    ["doc_id", "media", "payload", "n_bytes", "height", "width", "pixels", "feature"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary, height int, width int, pixels binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, media binary, payload binary, n_bytes long, height int, width int, pixels binary, feature string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Store every text as a JPEG, read it back, and tell payload, stored form and picture by digest.
-
-    A null text is an empty one, whose payload is a unit of 255. The media live in the worker only.
-    """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, doc_ids = string_column(batch, "text"), batch.column(batch.schema.get_field_index("doc_id"))
-            for a, b in slices(texts, 4_000_000):
-                rows = []
-                for text in texts.slice(a, b - a).to_pylist():
-                    stored = store(*padded(text))
-                    payload, n, image = restore(stored)
-                    rows.append((
-                        n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]),
-                        len(stored), hashlib.sha256(stored).hexdigest(), feature(rgb(image)),
-                    ))
-                columns = [pa.array(c) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), *columns], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    """`media`'s columns by digest: stored form, payload read back, and full-resolution pixels."""
+    size = lambda c: F.octet_length(c).cast("long")
+    return media(docs).select(
+        "doc_id", "n_bytes", size("payload").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring(F.col("payload"), F.octet_length("payload") - 31, F.lit(32))).alias("tail_crc32"), size("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        "feature", F.sha2("pixels", 256).alias("pixels_sha256"),
+    )

@@ -20,13 +20,27 @@ def test_round_trip(data):
     assert n == len(data) and got.tobytes() == payload.tobytes()
 
 
-def test_the_bitwise_reader_agrees_with_the_whole_array_one(monkeypatch):
-    stored = [jpeg.store(*jpeg.padded(t)) for _, t in documents(4)]
-    fast = [jpeg.decode_coefficients(s) for s in stored]
-    monkeypatch.setattr(jpeg, "uniform", lambda codes: None)
-    for s, f in zip(stored, fast):
-        for a, b in zip(jpeg.decode_coefficients(s).components, f.components):
+def test_pictures_side_by_side_are_read_as_one_by_one():
+    texts = [t for _, t in documents(5)] + ["", "   ", " " * 700, "\u00ff" * 300, "abc " * 400]
+    stored = jpeg.store_many([jpeg.padded(t) for t in texts])
+    assert stored == [jpeg.store(*jpeg.padded(t)) for t in texts]
+    for s, t, many in zip(stored, texts, jpeg.decode_many([*stored, *stored])):
+        one = jpeg.decode_coefficients(s)
+        for a, b in zip(one.components, many.components):
             assert (a.coefficients == b.coefficients).all()
+        assert jpeg.payload_of(one)[0].tobytes() == jpeg.padded(t)[0].tobytes()
+    # codes of several lengths, runs of zeros, ends of bands and restart markers are all there
+    image = jpeg.read_markers(stored[0])
+    assert len(set(jpeg.first_table().length.tolist())) > 6 and b"\xff\xd0" in stored[0]
+    assert [s[0][1:5] for s in image.scans] == [(0, 0, 0, 0), (1, 5, 0, 1), (1, 48, 0, 1), (1, 48, 0, 1), (6, 48, 0, 1), (1, 48, 1, 0), (1, 48, 1, 0), (1, 48, 1, 0)]
+
+
+def test_every_byte_in_every_place():
+    payload = np.tile(np.arange(256, dtype=np.uint8), 9 * 48)[: 576 * 192]
+    blanks = payload.copy()
+    blanks[np.random.default_rng(1).random(len(blanks)) < 0.7] = 32
+    for p in (payload, blanks, np.full(576, 32, np.uint8)):
+        assert (jpeg.restore(jpeg.store(p, len(p)))[0] == p).all()
 
 
 def code_bits(value, size):
