@@ -5,7 +5,7 @@ The relations, with n-grams as 64-bit hashes:
 * documents fall into blocks by a hash of their text; a block's distinct n-grams with their counts are exploded to rows (part, block, n, gram, count), where ``part`` is a range of
   the hash. They travel as arrays, one row for a block's n-grams of a part, and are exploded where they arrive;
 * the count tables, partitioned by that range, sum the counts of each n-gram over all blocks;
-* the exploded n-grams are joined with the count tables on the n-gram, in the same partitioning, and the totals go back to their blocks, where each document sums the scores of
+* the exploded n-grams are joined with the count tables on the n-gram, within a part, and the totals go back to their blocks, where each document sums the scores of
   its positions.
 
 A position's score is count(n-gram) / count(context) of the highest order whose n-gram was counted ``least`` times or more, times ``alpha`` for each order given up; single words
@@ -19,20 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm.bulk import slices, string_column
-from mnemospark.llm.shared import materialize
+from mnemospark.llm.shared import settled
 from mnemospark.llm.shingles import STEP, mix, words
 
 ORDER, ALPHA, LEAST = 3, 0.4, 2
 #: Bits of an n-gram's hash, its only identity: all there are. Among 10**9 different n-grams 0.03 pairs are expected to be
 #: taken for one, among 3 * 10**9 0.24.
 HASH_BITS = 64
-ALL_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 #: Bytes of text in a block and n-grams in a partition of the tables, about.
-BLOCK_BYTES, PARTITION_GRAMS = 24_000_000, 1_000_000
+BLOCK_BYTES, PARTITION_GRAMS = 16_000_000, 1_000_000
 
 
 def grams(hashes: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,26 +125,17 @@ def part_of(found: np.ndarray, parts: int) -> np.ndarray:
 def joined(counted: DataFrame, parts: int) -> DataFrame:
     """(part, block, n, gram, total) of each of a block's n-grams; ``counted`` has a block's n-grams of a part in a row.
 
-    The n-grams are exploded, summed to the count tables and joined with them within their part, if the planner takes
-    partitions by one of a join's keys for partitions by all (`totals` has it do so); otherwise it shuffles them once more.
+    The n-grams are exploded where they arrive. The count tables are partitioned by ``part``, as the n-grams are, so summing and joining are one sort within
+    a part: rows of one n-gram stand together, and each gets their sum. A join of two plans would shuffle the n-grams, and make them, twice.
     """
     rows = counted.repartition(parts, "part").select("part", "block", "n", F.inline(F.arrays_zip(F.col("grams").alias("gram"), F.col("counts").alias("count"))))
-    tables = rows.groupBy("part", "n", "gram").agg(F.sum("count").alias("total"), F.max("block").alias("last"))
-    # a part's table is of bounded size, so it is hashed and nothing is sorted
-    # both sides ask for all columns (the conditions hold for every row), so that both read one shuffle
-    return rows.where("count > 0").join(tables.hint("shuffle_hash"), ["part", "n", "gram"]).where("last >= 0").select("part", "block", "n", "gram", "total")
+    return rows.select("part", "block", "n", "gram", F.sum("count").over(Window.partitionBy("part", "n", "gram")).alias("total"))
 
 
 def totals(counted: DataFrame, parts: int) -> DataFrame:
-    """(block, n, part, totals): the corpus's counts of each block's n-grams in the order of the n-grams, written once."""
-    conf = counted.sparkSession.conf
-    before = conf.get(ALL_KEYS)
-    conf.set(ALL_KEYS, "false")
-    try:
-        found = joined(counted, parts).groupBy("part", "block", "n").agg(F.array_sort(F.collect_list(F.struct("gram", "total"))).alias("found"))
-        return materialize(found.select("block", "n", "part", F.col("found.total").alias("totals")), "totals")
-    finally:
-        conf.set(ALL_KEYS, before)
+    """(block, n, part, totals): the corpus's counts of each block's n-grams in the order of the n-grams."""
+    found = joined(counted, parts).groupBy("part", "block", "n").agg(F.array_sort(F.collect_list(F.struct("gram", "total"))).alias("found"))
+    return found.select("block", "n", "part", F.col("found.total").alias("totals"))
 
 
 def score_block(order: int, alpha: float, least: int, total: int):
@@ -205,8 +195,11 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     rows = rows.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int"))
     table = "part int, block int, n int, grams array<long>, counts array<int>"
     replies = totals(rows.groupBy("block").applyInArrow(count_first(range(1, min(order, 2) + 1), parts), table), parts)
+    # several steps need the totals, so all but the last order's are written, and their shuffles go
+    replies = settled(replies, "totals") if order > 2 else replies
     for n in range(3, order + 1):
-        replies = replies.union(totals(rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(count_next(n, parts, least), table), parts))
+        more = totals(rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(count_next(n, parts, least), table), parts)
+        replies = replies.union(settled(more, "totals") if n < order else more)
     schema = "doc_id long, n_words long, log10_score double, mean_log10 double" + "".join(f", n_order{n} long" for n in range(1, order + 1))
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(order, alpha, least, total), schema)
 

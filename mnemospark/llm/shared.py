@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -51,6 +52,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """As `materialize`, and the shuffles that made the table are let go.
+
+    Shuffle files stay until the driver collects its garbage, which on a large job may be hours; once the table is written nothing needs them.
+    """
+    written = materialize(df, name)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
+    return written
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], counts: DataFrame | None = None, most: int = 1000) -> DataFrame:
     """``left`` left-joined with ``right`` (one row a ``key``), without a task that gets all rows of a hot key.
 
