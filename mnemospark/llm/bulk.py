@@ -9,6 +9,8 @@ library whole. Both ways give the ids of ``Tokenizer.encode(text, add_special_to
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import re
 
 import numpy as np
@@ -26,7 +28,7 @@ IRREGULAR = (
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r",.;:!?|*%$#&"
 #: Characters of text handled together; bounds a worker's memory.
-SLICE_CHARS = 6_000_000
+SLICE_CHARS = 2_000_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -142,6 +144,18 @@ class BulkEncoder:
         return out, ends
 
 
+@functools.cache
+def trim():
+    """The C library's call that returns free memory to the system, or nothing where it has none."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def hand_back() -> None:
+    """Return what a batch no longer needs: workers stay for later stages, and what they hold counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    trim()(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_CHARS):
     """(from, to) runs of rows that hold at most ``most`` bytes each, or one row."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -151,6 +165,7 @@ def slices(texts: pa.Array, most: int = SLICE_CHARS):
         end = max(begin + 1, int(np.searchsorted(size, before + most, side="right")))
         yield begin, end
         begin = end
+    hand_back()
 
 
 def string_column(batch: pa.RecordBatch, name: str) -> pa.Array:
