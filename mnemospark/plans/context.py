@@ -8,7 +8,7 @@ from mnemospark.operators import context as X
 from mnemospark.operators import history as H
 from mnemospark.operators import privacy as P
 from mnemospark.plans.history import ENTRIES, T
-from mnemospark.plans.registry import query
+from mnemospark.plans.registry import ORACLES, query
 
 #: What requests say besides a benchmark passage, by item.
 SAYINGS = (
@@ -170,7 +170,18 @@ def iso_dates(t):
     return t.events.select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("created_ms"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
-@query()
+# the retrieval of `hybrid_retrieval`, within 400 tokens
+EVIDENCE = ORACLES["hybrid_retrieval"].replace("<= 600", "<= 400")
+
+
+@query(
+    f"with recursive {ENTRIES}, hy as ({EVIDENCE}), tu as (select *, count(*) filter (where role = 'user') over (partition by session_id order by created_at) turn from e), co as (select session_id, turn, cast(sum(tokens) as bigint) cost, max(turn) over (partition by session_id) cur from tu group by session_id, turn), "
+    "sp as (select *, sum(cost) over (partition by session_id order by turn desc) spent, coalesce(sum(case when turn < cur then cost end) over (partition by session_id order by turn desc), 0) older from co), tk as (select * from sp where turn = cur or (older <= 500 and spent <= 1200)), rs as (select session_id, greatest(0, 1200 - max(spent)) rest from tk group by 1), "
+    "rc as (select tu.session_id, entry_id, case when tk.turn = cur then 'current' else 'recent' end reason from tu join tk using (session_id, turn)), "
+    "ca as (select hy.session_id, hy.entry_id, hy.tokens, rest, row_number() over (partition by hy.session_id order by place) r from hy join rs on rs.session_id = hy.session_id where hy.entry_id not in (select entry_id from rc)), "
+    "fo as (select session_id, entry_id, r, tokens <= rest ok, case when tokens <= rest then tokens else 0 end used, cast(tokens <= rest as int) n from ca where r = 1 union all select ca.session_id, ca.entry_id, ca.r, used + ca.tokens <= rest and n < 6, used + case when used + ca.tokens <= rest and n < 6 then ca.tokens else 0 end, "
+    "n + cast(used + ca.tokens <= rest and n < 6 as int) from fo join ca on ca.session_id = fo.session_id and ca.r = fo.r + 1) select * from rc union all select session_id, entry_id, 'retrieved' from fo where ok"
+)
 def context_plan(t):
     """Current turn, recent turns, then evidence in one window."""
     return X.plan(H.entries(t.conversations))

@@ -244,3 +244,47 @@ def file_replacement(t):
     rows = snippets.select("path", "snippet_id", "stale")
     fresh = snippets.where("start_line = 1").join(changed.select("path"), "path", "left_semi").select("path", "snippet_id")
     return K.replaced(rows, changed, fresh).select("path", "snippet_id", "stale")
+
+
+VECTORS = (
+    "sv as (select 'v' || vec_id % 200 source_key, 'h' || vec_id % 3 source_hash, case when vec_id % 11 = 0 then [1.0::float] when vec_id % 13 = 0 then list_transform(embedding, lambda x: 0::float) else embedding end vector, vec_id \"at\" from embeddings), "
+    "so as (select distinct 'v' || doc_id % 250 source_key, 'h' || doc_id % 3 source_hash, case when doc_id % 250 % 17 = 0 then ' ' else 'text' end text from documents)"
+)
+
+
+def vectors(t):
+    from mnemospark.sources import sinks
+
+    k, e = F.col("vec_id"), F.col("embedding")
+    vector = F.when(k % 11 == 0, F.array(F.lit(1.0).cast("float"))).when(k % 13 == 0, F.transform(e, lambda x: F.lit(0.0).cast("float"))).otherwise(e)
+    stored = t.embeddings.select(F.concat(F.lit("v"), (k % 200).cast("string")).alias("source_key"), F.concat(F.lit("h"), (k % 3).cast("string")).alias("source_hash"), vector.alias("vector"), k.alias("at"))
+    d = F.col("doc_id")
+    sources = t.documents.select(F.concat(F.lit("v"), (d % 250).cast("string")).alias("source_key"), F.concat(F.lit("h"), (d % 3).cast("string")).alias("source_hash"), F.when(d % 250 % 17 == 0, " ").otherwise("text").alias("text")).distinct()
+    return sinks, stored, sources
+
+
+@query(
+    f"with {VECTORS}, so2 as (select * from so where length(trim(text)) > 0), kn as (select distinct source_key, source_hash from sv where len(vector) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0), fi as (select source_key, source_hash from so2 order by 1, 2 limit 150) "
+    "select source_key, source_hash, case when fi.source_key is null then 'beyond' when kn.source_key is not null then 'cached' when ends_with(source_key, '7') then 'private' else 'embed' end \"action\" from so2 left join fi using (source_key, source_hash) left join kn using (source_key, source_hash)"
+)
+def semantic_sync(t):
+    """What an index run does with each source: keep its vector, hold it back, embed it, or leave it beyond the limit."""
+    sinks, stored, sources = vectors(t)
+    return sinks.sync_plan(sources, stored, ~F.endswith("source_key", F.lit("7")), 150, 64).select("source_key", "source_hash", "action")
+
+
+@query(
+    f"with {VECTORS}, nw as (select * from sv where \"at\" % 2 = 0 and len(vector) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0), al as (select source_key, source_hash, \"at\" from sv where \"at\" % 2 = 1 union all select source_key, source_hash, \"at\" from nw) select source_key, source_hash, max(\"at\") newest from al group by 1, 2"
+)
+def vector_upsert(t):
+    """Vectors after a write of sound ones; unsound ones are left out."""
+    sinks, stored, _ = vectors(t)
+    kept, _ = sinks.saved_vectors(stored.where("at % 2 = 1"), stored.where("at % 2 = 0"), 64)
+    return kept.groupBy("source_key", "source_hash").agg(F.max("at").alias("newest"))
+
+
+@query(f"with {VECTORS} select source_key, source_hash, count(*) n from sv where exists (select 1 from so where so.source_key = sv.source_key and so.source_hash = sv.source_hash) group by 1, 2")
+def vector_prune(t):
+    """Vectors whose source is still there with the same content."""
+    sinks, stored, sources = vectors(t)
+    return sinks.pruned(stored, sources).groupBy("source_key", "source_hash").agg(F.count("*").alias("n"))
