@@ -204,14 +204,14 @@ def manifest_classes(t):
 
 
 USAGE = (
-    "ma as (select o_orderkey id, cast(floor(o_totalprice / 100) as bigint) estimated, case when o_orderkey % 5 = 0 then 7 end actual from orders), rp as (select l_orderkey id, l_linenumber as \"at\", case when l_partkey % 9 = 0 then 0 else cast(l_extendedprice / 90 as bigint) end actual from lineitem), "
+    "ma as (select o_orderkey id, cast(floor(o_totalprice / 100) as bigint) estimated, case when o_orderkey % 5 = 0 then 7 end actual from orders), rp as (select l_orderkey id, l_linenumber as \"at\", case when l_partkey % 9 = 0 then 0 else cast(floor(l_extendedprice / 90) as bigint) end actual from lineitem), "
     "fr as (select id, arg_min(actual, \"at\") actual, min(\"at\") as \"at\" from rp where actual > 0 group by 1)"
 )
 
 
 def usage(t):
     manifests = t.orders.select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 100).alias("estimated"), F.when(F.col("o_orderkey") % 5 == 0, 7).cast("long").alias("actual"))
-    reports = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("at"), F.when(F.col("l_partkey") % 9 == 0, 0).otherwise(F.round(F.col("l_extendedprice") / 90).cast("long")).cast("long").alias("actual"))
+    reports = t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("at"), F.when(F.col("l_partkey") % 9 == 0, 0).otherwise(F.floor(F.col("l_extendedprice") / 90)).cast("long").alias("actual"))
     # a line number comes once
     return M.recorded_usage(manifests, reports.groupBy("id", "at").agg(F.max("actual").alias("actual")))
 
