@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.shared import materialize
+from mnemospark.llm.shared import drop_path, written
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of each node in ``links`` (a, b); the component's name is its smallest node.
 
     Each round takes the smallest name among neighbours and then the name of that name, so rounds grow with the
-    logarithm of a chain's length. Each round is written to the shared folder; links at a hub are combined before
-    the shuffle.
+    logarithm of a chain's length. Each round is written to the shared folder in place of the one before; links at a hub are
+    combined before the shuffle.
     """
-    both = materialize(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links")
-    names = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "names")
+    spark = links.sparkSession
+    both, path = written(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct(), "links")
+    names, old = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "names")
     while True:
         seen = both.join(names.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = names.join(seen, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = names.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        new = materialize(step.join(up, "component", "left").select("node", "old", F.least("component", "top").alias("component")), "names")
+        new, place = written(step.join(up, "component", "left").select("node", "old", F.least("component", "top").alias("component")), "names")
+        drop_path(spark, old)
         if new.where("old != component").isEmpty():
+            drop_path(spark, path)
             return new.select("node", "component")
-        names = new.select("node", "component")
+        names, old = new.select("node", "component"), place

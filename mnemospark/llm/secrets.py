@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.shared import new_path, spread_join
+from mnemospark.llm.shared import exists, new_path, spread_join
 
 
 @dataclass(frozen=True)
@@ -62,10 +62,11 @@ def address() -> Column:
 
 def unseen(history: DataFrame, ledger: DataFrame | None = None, version: str = RULE_VERSION) -> DataFrame:
     """(sha, text) of each blob that the ledger lacks under this rule version. Copies meet before the shuffle."""
-    blobs = history.select(address().alias("sha"), content().alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == version).select("sha").distinct(), "sha", "left_anti")
-    return blobs.groupBy("sha").agg(F.first("text").alias("text"))
+    # copies are combined before they are dealt by address, and what is known is left out in the same partitioning
+    blobs = history.select(address().alias("sha"), content().alias("text")).groupBy("sha").agg(F.first("text").alias("text"))
+    if ledger is None:
+        return blobs
+    return blobs.join(ledger.where(F.col("rule_version") == version).select("sha").distinct(), "sha", "left_anti")
 
 
 def hits(rule: Rule, number: int) -> Column:
@@ -93,8 +94,7 @@ def findings(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """(sha, spans, rule_version) of all runs so far; empty where there was none."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, path):
         return spark.createDataFrame([], LEDGER)
     return spark.read.schema(LEDGER).parquet(path)
 

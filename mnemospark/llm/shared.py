@@ -1,55 +1,15 @@
-"""Where long jobs cut their lineage: tables in the folder that the whole cluster shares."""
+"""What long jobs of this subpackage share: tables in the shared folder, joins on hot keys, and shuffles let go."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.storage import drop_path, exists, materialize, new_path, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Only where the session names none and runs on one machine (tests) a temporary one is made and set; on a cluster executors
-    would each write to a folder of their own, so that raises an error.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mnemospark-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; it goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/mnemospark/{name}-{uuid.uuid4().hex}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Used where several later steps need a costly result. The copy survives the loss of executors.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop_path", "exists", "materialize", "new_path", "settled", "shared_dir", "spread_join", "written"]
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
