@@ -157,3 +157,12 @@ def test_models_are_checked_when_loaded(spark, tmp_path):
     digest = V.save_model(spark, model, str(tmp_path))
     assert sorted(map(tuple, V.load_model(spark, str(tmp_path), digest).collect())) == [("bias", 0.5), ("recency", -1.25)]
     assert V.load_model(spark, str(tmp_path), "0" * 64) is None
+
+
+def test_large_results_in_few_words(spark):
+    text = "start " + "x" * 5000 + "\nError: disk full at /var/log/a.txt\n" + "y" * 5000 + ' password = "hunter2222" end'
+    rows = spark.createDataFrame([(text,), ("ok\0" * 9000,), ("short",)], "t string")
+    got = [r.r for r in rows.select(P.condensed_output(F.lit('a"b'), F.lit("c1"), F.col("t"), F.lit(True), F.lit("s" * 64), 3000, 900).alias("r")).collect()]
+    assert 'Tool: "a\\"b"' in got[0] and "Status: error" in got[0] and 'Paths: "/var/log/a.txt"' in got[0] and 'Errors/warnings: "Error: disk full at /var/log/a.txt"' in got[0]
+    assert 'Head: "start xxx' in got[0] and "hunter2222" not in got[0] and "[REDACTED]" in got[0] and len(got[0]) <= 3000 and got[0].endswith("[END LARGE TOOL OUTPUT]")
+    assert "Binary output" in got[1] and "Head" not in got[1] and 'Head: "short"' in got[2] and "Tail" not in got[2]

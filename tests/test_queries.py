@@ -11,6 +11,10 @@ from tests.conftest import SF
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: Held against versions in plain Python: test_retrieval, test_planning.
+NO_SQL = {"history_retrieval", "history_recall", "managed_plan", "project_evidence", "artifact_report"}
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
@@ -32,6 +36,9 @@ def test_query(spark, duck, name):
     df = catalogue.queries()[name](spark, SF)
     rows = [r.asDict() for r in df.collect()]
     sql = catalogue.oracle_sql().get(name)
+    if name in NO_SQL:
+        assert rows and not sql
+        return
     assert sql, f"{name} has no SQL"
     got = duck.execute(sql)
     columns = [d[0] for d in got.description]
