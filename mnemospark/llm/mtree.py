@@ -25,6 +25,8 @@ from mnemospark.llm.shared import materialize
 
 PAGE, FANOUT = 192, 12
 TREE_VECTORS, QUERY_BLOCK = 25_000, 100_000
+#: Vectors that a tree of its own is worth.
+LEAST_TREE = 4_000
 #: What bounds are widened by: a constant and a share of the norm. A squared distance is off by less than 2**-50 of the norm's square.
 SLACK, SLACK_SHARE = 1e-6, 2.0**-22
 #: Least bound on dim * component**2 that is refused.
@@ -179,7 +181,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, tr
     bound = vectors.where(taking_part()).agg(F.count("*").alias("n"), F.max(size * size * F.size("embedding")).alias("bound")).first()
     if (bound.bound or 0) >= TOO_LARGE:
         raise ValueError("components are too large for 64-bit scores")
-    parts = max(1, -(-bound.n // tree_vectors))
+    # as many trees as vectors ask for, or as there are tasks to run side by side where that gives trees of some size
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-bound.n // tree_vectors), min(tasks, bound.n // LEAST_TREE))
     placed = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     pages = materialize(placed.groupBy("dim", "part").applyInArrow(build_tree, PAGES), "mtree")
     queries = rows.where(is_query).groupBy("vec_id", "dim", "v").agg(F.count("*").alias("times"))
