@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.bulk import slices, string_column
+from mnemospark.llm.bulk import hand_back, slices, string_column
 
 BUCKETS = 1 << 20
 #: Labelled documents that the model is fitted on, at most; the ones of least hash, so any number of workers picks the same.
@@ -166,7 +166,10 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, chars: int
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(lists[0]).to_numpy())]) if len(got) else np.zeros(1, np.int64)
     del got
     number, value = (x.flatten().to_numpy() for x in lists)
-    return Ordinal.fit(number, value, offsets, grades)
+    model = Ordinal.fit(number, value, offsets, grades)
+    del number, value, lists
+    hand_back()
+    return model
 
 
 def classify(docs: DataFrame, model: Ordinal, least: float = LEAST, grade: int = 2) -> DataFrame:

@@ -27,12 +27,13 @@ from pyspark.sql import types as T
 
 from mnemospark.llm import vocab
 from mnemospark.llm.bulk import slices, string_column
-from mnemospark.llm.shared import materialize
+from mnemospark.llm.shared import exists, materialize, new_path
 
 #: Rows of a range, about; a task sorts one.
 RANGE_ROWS = 200_000
 #: Documents of which fewer fit into a sequence open sequences by their own number, shorter ones by the sum of their lengths.
 MOST_FIT = 8
+MATCHED = "kind int, owner long, size long, partner long, taken long"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -90,13 +91,15 @@ def counted(rows: DataFrame, order: list[Column], step: Column, n: int, name: st
     found = materialize(parts.mapInArrow(run, schema), name)
     part = F.shiftright("at", 40)
     ends = sorted(tuple(r) for r in found.groupBy(part.alias("part")).agg(F.max_by("own", "at")).collect())
+    if len(ends) < 2:
+        return found.withColumnRenamed("own", "level")
     before = np.cumsum([0, *(e[1] for e in ends)]).tolist()
     shift = found.sparkSession.createDataFrame([(e[0], b) for e, b in zip(ends, before)], "part long, before long")
     return found.withColumn("part", part).join(F.broadcast(shift), "part").withColumn("level", F.col("own") + F.col("before")).drop("part", "own", "before")
 
 
-def sweep(docs: DataFrame, gaps: DataFrame, n: int, longest: int, share: int) -> DataFrame:
-    """One round: kind (0 gap, 1 document), owner, size, partner, taken.
+def sweep(docs: DataFrame, gaps: DataFrame, n: int, longest: int, share: int, path: str) -> DataFrame:
+    """One round, written to ``path``: kind (0 gap, 1 document), owner, size, partner, taken.
 
     A document's partner is the sequence whose gap it takes (null without one); ``taken`` is what a gap gave away. Gaps are split
     into parts for up to ``share`` documents of length ``longest``.
@@ -115,9 +118,10 @@ def sweep(docs: DataFrame, gaps: DataFrame, n: int, longest: int, share: int) ->
     rows = rows.select(
         "kind", "owner", "size",
         F.when((F.col("kind") == 1) & (before["kind"] == 0), before["owner"]).alias("partner"),
-        F.when((F.col("kind") == 0) & (after["kind"] == 1), after["size"]).otherwise(0).alias("taken"),
+        F.when((F.col("kind") == 0) & (after["kind"] == 1), after["size"]).otherwise(0).cast("long").alias("taken"),
     )
-    return materialize(rows, "matched")
+    rows.write.parquet(path)
+    return docs.sparkSession.read.schema(MATCHED).parquet(path)
 
 
 def best_fit(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -135,16 +139,21 @@ def best_fit(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     rows = counted(rows, [F.desc("size"), F.xxhash64("row")], F.lit(1), some.n, "numbered").select("row", "size", (F.col("level") - 1).alias("owner"))
     docs, gaps, placed, nth = rows.where(F.col("size") < capacity).select("owner", "size"), None, [], 0
     whole = rows.where(F.col("size") == capacity).select("owner", F.col("owner").alias("sequence_id"), F.lit(0).alias("nth"))
+    spark, folder = pieces.sparkSession, new_path(pieces.sparkSession, "matched")
     while True:
-        waiting = docs.agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most"), F.sum("size").alias("all"), F.min("owner").alias("first")).first()
+        state = docs.select(F.lit(1).alias("kind"), "owner", "size")
+        state = state if gaps is None else state.unionByName(gaps.select(F.lit(0).alias("kind"), "owner", "size"))
+        is_doc = F.col("kind") == 1
+        of_docs = lambda c: F.when(is_doc, F.col(c))
+        waiting = state.agg(
+            F.count_if(is_doc).alias("n"), F.min(of_docs("size")).alias("least"), F.max(of_docs("size")).alias("most"), F.sum(of_docs("size")).alias("all"), F.min(of_docs("owner")).alias("first"), F.count_if(~is_doc).alias("gaps"),
+            F.max(F.when(~is_doc, F.col("size"))).alias("room"),
+        ).first()
         if not waiting.n:
             break
-        room = gaps.where(F.col("size") >= waiting.least).agg(F.count("*").alias("n")).first().n if gaps is not None else 0
-        if room:
-            share = -(-2 * waiting.n // room)
-            swept = sweep(docs, gaps.where(F.col("size") >= waiting.least), waiting.n + room, waiting.most, share)
+        if (waiting.room or 0) >= waiting.least:
+            swept = sweep(docs, gaps.where(F.col("size") >= waiting.least), waiting.n + waiting.gaps, waiting.most, -(-2 * waiting.n // waiting.gaps), f"{folder}/nth={nth}")
             docs = swept.where("kind = 1 and partner is null").select("owner", "size")
-            placed.append(swept.where("kind = 1 and partner is not null").select("owner", F.col("partner").alias("sequence_id"), F.lit(nth).alias("nth")))
             gaps = swept.where("kind = 0").groupBy("owner").agg(F.sum(F.col("size") - F.col("taken")).alias("size"))
         else:
             ranked = docs.select("owner", "size", (F.col("owner") - waiting.first + 1).alias("level")) if nth == 0 else counted(docs, [F.col("owner")], F.lit(1), waiting.n, "opening").drop("at")
@@ -156,6 +165,10 @@ def best_fit(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
             gaps = ranked.where(opens).select("owner", (capacity - F.col("size")).alias("size"))
             docs = ranked.where(~opens).select("owner", "size")
         nth += 1
+    if exists(spark, folder):
+        # all rounds are one table
+        matched = spark.read.schema(f"{MATCHED}, nth int").option("basePath", folder).parquet(folder).where("kind = 1 and partner is not null")
+        placed.append(matched.select("owner", F.col("partner").alias("sequence_id"), "nth"))
     places = functools.reduce(DataFrame.unionByName, placed, whole)
     before = Window.partitionBy("sequence_id").orderBy("nth", "owner").rowsBetween(Window.unboundedPreceding, -1)
     found = rows.join(places, "owner").withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))

@@ -170,10 +170,10 @@ def test_rounds_are_about_as_good_as_best_fit_decreasing(spark, monkeypatch, see
     assert check_sequences(rows, capacity) <= 1.02 * decreasing(lengths, capacity) + 2
 
 
-def test_a_document_takes_the_smallest_gap_that_holds_it(spark):
+def test_a_document_takes_the_smallest_gap_that_holds_it(spark, tmp_path):
     docs = spark.createDataFrame([(1, 30), (2, 20), (3, 20), (4, 5)], "owner long, size long")
     gaps = spark.createDataFrame([(7, 50), (8, 20), (9, 4)], "owner long, size long")
-    got = {r.owner: r.partner for r in packing.sweep(docs, gaps, 7, 30, 1).where("kind = 1").collect()}
+    got = {r.owner: r.partner for r in packing.sweep(docs, gaps, 7, 30, 1, f"{tmp_path}/m").where("kind = 1").collect()}
     assert got == {1: 7, 2: 8, 3: None, 4: None}  # ranks decide between 2 and 3
 
 
