@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +18,12 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
     Shuffle files stay until the driver collects its garbage, which on a large job may be hours; once the table is written nothing needs them.
     """
-    written = materialize(df, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return written
+    result = materialize(df, name)
+    for _ in range(2):  # Python's own references go first, a moment later Spark's
+        gc.collect()
+        time.sleep(0.5)
+        df.sparkSession._jvm.System.gc()
+    return result
 
 
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: list[str], counts: DataFrame | None = None, most: int = 1000) -> DataFrame:
