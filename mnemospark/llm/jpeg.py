@@ -178,20 +178,35 @@ def first_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.nda
     table, width = first_table(), values.shape[1]
     block, k = np.nonzero(values)
     value = values[block, k].astype(np.int64)
-    size = np.ceil(np.log2(np.abs(value) + 1)).astype(np.int64)
-    same = np.concatenate([[False], block[1:] == block[:-1]]) if len(block) else np.zeros(0, bool)
-    gap = k - np.where(same, np.concatenate([[0], k[:-1]]) if len(k) else k, -1) - 1
-    symbol = (gap % 16) << 4 | size
+    size = bit_lengths()[np.abs(value)]
+    before = np.full(len(k), -1)
+    before[1:] = np.where(block[1:] == block[:-1], k[:-1], -1)
+    gap = k - before - 1
+    symbol = (gap & 15) << 4 | size
     bits = np.where(value > 0, value, value + (1 << size) - 1)
-    long = np.repeat(np.flatnonzero(gap >= 16), (gap // 16)[gap >= 16])
     last = np.full(len(values), -1)
     last[block] = k
-    ends = np.flatnonzero(last < width - 1)
-    order = np.concatenate([block * 128 + 2 * k + 1, block[long] * 128 + 2 * k[long], ends * 128 + 127])
-    items = np.concatenate([table.code[symbol] << size | bits, np.full(len(long), table.code[0xF0]), np.full(len(ends), table.code[0])])
-    lengths = np.concatenate([table.length[symbol] + size, np.full(len(long), table.length[0xF0]), np.full(len(ends), table.length[0])])
-    by = np.argsort(order, kind="stable")
-    return laid_out(items[by], lengths[by], run[order[by] >> 7], n_runs)
+    ends = last < width - 1
+    # every item's place: coefficients in order, each after its runs of sixteen, and a block's end after its coefficients
+    runs = gap >> 4
+    upto_runs, upto_ends = np.cumsum(runs), np.cumsum(ends)
+    at = np.arange(len(k)) + upto_runs + (upto_ends - ends)[block]
+    through = np.searchsorted(block, np.flatnonzero(ends), side="right")
+    ends_at = through + np.concatenate([[0], upto_runs])[through] + upto_ends[ends] - 1
+    n = len(k) + int(runs.sum()) + int(ends.sum())
+    items, lengths, owner = np.full(n, table.code[0xF0]), np.full(n, table.length[0xF0]), np.empty(n, np.int64)
+    items[at], lengths[at], owner[at] = table.code[symbol] << size | bits, table.length[symbol] + size, block
+    items[ends_at], lengths[ends_at], owner[ends_at] = table.code[0], table.length[0], np.flatnonzero(ends)
+    long = np.flatnonzero(runs)
+    for back in range(1, 1 + int(runs.max(initial=0))):
+        some = long[runs[long] >= back]
+        owner[at[some] - back] = block[some]
+    return laid_out(items, lengths, run[owner], n_runs)
+
+
+@functools.cache
+def bit_lengths() -> np.ndarray:
+    return np.array([k.bit_length() for k in range(256)])
 
 
 def refining_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,10 +215,14 @@ def refining_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.
     kind = np.floor(np.log2(blocks)).astype(np.int64)
     head, width = table.code[kind << 4] << kind | (blocks - (1 << kind)), table.length[kind << 4] + kind
     block, k = np.nonzero(values)
-    order = np.concatenate([np.arange(n_runs) * 2, run[block] * 2 + 1])
-    by = np.argsort(order, kind="stable")
-    items, lengths = np.concatenate([head, np.abs(values[block, k]) & 1]), np.concatenate([width, np.ones(len(block), np.int64)])
-    return laid_out(items[by], lengths[by], order[by] >> 1, n_runs)
+    own = run[block]
+    n = n_runs + len(block)
+    heads = np.searchsorted(own, np.arange(n_runs)) + np.arange(n_runs)
+    items, lengths, of = np.empty(n, np.int64), np.ones(n, np.int64), np.empty(n, np.int64)
+    at = np.arange(len(block)) + own + 1
+    items[at], of[at] = np.abs(values[block, k]) & 1, own
+    items[heads], lengths[heads], of[heads] = head, width, np.arange(n_runs)
+    return laid_out(items, lengths, of, n_runs)
 
 
 def marked(raw: np.ndarray, begin: np.ndarray, firsts: np.ndarray) -> list[bytes]:
