@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemospark.llm.bulk import slices, string_column
+from mnemospark.llm.bulk import hand_back, slices, string_column
 from mnemospark.llm.shared import settled
 from mnemospark.llm.shingles import STEP, mix, words
 
@@ -31,7 +31,7 @@ ORDER, ALPHA, LEAST = 3, 0.4, 2
 #: taken for one, among 3 * 10**9 0.24.
 HASH_BITS = 64
 #: Bytes of text in a block and n-grams in a partition of the tables, about.
-BLOCK_BYTES, PARTITION_GRAMS = 16_000_000, 1_000_000
+BLOCK_BYTES, PARTITION_GRAMS = 8_000_000, 1_000_000
 
 
 def grams(hashes: np.ndarray, place: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +76,9 @@ def count_first(orders: range, parts: int):
     def run(docs: pa.Table) -> pa.Table:
         hashes, place, _ = block_words(ordered(docs))
         block = docs["block"][0].as_py()
-        return pa.Table.from_pylist([r for n in orders for r in exploded(block, n, grams(hashes, place, n)[0], parts)], COUNTED)
+        rows = pa.Table.from_pylist([r for n in orders for r in exploded(block, n, grams(hashes, place, n)[0], parts)], COUNTED)
+        hand_back()
+        return rows
 
     return run
 
@@ -88,7 +90,9 @@ def count_next(n: int, parts: int, least: int):
         hashes, place, _ = block_words(ordered(docs))
         counts = known_counts(hashes, place, replies, n - 1, least, range(2, n))
         found, at = grams(hashes, place, n)
-        return pa.Table.from_pylist(list(exploded(docs["block"][0].as_py(), n, found[worth(counts, at, n, least)], parts)), COUNTED)
+        rows = pa.Table.from_pylist(list(exploded(docs["block"][0].as_py(), n, found[worth(counts, at, n, least)], parts)), COUNTED)
+        hand_back()
+        return rows
 
     return run
 
@@ -156,6 +160,7 @@ def score_block(order: int, alpha: float, least: int, total: int):
         length = np.diff(offsets)
         mean = pa.array([None if not k else round(s / k, 6) for s, k in zip(own, length.tolist())], pa.float64())
         levels = {f"n_order{n}": pa.array(sums(level == n)) for n in range(1, order + 1)}
+        hand_back()
         return pa.table({"doc_id": docs["doc_id"], "n_words": pa.array(length), "log10_score": pa.array(np.round(own, 4)), "mean_log10": mean, **levels})
 
     return run
