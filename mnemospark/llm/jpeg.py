@@ -161,30 +161,51 @@ def laid_out(values: np.ndarray, lengths: np.ndarray, run: np.ndarray, n_runs: i
     begin = np.concatenate([[0], np.cumsum(size)])
     upto = np.cumsum(lengths) - lengths
     at = upto - (np.cumsum(total) - total)[run] + 8 * begin[run]
+    words = np.zeros(int(begin[-1] // 4 + 2), np.uint32)
+
+    def put(values: np.ndarray, lengths: np.ndarray, at: np.ndarray) -> None:
+        """Items in order of place; one lies in one or two words of 32 bits, and the items that begin in a word are put together."""
+        if not len(at):
+            return
+        word = at >> 5
+        wide = values.astype(np.uint64) << (64 - (at & 31) - lengths).astype(np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        both = np.bitwise_or.reduceat(wide, first)
+        words[word[first]] |= (both >> np.uint64(32)).astype(np.uint32)
+        words[word[first] + 1] |= both.astype(np.uint32)
+
+    put(values, lengths, at)
     pad = 8 * size - total
     some = np.flatnonzero(pad)
-    values, lengths = np.concatenate([values, (1 << pad[some]) - 1]), np.concatenate([lengths, pad[some]])
-    at = np.concatenate([at, 8 * begin[some] + total[some]])
-    # an item lies in one or two words of 32 bits; the bits of different items never meet, so sums are unions
-    word = at >> 5
-    wide = values.astype(np.uint64) << (64 - (at & 31) - lengths).astype(np.uint64)
-    n = int(begin[-1] // 4 + 2)
-    words = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), n) + np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), n)
+    put((1 << pad[some]) - 1, pad[some], 8 * begin[some] + total[some])
     return words.astype(">u4").view(np.uint8)[: begin[-1]], begin
 
 
-def first_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entropy-coded blocks (rows of ``values``), whose runs between restart markers are numbered by ``run``."""
-    table, width = first_table(), values.shape[1]
-    block, k = np.nonzero(values)
-    value = values[block, k].astype(np.int64)
-    size = bit_lengths()[np.abs(value)]
-    before = np.full(len(k), -1)
-    before[1:] = np.where(block[1:] == block[:-1], k[:-1], -1)
-    gap = k - before - 1
+@functools.cache
+def coded_bytes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each byte's coefficient the size and the extra bits of its first pass, and its lowest bit."""
+    value = byte_values()
+    half = np.sign(value) * (np.abs(value) >> 1)
+    size = np.array([int(abs(h)).bit_length() for h in half])
+    return size.astype(np.int32), np.where(half > 0, half, half + (1 << size) - 1).astype(np.int32), (np.abs(value) & 1).astype(np.int32)
+
+
+def first_pass(plane: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Entropy-coded blocks (rows of bytes), whose runs between restart markers are numbered by ``run``."""
+    table, width = first_table(), plane.shape[1]
+    sizes, extras, _ = coded_bytes()
+    plane = np.ascontiguousarray(plane)
+    place = np.flatnonzero(plane.ravel() != 32).astype(np.int32)
+    byte = plane.ravel()[place]
+    block = place // width
+    k = place - block * width
+    size = sizes[byte]
+    gap = np.diff(place, prepend=np.int32(-1)) - 1
+    opens = np.ones(len(block), bool)
+    opens[1:] = block[1:] != block[:-1]
+    gap[opens] = k[opens]
     symbol = (gap & 15) << 4 | size
-    bits = np.where(value > 0, value, value + (1 << size) - 1)
-    last = np.full(len(values), -1)
+    last = np.full(len(plane), -1, np.int32)
     last[block] = k
     ends = last < width - 1
     # every item's place: coefficients in order, each after its runs of sixteen, and a block's end after its coefficients
@@ -195,7 +216,7 @@ def first_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.nda
     ends_at = through + np.concatenate([[0], upto_runs])[through] + upto_ends[ends] - 1
     n = len(k) + int(runs.sum()) + int(ends.sum())
     items, lengths, owner = np.full(n, table.code[0xF0]), np.full(n, table.length[0xF0]), np.empty(n, np.int64)
-    items[at], lengths[at], owner[at] = table.code[symbol] << size | bits, table.length[symbol] + size, block
+    items[at], lengths[at], owner[at] = table.code[symbol] << size | extras[byte], table.length[symbol] + size, block
     items[ends_at], lengths[ends_at], owner[ends_at] = table.code[0], table.length[0], np.flatnonzero(ends)
     long = np.flatnonzero(runs)
     for back in range(1, 1 + int(runs.max(initial=0))):
@@ -204,23 +225,18 @@ def first_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.nda
     return laid_out(items, lengths, run[owner], n_runs)
 
 
-@functools.cache
-def bit_lengths() -> np.ndarray:
-    return np.array([k.bit_length() for k in range(256)])
-
-
-def refining_pass(values: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.ndarray, np.ndarray]:
+def refining_pass(plane: np.ndarray, run: np.ndarray, n_runs: int) -> tuple[np.ndarray, np.ndarray]:
     """The lowest bits of all coefficients that are not 0: for each run of blocks one end-of-band code, then the bits."""
     table, blocks = runs_table(), np.bincount(run, minlength=n_runs)
     kind = np.floor(np.log2(blocks)).astype(np.int64)
     head, width = table.code[kind << 4] << kind | (blocks - (1 << kind)), table.length[kind << 4] + kind
-    block, k = np.nonzero(values)
-    own = run[block]
-    n = n_runs + len(block)
+    place = np.flatnonzero(plane.ravel() != 32)
+    own, low = run[place // plane.shape[1]], coded_bytes()[2][plane.ravel()[place]]
+    n = n_runs + len(place)
     heads = np.searchsorted(own, np.arange(n_runs)) + np.arange(n_runs)
     items, lengths, of = np.empty(n, np.int64), np.ones(n, np.int64), np.empty(n, np.int64)
-    at = np.arange(len(block)) + own + 1
-    items[at], of[at] = np.abs(values[block, k]) & 1, own
+    at = np.arange(len(place)) + own + 1
+    items[at], of[at] = low, own
     items[heads], lengths[heads], of[heads] = head, width, np.arange(n_runs)
     return laid_out(items, lengths, of, n_runs)
 
@@ -262,14 +278,13 @@ def store_many(payloads: list[tuple[np.ndarray, int]]) -> list[bytes]:
         own[: len(p)] = p
         for c, (a, b) in enumerate(((0, 384), (384, 480), (480, 576))):
             planes_[c].append(own[a * n : b * n])
-    planes_ = [byte_values()[np.concatenate(p)].reshape(-1, USED) for p in planes_]
+    planes_ = [np.concatenate(p).reshape(-1, USED) for p in planes_]
     blocks = [8 * units, 2 * units, 2 * units]
     runs = [runs_of(b) for b in blocks]
     coded = []
     for c, first, last in BANDS:
-        own = planes_[c][:, first - 1 : last]
         run, n, firsts = runs[c]
-        coded.append((scan_head(c, first, last, 0, 1), marked(*first_pass(np.sign(own) * (np.abs(own) >> 1), run, n), firsts)))
+        coded.append((scan_head(c, first, last, 0, 1), marked(*first_pass(planes_[c][:, first - 1 : last], run, n), firsts)))
     for c in range(3):
         run, n, firsts = runs[c]
         coded.append((scan_head(c, 1, USED, 1, 0), marked(*refining_pass(planes_[c], run, n), firsts)))
@@ -527,7 +542,7 @@ class Lanes:
 
     def bits(self, at: np.ndarray, n) -> np.ndarray:
         """``n`` bits (up to 25) at each place."""
-        return self.words[np.minimum(at >> 3, len(self.words) - 1)] >> (32 - n - (at & 7)) & ((1 << n) - 1)
+        return self.words.take(at >> 3, mode="clip") >> (32 - n - (at & 7)) & ((1 << n) - 1)
 
     def first_pass(self, out: np.ndarray, low: int, table: np.ndarray) -> None:
         """Fill ``out`` (blocks, band): one symbol of every lane a step, until all lanes are through."""
@@ -555,12 +570,8 @@ class Lanes:
             over = k >= width
             block += over & ~ends
             k[over | ends] = 0
-            if (active := block < end).sum() < 0.8 * len(at) or not active.any():
-                at, block, end, k = at[active], block[active], end[active], k[active]
-            elif not active.all():
-                # lanes that are through read on in place until they are taken out
-                stay = ~active
-                block[stay], at[stay], k[stay] = end[stay], at[stay], 0
+            active = block < end
+            if not active.all():
                 at, block, end, k = at[active], block[active], end[active], k[active]
 
     def refining_pass(self, out: np.ndarray, low: int, table: np.ndarray) -> bool:

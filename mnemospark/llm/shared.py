@@ -19,9 +19,9 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     Shuffle files stay until the driver collects its garbage, which on a large job may be hours; once the table is written nothing needs them.
     """
     result = materialize(df, name)
-    for _ in range(2):  # Python's own references go first, a moment later Spark's
+    for _ in range(4):  # Python's own references go first, a moment later Spark's, then the executors' files
         gc.collect()
-        time.sleep(0.5)
+        time.sleep(0.75)
         df.sparkSession._jvm.System.gc()
     return result
 
