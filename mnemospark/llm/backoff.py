@@ -138,7 +138,7 @@ def joined(counted: DataFrame, parts: int) -> DataFrame:
 
 def totals(counted: DataFrame, parts: int) -> DataFrame:
     """(block, n, part, totals): the corpus's counts of each block's n-grams in the order of the n-grams."""
-    found = joined(counted, parts).groupBy("part", "block", "n").agg(F.array_sort(F.collect_list(F.struct("gram", "total"))).alias("found"))
+    found = joined(counted, parts).groupBy("part", "block", "n").agg(F.sort_array(F.collect_list(F.struct("gram", "total"))).alias("found"))
     return found.select("block", "n", "part", F.col("found.total").alias("totals"))
 
 
@@ -200,11 +200,11 @@ def scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int
     rows = rows.withColumn("block", F.pmod("row", F.lit(blocks)).cast("int"))
     table = "part int, block int, n int, grams array<long>, counts array<int>"
     replies = totals(rows.groupBy("block").applyInArrow(count_first(range(1, min(order, 2) + 1), parts), table), parts)
-    # several steps need the totals, so all but the last order's are written, and their shuffles go
+    # several steps need the totals, so they are written, and the shuffles that made them go
     replies = settled(replies, "totals") if order > 2 else replies
     for n in range(3, order + 1):
         more = totals(rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(count_next(n, parts, least), table), parts)
-        replies = replies.union(settled(more, "totals") if n < order else more)
+        replies = replies.union(settled(more, "totals"))
     schema = "doc_id long, n_words long, log10_score double, mean_log10 double" + "".join(f", n_order{n} long" for n in range(1, order + 1))
     return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score_block(order, alpha, least, total), schema)
 
