@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import backoff, byte_bpe, jpeg, licences, mtree, near_dedup, ordinal, packing, secrets, token_files
+from mnemospark.llm import backoff, byte_bpe, divergence, jpeg, licences, mtree, near_dedup, ordinal, packing, repair, secrets, simhash, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,28 @@ def op10_licence_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licences(licences.document_files(table(spark, sf_dir, "documents")), ["doc_id"], windows=True)
 
 
+def op11_cost_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digests(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op12_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_licence_cosine": licences.oracle(), "op9_mtree_top_k": mtree.oracle(), "op2_stupid_backoff": backoff.oracle(), "op4_secret_ledger": secrets.oracle()}
+    return {
+        "op2_stupid_backoff": backoff.oracle(),
+        "op4_secret_ledger": secrets.oracle(),
+        "op9_mtree_top_k": mtree.oracle(),
+        "op10_licence_cosine": licences.oracle(),
+        "op11_cost_layers": repair.oracle(),
+        "op13_source_divergence": divergence.oracle(),
+    }
