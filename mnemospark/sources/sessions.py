@@ -23,9 +23,9 @@ HISTORY_TOOLS, HANDOFF = "context_history_", "rebase-handoff-v1"
 FRAME_TOKENS, BLOCK_TOKENS, IMAGE_TOKENS = 8, 4, 1024
 
 
-def session_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, mtime, content) of every *.jsonl below ``path``. Columns that are not asked for are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path)
+def session_files(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """(file, size, mtime, content) of every file below ``path`` whose name is as ``glob`` says. Columns that are not asked for are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     return found.select(F.col("path").alias("file"), F.col("length").alias("size"), F.unix_millis("modificationTime").alias("mtime"), "content")
 
 
@@ -186,17 +186,6 @@ def entries(records: DataFrame) -> DataFrame:
     )
 
 
-def originals(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """``wanted`` (file, start, end, raw_hash) with the line as it stands in its file now, and its status: ok, changed or missing.
-
-    A line is given out only if its bytes still have the hash that was indexed.
-    """
-    body = F.regexp_replace(F.decode(F.substring(F.col("content"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), "ISO-8859-1"), "\n$", "")
-    rows = wanted.join(files.select("file", "content"), "file", "left").withColumn("bytes", F.encode(body, "ISO-8859-1"))
-    status = F.when(F.col("content").isNull(), "missing").when(F.sha2("bytes", 256) == F.col("raw_hash"), "ok").otherwise("changed")
-    return rows.select(*wanted.columns, F.when(status == "ok", F.make_valid_utf8(F.col("bytes").cast("string"))).alias("raw"), status.alias("status"))
-
-
 def active_branch(found: DataFrame, leaf: DataFrame) -> DataFrame:
     """Entries of each file on the way from its leaf (file, entry_id) up to the root, however long."""
     name = lambda c: F.concat_ws("#", "file", c)

@@ -7,7 +7,7 @@ from mnemospark.functions import text as T
 from mnemospark.operators import history as H
 from mnemospark.operators import ranking as R
 from mnemospark.operators import state as S
-from mnemospark.sources import sessions, sinks
+from mnemospark.sources import logs, sessions, sinks
 from mnemospark.streaming import ingest as I
 
 LOG = [
@@ -62,7 +62,7 @@ def test_only_what_was_appended_is_read(spark, log, tmp_path):
     state = {r.session_id: r for r in I.states(spark, target).collect()}
     assert state["s1"].entries == 7 and state["s1"].malformed == 1 and state["s1"].offset == (log / "a.jsonl").stat().st_size
     located = I.indexed(spark, target).where("session_id = 's1'")
-    lines = {r.entry_id: (r.raw, r.status) for r in sessions.originals(located.select("file", "entry_id", "start", "end", "raw_hash"), sessions.session_files(spark, str(log))).collect()}
+    lines = {r.entry_id: (r.raw, r.status) for r in logs.originals(located.select("file", "entry_id", "start", "end", "raw_hash")).collect()}
     assert json.loads(lines["7"][0]) == more[1] and {s for _, s in lines.values()} == {"ok"}
 
 
@@ -96,7 +96,7 @@ def test_a_run_that_failed_leaves_nothing(spark, log, tmp_path):
     target = str(tmp_path / "t")
     I.ingest(spark, str(log), target)
     before = index(spark, target)
-    spark.read.parquet(f"{target}/entries/run=1").write.parquet(f"{target}/entries/run=2")  # entries without their states
+    spark.read.parquet(f"{target}/entries/run=1").write.partitionBy("bucket").parquet(f"{target}/entries/run=2")  # entries without their states
     assert index(spark, target) == before
     with open(log / "a.jsonl", "a") as f:
         f.write(json.dumps(LOG[1] | {"id": "6"}) + "\n")
