@@ -12,6 +12,7 @@ from mnemospark.functions.vectors import reciprocal_rank_fusion
 from mnemospark.operators import history as H
 from mnemospark.operators.content import hashed_features
 from mnemospark.operators.context import described
+from mnemospark.operators.semantic import Index
 from mnemospark.storage import materialize
 
 #: Parts of a candidate's score.
@@ -63,11 +64,24 @@ def literal_hits(rows: DataFrame, column: str, limit: int) -> DataFrame:
     return newest.groupBy("session_id", "entry_id").agg(F.count("*").alias("n"), F.min(F.struct("nth", "rank")).alias("first"))
 
 
-def candidates(found: DataFrame, asked: DataFrame, how: Request = Request()) -> DataFrame:
+def entry_sources(rows: DataFrame) -> DataFrame:
+    """Entries as sources of a semantic index: scope, source_key, source_hash, text."""
+    return rows.select(F.col("session_id").cast("string").alias("scope"), F.col("entry_id").alias("source_key"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_hash"), "text")
+
+
+def indexed_hits(index: Index, rows: DataFrame, requests: DataFrame, how: Request) -> DataFrame:
+    """As `vector_hits`, from a stored index: nothing but the requests is embedded, and a vector counts only for the very text it was made of."""
+    now = rows.select("session_id", F.col("session_id").cast("string").alias("scope"), F.col("entry_id").alias("source_key")).distinct()
+    hits = index.search("entry", requests.select(F.col("session_id").alias("scope"), "text"), entry_sources(rows), how.similar, how.least_similarity)
+    hits = hits.join(now, ["scope", "source_key"])
+    return hits.select("session_id", F.col("source_key").alias("entry_id"), "similarity", "vector_order")
+
+
+def candidates(found: DataFrame, asked: DataFrame, how: Request = Request(), index: Index | None = None) -> DataFrame:
     """Scored candidates of each session's request: session_id, entry_id, text, tokens, role, created_at, score, literal, matched, place.
 
     found (session_id, entry_id, created_at, role, text, tokens) are the entries on the active branch that may be quoted, asked (session_id, request, asked_at): only
-    entries before the request, with any text, are eligible, and only those that an exact identifier, a phrase, a whole word of the request or their vector brings in.
+    entries before the request, with any text, are eligible, and only those that an exact identifier, a phrase, a whole word of the request or their vector brings in. Vectors come from ``index`` where one is given, else entries are embedded here.
     """
     limit = max(how.max_results, min(100, 6 * how.max_results))
     wanted = described(asked.withColumnRenamed("request", "text"), "text").where("size(terms) > 0").withColumnRenamed("text", "request")
@@ -85,7 +99,9 @@ def candidates(found: DataFrame, asked: DataFrame, how: Request = Request()) ->
     brought = lambda channel, first: F.array(F.lit(channel), F.col(f"{first}.nth"), F.col(f"{first}.rank"))
     arrival = F.when(F.col("first_exact").isNotNull(), brought(0, "first_exact")).when(F.col("first_phrase").isNotNull(), brought(1, "first_phrase")).otherwise(F.array(F.lit(2), F.lit(0), F.col("fts_order")))
     lexical = lexical.withColumn("lexical_order", F.row_number().over(Window.partitionBy("session_id").orderBy(arrival, "entry_id")) - 1).drop("first_exact", "first_phrase")
-    if how.semantic:
+    if how.semantic and index is not None:
+        near = indexed_hits(index, rows, wanted.select("session_id", F.col("request").alias("text")), how)
+    elif how.semantic:
         near = vector_hits(rows, wanted.select("session_id", F.col("request").alias("text")), *key, how.similar, how.least_similarity)
     else:
         near = rows.select(*key, F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("int").alias("vector_order")).limit(0)
@@ -151,9 +167,9 @@ def packed(ranked: DataFrame, how: Request = Request()) -> DataFrame:
     return out.select("session_id", "entry_id", "score", "place", excerpt_at(F.col("text"), F.col("matched"), F.col("chars")).alias("excerpt"), "cost")
 
 
-def retrieve(found: DataFrame, asked: DataFrame, how: Request = Request()) -> DataFrame:
+def retrieve(found: DataFrame, asked: DataFrame, how: Request = Request(), index: Index | None = None) -> DataFrame:
     """Evidence for each session's request; see `candidates` and `packed`."""
-    return packed(candidates(found, asked, how), how)
+    return packed(candidates(found, asked, how, index), how)
 
 
 def recall(found: DataFrame, asked: DataFrame, relation: DataFrame, allowed: tuple[str, ...] = ("normal", "internal"), limit: int = 12, budget: int = 1500, how: Request = Request(semantic=False)) -> DataFrame:

@@ -11,14 +11,18 @@ from mnemospark.operators import project as K
 from mnemospark.operators import retrieval as R
 from mnemospark.plans.files import project_files, project_requests
 from mnemospark.plans.memory import messages
+from mnemospark.operators.semantic import Index
 from mnemospark.plans.registry import query
+from mnemospark.storage import materialize, new_path
 
 
 @query()
 def history_retrieval(t):
-    """Evidence of all channels for each session's current request."""
-    found = H.entries(t.conversations)
-    return R.retrieve(found, H.requests(found))
+    """Evidence of all channels for each session's current request; vectors from a stored index."""
+    found = materialize(H.entries(t.conversations), "entries")
+    index = Index(found.sparkSession, new_path(found.sparkSession, "semantic"))
+    index.sync(R.entry_sources(found), "entry")
+    return R.retrieve(found, H.requests(found), index=index)
 
 
 @query()

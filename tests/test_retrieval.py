@@ -11,6 +11,7 @@ from mnemospark.operators import content as C
 from mnemospark.operators import context as X
 from mnemospark.operators import history as H
 from mnemospark.operators import retrieval as R
+from mnemospark.operators.semantic import Index
 
 TEXTS = [
     ("user", "Please look at src/app.ts and the parseConfig function"), ("assistant", "parseConfig lives in src/app.ts; it throws ERR_FOO on empty input " * 12), ("user", "what about the cache of sessions"),
@@ -71,12 +72,16 @@ def brute(entries, d, vectors, how):
     return sorted(out, key=lambda r: (-r[0], -round(r[1], 6), -r[2], r[3]))
 
 
-@pytest.mark.parametrize("how", [R.Request(), R.Request(semantic=False, max_results=2), R.Request(max_tokens=180)])
-def test_retrieval_against_plain_python(spark, how):
+@pytest.mark.parametrize("how, stored", [(R.Request(), False), (R.Request(), True), (R.Request(semantic=False, max_results=2), False), (R.Request(max_tokens=180), True)])
+def test_retrieval_against_plain_python(spark, tmp_path, how, stored):
     rows = [(s, f"{s}:{k}", k, role, text, 9 + len(text) // 4) for s in (1, 2) for k, (role, text) in enumerate(TEXTS) if not (s == 2 and k in (1, 4))]
     found = spark.createDataFrame(rows, "session_id long, entry_id string, created_at long, role string, text string, tokens long")
     asked = H.requests(found)
-    got = R.candidates(found, asked, how).orderBy("session_id", "place").collect()
+    index = None
+    if stored:
+        index = Index(spark, str(tmp_path / "index"))
+        index.sync(R.entry_sources(found), "entry")
+    got = R.candidates(found, asked, how, index).orderBy("session_id", "place").collect()
     parts = {r.session_id: r.asDict() for r in X.described(asked, "request").collect()}
     cells = {}
     for r in C.hashed_features(found.select("entry_id", "text"), "entry_id").collect():
@@ -85,7 +90,7 @@ def test_retrieval_against_plain_python(spark, how):
     for r in C.hashed_features(asked.select("session_id", F.col("request").alias("text")), "session_id").collect():
         asks.setdefault(r.session_id, {})[r.bucket] = r.value
     picked = {}
-    for r in R.retrieve(found, asked, how).orderBy("session_id", "place").collect():
+    for r in R.retrieve(found, asked, how, index).orderBy("session_id", "place").collect():
         picked.setdefault(r.session_id, []).append(r)
     for s in (1, 2):
         entries = [dict(id=i, at=a, role=ro, text=t, tokens=n) for x, i, a, ro, t, n in rows if x == s and a < parts[s]["asked_at"]]

@@ -49,6 +49,6 @@ def test_candidates(spark):
     frame = spark.createDataFrame(files, "file string, session long, cwd string, version int, header_ok boolean")
     got = S.candidates(frame, spark.createDataFrame(known, "session long, file string"), "/w", 2, 8)
     assert sorted((r.session, r.file, r.state, r.reason) for r in got.collect()) == [
-        (0, "f0", "corrupt", "beyond-most-sessions"), (1, "f1", "ready", None), (2, "f2", "ready", None), (3, "f3", "corrupt", "other-project"), (5, "f5", "corrupt", "invalid-header"),
+        (0, "f0", "corrupt", "beyond-most-sessions"), (1, "f1", "corrupt", "beyond-most-sessions"), (2, "f2", "ready", None), (3, "f3", "corrupt", "other-project"), (5, "f5", "corrupt", "invalid-header"),
         (6, "f6", "ready", None), (7, "f7", "ready", None), (8, "f8", "ready", None), (9, "f99", "ready", None), (77, "gone", "missing", "file-missing"),
     ]
