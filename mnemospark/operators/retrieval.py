@@ -85,6 +85,7 @@ def candidates(found: DataFrame, asked: DataFrame, how: Request = Request(), ind
     """
     limit = max(how.max_results, min(100, 6 * how.max_results))
     wanted = described(asked.withColumnRenamed("request", "text"), "text").where("size(terms) > 0").withColumnRenamed("text", "request")
+    wanted = materialize(wanted, "asked")  # what a request holds is a long expression, and is asked for often
     rows = found.join(wanted, "session_id").where((F.col("created_at") < F.col("asked_at")) & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0))
     rows = materialize(rows.withColumn("lexical", T.lexical(F.col("text"))), "eligible")
     key = ["session_id", "entry_id"]
