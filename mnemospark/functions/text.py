@@ -131,21 +131,38 @@ def hinted(low: Column, hints: tuple[str, ...]) -> Column:
     return found
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is named; written out each time, expressions double with every step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def redacted(text: Column, patterns, hints) -> Column:
+    """(text, n): what is left after all patterns, each on what the ones before left, and how often they matched."""
+
+    def run(t: Column, low: Column) -> Column:
+        state = F.struct(t.alias("text"), F.lit(0).alias("n"))
+        for (pattern, by), words in zip(patterns, hints):
+            state = bound(state, step(hinted(low, words), pattern, by))
+        return state
+
+    def step(may: Column, pattern: str, by: str):
+        def replaced(s: Column) -> Column:
+            text = F.when(may, F.regexp_replace(s["text"], pattern, by)).otherwise(s["text"])
+            return F.struct(text.alias("text"), (s["n"] + F.when(may, F.regexp_count(s["text"], F.lit(pattern))).otherwise(0)).alias("n"))
+
+        return replaced
+
+    return bound(text, lambda t: bound(F.lower(t), lambda low: run(t, low)))
+
+
 def redact_for_provider(text: Column) -> tuple[Column, Column]:
     """The text without credentials, and how many there were; each pattern sees what the ones before left."""
-    count, low = F.lit(0), F.lower(text)
-    for (pattern, by), hints in zip(PROVIDER_PATTERNS, PROVIDER_HINTS):
-        may = hinted(low, hints)
-        count = count + F.when(may, F.regexp_count(text, F.lit(pattern))).otherwise(0)
-        text = F.when(may, F.regexp_replace(text, pattern, by)).otherwise(text)
-    return text, count
+    done = redacted(text, PROVIDER_PATTERNS, PROVIDER_HINTS)
+    return done["text"], done["n"]
 
 
 def redact_artifact(text: Column) -> Column:
-    low = F.lower(text)
-    for (pattern, by), hints in zip(ARTIFACT_PATTERNS, ARTIFACT_HINTS):
-        text = F.when(hinted(low, hints), F.regexp_replace(text, pattern, by)).otherwise(text)
-    return text
+    return redacted(text, ARTIFACT_PATTERNS, ARTIFACT_HINTS)["text"]
 
 
 def likely_secret(text: Column) -> Column:

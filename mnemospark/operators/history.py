@@ -6,6 +6,7 @@ equi-join on the session, so work spreads over sessions and no pair of foreign o
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -235,6 +236,43 @@ def greedy(rows: DataFrame, keys: list[str], order: str, tokens: str, budget: Co
     return rows.withColumn("_taken", taken).where(F.array_contains("_taken", F.col(order).cast("long"))).drop("_taken")
 
 
+#: Candidates of a key that are folded at a time.
+FOLD = 200
+
+
+def greedy_whole(rows: DataFrame, keys: list[str], order: list[Column], tokens: str, budget: int, most: int, rank: str = "place", fold: int = FOLD) -> DataFrame:
+    """As `greedy`, over all candidates of a key, with their ``rank`` from 0: ``fold`` of them at a time, the next ones only of keys that still have room.
+
+    A list of ``fold`` candidates is all that a key ever holds together, and most keys need one.
+    """
+    every = Window.partitionBy(*keys)
+    ranked = materialize(rows.withColumn(rank, F.row_number().over(every.orderBy(*order)) - 1).withColumn("_least", F.min(F.col(tokens)).over(every)), "ranked")
+    item = F.struct(F.col(rank).cast("long").alias("at"), F.col(tokens).cast("long").alias("tokens"))
+    state = "struct<used:bigint,n:int,taken:array<bigint>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        fits = (acc["used"] + x["tokens"] <= budget) & (acc["n"] < most)
+        used, n = acc["used"] + F.when(fits, x["tokens"]).otherwise(0), acc["n"] + fits.cast("int")
+        return F.struct(used.alias("used"), n.alias("n"), F.when(fits, F.concat(acc["taken"], F.array(x["at"]))).otherwise(acc["taken"]).alias("taken")).cast(state)
+
+    taken, open_, k = [], None, 0
+    while True:
+        part = ranked.where((F.col(rank) >= k) & (F.col(rank) < k + fold))
+        if open_ is None:
+            part = part.withColumn("_used", F.lit(0).cast("long")).withColumn("_n", F.lit(0))
+        else:
+            part = part.join(open_, keys)
+        lists = part.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("_used").alias("_used"), F.first("_n").alias("_n"), F.min("_least").alias("_least"))
+        start = F.struct(F.col("_used").alias("used"), F.col("_n").alias("n"), F.array().cast("array<bigint>").alias("taken")).cast(state)
+        done = materialize(lists.select(*keys, F.size("items").alias("_size"), "_least", F.aggregate("items", start, step).alias("s")), "folded")
+        taken.append(done.select(*keys, F.explode(F.col("s.taken").cast("array<int>")).alias(rank)))
+        open_ = done.where((F.col("_size") == fold) & (F.col("s.n") < most) & (F.col("s.used") + F.col("_least") <= budget)).select(*keys, F.col("s.used").alias("_used"), F.col("s.n").alias("_n"))
+        k += fold
+        if open_.isEmpty():
+            break
+    return ranked.drop("_least").join(functools.reduce(DataFrame.union, taken), [*keys, rank])
+
+
 def turns(found: DataFrame) -> DataFrame:
     """Atomic groups: a user entry and what follows it; entries before the first user are turn 0."""
     upto = Window.partitionBy("session_id").orderBy("created_at")

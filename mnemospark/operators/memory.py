@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators.history import greedy, top
+from mnemospark.operators.history import greedy_whole, top
 
 #: What a memory scores from the start, for its scope, for its key and for each matched term.
 BASE, OF_SESSION, OF_PROJECT, FOR_KEY, FOR_TERM, MOST_FOR_TERMS = 30, 8, 4, 45, 12, 60
@@ -29,18 +29,16 @@ def scored(memories: DataFrame, asked: DataFrame) -> DataFrame:
     return rows.withColumns({"score": score, "matched": F.col("_by_key") | (F.col("_n") > 0)}).drop("_n", "_by_key", "terms")
 
 
-def select(memories: DataFrame, asked: DataFrame, most: int = 6, budget: int = 200, candidates: int = 200) -> DataFrame:
+def select(memories: DataFrame, asked: DataFrame, most: int = 6, budget: int = 200) -> DataFrame:
     """The memories that go into each session's request, with ``place`` from 0 in order of score, then the newest, then id.
 
-    Only matched ones, or the first three where none matches; at most ``most`` that fit ``budget`` tokens, passing over those that don't. The fold is over the best ``candidates`` of a
-    session; where that many are too large to fit, a longer list can be asked for.
+    Only matched ones, or the first three where none matches; at most ``most`` that fit ``budget`` tokens, passing over those that don't, however many those are.
     """
     order = [F.desc("score"), F.desc("created_at"), F.asc("id")]
     rows = scored(memories, asked)
     hits = rows.where("matched")
     none = rows.join(hits.select("session").distinct(), "session", "left_anti")
-    ranked = top(hits.unionByName(top(none, ["session"], order, FALLBACK).drop("rank")), ["session"], order, candidates, "place")
-    return greedy(ranked, ["session"], "place", "tokens", budget, most)
+    return greedy_whole(hits.unionByName(top(none, ["session"], order, FALLBACK).drop("rank")), ["session"], order, "tokens", budget, most)
 
 
 def applicable_pins(pins: DataFrame, branch: DataFrame) -> DataFrame:

@@ -128,29 +128,37 @@ def sanitized(text: Column, allowed: Column, remote: Column, default: str = "nor
     closed = rf"(?i)(?<!\\)\[{re.escape(name)}:({classes})\]([\s\S]*?)(?<!\\)\[/{re.escape(name)}:\1\]"
     prefix = rf"(?i)^\s*(?<!\\)\[{re.escape(name)}:({classes})\]\s*"
     part = lambda c, body: F.struct(c.alias("klass"), body.alias("body"))
+    none = F.array().cast("array<struct<klass:string,body:string>>")
     base = F.lit(default)
-    kinds = F.transform(F.regexp_extract_all(text, F.lit(closed), F.lit(1)), lambda c: highest(c, base))
-    bodies = F.regexp_extract_all(text, F.lit(closed), F.lit(2))
-    between = F.split(text, closed, -1)
-    inside = F.zip_with(kinds, bodies, part)
-    # text before each marked stretch and after the last, then the stretch; empty text between is no part
-    woven = F.flatten(F.transform(between, lambda b, i: F.concat(F.when(b != "", F.array(part(base, b))).otherwise(F.array().cast("array<struct<klass:string,body:string>>")), F.when(i < F.size(inside), F.array(F.get(inside, i))).otherwise(F.array().cast("array<struct<klass:string,body:string>>")))))
-    first = F.nullif(F.regexp_extract(text, prefix, 1), F.lit(""))
-    parts = F.when(F.size(kinds) > 0, woven).when(first.isNotNull(), F.array(part(highest(first, base), F.regexp_replace(text, prefix, "")))).otherwise(F.array(part(base, text)))
     may = lambda c: F.array_contains(allowed, c)
-    shown = F.array_join(F.transform(parts, lambda p: F.when(may(p["klass"]), p["body"]).otherwise(placeholder(p["klass"]))), "")
-    blocked = F.size(F.filter(parts, lambda p: ~may(p["klass"])))
-    klass = class_of(F.greatest(F.lit(CLASSES.index(default)).cast("long"), F.array_max(F.transform(parts, lambda p: rank(p["klass"])))))
-    clean, count = T.redact_for_provider(shown)
     hides = remote if redact else F.lit(False)
-    value = F.when(hides, clean).otherwise(shown)
-    marked = (F.size(kinds) > 0) | first.isNotNull()
-    return F.when(
-        F.coalesce(F.length(text), F.lit(0)) == 0,
-        F.struct(text.alias("value"), base.alias("classification"), F.lit(0).alias("blocked"), F.lit(0).alias("redactions"), F.lit(False).alias("changed")),
-    ).otherwise(
-        F.struct(value.alias("value"), klass.alias("classification"), blocked.alias("blocked"), F.when(hides, count).otherwise(0).cast("int").alias("redactions"), ((value != text) | marked).alias("changed"))
-    )
+
+    def found(t: Column) -> Column:
+        """What is marked: stretches, what lies between them, and a class at the very beginning."""
+        kinds = F.transform(F.regexp_extract_all(t, F.lit(closed), F.lit(1)), lambda c: highest(c, base))
+        inside = F.zip_with(kinds, F.regexp_extract_all(t, F.lit(closed), F.lit(2)), part)
+        return F.struct(inside.alias("inside"), F.split(t, closed, -1).alias("between"), F.nullif(F.regexp_extract(t, prefix, 1), F.lit("")).alias("first"))
+
+    def cut(t: Column, m: Column) -> Column:
+        # text before each marked stretch and after the last, then the stretch; empty text between is no part
+        woven = F.flatten(F.transform(m["between"], lambda b, i: F.concat(F.when(b != "", F.array(part(base, b))).otherwise(none), F.when(i < F.size(m["inside"]), F.array(F.get(m["inside"], i))).otherwise(none))))
+        parts = F.when(F.size(m["inside"]) > 0, woven).when(m["first"].isNotNull(), F.array(part(highest(m["first"], base), F.regexp_replace(t, prefix, "")))).otherwise(F.array(part(base, t)))
+        return F.struct(parts.alias("parts"), ((F.size(m["inside"]) > 0) | m["first"].isNotNull()).alias("marked"))
+
+    def shown(c: Column) -> Column:
+        text = F.array_join(F.transform(c["parts"], lambda p: F.when(may(p["klass"]), p["body"]).otherwise(placeholder(p["klass"]))), "")
+        klass = class_of(F.greatest(F.lit(CLASSES.index(default)).cast("long"), F.array_max(F.transform(c["parts"], lambda p: rank(p["klass"])))))
+        blocked = F.size(F.filter(c["parts"], lambda p: ~may(p["klass"])))
+        return F.struct(text.alias("text"), klass.alias("klass"), blocked.alias("blocked"), c["marked"].alias("marked"))
+
+    def done(t: Column, s: Column) -> Column:
+        kept = F.struct(s["text"].alias("text"), F.lit(0).alias("n"))
+        out = F.when(hides, T.redacted(s["text"], T.PROVIDER_PATTERNS, T.PROVIDER_HINTS)).otherwise(kept)
+        return T.bound(out, lambda r: F.struct(r["text"].alias("value"), s["klass"].alias("classification"), s["blocked"].alias("blocked"), r["n"].cast("int").alias("redactions"), ((r["text"] != t) | s["marked"]).alias("changed")))
+
+    whole = T.bound(text, lambda t: T.bound(T.bound(T.bound(found(t), lambda m: cut(t, m)), shown), lambda s: done(t, s)))
+    plain = F.struct(text.alias("value"), base.alias("classification"), F.lit(0).alias("blocked"), F.lit(0).alias("redactions"), F.lit(False).alias("changed"))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, plain).otherwise(whole)
 
 
 def closed_more(a: str | None, b: str | None) -> str | None:

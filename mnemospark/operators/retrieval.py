@@ -186,5 +186,5 @@ def recall(found: DataFrame, asked: DataFrame, relation: DataFrame, allowed: tup
     best = hits.join(each.select(F.col("scope").alias("session_id"), "asker", "relation", F.col("session_id").alias("origin")), "session_id")
     best = best.withColumn("_once", F.row_number().over(Window.partitionBy("asker", "origin", "entry_id").orderBy(F.desc("score")))).where("_once = 1")
     order = [F.desc("score"), F.desc("created_at"), F.asc("entry_id")]
-    rows = H.top(best.withColumn("excerpt", excerpt_at(F.col("text"), F.col("matched"), F.lit(1800))).withColumn("cost", T.text_tokens(F.col("excerpt")) + 24), ["asker"], order, 20 * limit, "at")
-    return H.greedy(rows, ["asker"], "at", "cost", budget, limit).select("asker", F.col("origin").alias("session_id"), "entry_id", "relation", "score", "excerpt", F.col("at").alias("place"))
+    rows = best.withColumn("excerpt", excerpt_at(F.col("text"), F.col("matched"), F.lit(1800))).withColumn("cost", T.text_tokens(F.col("excerpt")) + 24)
+    return H.greedy_whole(rows, ["asker"], order, "cost", budget, limit, "at").select("asker", F.col("origin").alias("session_id"), "entry_id", "relation", "score", "excerpt", F.col("at").alias("place"))

@@ -58,10 +58,10 @@ def fts_query(t):
 
 #: Documents with marks: a stretch, a whole text, nested and unclosed ones, one after a backslash, and a class that isn't one.
 MARKED = (
-    "[ctx:internal]{0}[/ctx:internal] open {1} [CTX:sensitive]x[/ctx:sensitive]", "  [ctx:local-only] {0}{1}", "[ctx:internal] a [ctx:sensitive] b [/ctx:sensitive] {0}", "\\[ctx:sensitive]{0}\\[/ctx:sensitive] password = hunter2xx",
-    "[ctx:odd]{0}[/ctx:odd]{1}", "{0}[/ctx:internal]{1}", "{0}", "",
+    "[ctx:internal]{0}[/ctx:internal] open {1} [CTX:sensitive]x[/ctx:sensitive]", "  [ctx:local-only] {0}{1}", "[ctx:internal] a [ctx:sensitive] b [/ctx:sensitive] {0}{1}", "\\[ctx:sensitive]{0}\\[/ctx:sensitive] password = hunter2xx {1}",
+    "[ctx:odd]{0}[/ctx:odd]{1}", "{0}[/ctx:internal]{1}", "{0}{1}", "",
 )
-CUT = ("substr(coalesce(text, ''), 1, 40)", "substr(coalesce(text, ''), 41, 200)")
+CUT = ("substr(coalesce(text, ''), 1, 40)", "substr(coalesce(text, ''), 41)")
 
 
 def marked_sql(k: int) -> str:
@@ -74,7 +74,7 @@ LEVELS = "['normal', 'internal', 'sensitive', 'local-only']"
 
 def marked_texts(t):
     text = F.coalesce("text", F.lit(""))
-    head, tail = F.substring(text, 1, 40), F.substring(text, 41, 200)
+    head, tail = F.substring(text, 1, 40), F.substring(text, F.lit(41), F.greatest(F.lit(1), F.length(text)))
     forms = [F.replace(F.replace(F.lit(m), F.lit("{0}"), head), F.lit("{1}"), tail) for m in MARKED]
     return t.documents.select("doc_id", (F.col("doc_id") % 2 == 0).alias("remote"), F.element_at(F.array(*forms), (F.col("doc_id") % 8 + 1).cast("int")).alias("t"))
 

@@ -45,18 +45,16 @@ def log_checkpoints(t):
     return S.checkpoints(files(t)).select("file", "offset", "hash_start", "hash")
 
 
-@query("select 'f' || doc_id file, case when strlen(coalesce(text, '')) >= 50 and regexp_matches(substr(text, 1, 50), '^[\\x00-\\x7f]*$') then sha256(substr(text, 11, 40)) end hash from documents where strlen(coalesce(text, '')) < 50 or regexp_matches(substr(text, 1, 50), '^[\\x00-\\x7f]*$')")
+@query("select 'f' || doc_id file, case when strlen(coalesce(text, '')) >= 50 then sha256(unhex(substr(hex(encode(coalesce(text, ''))), 21, 80))) end hash from documents")
 def range_hash(t):
-    """The hash of bytes 10 to 50 of files whose head is plain ASCII; null where a file ends before."""
-    plain = t.documents.where((F.octet_length(F.coalesce("text", F.lit(""))) < 50) | F.substring("text", 1, 50).rlike(r"^[\x00-\x7f]*$"))
-    rows = plain.select(F.concat(F.lit("f"), "doc_id").alias("file"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
-    return rows.select("file", S.range_hash(F.col("content"), F.lit(10), F.lit(50)).alias("hash"))
+    """The hash of bytes 10 to 50 of each file, whatever characters they cut; null where a file ends before."""
+    return files(t).select("file", S.range_hash(F.col("content"), F.lit(10), F.lit(50)).alias("hash"))
 
 
-@query("select 'logs/' || doc_id || '.jsonl' file, n_chars size from documents order by file desc limit 40")
+@query("select 'logs/' || doc_id || '.jsonl' file, n_chars size from documents")
 def session_files(t):
     rows = t.documents.select(F.concat(F.lit("logs/"), "doc_id", F.lit(".jsonl")).alias("file"), F.col("n_chars").alias("size"), F.lit(0).alias("mtime"))
-    return S.listed(rows).select("file", "size").limit(40)
+    return S.listed(rows).select("file", "size")
 
 
 @query(
@@ -136,7 +134,7 @@ def project_discovery(t):
 SNIPPETS = (
     "fi as (select source project, lang || '/d' || doc_id || '.py' path, doc_id % 3 = 0 modified, doc_id % 4 <> 0 tracked, n_chars bytes, case when doc_id % 11 = 0 then 'deleted' else 'current' end status, lang as language from documents where source is not null and lang is not null and text is not null), "
     "sn as (select source project, lang || '/d' || doc_id || '.py' path, doc_id || ':' || k snippet_id, cast(k * 400 + 1 as int) start_line, cast(k * 400 + 400 as int) end_line, substr(text, k * 400 + 1, 400) content, doc_id % 13 = k stale, 'Run' || doc_id % 9 symbol_name, 'Mod.Run' || doc_id % 9 qualified_name, "
-    "cast(ceil(length(substr(text, k * 400 + 1, 400)) / 4.0) as bigint) tokens from documents, unnest(range(0, 2)) u(k) where source is not null and lang is not null and text is not null and length(text) > k * 400)"
+    "cast(ceil(length(substr(text, k * 400 + 1, 400)) / 4.0) as bigint) tokens from documents, unnest(range(0, cast(ceil(length(text) / 400.0) as bigint))) u(k) where source is not null and lang is not null and text is not null)"
 )
 
 
@@ -144,7 +142,7 @@ def project_files(t):
     d = t.documents.where("source is not null and lang is not null and text is not null")
     k, path = F.col("doc_id"), F.concat("lang", F.lit("/d"), "doc_id", F.lit(".py"))
     found = d.select(F.col("source").alias("project"), path.alias("path"), (k % 3 == 0).alias("modified"), (k % 4 != 0).alias("tracked"), F.col("n_chars").alias("bytes"), F.when(k % 11 == 0, "deleted").otherwise("current").alias("status"), F.col("lang").alias("language"))
-    parts = d.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where(F.length("text") > F.col("k") * 400)
+    parts = d.where("length(text) > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int"))))
     body = F.substring(F.col("text"), F.col("k") * 400 + 1, F.lit(400))
     name = F.concat(F.lit("Run"), k % 9)
     snippets = parts.select(

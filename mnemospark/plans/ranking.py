@@ -135,12 +135,11 @@ def manifest_rollup(t):
 
 
 @query(
-    f"with recursive {CANDIDATES}, p as (select source, id, static_score, cast(100 + id % 300 as bigint) tokens, row_number() over (partition by source order by static_score desc, id) - 1 place from c qualify place < 40), "
+    f"with recursive {CANDIDATES}, p as (select source, id, static_score, cast(100 + id % 300 as bigint) tokens, row_number() over (partition by source order by static_score desc, id) - 1 place from c), "
     "g as (select source, id, place, tokens <= 1500 ok, case when tokens <= 1500 then tokens else 0 end used, cast(tokens <= 1500 as int) n from p where place = 0 union all select p.source, p.id, p.place, used + p.tokens <= 1500 and n < 8, "
     "used + case when used + p.tokens <= 1500 and n < 8 then p.tokens else 0 end, n + cast(used + p.tokens <= 1500 and n < 8 as int) from g join p on p.source = g.source and p.place = g.place + 1) select source, id, place from g where ok"
 )
 def planner_greedy(t):
     """Supplements in order of score that fit the budget; one that does not is passed over and smaller ones are tried."""
     rows = candidates(t).select("source", "id", "static_score", (100 + F.col("id") % 300).alias("tokens"))
-    ordered = H.top(rows, ["source"], [F.desc("static_score"), F.asc("id")], 40, "place")
-    return H.greedy(ordered, ["source"], "place", "tokens", 1500, 8).select("source", "id", F.col("place").cast("long").alias("place"))
+    return H.greedy_whole(rows, ["source"], [F.desc("static_score"), F.asc("id")], "tokens", 1500, 8).select("source", "id", F.col("place").cast("long").alias("place"))

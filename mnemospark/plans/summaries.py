@@ -64,7 +64,7 @@ def summary_span_counts(t):
 
 GRAPH = (
     "gn as (select o_orderkey node, o_custkey % 7 session, case when o_orderkey % 13 = 0 then 0 else o_orderkey % 9 end level, md5(o_orderpriority) hash from orders), st as (select node, session, level, case when node % 17 = 0 then 'x' else hash end hash from gn where node % 5 = 0), "
-    "ed as (select distinct l_orderkey parent, l_orderkey + l_linenumber * 3 - 9 child from lineitem where l_partkey % 8 = 0)"
+    "ed as (select distinct l_orderkey parent, l_orderkey - l_orderkey % 32 + (l_orderkey % 32 + l_linenumber * 3 + 23) % 32 child from lineitem)"
 )
 
 
@@ -79,7 +79,8 @@ def summary_graph(t):
     k = F.col("o_orderkey")
     nodes = t.orders.select(k.alias("node"), (F.col("o_custkey") % 7).alias("session"), F.when(k % 13 == 0, 0).otherwise(k % 9).alias("level"), F.md5("o_orderpriority").alias("hash"))
     stored = nodes.where("node % 5 = 0").withColumn("hash", F.when(F.col("node") % 17 == 0, "x").otherwise(F.col("hash")))
-    edges = t.lineitem.where("l_partkey % 8 = 0").select(F.col("l_orderkey").alias("parent"), (F.col("l_orderkey") + F.col("l_linenumber") * 3 - 9).alias("child")).distinct()
+    # children lie in their parent's block of 32, so that the SQL can close the graph
+    edges = t.lineitem.select(F.col("l_orderkey").alias("parent"), F.expr("l_orderkey - l_orderkey % 32 + (l_orderkey % 32 + l_linenumber * 3 + 23) % 32").alias("child")).distinct()
     return S.graph_problems(nodes, edges, stored)
 
 

@@ -126,3 +126,10 @@ def test_recall_across_sessions_hides_closed_entries(spark):
     got = R.recall(found, asked, scope).orderBy("place").collect()
     assert sorted((r.session_id, r.entry_id, r.relation) for r in got) == [(1, "1:0", "own"), (3, "3:0", "project")]
     assert R.recall(found, asked, scope, limit=1).count() == 1
+
+
+def test_a_candidate_past_many_that_do_not_fit_is_taken(spark):
+    rows = [("a", k, 1000 - k, 60 if k < 700 else 7) for k in range(720)] + [("b", k, k, 5) for k in range(3)] + [("c", 1, 1, 999)]
+    frame = spark.createDataFrame(rows, "key string, id int, score int, tokens int")
+    got = sorted((r.key, r.id, r.place) for r in H.greedy_whole(frame, ["key"], [F.desc("score"), F.asc("id")], "tokens", 50, 4, fold=100).collect())
+    assert got == [("a", 700 + k, 700 + k) for k in range(4)] + [("b", k, 2 - k) for k in range(3)]
