@@ -150,12 +150,14 @@ def further_pairs(stars: DataFrame, percent: int) -> DataFrame:
     # shingles that the hub lacks, rarest first; so many of them may be without a partner
     rest = rows.select("hub", "node", "class", "linked", "n", "both", F.size("rest").alias("size"), F.greatest(F.lit(1), needed(F.col("n") + F.col("least"), percent) - F.col("both")).alias("share"), F.explode("rest").alias("shingle"))
     rest = materialize(rest.where("share <= size"), "rest")
-    common = rest.groupBy("hub", "shingle").agg(F.count("*").alias("df"))
+    rest = rest.withColumn("place", F.struct("hub", "shingle"))
+    common = materialize(rest.groupBy("place").agg(F.count("*").alias("rows_of_key")), "common")
     rarest = Window.partitionBy("hub", "node").orderBy("df", "shingle")
-    prefix = rest.join(common, ["hub", "shingle"]).withColumn("at", F.row_number().over(rarest)).where("at <= size - share + 1 and df > 1")
+    prefix = spread_join(rest, common.withColumnRenamed("rows_of_key", "df"), "place", ["node"], common).withColumn("at", F.row_number().over(rarest)).where("at <= size - share + 1 and df > 1")
     prefix = materialize(prefix.select("hub", "shingle", "node", "class", "linked", "n", "both", (F.col("size") - F.col("at") + 1).alias("left")), "prefix")
     other = prefix.select("hub", "shingle", *[F.col(c).alias(f"{c}_other") for c in ("node", "class", "n", "both", "left")])
-    # a pair's first common shingle leaves room for all that it still has to share
+    # a pair's first common shingle leaves room for all that it still has to share. Both joins below are of two shuffled sides, of which Spark splits
+    # what is large of one key
     room = F.least("left", "left_other") >= needed(F.col("n") + F.col("n_other"), percent) - F.least("both", "both_other")
     sharing = prefix.where("not linked").join(other, ["hub", "shingle"]).where((F.col("class") != F.col("class_other")) & room).select("node", "class", "node_other", "class_other")
     # overlaps with the hub that are enough by themselves
@@ -195,7 +197,7 @@ def classified(docs: DataFrame, n: int, percent: int) -> DataFrame:
     more = beside(materialize(further_pairs(stars, percent), "pairs"), sets).where(similar(percent)).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
     second = components(more).select(F.col("node").alias("class"), "component")
     named_nodes = nodes.select("node", "doc_id").join(first.select("node", F.col("component").alias("class")), "node", "left").withColumn("class", F.coalesce("class", "node"))
-    named_nodes = materialize(named_nodes.join(second, "class", "left").select("node", "doc_id", F.coalesce("component", "class").alias("component")), "named")
+    named_nodes = materialize(spread_join(named_nodes, second, "class", ["node"]).select("node", "doc_id", F.coalesce("component", "class").alias("component")), "named")
     least = named_nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = spread_join(named_nodes, least, "component", ["node"]).select("node", "component", "component_id")
     return spread_join(rows, final, "node", ["doc_id", "key"]).select(

@@ -39,7 +39,7 @@ RUNS = [(re.compile(p), s) for p, s in ((r"[^\W\d_]+", lambda m: "a" if m[0].isl
 def shape(word: str) -> str:
     for pattern, by in RUNS:
         word = pattern.sub(by, word)
-    return word[:12]
+    return word
 
 
 def bucket(kind: str, name: str) -> int:
@@ -142,7 +142,8 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, chars: int
     The sample's ratings are that many rows and are broadcast; its features are collected. Each rated document counts once: of several rows with its id the
     one of least hash. Texts are taken in the order of the hash as long as they hold ``chars`` characters together, so the sample is bounded in both ways.
     """
-    chosen = ratings.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # only ratings of documents that are there count towards the sample
+    chosen = ratings.join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     order = F.xxhash64("doc_id", "text")
     sizes = docs.select("doc_id", order.alias("order"), F.length(F.coalesce("text", F.lit(""))).alias("n")).join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi")
     picked = sorted(tuple(r.one) for r in sizes.groupBy("doc_id").agg(F.min(F.struct("order", "n")).alias("one")).select("one").collect())

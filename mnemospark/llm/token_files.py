@@ -41,6 +41,9 @@ SEGMENT_IDS = 4_000_000
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    """Ids side by side, each in so many bits; one that does not fit is refused."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit into {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f">u{bits // 8}").tobytes()
     return np.packbits(np.unpackbits(ids.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - bits :]).tobytes()
@@ -171,8 +174,11 @@ def read_token_files(docs_path: DataFrame) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Write the ids of every text with an end id and read the files back."""
+    """Write the ids of every text with an end id and read the files back. Ids are as wide as the tokenizer's greatest one needs.
+
+    Null and empty texts are the end id alone, repeated rows are written each, and other columns are not kept.
+    """
     spark = docs.sparkSession
-    path = new_path(spark, "tokens")
-    write_token_files(docs, path, tokenizer or vocab.default_path("word_bpe_49k.json"), drops_space=True, end_id=1, vocabulary=49_408)
+    path, tokenizer = new_path(spark, "tokens"), tokenizer or vocab.default_path("word_bpe_49k.json")
+    write_token_files(docs, path, tokenizer, drops_space=True, end_id=1, vocabulary=1 + max(1, vocab.greatest_id(tokenizer)))
     return read_token_files(spark.read.schema("part int, seg int, n_ids long, data binary").parquet(path))

@@ -30,6 +30,11 @@ def from_json(path: str) -> Tokenizer:
     return tokenizer
 
 
+@functools.lru_cache(4)
+def greatest_id(path: str) -> int:
+    return max(from_json(path).get_vocab().values())
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}

@@ -23,7 +23,7 @@ def test_features_against_brute_force(spark):
     for text, a, b in zip(texts, at, at[1:]):
         want = brute_features(text)
         assert dict(zip(number[a:b].tolist(), value[a:b].tolist())) == pytest.approx(want)
-    assert ordinal.shape("WORD!!!") == "A!" and ordinal.shape("Word12,") == "Aa0," and ordinal.shape("don't") == "a'a"
+    assert ordinal.shape("WORD!!!") == "A!" and ordinal.shape("Word12,") == "Aa0," and ordinal.shape("don't") == "a'a" and ordinal.shape("a1" * 20) == "a0" * 20
 
 
 def test_the_fit_is_a_minimum_of_the_cumulative_loss():

@@ -70,6 +70,15 @@ def test_packing_is_lossless_and_random_access_agrees(case, block):
     assert s.read_ids(a, b).tolist() == ids[a:b]
 
 
+def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
+    with pytest.raises(ValueError, match="70000"):
+        token_files.pack(np.array([5, 70_000], np.uint32), 16)
+    assert vocab.greatest_id(public_tokenizers.path("word_bpe_49k.json")) == 49_407
+    frame = spark.createDataFrame([(1, "many ordinary words of a text")], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        token_files.write_token_files(frame, f"{tmp_path}/t", public_tokenizers.path("word_bpe_49k.json"), drops_space=True, end_id=1, vocabulary=200)
+
+
 def reference_bpe():
     ranks = vocab.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
