@@ -15,7 +15,7 @@ ms as (select c as session, t as position, case when x % 17 = 0 then '' when x %
   case when t % 2 = 1 then list_concat(['k' || (t // 2)], list_concat(case when x % 7 = 0 then ['k' || (t // 2 - 1)] else [] end, case when x % 23 = 0 then [''] else [] end)) else [] end as calls,
   case when t % 2 = 0 and t > 0 then list_concat(['k' || (t // 2 - 1)], case when x % 11 = 0 then ['zz'] else [] end) else [] end as results from b),
 gr as (select c as session, t as place, case when x % 29 = 0 then ' ' else 'g' || t end as group_id, x % 13 <> 0 as complete,
-  list_concat(['m' || c || ':' || t], list_concat(case when x % 5 = 0 then [] else ['m' || c || ':' || (t + 1)] end, case when x % 8 = 0 then ['ghost'] else [] end)) as message_ids,
+  list_concat(['m' || c || ':' || t], list_concat(case when x % 5 = 0 then [] else ['m' || c || ':' || (t + 1)] end, list_concat(case when x % 8 = 0 then ['ghost'] else [] end, case when x % 12 = 0 then ['m' || c || ':' || (t - 1)] else [] end))) as message_ids,
   list_concat(['k' || (t // 2)], list_concat(case when x % 9 = 0 then ['yy'] else [] end, case when x % 6 = 0 then ['k0'] else [] end)) as call_ids from b where t % 2 = 1 and x % 10 <> 0),
 us as (select session, position, message_id, unnest(calls) as call_id, true as called from ms union all select session, position, message_id, unnest(results), false from ms),
 bc as (select session, call_id, count(*) filter (where called) as nc, count(*) filter (where not called) as nr from us group by 1, 2),
@@ -59,7 +59,7 @@ def planted(t):
         "if(t % 2 = 0 and t > 0, " + some("concat('k', t div 2 - 1)", "if(x % 11 = 0, 'zz', null)") + ", cast(array() as array<string>)) as results",
     )
     declared = rows.where("t % 2 = 1 and x % 10 != 0").selectExpr(
-        "c as session", "t as place", "if(x % 29 = 0, ' ', concat('g', t)) as group_id", "x % 13 != 0 as complete", some(at(0), f"if(x % 5 = 0, null, {at(1)})", "if(x % 8 = 0, 'ghost', null)") + " as message_ids",
+        "c as session", "t as place", "if(x % 29 = 0, ' ', concat('g', t)) as group_id", "x % 13 != 0 as complete", some(at(0), f"if(x % 5 = 0, null, {at(1)})", "if(x % 8 = 0, 'ghost', null)", f"if(x % 12 = 0, {at(-1)}, null)") + " as message_ids",
         some("concat('k', t div 2)", "if(x % 9 = 0, 'yy', null)", "if(x % 6 = 0, 'k0', null)") + " as call_ids",
     )
     return snapshots, messages, declared
