@@ -178,3 +178,12 @@ def binary_like(text: Column) -> Column:
     sample = F.concat(F.substring(text, 1, 8192), F.substring(text, middle + 1, F.lit(8192)), F.right(text, F.lit(8192)))
     controls = F.length(sample) - F.length(F.regexp_replace(sample, r"[\x01-\x06\x0E-\x1F]", ""))
     return F.coalesce(F.contains(text, F.lit("\0")) | (controls > F.length(sample) * 0.05), F.lit(False))
+
+
+def likely_binary(content: Column) -> Column:
+    """A file's bytes that are no text: a NUL or more than a twentieth of control bytes in the first 8 KiB, or many bytes that are no UTF-8."""
+    head = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")
+    controls = F.length(head) - F.length(F.regexp_replace(head, r"[\x01-\x06\x0E-\x1F]", ""))
+    text = F.make_valid_utf8(content.cast("string"))
+    odd = F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))
+    return F.coalesce(F.contains(head, F.lit("\0")) | (controls > F.length(head) * 0.05) | (odd > F.greatest(F.lit(2), F.length(text) / 200)), F.lit(False))

@@ -193,3 +193,22 @@ def checkpoint(session: Column, leaf: Column, source_hash: Column, context: Colu
     problem = F.when(F.length(F.trim(F.coalesce(context, F.lit("")))) == 0, "checkpoint-empty").when(F.lit(target < 512) | (T.text_tokens(note) > target), "checkpoint-budget")
     id_ = F.concat(F.lit("checkpoint_"), F.substring(F.sha2(F.concat_ws(":", session.cast("string"), leaf.cast("string"), source_hash), 256), 1, 32))
     return F.struct(F.when(problem.isNull(), id_).alias("id"), F.when(problem.isNull(), note).alias("handoff"), problem.alias("problem"))
+
+
+def summary_hash(conversation: Column, previous: Column, entry_ids: Column, read: Column, modified: Column) -> Column:
+    """What a summary was made of, as the hash of JSON with its keys in order; a null summary before is an empty one, null lists are empty."""
+    some = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    parts = {"conversationText": conversation, "modifiedFiles": some(modified), "previousSummary": F.coalesce(previous, F.lit("")), "readFiles": some(read), "sourceEntryIds": some(entry_ids)}
+    return F.sha2(F.to_json(F.struct(*[c.alias(k) for k, c in parts.items()])), 256)
+
+
+def update_hash(source_hash: Column, previous: Column) -> Column:
+    """That of a summary that carries on from ``previous`` (id, source_hash, content, level)."""
+    before = F.struct(previous["content"].alias("content"), previous["level"].alias("graphLevel"), previous["id"].alias("id"), previous["source_hash"].alias("sourceHash"))
+    return F.sha2(F.to_json(F.struct(before.alias("previous"), source_hash.alias("sourceHash"))), 256)
+
+
+def aggregate_hash(children: Column) -> Column:
+    """That of a summary of summaries: ``children`` (level, id, kind, source_hash) in their order."""
+    one = lambda c: F.struct(c["level"].alias("graphLevel"), c["id"].alias("id"), c["kind"].alias("kind"), c["source_hash"].alias("sourceHash"))
+    return F.sha2(F.to_json(F.transform(children, one)), 256)

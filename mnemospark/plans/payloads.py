@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemospark.functions.text import likely_binary
 from mnemospark.operators import evaluation as E
 from mnemospark.operators import policies as P
 from mnemospark.operators import privacy as X
+from mnemospark.operators import summaries as S
 from mnemospark.plans.registry import query
 from mnemospark.storage import new_path
 
@@ -83,3 +85,40 @@ def model_saved(t):
     model = model.unionByName(t.customer.agg(F.round(F.sum("c_acctbal") / 1000, 4).alias("weight")).withColumn("feature", F.lit("bias")))
     path = new_path(spark, "model")
     return E.load_model(spark, path, E.save_model(spark, model, path))
+
+
+@query(
+    "with d as (select doc_id, coalesce(text, '') as t from documents), e as (select doc_id, t, strlen(t) as n from d) select doc_id, case doc_id % 6 when 1 then n < 8192 when 2 then n > 0 and n // 12 > 0 and least(n // 12, 8192) > least(8192, n + n // 12) * 0.05e0 "
+    "when 3 then doc_id % 40 > greatest(2, (length(t) + doc_id % 40) / 200e0) when 5 then (3 * (1 + doc_id % 5) > greatest(2, (length(t) + 3 * (1 + doc_id % 5)) / 200e0)) else false end as binary from e"
+)
+def file_sniff(t):
+    """Files that are no text by their first 8 KiB or by bytes that are no UTF-8: a NUL at the end, control bytes at the head, replacement characters, control bytes beyond the head, and broken bytes."""
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    body = (
+        F.when(k % 6 == 1, F.concat(text, F.lit("\0"))).when(k % 6 == 2, F.concat(F.expr("repeat('\\u0001', cast(octet_length(coalesce(text, '')) div 12 as int))"), text)).when(k % 6 == 3, F.concat(text, F.expr("repeat('\\uFFFD', cast(doc_id % 40 as int))")))
+        .when(k % 6 == 4, F.concat(F.expr("repeat('a', 9000)"), F.expr("repeat('\\u0001', 5000)"), text)).otherwise(text)
+    )
+    # each of these bytes alone is no character
+    broken = F.concat(F.encode(text, "UTF-8"), F.unhex(F.expr("repeat('C0FFFE', cast(1 + doc_id % 5 as int))")))
+    content = F.when(k % 6 == 5, broken).otherwise(F.encode(body, "UTF-8"))
+    return t.documents.select("doc_id", likely_binary(content).alias("binary"))
+
+
+@query(
+    "with l as (select conv_id, string_agg(coalesce(text, ''), chr(10) order by turn) as body, list(conv_id || ':' || turn order by turn) as ids, arg_max(coalesce(text, ''), turn) as last from conversations group by 1), "
+    "h as (select conv_id, last, sha256(cast(json_object('conversationText', body, 'modifiedFiles', ['m' || conv_id], 'previousSummary', case when conv_id % 2 = 0 then last else '' end, 'readFiles', cast([] as varchar[]), 'sourceEntryIds', ids) as varchar)) as own from l), "
+    "a as (select conv_id // 10 as family, sha256('[' || string_agg(cast(json_object('graphLevel', conv_id % 3, 'id', 's' || conv_id, 'kind', 'history', 'sourceHash', own) as varchar), ',' order by conv_id) || ']') as together from h group by 1) "
+    "select conv_id, own, sha256(cast(json_object('previous', json_object('content', last, 'graphLevel', conv_id % 3, 'id', 's' || conv_id, 'sourceHash', own), 'sourceHash', own) as varchar)) as updated, together from h join a on a.family = conv_id // 10"
+)
+def summary_hashes(t):
+    """The three hashes of summaries: of a conversation, of one that carries on, and of a summary of ten."""
+    lines = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    rows = t.conversations.groupBy("conv_id").agg(lines.alias("l"))
+    body, ids = F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.transform("l", lambda x: F.concat_ws(":", "conv_id", x["turn"]))
+    last, k = F.element_at("l", -1)["text"], F.col("conv_id")
+    rows = rows.select("conv_id", last.alias("last"), S.summary_hash(body, F.when(k % 2 == 0, last), ids, F.lit(None).cast("array<string>"), F.array(F.concat(F.lit("m"), k))).alias("own"))
+    name = F.concat(F.lit("s"), k)
+    previous = F.struct(name.alias("id"), F.col("own").alias("source_hash"), F.col("last").alias("content"), (k % 3).alias("level"))
+    children = F.array_sort(F.collect_list(F.struct("conv_id", (k % 3).alias("level"), name.alias("id"), F.lit("history").alias("kind"), F.col("own").alias("source_hash"))))
+    family = rows.groupBy(F.floor(k / 10).alias("family")).agg(S.aggregate_hash(children).alias("together"))
+    return rows.withColumn("family", F.floor(k / 10)).join(family, "family").select("conv_id", "own", S.update_hash(F.col("own"), previous).alias("updated"), "together")
