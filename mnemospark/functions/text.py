@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Latin letters with marks and the letters they are matched as.
-MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyaaaaaaceeeeiiiinooooouuuuy"
+
+
+def marked_letters() -> tuple[str, str]:
+    """Every Latin letter that is put together of another and marks, and that other letter."""
+    found = []
+    for code in range(0xC0, 0x2200):
+        base, *marks = unicodedata.normalize("NFD", chr(code))
+        if marks and all(unicodedata.category(m)[0] == "M" for m in marks) and unicodedata.name(base, "").startswith("LATIN"):
+            found.append((chr(code), base))
+    return "".join(c for c, _ in found), "".join(b for _, b in found)
+
+
+MARKED, PLAIN = marked_letters()
 
 
 def half_up(x: Column, digits: int = 6) -> Column:
@@ -26,8 +39,9 @@ def message_tokens(role: Column, text: Column) -> Column:
 
 
 def lexical(text: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
-    return F.translate(F.translate(text, UPPER, LOWER), MARKED, PLAIN)
+    """Lower case without the marks of Latin letters, be they one character with its letter or characters of their own."""
+    plain = F.regexp_replace(F.translate(text, MARKED, PLAIN), r"(\p{IsLatin})\p{M}+", "$1")
+    return F.lower(F.when(F.octet_length(text) == F.length(text), text).otherwise(plain))
 
 
 def terms(text: Column) -> Column:

@@ -129,7 +129,7 @@ def feature_hash_embedding(t):
     return cells.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sum(F.abs("value")), 6).alias("l1"), F.round(F.sum(F.col("value") * (F.col("bucket") % 7)), 6).alias("probe"))
 
 
-@query("with w as (select doc_id, translate(translate(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g'), '" + T.UPPER + "', '" + T.LOWER + "'), '" + T.MARKED + "', '" + T.PLAIN + "') t from documents), "
+@query("with w as (select doc_id, lower(strip_accents(coalesce(text, ''))) t from documents), "
        "a as (select doc_id, list_filter(regexp_split_to_array(t, '[^a-z0-9]+'), lambda x: x <> '') w from w) select w[i] this, w[i + 1] next, count(*) n from a, unnest(range(1, len(w))) u(i) group by all having count(*) > 3")
 def bigram_features(t):
     words = t.documents.select(T.terms(F.col("text")).alias("w")).where("size(w) > 1")

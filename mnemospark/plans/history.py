@@ -15,7 +15,7 @@ ENTRIES = (
     "e as (select conv_id session_id, conv_id || ':' || turn entry_id, lag(conv_id || ':' || turn) over (partition by conv_id order by turn) parent_id, turn created_at, role, text, "
     f"{TOK.format('text')} + {TOK.format('role')} + 8 tokens from conversations)"
 )
-LEX = "translate(translate({0}, '" + T.UPPER + "', '" + T.LOWER + "'), '" + T.MARKED + "', '" + T.PLAIN + "')"
+LEX = "lower(strip_accents({0}))"
 TERMS = "regexp_extract_all(" + LEX.format("coalesce({0}, '')") + ", '[a-z0-9]+')"
 NORM = LEX.format("trim(regexp_replace({0}, '[ \\t-\\r]+', ' ', 'g'))")
 HALF_UP = "floor(({0}) * 1000000 + 0.5) / 1000000"
