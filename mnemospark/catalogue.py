@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from mnemospark.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "hybrid_retrieval"
-for _area in ("history", "models", "state", "content", "ranking", "context", "forest", "memory", "evaluation", "policies", "files", "logs", "neighbours", "payloads", "replay", "semantic", "snapshots", "spans", "supersession", "summaries", "whole"):
+for _area in ("history", "models", "state", "content", "ranking", "context", "forest", "memory", "evaluation", "policies", "files", "logs", "neighbours", "paging", "payloads", "replay", "semantic", "snapshots", "spans", "supersession", "summaries", "whole"):
     importlib.import_module(f"mnemospark.plans.{_area}")
 
 

@@ -96,14 +96,16 @@ def symbol_hits(rows: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
     return top(hits, ["request", "term"], order, limit).select("request", "term", "snippet_id", "rank")
 
 
+#: Terms of a project that a snippet is looked through for at a time.
+TERMS = 200
+
+
 def text_hits(rows: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
-    """Snippets whose path or content holds a term as it is written. The terms of all requests are a stated set: each snippet is read once."""
+    """Snippets whose path or content holds a term as it is written. A snippet meets its own project's terms, in packs, each term once however many ask for it."""
     wanted = asked_for(requests, "exact").distinct()
-    terms = [r.term for r in wanted.select("term").distinct().collect()]
-    if not terms:
-        return rows.sparkSession.createDataFrame([], "request long, term string, snippet_id string, rank int")
-    list_ = F.array(*map(F.lit, terms))
-    held = rows.withColumn("term", F.explode(F.filter(list_, lambda t: F.contains(F.col("path"), t) | F.contains(F.col("content"), t))))
+    nth = F.row_number().over(Window.partitionBy("project").orderBy("term")) - 1
+    packs = wanted.select("project", "term").distinct().withColumn("pack", F.floor(nth / TERMS)).groupBy("project", "pack").agg(F.collect_list("term").alias("_terms"))
+    held = rows.join(packs.drop("pack"), "project").withColumn("term", F.explode(F.filter("_terms", lambda t: F.contains(F.col("path"), t) | F.contains(F.col("content"), t)))).drop("_terms")
     order = [F.desc(F.col("modified").cast("int")), F.asc("start_line"), F.asc("snippet_id")]
     return top(held.join(wanted, ["project", "term"]), ["request", "term"], order, limit).select("request", "term", "snippet_id", "rank")
 
