@@ -109,11 +109,14 @@ class Limits:
     project: int = 300
     summary: int = 300
     rescue: bool = True
+    placement: str = "latest-user"
 
 
 #: What a group's score starts from, by why it is there.
 PRIORITY = {"current": 1000, "pin": 900, "recent": 100, "summary": 75, "history": 40}
 CATEGORIES = ("memory", "retrieval", "project", "summary")
+#: Where supplements stand.
+PLACEMENTS = ("latest-user", "stable-prefix", "hybrid")
 
 
 def prefix_place(messages: DataFrame) -> DataFrame:
@@ -122,30 +125,40 @@ def prefix_place(messages: DataFrame) -> DataFrame:
 
 
 def managed_plan(messages: DataFrame, supplements: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Which messages and supplements of each session go into its request: (session, index, supplement, group, kind, tokens, score, selected, mode, why).
+    """Which messages and supplements of each session go into its request: (session, index, position, supplement, group, kind, tokens, score, selected, mode, why).
 
-    ``messages`` have ``pinned`` too; ``supplements`` are (session, id, category, score, tokens), where category is pin, memory, retrieval or project, and stand right
-    before the last user message, each a group of its own. The current turn and pins are in whatever they cost. Recent turns follow from the newest back while they fit the tail
+    ``messages`` have ``pinned`` too; ``supplements`` are (session, id, category, score, tokens), where category is pin, memory, retrieval or project, each a group of its own. They stand right
+    before the last user message, or by ``limits.placement`` after the leading instructions (stable-prefix), or there but for retrieval (hybrid), so that requests have their beginnings in common; ``position`` is a part's place among all.
+    Supplements with a ``promoted`` rank (optional) are tried first in its order, whatever their category. The current turn and pins are in whatever they cost. Recent turns follow from the newest back while they fit the tail
     and the window; the first that doesn't closes the tail, but the turn right before the current one is kept if only the tail is too short for it. Then supplements by category, score and place, and
     summaries from the newest, are taken while they fit their category and the window, passing over what doesn't. If mandatory parts alone are too large, or a call
     would be parted from its result, the plan falls back: all messages stay and no supplement. Sessions without a user message take no supplements.
     """
     hard, target = max(0, limits.hard - limits.fixed), max(0, limits.target - limits.fixed)
     marks = prefix_place(messages)
-    own = messages.join(marks, "session").withColumn("_at", F.when(F.col("last_user").isNull() | (F.col("index") < F.col("last_user")), 0).otherwise(2))
+    if limits.placement not in PLACEMENTS:
+        raise ValueError(f"placement has to be one of {PLACEMENTS}")
+    # leading instructions, supplements of the prefix, what else is before the last user, supplements of the turn, the turn
+    leads = messages.groupBy("session").agg(F.min(F.when(~F.col("role").isin("system", "developer"), F.col("index"))).alias("lead"))
+    before = F.col("last_user").isNull() | (F.col("index") < F.col("last_user"))
+    own = messages.join(marks, "session").join(leads, "session").withColumn("_at", F.when(before & (F.col("index") < F.coalesce("lead", F.lit(2**31 - 1))), 0).when(before, 2).otherwise(4)).drop("lead")
     extra = supplements.join(marks.where("last_user is not null"), "session")
     nth = F.row_number().over(Window.partitionBy("session").orderBy("id"))
-    columns = {"role": F.lit("user"), "calls": F.array().cast("array<string>"), "result_of": F.lit(None).cast("string"), "pinned": F.lit(False), "_at": F.lit(1), "index": nth}
+    in_prefix = F.lit(limits.placement == "stable-prefix") | (F.lit(limits.placement == "hybrid") & (F.col("category") != "retrieval"))
+    place = F.when(in_prefix, 1).otherwise(3)
+    if "promoted" not in extra.columns:
+        extra = extra.withColumn("promoted", F.lit(None).cast("int"))
+    columns = {"role": F.lit("user"), "calls": F.array().cast("array<string>"), "result_of": F.lit(None).cast("string"), "pinned": F.lit(False), "_at": place, "index": nth}
     extra = extra.withColumns(columns).withColumn("isolated", F.lit(True))
-    own = own.withColumns({"isolated": F.lit(False), "id": F.lit(None).cast(supplements.schema["id"].dataType), "category": F.lit(None).cast("string"), "score": F.lit(None).cast("double")})
-    names = ["session", "index", "_at", "role", "tokens", "calls", "result_of", "pinned", "isolated", "id", "category", "score", "last_user"]
+    own = own.withColumns({"isolated": F.lit(False), "id": F.lit(None).cast(supplements.schema["id"].dataType), "category": F.lit(None).cast("string"), "score": F.lit(None).cast("double"), "promoted": F.lit(None).cast("int")})
+    names = ["session", "index", "_at", "role", "tokens", "calls", "result_of", "pinned", "isolated", "id", "category", "score", "promoted", "last_user"]
     both = own.select(*names).unionByName(extra.select(*names)).withColumnRenamed("index", "native")
     both = both.withColumn("index", F.row_number().over(Window.partitionBy("session").orderBy("_at", "native")) - 1)
-    both = both.withColumn("last_user", F.max(F.when((F.col("_at") == 2) & (F.col("native") == F.col("last_user")), F.col("index"))).over(Window.partitionBy("session")))
+    both = both.withColumn("last_user", F.max(F.when((F.col("_at") == 4) & (F.col("native") == F.col("last_user")), F.col("index"))).over(Window.partitionBy("session")))
     rows, path = written(grouped(both), "grouped")
 
     whole = groups(rows).join(
-        rows.groupBy("session", "root").agg(F.max("pinned").alias("pinned"), F.max("category").alias("category"), F.max("id").alias("id"), F.max("score").alias("given"), F.max("last_user").alias("last_user"), F.count("native").alias("n")), ["session", "root"]
+        rows.groupBy("session", "root").agg(F.max("pinned").alias("pinned"), F.max("category").alias("category"), F.max("id").alias("id"), F.max("score").alias("given"), F.max("promoted").alias("promoted"), F.max("last_user").alias("last_user"), F.count("native").alias("n")), ["session", "root"]
     )
     session = Window.partitionBy("session")
     size = F.sum("messages").over(session)
@@ -173,7 +186,9 @@ def managed_plan(messages: DataFrame, supplements: DataFrame, limits: Limits = L
     kinds = {c: i for i, c in enumerate(CATEGORIES)}
     slot = F.when(~F.col("must"), F.coalesce("category", F.when(F.col("kind") == "summary", F.lit("summary"))))
     order = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), slot)
-    item = F.struct(order.alias("slot"), (-F.coalesce("given", F.lit(0.0))).alias("minus"), (-F.col("last")).alias("back"), F.col("root"), F.col("tokens"))
+    # promoted supplements come first whatever their kind, in their order; summaries last
+    first = (F.col("slot") == "summary").cast("int").alias("late"), F.coalesce("promoted", F.lit(2**31 - 1)).alias("promoted")
+    item = F.struct(*first, order.alias("slot"), (-F.coalesce("given", F.lit(0.0))).alias("minus"), (-F.col("last")).alias("back"), F.col("root"), F.col("tokens"))
     lists = whole.withColumn("slot", slot).where("slot is not null").groupBy("session").agg(F.array_sort(F.collect_list(item)).alias("items"), F.first("used").alias("used"))
     most = F.array(*[F.lit(getattr(limits, c)) for c in CATEGORIES])
     start = F.struct(F.col("used").alias("used"), F.array_repeat(F.lit(0).cast("long"), len(CATEGORIES)).alias("spent"), F.array().cast("array<int>").alias("taken"))
@@ -197,6 +212,6 @@ def managed_plan(messages: DataFrame, supplements: DataFrame, limits: Limits = L
     final = rows.select("session", "root", "index", "native", "id", "tokens", "isolated").join(verdict.select("session", "root", "first", "last", "reason", "plan_score", "selected", "why", "rescued"), ["session", "root"])
     back = F.col("why").isNotNull()
     return final.select(
-        "session", F.when(~F.col("isolated"), F.col("native")).alias("index"), F.col("id").alias("supplement"), F.concat(F.lit("group:"), "first", F.lit("-"), "last").alias("group"), F.col("reason").alias("kind"), "tokens", F.col("plan_score").alias("score"),
+        "session", F.when(~F.col("isolated"), F.col("native")).alias("index"), F.col("index").alias("position"), F.col("id").alias("supplement"), F.concat(F.lit("group:"), "first", F.lit("-"), "last").alias("group"), F.col("reason").alias("kind"), "tokens", F.col("plan_score").alias("score"),
         F.when(back, ~F.col("isolated")).otherwise(F.col("selected")).alias("selected"), F.when(back, "fallback").otherwise("managed").alias("mode"), "why", "rescued",
     )

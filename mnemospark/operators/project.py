@@ -11,7 +11,7 @@ from mnemospark.operators.history import greedy, top
 
 #: Folders that hold no project knowledge.
 IGNORED_DIRECTORIES = (
-    ".git", ".hg", ".svn", ".pi", ".cache", ".idea", ".vscode",
+    ".git", ".hg", ".svn", ".cache", ".idea", ".vscode",
     "node_modules", "vendor", "dist", "build", "coverage", "target",
     "bin", "obj", ".next", ".nuxt", ".venv", "venv", "__pycache__",
 )

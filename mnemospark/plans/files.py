@@ -81,7 +81,7 @@ def logged(t):
     raw = (
         F.when(turn % 6 == 0, message(block(role=F.col("role"), content=text)))
         .when(turn % 6 == 1, message(block(role="assistant", content=blocks)))
-        .when(turn % 6 == 2, message(block(role="toolResult", toolName=F.when(turn % 4 == 2, "context_history_search").otherwise("grep"), toolCallId="c", content=F.array(block(type="text", text=text), block(type="text", text="b")))))
+        .when(turn % 6 == 2, message(block(role="toolResult", toolName=F.when(turn % 4 == 2, "history_search").otherwise("grep"), toolCallId="c", content=F.array(block(type="text", text=text), block(type="text", text="b")))))
         .when(turn % 6 == 3, message(block(role="bashExecution", command="ls", output=text)))
         .when(turn % 6 == 4, json(type="branch_summary", id=id_, timestamp=when, fromId="x", summary=text))
         .otherwise(json(type="label", id=id_, timestamp=when, targetId="y", label=text))

@@ -17,8 +17,8 @@ RECORD = (
 HEADER_BYTES = 1 << 20
 #: Bytes before the last line's end whose hash tells whether a file was only appended to.
 HASH_BYTES = 1 << 16
-#: Tools whose calls and results are not indexed, as they quote what is, and the private note of a rebase.
-HISTORY_TOOLS, HANDOFF = "context_history_", "rebase-handoff-v1"
+#: The prefix of tools whose calls and results are not indexed, as they quote what is, and (fixed value) the private note of a rebase.
+HISTORY_TOOLS, HANDOFF = "history_", "rebase-handoff-v1"
 #: Tokens of a message's frame, of each block, and of an image.
 FRAME_TOKENS, BLOCK_TOKENS, IMAGE_TOKENS = 8, 4, 1024
 

@@ -54,7 +54,11 @@ def brute_plan(messages, supplements, limits):
     extra = sorted(supplements, key=lambda s: s["id"]) if users else []
     rows = [dict(m, isolated=False, id=None) for m in messages]
     if users:
-        rows[users[-1] : users[-1]] = [dict(s, role="user", calls=[], result_of=None, pinned=False, isolated=True) for s in extra]
+        prefix = [s for s in extra if limits.placement == "stable-prefix" or (limits.placement == "hybrid" and s["category"] != "retrieval")]
+        lead = next(i for i, m in enumerate(messages) if m["role"] not in ("system", "developer"))
+        put = lambda own: [dict(s, role="user", calls=[], result_of=None, pinned=False, isolated=True) for s in own]
+        rows[users[-1] : users[-1]] = put([s for s in extra if s not in prefix])
+        rows[min(lead, users[-1]) : min(lead, users[-1])] = put(prefix)
     last_user = max((i for i, r in enumerate(rows) if r["role"] == "user" and not r["isolated"]), default=None)
     group, kind, pairs = brute_groups(rows)
     members = {g: [i for i, x in enumerate(group) if x == g] for g in set(group)}
@@ -79,9 +83,10 @@ def brute_plan(messages, supplements, limits):
             used += tokens[g]
         break
     spent = dict.fromkeys(G.CATEGORIES, 0)
-    rest = [(G.CATEGORIES.index(s["category"]), -s["score"], -ends[g], g) for g, s in supplement.items() if s["category"] != "pin" and g not in must]
-    rest += [(3, 0, -ends[g], g) for g in members if kind[g] == "summary" and g not in must]
-    for c, _, _, g in sorted(rest):
+    rank = lambda s: s["promoted"] if s.get("promoted") is not None else 2**31
+    rest = [(0, rank(s), G.CATEGORIES.index(s["category"]), -s["score"], -ends[g], g) for g, s in supplement.items() if s["category"] != "pin" and g not in must]
+    rest += [(1, 0, 3, 0, -ends[g], g) for g in members if kind[g] == "summary" and g not in must]
+    for _, _, c, _, _, g in sorted(rest):
         name = G.CATEGORIES[c]
         if spent[name] + tokens[g] <= getattr(limits, name) and used + tokens[g] <= target and used + tokens[g] <= hard:
             chosen.add(g)
@@ -101,7 +106,7 @@ def brute_plan(messages, supplements, limits):
     return {((None if r["isolated"] else sum(not x["isolated"] for x in rows[:i])), r["id"]): (not r["isolated"]) if why else i in picked for i, r in enumerate(rows)}, why
 
 
-@pytest.mark.parametrize("limits", [G.Limits(), G.Limits(hard=500, target=400, fixed=20, tail=90, pinned=80), G.Limits(tail=40, rescue=True), G.Limits(tail=40, rescue=False, summary=20), G.Limits(fixed=2000)])
+@pytest.mark.parametrize("limits", [G.Limits(), G.Limits(placement="stable-prefix", target=300), G.Limits(placement="hybrid", target=250, project=120), G.Limits(hard=500, target=400, fixed=20, tail=90, pinned=80), G.Limits(tail=40, rescue=True), G.Limits(tail=40, rescue=False, summary=20), G.Limits(fixed=2000)])
 def test_plans_against_plain_python(spark, limits):
     r = random.Random(5)
     messages, supplements = [], []
@@ -110,9 +115,9 @@ def test_plans_against_plain_python(spark, limits):
         for i in range(n):
             calls = [f"c{r.randint(0, 2)}"] if r.random() < 0.25 else []
             messages.append({"session": s, "index": i, "role": r.choice(["user", "user", "assistant", "assistant", "toolResult", "branchSummary", "system"]) if s != 3 else "assistant", "tokens": r.choice([5, 20, 60, 150]), "calls": calls, "result_of": None if calls or r.random() < 0.75 else f"c{r.randint(0, 2)}", "pinned": r.random() < 0.06})
-        supplements += [{"session": s, "id": f"x{k}", "category": r.choice(["pin", "memory", "retrieval", "project", "project"]), "score": float(r.choice([1, 2, 2, 3])), "tokens": r.choice([10, 40, 120])} for k in range(r.randint(0, 6))]
+        supplements += [{"session": s, "id": f"x{k}", "category": r.choice(["pin", "memory", "retrieval", "project", "project"]), "score": float(r.choice([1, 2, 2, 3])), "promoted": r.choice([None, None, None, 1, 2]) if s % 3 else None, "tokens": r.choice([10, 40, 120])} for k in range(r.randint(0, 6))]
     m = spark.createDataFrame([tuple(x.values()) for x in messages], "session int, index int, role string, tokens long, calls array<string>, result_of string, pinned boolean")
-    x = spark.createDataFrame([tuple(x.values()) for x in supplements], "session int, id string, category string, score double, tokens long")
+    x = spark.createDataFrame([tuple(x.values()) for x in supplements], "session int, id string, category string, score double, promoted int, tokens long")
     got, reasons = {}, {}
     for row in G.managed_plan(m, x, limits).collect():
         got.setdefault(row.session, {})[row["index"], row.supplement] = row.selected
@@ -166,3 +171,18 @@ def test_large_results_in_few_words(spark):
     assert 'Tool: "a\\"b"' in got[0] and "Status: error" in got[0] and 'Paths: "/var/log/a.txt"' in got[0] and 'Errors/warnings: "Error: disk full at /var/log/a.txt"' in got[0]
     assert 'Head: "start xxx' in got[0] and "hunter2222" not in got[0] and "[REDACTED]" in got[0] and len(got[0]) <= 3000 and got[0].endswith("[END LARGE TOOL OUTPUT]")
     assert "Binary output" in got[1] and "Head" not in got[1] and 'Head: "short"' in got[2] and "Tail" not in got[2]
+
+
+def test_a_request_is_a_beginning_of_the_next_one(spark):
+    def plan(n, evidence, **kw):
+        roles = ["system", "user", "assistant", "user", "assistant", "user"][:n]
+        messages = spark.createDataFrame([(1, i, role, 10, [], None, False) for i, role in enumerate(roles)], "session int, index int, role string, tokens long, calls array<string>, result_of string, pinned boolean")
+        extra = [("a", "pin", 1.0, 5), ("b", "memory", 1.0, 5), ("c", "project", 1.0, 5), (evidence, "retrieval", 1.0, 5)]
+        rows = G.managed_plan(messages, spark.createDataFrame([(1, *x) for x in extra], "session int, id string, category string, score double, tokens long"), G.Limits(**kw)).where("selected").orderBy("position").collect()
+        return [r.supplement or r["index"] for r in rows]
+
+    assert plan(4, "e1", placement="stable-prefix") == ["a", "b", "c", "e1", 1, 2, 3]
+    assert plan(4, "e1", placement="hybrid") == ["a", "b", "c", 1, 2, "e1", 3] and plan(6, "e2", placement="hybrid")[:5] == ["a", "b", "c", 1, 2]
+    assert plan(4, "e1") == [1, 2, "a", "b", "c", "e1", 3]
+    with pytest.raises(ValueError):
+        plan(4, "e1", placement="elsewhere")

@@ -110,7 +110,7 @@ def test_tokens_and_blocks_of_messages(spark):
         {"type": "message", "id": "1", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "assistant", "content": content}},
         {"type": "message", "id": "2", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "toolResult", "toolCallId": "t", "toolName": "grep", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}, {"type": "image"}]}},
         {"type": "message", "id": "3", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "bashExecution", "command": "ls", "output": "x y"}},
-        {"type": "message", "id": "4", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "toolResult", "toolName": "context_history_search", "content": "quoted"}},
+        {"type": "message", "id": "4", "timestamp": "2026-01-01T00:00:00Z", "message": {"role": "toolResult", "toolName": "history_search", "content": "quoted"}},
         {"type": "custom_message", "id": "5", "timestamp": "2026-01-01T00:00:00Z", "content": "note"},
         {"type": "label", "id": "6", "timestamp": "2026-01-01T00:00:00Z", "targetId": "1", "label": "L"},
     ]
