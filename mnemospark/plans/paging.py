@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.operators import paging as P
@@ -17,7 +14,6 @@ from mnemospark.plans.registry import query
 )
 def merged_pages(t):
     """All pages of customers' own items and those that their orders bring, four hundred at a time."""
-    native = P.ranged(t.customer.where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("item")), "key")
-    inherited = P.ranged(t.orders.groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderpriority").alias("item")), "key")
-    pages = [rows.select(F.lit(page).alias("page"), "key", "item", "origin") for page, rows in P.all_pages(native, inherited, t.customer.sparkSession, 400)]
-    return functools.reduce(DataFrame.union, pages)
+    native = t.customer.where("c_custkey % 3 != 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("item"))
+    inherited = t.orders.groupBy(F.col("o_custkey").alias("key")).agg(F.min("o_orderpriority").alias("item"))
+    return P.numbered_pages(native, inherited, "key", 400)
