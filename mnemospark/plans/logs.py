@@ -50,12 +50,14 @@ def session_logs(t, folder, phase):
     """Writes each conversation's log: its first three turns, and then, by conv_id % 4: no change, more turns (a file without any is written again), a changed last turn and more, a changed header."""
     k, changed = F.col("conv_id") % 4, F.lit(phase == 2)
     last = F.col("turn") == F.max(F.when(F.col("turn") < 3, F.col("turn"))).over(Window.partitionBy("conv_id"))
-    text = F.when(changed & (k == 2) & last, F.concat(F.substring("text", 1, 3), F.lit("#"), F.substring("text", 5, 1 << 30))).otherwise(F.col("text"))
-    rows = t.conversations.withColumn("shown", text)
+    written = lambda text: F.to_json(F.struct(F.lit("message").alias("type"), F.col("turn").cast("string").alias("id"), F.lit("2026-01-01T00:00:00Z").alias("timestamp"), F.struct("role", text.alias("content")).alias("message")))
+    rows = t.conversations.withColumns({"_edited": (k == 2) & last, "_was": written(F.col("text")), "_is": written(F.concat(F.substring("text", 1, 3), F.lit("#"), F.substring("text", 5, 1 << 30)))})
     rows = rows.where(k != 0) if phase == 2 else rows.where("turn < 3")
-    message = F.struct("role", F.col("shown").alias("content"))
-    record = F.struct(F.lit("message").alias("type"), F.col("turn").cast("string").alias("id"), F.lit("2026-01-01T00:00:00Z").alias("timestamp"), message.alias("message"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.to_json(record).alias("line")))), lambda x: F.concat(x["line"], F.lit("\n")))
+    # a turn that is changed in place has as many bytes before and after, whatever letter goes, and not the same ones
+    size = F.greatest(F.octet_length("_was"), F.octet_length("_is"))
+    filled = lambda line: F.concat(line, F.repeat(F.lit(" "), size - F.octet_length(line)))
+    line = F.when(~F.col("_edited"), F.col("_was")).when(changed, F.concat(F.lit(" "), filled(F.col("_is")))).otherwise(F.concat(filled(F.col("_was")), F.lit(" ")))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: F.concat(x["line"], F.lit("\n")))
     cwd = F.when(changed & (F.col("conv_id") % 4 == 3), "/b").otherwise("/a")
     header = F.to_json(F.struct(F.lit("session").alias("type"), F.col("conv_id").cast("string").alias("id"), F.lit(3).alias("version"), cwd.alias("cwd")))
     files = rows.groupBy("conv_id").agg(lines.alias("lines")).withColumn("lines", F.concat(F.array(F.concat(header, F.lit("\n"))), "lines"))
