@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.functions.text import bound
+from mnemospark.functions.text import bound, lower_letters, upper_letters
 from mnemospark.operators.summaries import SPAN, supported
 
 #: The budget of lookups times sources, the longest value whose near misses are looked for, the shortest part of a composed value, what
@@ -77,7 +77,7 @@ def forms(value: Column, sources: Column) -> Column:
     def ask(relation: str, form: Column) -> Column:
         return bound(form, lambda f: F.when(f != value, F.array(F.struct(F.lit(relation).alias("relation"), has(sources, f).alias("found")))).otherwise(none))
 
-    lower, upper = ask("case-variant-present", F.lower(value)), ask("case-variant-present", F.upper(value))
+    lower, upper = ask("case-variant-present", lower_letters(value)), ask("case-variant-present", upper_letters(value))
     either = bound(lower, lambda low: F.when(F.exists(low, lambda x: x["found"]), low).otherwise(F.concat(low, upper)))
     collapsed = F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
     return F.concat(ask(TRANSFORMED[0], json_written(value)), ask(TRANSFORMED[1], json_read(value)), ask(TRANSFORMED[2], collapsed), either, ask(TRANSFORMED[4], typographic(value)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from mnemospark.functions.text import upper_letters
 from mnemospark.operators import spans as S
 from mnemospark.plans.registry import query
 
@@ -47,7 +48,7 @@ def made(t):
     text, k = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
     part = lambda a, n: F.substring(text, a, n)
     values = [
-        F.upper(part(1, 15)), F.replace(part(1, 15), F.lit(" "), F.lit("  ")), F.concat(part(1, 10), F.lit("#"), part(11, 10)), F.concat(part(1, 8), F.lit("--"), part(31, 8)), F.concat(part(1, 8), F.lit("++"), part(9, 8)),
+        upper_letters(part(1, 15)), F.replace(part(1, 15), F.lit(" "), F.lit("  ")), F.concat(part(1, 10), F.lit("#"), part(11, 10)), F.concat(part(1, 8), F.lit("--"), part(31, 8)), F.concat(part(1, 8), F.lit("++"), part(9, 8)),
         F.concat(F.lit("zqxj wvkq "), k), F.lit("zq" * 70), F.concat(F.lit("“quoted-"), k, F.lit("”")), F.lit("col\\tval"), part(1, 12), F.lit("x"), F.concat(F.lit("readme-"), k), F.concat(F.lit("zqxj wvkq "), k),
     ]
     summary = F.concat_ws(" ", *[F.concat(F.lit("`"), v, F.lit("`")) for v in values])

@@ -1,8 +1,10 @@
 """Queries against their SQL on letters and places that the given small tables don't hold."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from mnemospark import catalogue
+from mnemospark.functions import text as T
 from tests.test_queries import plain
 
 
@@ -24,3 +26,11 @@ def test_a_turn_changed_in_place_keeps_its_bytes_whatever_its_fourth_letter(spar
     rows = [(c, k, "user", text) for c, text in said.items() for k in range(2)] + [(26, k, "user", "abcü and more") for k in range(5)] + [(27, 0, "user", "abcü")]
     got, want = both(spark, tmp_path, "log_states", conversations=(rows, "conv_id long, turn int, role string, text string"))
     assert got == want and len(got) == len(said) + 2
+
+
+def test_other_cases_of_a_value_go_letter_by_letter(spark, tmp_path):
+    texts = ["CHSSKEIT | Straße ß ende", "weiß", "ΑΣ ΟΔΟΣ ως ΣΑΣ", "İstanbul ışık ﬁn", "ŉ ᾳ ᾼ ǰ und ß"]
+    got, want = both(spark, tmp_path, "summary_span_classes", documents=([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    assert got == want
+    cased = spark.createDataFrame([("Straße ﬁ ᾳ",), ("ΟΔΟΣ İ",), ("plain Ä",)], "v string").select(T.upper_letters(F.col("v")).alias("u"), T.lower_letters(F.col("v")).alias("l")).collect()
+    assert [tuple(r) for r in cased] == [("STRAẞE ﬁ ᾼ", "straße ﬁ ᾳ"), ("ΟΔΟΣ İ", "οδοσ i"), ("PLAIN Ä", "plain ä")]
