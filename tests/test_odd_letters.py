@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mnemospark import catalogue
 from mnemospark.functions import text as T
+from mnemospark.operators import context
 from tests.test_queries import plain
 
 
@@ -34,3 +35,8 @@ def test_other_cases_of_a_value_go_letter_by_letter(spark, tmp_path):
     assert got == want
     cased = spark.createDataFrame([("Straße ﬁ ᾳ",), ("ΟΔΟΣ İ",), ("plain Ä",)], "v string").select(T.upper_letters(F.col("v")).alias("u"), T.lower_letters(F.col("v")).alias("l")).collect()
     assert [tuple(r) for r in cased] == [("STRAẞE ﬁ ᾼ", "straße ﬁ ᾳ"), ("ΟΔΟΣ İ", "οδοσ i"), ("PLAIN Ä", "plain ä")]
+
+
+def test_every_technology_of_the_reference_is_named(spark):
+    said = spark.createDataFrame([("a pi adapter on Redis",), ("pip and pirates",)], "text string")
+    assert [r.technologies for r in context.described(said).collect()] == [["redis", "pi"], []]
