@@ -84,8 +84,10 @@ def candidates(found: DataFrame, asked: DataFrame, how: Request = Request(), ind
     entries before the request, with any text, are eligible, and only those that an exact identifier, a phrase, a whole word of the request or their vector brings in. Vectors come from ``index`` where one is given, else entries are embedded here.
     """
     limit = max(how.max_results, min(100, 6 * how.max_results))
-    wanted = described(asked.withColumnRenamed("request", "text"), "text").where("size(terms) > 0").withColumnRenamed("text", "request")
-    wanted = materialize(wanted, "asked")  # what a request holds is a long expression, and is asked for often
+    # what a request holds is a long expression, and is asked for often; few requests would else be one task's
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = described(asked.withColumnRenamed("request", "text").repartition(tasks, "session_id"), "text").where("size(terms) > 0").withColumnRenamed("text", "request")
+    wanted = materialize(wanted, "asked")
     rows = found.join(wanted, "session_id").where((F.col("created_at") < F.col("asked_at")) & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0))
     rows = materialize(rows.withColumn("lexical", T.lexical(F.col("text"))), "eligible")
     key = ["session_id", "entry_id"]

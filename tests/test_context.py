@@ -81,3 +81,11 @@ def test_payloads_are_cleaned_below_content_keys(spark):
     assert got["messages"][0] == {"role": "user", "content": "a [sensitive content excluded by privacy policy] password=[REDACTED SECRET]"}
     assert got["messages"][1] == {"role": "[sensitive content excluded by privacy policy]", "text": "[local-only content excluded by privacy policy]"}
     assert (r.classification, r.blocked, r.redactions) == ("local-only", 3, 1)
+
+
+def test_values_of_a_request_are_looked_for_once(spark):
+    from mnemospark.operators.context import unique_first
+
+    out = spark.createDataFrame([("a, B,b ,,A,c",), (None,)], "v string").select(unique_first(F.split("v", ","), 2).alias("x"))
+    assert out._jdf.queryExecution().analyzed().toString().count("split(") == 1
+    assert [r.x for r in out.collect()] == [["a", "B"], None]
