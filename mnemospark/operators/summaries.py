@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
-from mnemospark.operators.state import STATES, reachable
+from mnemospark.operators.state import STATES, cyclic
 from mnemospark.storage import materialize
 
 #: The sections of a summary, in order.
@@ -121,7 +121,7 @@ def graph_problems(nodes: DataFrame, edges: DataFrame, stored: DataFrame) -> Dat
     both = edges.join(every.select(F.col("node").alias("parent"), F.col("session").alias("ps"), F.col("level").alias("pl")), "parent").join(every.select(F.col("node").alias("child"), F.col("session").alias("cs"), F.col("level").alias("cl")), "child", "left")
     problem = F.when(F.col("parent") == F.col("child"), "self").when(F.col("cs").isNull() | (F.col("cs") != F.col("ps")), "missing-child").when(F.col("cl") >= F.col("pl"), "level")
     broken = both.select(F.col("parent").alias("node"), problem.alias("problem")).where("problem is not null").distinct()
-    round_ = reachable(edges.where("parent != child")).where("ancestor = node").select("node", F.lit("cycle"))
+    round_ = cyclic(edges).select("node", F.lit("cycle"))
     return twice.union(changed).union(broken).union(round_)
 
 
