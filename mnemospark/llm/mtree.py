@@ -6,7 +6,7 @@ radius. For a metric, a tree's vectors get one more component that brings all to
 vector is the one of largest inner product.
 
 Pages are rows of a table. A block of queries meets every tree (a stated query set against all rows); blocks are large,
-since the pages are sent once for each; in a tree a query takes pages by their least possible distance, until that exceeds its k-th best. Stored distances rule entries
+since the pages are sent once for each; in a tree queries go down together and take pages by their least possible distance, each until that exceeds its own k-th best. Stored distances rule entries
 out before their own distance is computed: |d(query, routing object) - d(entry, routing object)| is a lower bound.
 Scores are 64-bit integers, and bounds are widened by more than rounding can take from a distance, so the result is exact,
 ties included. Vectors whose scores might not fit 64 bits are refused.
@@ -31,6 +31,10 @@ LEAST_TREE = 4_000
 SLACK, SLACK_SHARE = 1e-6, 2.0**-22
 #: Least bound on dim * component**2 that is refused.
 TOO_LARGE = 2.0**62
+#: Below this, products of components and squared distances are whole numbers that a float holds.
+EXACT = 2**51
+#: No score; queries that go down a tree together.
+NONE, TOGETHER = -(2**63) + 1, 1024
 
 PAGES = "dim int, part int, page int, leaf boolean, norm double, ids binary, vectors binary, radii binary, to_parent binary"
 _BINARY = pa.binary()
@@ -108,35 +112,82 @@ class Tree:
 
     def nearest(self, query: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k largest (score, vec_id), ties to the smaller id."""
-        lift = int(query @ query) + int(self.norm)
-        slack = SLACK + SLACK_SHARE * np.sqrt(float(lift))
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        bound, queue = np.inf, [(0.0, 0, 0.0)]
+        scores, ids = self.nearest_of_all(query[None], k)
+        return [(int(s), int(i)) for s, i in zip(scores[0], ids[0]) if s != NONE]
+
+    def nearest_of_all(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of the k largest of each query, ties to the smaller id; where there are fewer, scores end with NONE.
+
+        Queries go down together, so a page is one product of matrices for all that ask for it. Each first takes the leaf that its nearest routing objects lead to; then
+        pages come by their least possible distance to any of their queries, and a query takes part in a page only while that distance is within its own k-th best.
+        """
+        m, dim = queries.shape
+        largest = max((int(np.abs(v).max()) for _, _, v, _, _ in self.pages.values() if v.size), default=0)
+        lift = (queries * queries).sum(1) + int(self.norm)
+        exact = max(dim * largest * int(np.abs(queries).max(initial=0)), int(lift.max(initial=0))) < EXACT
+        kind = np.float64 if exact else np.int64  # below 2**52 floats are exact in any order, and far faster
+        asked, slack = queries.astype(kind), SLACK + SLACK_SHARE * np.sqrt(lift.astype(float))
+        scores, ids, bound = np.full((m, k), NONE), np.zeros((m, k), np.int64), np.full(m, np.inf)
+        first = np.zeros(m, np.int64)
+
+        def leaf(page: int, who: np.ndarray, d_page: np.ndarray | None) -> None:
+            _, own, vectors, _, to_parent = self.pages[page]
+            if d_page is not None:
+                near = np.abs(d_page[:, None] - to_parent) <= bound[who, None]
+                some = near.any(0)
+                own, vectors, near = own[some], vectors[some], near[:, some]
+            else:
+                near = np.ones((len(who), len(own)), bool)
+            self.computed += int(near.sum())
+            products = asked[who] @ vectors.astype(kind).T
+            better = np.flatnonzero((near & (products >= scores[who, -1:])).any(1))
+            if not len(better):
+                return
+            at = who[better]
+            mine = np.where(near[better], products[better].astype(np.int64), NONE)
+            all_scores, all_ids = np.concatenate([scores[at], mine], 1), np.concatenate([ids[at], np.broadcast_to(own, mine.shape)], 1)
+            best = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+            scores[at], ids[at] = np.take_along_axis(all_scores, best, 1), np.take_along_axis(all_ids, best, 1)
+            full = at[scores[at, -1] != NONE]
+            bound[full] = np.sqrt(np.maximum(0, lift[full] - 2 * scores[full, -1]).astype(float)) + slack[full]
+
+        def distances(page: int, who: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(0.0, lift[who, None] - 2.0 * (asked[who] @ self.pages[page][2].astype(kind).T)))
+
+        down = [(0, np.arange(m))]
+        while down:
+            page, who = down.pop()
+            if self.pages[page][0]:
+                first[who] = page
+                leaf(page, who, None)
+                continue
+            nearest = distances(page, who).argmin(1)
+            self.computed += len(who) * len(self.pages[page][1])
+            down += [(int(self.pages[page][1][j]), who[nearest == j]) for j in np.unique(nearest)]
+        queue = [(0.0, 0, np.arange(m), np.zeros(m), None)]
         while queue:
-            least, page, d_page = heapq.heappop(queue)
-            if least > bound:
-                break
-            leaf, own, vectors, radii, to_parent = self.pages[page]
-            reach = bound + (0 if leaf else radii)
-            keep = np.flatnonzero(np.abs(d_page - to_parent) <= reach) if page else np.arange(len(own))
-            if not len(keep):
+            _, page, who, low, d_page = heapq.heappop(queue)
+            still = low <= bound[who]
+            is_leaf, own, _, radii, to_parent = self.pages[page]
+            if is_leaf:
+                still &= first[who] != page
+            who, d_page = who[still], d_page if d_page is None else d_page[still]
+            if not len(who):
                 continue
-            self.computed += len(keep)
-            products = vectors[keep] @ query
-            if leaf:
-                ids, scores = np.concatenate([ids, own[keep]]), np.concatenate([scores, products])
-                if len(ids) > k:
-                    best = np.lexsort((ids, -scores))[:k]
-                    ids, scores = ids[best], scores[best]
-                if len(ids) == k:
-                    bound = np.sqrt(max(0.0, float(lift - 2 * int(scores.min())))) + slack
+            if is_leaf:
+                for part in range(0, len(who), TOGETHER):
+                    leaf(page, who[part : part + TOGETHER], None if d_page is None else d_page[part : part + TOGETHER])
                 continue
-            d = np.sqrt(np.maximum(0.0, lift - 2.0 * products))
-            low = np.maximum(0.0, d - radii[keep])
-            for i in np.flatnonzero(low <= bound):
-                heapq.heappush(queue, (float(low[i]), int(own[keep[i]]), float(d[i])))
-        order = np.lexsort((ids, -scores))
-        return [(int(scores[i]), int(ids[i])) for i in order]
+            d = distances(page, who)
+            low = np.maximum(0.0, d - radii)
+            go = low <= bound[who, None]
+            if d_page is not None:
+                go &= np.abs(d_page[:, None] - to_parent) <= bound[who, None] + radii
+            self.computed += d.size
+            for j in np.flatnonzero(go.any(0)):
+                its = go[:, j]
+                heapq.heappush(queue, (float(low[its, j].min()), int(own[j]), who[its], low[its, j], d[its, j]))
+        return scores, ids
 
 
 def search_block(k: int):
@@ -144,14 +195,15 @@ def search_block(k: int):
         if not pages.num_rows or not queries.num_rows:
             return HIT_SCHEMA.empty_table()
         tree, out = Tree(pages), []
-        for number, query_id, v in zip(queries["query"].to_pylist(), queries["vec_id"].to_pylist(), queries["v"].to_pylist()):
-            query = np.array(v, np.int64)
-            found = tree.nearest(query, k + 1)
-            own = (int(query @ query), query_id)
-            if own in found:  # the query's row itself, once
-                found.remove(own)
-            out += [(number, query_id, i, s) for s, i in found[:k]]
-        return pa.table({n: [r[c] for r in out] for c, n in enumerate(HIT_SCHEMA.names)}, HIT_SCHEMA)
+        for batch in queries.to_batches(max_chunksize=TOGETHER):
+            number, query_id = batch.column("query").to_numpy(), batch.column("vec_id").to_numpy()
+            query = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1)
+            scores, ids = tree.nearest_of_all(query, k + 1)
+            own = (scores == (query * query).sum(1)[:, None]) & (ids == query_id[:, None]) & (scores != NONE)
+            left_out = np.where(own.any(1), own.argmax(1), k)  # the query's row itself, once
+            row, place = np.nonzero((scores != NONE) & (np.arange(k + 1) != left_out[:, None]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(number[row]), pa.array(query_id[row]), pa.array(ids[row, place]), pa.array(scores[row, place])], schema=HIT_SCHEMA))
+        return pa.Table.from_batches(out, HIT_SCHEMA)
 
     return run
 

@@ -61,3 +61,21 @@ def test_large_components_are_right_or_refused(spark):
     for huge in (9e8, 1e30):
         with pytest.raises(ValueError):
             mtree.top_k(spark.createDataFrame([*rows, (300, [huge] * 4)], schema), F.col("vec_id") == 0)
+
+
+def test_queries_go_down_together():
+    r = np.random.default_rng(6)
+    vectors = r.integers(-256, 256, (3000, 16)).astype(np.int64)
+    vectors[2900:] = vectors[0]  # copies: ties go to the smaller id
+    b = mtree.Builder(np.arange(3000), vectors)
+    b.build(np.arange(3000))
+    tree = mtree.Tree.__new__(mtree.Tree)
+    tree.norm, tree.computed = b.norm, 0
+    tree.pages = {i: (p["leaf"], p["ids"], p["vectors"], p["radii"], p["to_parent"]) for i, p in enumerate(b.pages)}
+    for scale in (1, 2**20):  # products as floats, and where they would not be exact as integers
+        queries = vectors[::100] * scale
+        scores, ids = tree.nearest_of_all(queries, 7)
+        for q, s, i in zip(queries, scores, ids):
+            all_ = vectors @ q
+            best = np.lexsort((np.arange(3000), -all_))[:7]
+            assert i.tolist() == best.tolist() and s.tolist() == all_[best].tolist()
