@@ -40,3 +40,17 @@ def test_few_are_compared(spark):
     seen = {r.query_id: r.compared for r in got}
     assert len(seen) == 40 and np.mean(list(seen.values())) < len(rows) / 5
     assert N.top_k(spark.createDataFrame([], SCHEMA), "id", "v", F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [dict(), dict(block=30, pack=7)])
+def test_of_kind_in_blocks_and_packs(spark, sizes):
+    rows = [(i, v, i % 3) for i, v in clustered(3, 400, 5)] + [(1000 + i, [1.0] + [0.0] * 15, 1) for i in range(90)]  # copies: ties
+    rows += [(2000, None, 1), (2010, [0.0] * 16, 1), (2020, [float("nan")] * 16, 1), (2030, [1.0] * 16, None), (None, [1.0] * 16, 1), (2040, [1.0, 2.0], 1), (2050, [2.0, 1.0], 1)]
+    got = N.of_kind(spark.createDataFrame(rows, "vec_id long, v array<float>, kind int"), "vec_id", "v", "kind", F.col("vec_id") % 10 == 0, 5, 0.1, **sizes).collect()
+    good = [(i, np.array(v, np.float32).astype(float), c) for i, v, c in rows if i is not None and c is not None and v and np.isfinite(v).all() and any(v)]
+    want = []
+    for q, x, c in good:
+        if q % 10 == 0:
+            near = sorted((-round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 6), i) for i, y, d in good if d == c and i != q and len(x) == len(y))
+            want += [(q, i, -s, r) for r, (s, i) in enumerate([n for n in near if -n[0] >= 0.1][:5])]
+    assert sorted((r.query_id, r.vec_id, r.similarity, r["rank"]) for r in got) == sorted(want)
