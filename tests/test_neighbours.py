@@ -54,3 +54,11 @@ def test_of_kind_in_blocks_and_packs(spark, sizes):
             near = sorted((-round(float(x @ y / np.sqrt(x @ x) / np.sqrt(y @ y)), 6), i) for i, y, d in good if d == c and i != q and len(x) == len(y))
             want += [(q, i, -s, r) for r, (s, i) in enumerate([n for n in near if -n[0] >= 0.1][:5])]
     assert sorted((r.query_id, r.vec_id, r.similarity, r["rank"]) for r in got) == sorted(want)
+
+
+def test_packs_are_not_broadcast(spark, monkeypatch):
+    plans, real = [], N.materialize
+    monkeypatch.setattr(N, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or real(df, name))
+    N.top_k(spark.createDataFrame([(i, v, 1, 1) for i, v in clustered(4, 300, 5)], SCHEMA), "id", "v", F.col("id") % 100 == 0, 5)
+    met = [text for name, text in plans if name in ("first", "near")]
+    assert len(met) == 2 and all("SortMergeJoin [cell" in text for text in met)
