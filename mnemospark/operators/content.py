@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from mnemospark.functions import text as T
 
@@ -167,15 +167,43 @@ def hashed_features(docs: DataFrame, key: str, dimensions: int = 256) -> DataFra
     where the text is, so nothing is shuffled.
     """
 
+    def rows(keys: pa.Array, owner: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(owner)), pa.array(bucket), pa.array(value)], [key, "bucket", "value"])
+
+    return hashed(docs, key, dimensions, rows, [StructField("bucket", LongType()), StructField("value", DoubleType())])
+
+
+def hashed_vectors(docs: DataFrame, key: str, dimensions: int = 256) -> DataFrame:
+    """(key, buckets, values): as `hashed_features`, each text in one row and without zeros; buckets ascend."""
+
+    def rows(keys: pa.Array, owner: np.ndarray, bucket: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+        some = value != 0
+        ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[some], minlength=len(keys)))]), pa.int32())
+        return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(ends, pa.array(bucket[some], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(value[some]))], [key, "buckets", "values"])
+
+    return hashed(docs, key, dimensions, rows, [StructField("buckets", ArrayType(IntegerType())), StructField("values", ArrayType(DoubleType()))])
+
+
+#: Words of texts that are hashed together, about: what they take in memory is bounded by that, and not by a number of texts.
+WORDS = 100_000
+
+
+def hashed(docs: DataFrame, key: str, dimensions: int, rows: Callable, fields: list[StructField]) -> DataFrame:
+    """What ``rows`` makes of the keys of texts, and of each cell's text, bucket and value."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 2000):
-                yield embedded(batch.slice(first, 2000))
+            ends, first = batch.column(1).offsets.to_numpy().astype(np.int64), 0
+            while first < batch.num_rows:
+                upto = min(first + 2000, max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS, "right")) - 1))
+                yield embedded(batch.slice(first, upto - first))
+                first = upto
 
     def embedded(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column(1)
-        coded, ends = pc.dictionary_encode(lists.values), lists.offsets.to_numpy().astype(np.int64)
-        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[ends[0] : ends[-1]]
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(lists.values.slice(ends[0], ends[-1] - ends[0]))
+        names, at = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(batch.num_rows), np.diff(ends))
         n = max(1, len(names))
         singles, times = np.unique(doc * n + at, return_counts=True)
@@ -191,10 +219,10 @@ def hashed_features(docs: DataFrame, key: str, dimensions: int = 256) -> DataFra
         owner = cell // dimensions
         norm = np.sqrt(np.bincount(owner, sums * sums, batch.num_rows))[owner]
         value = np.divide(sums, norm, out=np.zeros(len(sums)), where=norm > 0)
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(cell % dimensions), pa.array(value)], [key, "bucket", "value"])
+        return rows(batch.column(0), owner, cell % dimensions, value)
 
     words = docs.select(key, feature_tokens(F.coalesce("text", F.lit(""))).alias("words"))
-    return words.mapInArrow(run, StructType([docs.schema[key], StructField("bucket", LongType()), StructField("value", DoubleType())]))
+    return words.mapInArrow(run, StructType([docs.schema[key], *fields]))
 
 
 def places_of(features: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:

@@ -82,3 +82,14 @@ def test_runs_embed_only_what_is_new_or_changed(spark, tmp_path, monkeypatch):
     # a run that failed before its end counts for nothing
     spark.createDataFrame([("entry", "s0", "zz", "zz", 1, 1.0, index.model.profile, 0)], "kind string, scope string, source_key string, source_hash string, bucket long, value double, profile string, part int").write.partitionBy("part").parquet(str(tmp_path / "i" / "postings" / "run=99"))
     assert "zz" not in {k for _, k, _, _ in answer(index.search("entry", asked, least=0.001))}
+
+
+def test_long_and_many_texts_are_hashed_in_parts(spark, monkeypatch):
+    rows = [(k, " ".join(WORDS[(k * j) % 20] for j in range(k % 7 * 50))) for k in range(60)] + [(60, None), (61, "word " * 3000)]
+    frame = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    monkeypatch.setattr(C, "WORDS", 100)
+    vectors = {r.id: dict(zip(r.buckets, r["values"])) for r in C.hashed_vectors(frame, "id").collect()}
+    cells = {}
+    for r in C.hashed_features(frame, "id").where("value != 0").collect():
+        cells.setdefault(r.id, {})[r.bucket] = r.value
+    assert vectors.keys() == cells.keys() and all(vectors[k] == pytest.approx(cells[k]) for k in cells)
