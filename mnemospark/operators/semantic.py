@@ -1,8 +1,8 @@
-"""A stored semantic index: sparse unit vectors as an inverted table of (bucket, value), with each bucket's extremes.
+"""A stored semantic index: sparse unit vectors, each in one row with its source.
 
-A run embeds what is new or changed and nothing else. Its postings are written first and what is live last, under the run's number, so
-a run that failed counts for nothing. A search takes postings of the asked buckets, leaves out documents that only buckets too
-weak to reach the least similarity would bring in, and sums the others over all buckets: the result is that of comparing all.
+A run embeds what is new or changed and nothing else. Its vectors are written first and what is live last, under the run's number, so
+a run that failed counts for nothing. In a search each vector meets its scope's request once, and only what is like enough goes on: the result is
+that of comparing all of the scope.
 """
 
 from __future__ import annotations
@@ -13,11 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.operators import history as H
-from mnemospark.operators.content import hashed_features
+from mnemospark.operators.content import hashed_vectors
 from mnemospark.storage import exists, materialize
 
-#: Folders of postings by a hash of the scope.
-PARTS = 16
 SCOPE = ["kind", "scope"]
 SOURCE = [*SCOPE, "source_key", "source_hash"]
 
@@ -37,8 +35,8 @@ class Model:
 
 
 def embedded(texts: DataFrame, key: str, model: Model) -> DataFrame:
-    """(key, bucket, value) without zeros; the port behind which another embedding would stand."""
-    return hashed_features(texts.select(key, "text"), key, model.dimensions).where("value != 0")
+    """(key, buckets, values) without zeros; the port behind which another embedding would stand."""
+    return hashed_vectors(texts.select(key, "text"), key, model.dimensions)
 
 
 def runs(spark: SparkSession, path: str) -> list[int]:
@@ -51,10 +49,6 @@ def runs(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(f.getPath().getName().split("=")[1]) for f in found if exists(spark, f"{f.getPath()}/_SUCCESS"))
 
 
-def part(scope: Column) -> Column:
-    return F.pmod(F.xxhash64(scope), F.lit(PARTS)).cast("int")
-
-
 def text_gate(text: Column) -> Column:
     """The gate that lets every text through. A gate gives the text that may be embedded, or null."""
     return text
@@ -78,7 +72,7 @@ class Index:
         done = runs(self.spark, self.path)
         if not done:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema + ", run int, part int").parquet(f"{self.path}/{name}").where(F.col("run").isin(done) & (F.col("profile") == self.model.profile))
+        return self.spark.read.schema(schema + ", run int").parquet(f"{self.path}/{name}").where(F.col("run").isin(done) & (F.col("profile") == self.model.profile))
 
     def sync(self, sources: DataFrame, kind: str, gate=text_gate, most: int | None = None, complete: bool = True) -> DataFrame:
         """Bring the vectors of ``kind`` up to ``sources`` (scope, source_key, source_hash, text); a row of counts for each scope.
@@ -101,11 +95,8 @@ class Index:
         action = F.when(F.col("beyond"), "beyond").when(F.col("known"), "cached").when(F.col("prepared").isNull(), "private").otherwise("indexed")
         rows = rows.withColumn("action", action)
         new = rows.where("action = 'indexed'").select(F.struct(*SOURCE).alias("id"), F.col("prepared").alias("text"))
-        postings = embedded(new, "id", self.model).select("id.*", "bucket", "value", F.lit(self.model.profile).alias("profile"), part(F.col("id.scope")).alias("part"))
-        postings.repartition("part", "scope", "bucket").sortWithinPartitions("scope", "bucket").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/postings/run={run}")
-        written = spark.read.parquet(f"{self.path}/postings/run={run}") if exists(spark, f"{self.path}/postings/run={run}") and not new.isEmpty() else postings.limit(0)
-        extremes = written.groupBy("part", *SCOPE, "bucket", "profile").agg(F.max("value").alias("high"), F.min("value").alias("low"))
-        extremes.write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/extremes/run={run}")
+        vectors = embedded(new, "id", self.model).select("id.*", "buckets", "values", F.lit(self.model.profile).alias("profile"))
+        vectors.write.mode("overwrite").parquet(f"{self.path}/vectors/run={run}")
         counts = rows.groupBy(*SCOPE).agg(
             F.count_if(F.col("action") != "beyond").alias("sources"), *[F.count_if(F.col("action") == a).alias(a) for a in ("cached", "indexed", "private", "beyond")]
         )
@@ -128,21 +119,18 @@ class Index:
         if least <= 0:
             raise ValueError("the least similarity has to be above 0")
         wanted = requests.select(F.col("scope").cast("string").alias("scope"), gate(F.col("text")).alias("text")).where("text is not null")
-        # a text that many ask is embedded once
-        asked = embedded(wanted.select("text").distinct().select(F.struct("text").alias("id"), "text"), "id", self.model).select("id.text", "bucket", F.col("value").alias("asked"))
-        asked = materialize(wanted.join(asked, "text").select("scope", "bucket", "asked"), "asked")
-        extremes = self.stored("extremes", "kind string, scope string, bucket long, profile string, high double, low double").where(F.col("kind") == kind)
-        extremes = extremes.groupBy("scope", "bucket").agg(F.max("high").alias("high"), F.min("low").alias("low"))
-        reach = F.greatest(F.col("asked") * F.col("high"), F.col("asked") * F.col("low"), F.lit(0.0))
-        weakest = Window.partitionBy("scope").orderBy("most", "bucket")
-        strong = asked.join(extremes, ["scope", "bucket"]).withColumn("most", reach).withColumn("together", F.sum("most").over(weakest)).where(F.col("together") >= least - 1e-9)
-        postings = self.stored("postings", "kind string, scope string, source_key string, source_hash string, bucket long, value double, profile string").where(F.col("kind") == kind)
+        # a text that many ask is embedded once; a request's vector has a place for each bucket, so that a value is found by its number
+        places = F.sequence(F.lit(0), F.lit(self.model.dimensions - 1))
+        dense = F.transform(places, lambda k: F.coalesce(F.try_element_at(F.map_from_arrays("buckets", "values"), k), F.lit(0.0)))
+        asked = embedded(wanted.select("text").distinct().select(F.struct("text").alias("id"), "text"), "id", self.model).select("id.text", dense.alias("asked"))
+        asked = materialize(wanted.join(asked, "text").select("scope", "asked"), "asked")
+        vectors = self.stored("vectors", "kind string, scope string, source_key string, source_hash string, buckets array<int>, values array<double>, profile string").where(F.col("kind") == kind)
         alive = self.live().where((F.col("kind") == kind) & (F.col("profile") == self.model.profile)).select("scope", "source_key", "source_hash")
         if within is not None:
             alive = alive.join(within.select(F.col("scope").cast("string").alias("scope"), "source_key", "source_hash").distinct(), ["scope", "source_key", "source_hash"], "left_semi")
         key = ["scope", "source_key", "source_hash"]
-        matched = postings.join(asked, ["scope", "bucket"]).join(alive, key, "left_semi").select(*key, "bucket", (F.col("value") * F.col("asked")).alias("adds"))
-        matched = materialize(matched, "matched")
-        chosen = matched.join(strong.select("scope", "bucket"), ["scope", "bucket"], "left_semi").select(*key).distinct()
-        scored = matched.join(chosen, key, "left_semi").groupBy(*key).agg(F.round(F.sum("adds"), 9).alias("similarity")).where(F.col("similarity") >= least)
+        product = F.aggregate(F.zip_with("buckets", "values", lambda b, v: v * F.get("asked", b)), F.lit(0.0), lambda total, x: total + x)
+        near = vectors.select(*key, "buckets", "values").join(asked, "scope").select(*key, F.round(product, 9).alias("similarity")).where(F.col("similarity") >= least)
+        # a source that was gone and came back has been embedded twice, the same each time
+        scored = near.dropDuplicates(key).join(alive, key, "left_semi")
         return H.top(scored, ["scope"], [F.desc("similarity"), F.asc("source_key"), F.asc("source_hash")], limit, "vector_order")

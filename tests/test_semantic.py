@@ -84,6 +84,17 @@ def test_runs_embed_only_what_is_new_or_changed(spark, tmp_path, monkeypatch):
     assert "zz" not in {k for _, k, _, _ in answer(index.search("entry", asked, least=0.001))}
 
 
+def test_a_vector_is_a_row_and_counts_once(spark, tmp_path):
+    rows, path = texts(40, 2), str(tmp_path / "i")
+    index = V.Index(spark, path)
+    asked = [("s0", rows[4][3]), ("s1", rows[5][3])]
+    for some in (rows, rows[10:], rows):  # the first ten go and come back
+        index.sync(spark.createDataFrame(some, SCHEMA), "entry")
+    assert spark.read.parquet(f"{path}/vectors").count() == 50
+    hits = index.search("entry", spark.createDataFrame(asked, "scope string, text string"))
+    assert answer(hits) == brute(spark, rows, asked, 80, 0.1) and hits.agg(F.max("similarity")).first()[0] <= 1
+
+
 def test_long_and_many_texts_are_hashed_in_parts(spark, monkeypatch):
     rows = [(k, " ".join(WORDS[(k * j) % 20] for j in range(k % 7 * 50))) for k in range(60)] + [(60, None), (61, "word " * 3000)]
     frame = spark.createDataFrame(rows, "id long, text string").coalesce(1)
