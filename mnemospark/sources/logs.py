@@ -226,6 +226,12 @@ def originals(wanted: DataFrame) -> DataFrame:
     return wanted.sortWithinPartitions("file", "start").mapInArrow(run, f"{kinds}, raw string, status string")
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows of a batch; Python has the cells of one row at a time, as a batch may hold thousands of whole files."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def write_logs(rows: DataFrame) -> DataFrame:
     """Write each of ``rows`` (file, lines) as one file, in place of what is there; (file, size) once it is there.
 
@@ -235,7 +241,7 @@ def write_logs(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = []
-            for row in batch.to_pylist():
+            for row in one_by_one(batch):
                 body = "".join(row["lines"]).encode()
                 system, path = place(row["file"])
                 system.create_dir(path.rpartition("/")[0], recursive=True)

@@ -134,3 +134,20 @@ def test_runs_are_written_together_after_some(spark, folder, tmp_path, monkeypat
     state = I.ingest(spark, str(folder), target).collect()
     assert [(r.action, r.entries, r.generation) for r in state] == [("append", 504, 1)] and I.indexed(spark, target).count() == 504
     assert state[0].base > 1 and not (tmp_path / "t" / "entries" / "run=1").exists()
+
+
+def test_rows_of_a_batch_are_made_one_by_one():
+    import pyarrow as pa
+
+    from mnemospark.sources import logs
+
+    class Counted:
+        made, num_rows = 0, 3
+
+        def slice(self, k, n):
+            Counted.made += n
+            return pa.RecordBatch.from_pylist([{"file": f"f{j}", "lines": ["a\n"]} for j in range(k, k + n)])
+
+    rows = logs.one_by_one(Counted())
+    assert next(rows) == {"file": "f0", "lines": ["a\n"]} and Counted.made == 1
+    assert [r["file"] for r in rows] == ["f1", "f2"]
