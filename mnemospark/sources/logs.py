@@ -186,7 +186,10 @@ def lines(files: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     ``files`` (file, start, size): a line begins at ``start``, and ``size`` bytes are there. Ranges of ``range_bytes`` are dealt over tasks.
     """
     step = F.lit(range_bytes)
-    total = files.agg(F.sum(F.ceil((F.col("size") - F.col("start")) / step))).first()[0] or 1
+    left = F.col("size") - F.col("start")
+    total = files.agg(F.sum(F.ceil(left / step)).alias("ranges"), F.sum(left).alias("bytes")).first()
+    # ranges may be far smaller than what is worth a task
+    tasks = min(total.ranges or 1, max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total.bytes or 0) // RANGE), TASKS)
     ranges = files.where("size > start").select("file", "start", "size", F.explode(F.sequence("start", F.col("size") - 1, step)).alias("from"))
     ranges = ranges.select("file", "from", F.least("size", F.col("from") + step).alias("to"), "size", (F.col("from") == F.col("start")).alias("begins"))
 
@@ -196,7 +199,7 @@ def lines(files: DataFrame, range_bytes: int = RANGE) -> DataFrame:
                 with opened(row["file"]) as file:
                     yield from batches_of(row["file"], cut(file, row["from"], row["to"], row["size"], row["begins"]))
 
-    return ranges.repartition(max(1, min(TASKS, int(total))), "file", "from").mapInArrow(run, LINE)
+    return ranges.repartition(max(1, int(tasks)), "file", "from").mapInArrow(run, LINE)
 
 
 def originals(wanted: DataFrame) -> DataFrame:

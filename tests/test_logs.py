@@ -151,3 +151,12 @@ def test_rows_of_a_batch_are_made_one_by_one():
     rows = logs.one_by_one(Counted())
     assert next(rows) == {"file": "f0", "lines": ["a\n"]} and Counted.made == 1
     assert [r["file"] for r in rows] == ["f1", "f2"]
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    from mnemospark.sources import logs
+
+    (tmp_path / "a.jsonl").write_bytes(b"line\n" * 2000)
+    files = spark.createDataFrame([(str(tmp_path / "a.jsonl"), 0, 10_000)], "file string, start long, size long")
+    found = logs.lines(files, 20)
+    assert found.rdd.getNumPartitions() <= 4 and found.count() == 2000 and found.select("start").distinct().count() == 2000
