@@ -13,7 +13,7 @@ from mnemospark.operators import history as H
 from mnemospark.operators.content import hashed_features
 from mnemospark.operators.context import described
 from mnemospark.operators.semantic import Index
-from mnemospark.storage import materialize
+from mnemospark.storage import dealt, materialize
 
 #: Parts of a candidate's score.
 EXACT, PHRASE, FULL_TEXT, ON_BRANCH = 100, 85, 60, 15
@@ -85,8 +85,7 @@ def candidates(found: DataFrame, asked: DataFrame, how: Request = Request(), ind
     """
     limit = max(how.max_results, min(100, 6 * how.max_results))
     # what a request holds is a long expression, and is asked for often; few requests would else be one task's
-    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = described(asked.withColumnRenamed("request", "text").repartition(tasks, "session_id"), "text").where("size(terms) > 0").withColumnRenamed("text", "request")
+    wanted = described(dealt(asked.withColumnRenamed("request", "text"), "session_id"), "text").where("size(terms) > 0").withColumnRenamed("text", "request")
     wanted = materialize(wanted, "asked")
     rows = found.join(wanted, "session_id").where((F.col("created_at") < F.col("asked_at")) & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0))
     rows = materialize(rows.withColumn("lexical", T.lexical(F.col("text"))), "eligible")

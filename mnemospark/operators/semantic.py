@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.operators import history as H
 from mnemospark.operators.content import hashed_vectors
-from mnemospark.storage import exists, materialize
+from mnemospark.storage import dealt, exists, materialize
 
 SCOPE = ["kind", "scope"]
 SOURCE = [*SCOPE, "source_key", "source_hash"]
@@ -122,7 +122,7 @@ class Index:
         # a text that many ask is embedded once; a request's vector has a place for each bucket, so that a value is found by its number
         places = F.sequence(F.lit(0), F.lit(self.model.dimensions - 1))
         dense = F.transform(places, lambda k: F.coalesce(F.try_element_at(F.map_from_arrays("buckets", "values"), k), F.lit(0.0)))
-        asked = embedded(wanted.select("text").distinct().select(F.struct("text").alias("id"), "text"), "id", self.model).select("id.text", dense.alias("asked"))
+        asked = embedded(dealt(wanted.select("text").distinct(), "text").select(F.struct("text").alias("id"), "text"), "id", self.model).select("id.text", dense.alias("asked"))
         asked = materialize(wanted.join(asked, "text").select("scope", "asked"), "asked")
         vectors = self.stored("vectors", "kind string, scope string, source_key string, source_hash string, buckets array<int>, values array<double>, profile string").where(F.col("kind") == kind)
         alive = self.live().where((F.col("kind") == kind) & (F.col("profile") == self.model.profile)).select("scope", "source_key", "source_hash")

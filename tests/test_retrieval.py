@@ -11,6 +11,7 @@ from mnemospark.operators import content as C
 from mnemospark.operators import context as X
 from mnemospark.operators import history as H
 from mnemospark.operators import retrieval as R
+from mnemospark.operators import semantic
 from mnemospark.operators.semantic import Index
 
 TEXTS = [
@@ -133,3 +134,25 @@ def test_a_candidate_past_many_that_do_not_fit_is_taken(spark):
     frame = spark.createDataFrame(rows, "key string, id int, score int, tokens int")
     got = sorted((r.key, r.id, r.place) for r in H.greedy_whole(frame, ["key"], [F.desc("score"), F.asc("id")], "tokens", 50, 4, fold=100).collect())
     assert got == [("a", 700 + k, 700 + k) for k in range(4)] + [("b", k, 2 - k) for k in range(3)]
+
+
+def test_requests_are_described_and_embedded_in_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(s, f"{s}:{k}", k, "user", f"session {s} asks about parseConfig{s} and its cache", 9) for s in range(40) for k in range(2)]
+    found = spark.createDataFrame(rows, "session_id long, entry_id string, created_at long, role string, text string, tokens long")
+    index = Index(spark, str(tmp_path / "index"))
+    index.sync(R.entry_sources(found), "entry")
+    tasks, written, embedded = {}, R.materialize, semantic.embedded
+
+    def seen(df, name):
+        tasks.setdefault(name, df.rdd.getNumPartitions())
+        return written(df, name)
+
+    def vectors(texts, key, model):
+        tasks["embedded"] = texts.rdd.getNumPartitions()
+        return embedded(texts, key, model)
+
+    monkeypatch.setattr(R, "materialize", seen)
+    monkeypatch.setattr(semantic, "embedded", vectors)
+    R.candidates(found, H.requests(found), R.Request(), index).count()
+    # few bytes that take long: they stay as many tasks as a shuffle has
+    assert tasks["asked"] == tasks["embedded"] == 4
