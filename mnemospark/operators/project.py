@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mnemospark.functions import text as T
 from mnemospark.functions.vectors import reciprocal_rank_fusion
 from mnemospark.operators.history import greedy, top
+from mnemospark.storage import materialize
 
 #: Folders that hold no project knowledge.
 IGNORED_DIRECTORIES = (
@@ -105,6 +106,7 @@ def text_hits(rows: DataFrame, requests: DataFrame, limit: int) -> DataFrame:
     wanted = asked_for(requests, "exact").distinct()
     nth = F.row_number().over(Window.partitionBy("project").orderBy("term")) - 1
     packs = wanted.select("project", "term").distinct().withColumn("pack", F.floor(nth / TERMS)).groupBy("project", "pack").agg(F.collect_list("term").alias("_terms"))
+    packs = materialize(packs, "packs")
     held = rows.join(packs.drop("pack"), "project").withColumn("term", F.explode(F.filter("_terms", lambda t: F.contains(F.col("path"), t) | F.contains(F.col("content"), t)))).drop("_terms")
     order = [F.desc(F.col("modified").cast("int")), F.asc("start_line"), F.asc("snippet_id")]
     return top(held.join(wanted, ["project", "term"]), ["request", "term"], order, limit).select("request", "term", "snippet_id", "rank")
@@ -138,20 +140,22 @@ def evidence(rows: DataFrame, requests: DataFrame, fts: DataFrame, vectors: Data
     taken in that order, passing over what doesn't.
     """
     limit = min(500, max(8 * most, 40))
+    # requests and what the channels find for them are few and written, so that it is known how small they are, and snippets with their texts need not be shuffled to meet them
+    requests = materialize(requests, "requests")
     exact = path_hits(rows, requests, limit).unionByName(symbol_hits(rows, requests, limit)).unionByName(text_hits(rows, requests, limit))
-    found = exact.groupBy("request", "snippet_id").agg(F.collect_set("term").alias("matched")).join(fts, ["request", "snippet_id"], "full")
+    found = exact.groupBy("request", "snippet_id").agg(F.collect_set("term").alias("matched")).join(fts, ["request", "snippet_id"], "full").withColumn("_words", F.lit(True))
     empty = F.array().cast("array<string>")
     none = {"vector_order": F.lit(None).cast("int"), "similarity": F.lit(None).cast("double"), "lexical_order": F.lit(None).cast("int")}
-    known = lambda c: c.withColumn("matched", F.coalesce("matched", empty)).join(requests, "request").join(rows, ["project", "snippet_id"])
-    by_words = known(found).withColumns(none)
-    by_words = by_words.withColumn("first_score", score(by_words))
-    order = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("first_score"), "snippet_id")) - 1
-    found = by_words.select("request", "snippet_id", "matched", "fts_order", order.alias("lexical_order"))
     if vectors is not None:
         found = found.join(vectors, ["request", "snippet_id"], "full")
     else:
         found = found.withColumns({k: none[k] for k in ("vector_order", "similarity")})
-    merged = known(found)
+    pool = materialize(found.withColumn("matched", F.coalesce("matched", empty)).join(requests, "request"), "pool")
+    known = materialize(pool.join(rows, ["project", "snippet_id"]), "known")
+    by_words = known.where("_words").withColumns(none)
+    by_words = by_words.withColumn("first_score", score(by_words))
+    order = F.row_number().over(Window.partitionBy("request").orderBy(F.desc("first_score"), "snippet_id")) - 1
+    merged = known.join(by_words.select("request", "snippet_id", order.alias("lexical_order")), ["request", "snippet_id"], "left")
     merged = merged.withColumn("score", score(merged)).withColumn("is_exact", (F.size("matched") > 0).cast("int"))
     best = [F.desc("is_exact"), F.desc("score"), F.desc(F.col("modified").cast("int")), F.asc("path"), F.asc("start_line"), F.asc("snippet_id")]
     same = Window.partitionBy("request", F.lower(T.collapsed(F.col("content")))).orderBy(*best)

@@ -50,7 +50,7 @@ def managed_plan(t):
 def project_evidence(t):
     """Snippets for each project's request, by path, symbol, text and full text."""
     found, snippets = project_files(t)
-    rows, asked = K.current(snippets, found), project_requests(t)
+    rows, asked = materialize(K.current(snippets, found), "snippets"), project_requests(t)
     wanted = asked.select("request", F.explode(F.array(F.lit("the"), F.lit("run"))).alias("term"))
     fields = {"content": (F.col("content"), 1.0), "path": (F.col("path"), 3.0), "symbols": (F.concat_ws(" ", "symbol_name", "qualified_name"), 4.0)}
     fts = H.weighted_search(rows, "snippet_id", fields, wanted, "request", 40).select("request", "snippet_id", F.col("rank").alias("fts_order"))
