@@ -213,6 +213,11 @@ def relevant(text: Column) -> Column:
     return of(text)
 
 
+def patch_marks(patch: Column) -> Column:
+    """Of each line of a patch its header, or its first character; nothing else of it says where text changed."""
+    return F.regexp_replace(patch, r"(?<![^\n])(@@ -\p{Nd}+(?:,\p{Nd}+)? \+\p{Nd}+(?:,\p{Nd}+)? @@|[^\n]?)[^\n]*+", "$1")
+
+
 def edit_report(patch: Column) -> Column:
     """(delta, regions, shown, truncated) of a unified patch: where text changed, from the patch alone.
 
@@ -250,7 +255,7 @@ def edit_report(patch: Column) -> Column:
     def of(column: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(x) for x in column], columns=["line_delta", "regions", "shown", "truncated"])
 
-    return of(patch)
+    return of(patch_marks(patch))
 
 
 def stable_json(values: Column) -> Column:

@@ -186,3 +186,11 @@ def test_a_request_is_a_beginning_of_the_next_one(spark):
     assert plan(4, "e1") == [1, 2, "a", "b", "c", "e1", 3]
     with pytest.raises(ValueError):
         plan(4, "e1", placement="elsewhere")
+
+
+def test_of_a_patch_only_headers_and_marks_go_to_python(spark):
+    patch = "--- a\n+++ b\n@@ -1,3 +1,4 @@ def f(): " + "c" * 500 + "\n x\n\n-" + "o" * 5000 + "\n+\U0001f600n\r\n\u2028y\n+@@ -1 +1 @@\n@@ -\u0669,0 +2 @@\n+z"
+    rows = spark.createDataFrame([(patch,), (None,)], "t string")
+    assert [r.m for r in rows.select(P.patch_marks(F.col("t")).alias("m")).collect()] == ["-\n+\n@@ -1,3 +1,4 @@\n \n\n-\n+\n\u2028\n+\n@@ -\u0669,0 +2 @@\n+", None]
+    r = rows.select(P.edit_report(F.col("t")).alias("r")).first().r
+    assert (r.line_delta, r.regions) == (2, 2) and '"old_start": 10, "old_count": 0, "new_start": 2' in r.shown
