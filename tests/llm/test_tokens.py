@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -197,3 +198,19 @@ def test_hot_lengths_and_bad_lengths(spark):
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_a_worker_holds_few_words_and_hands_back_after_each_slice(monkeypatch):
+    from mnemospark.llm import bulk
+
+    handed = []
+    monkeypatch.setattr(bulk, "hand_back", lambda: handed.append(1))
+    texts = pa.array([" ".join(f"w{k}" for k in range(a, a + 100_000)) for a in (0, 100_000, 200_000)], pa.large_string())
+    encoder, most, seen = bulk.BulkEncoder(vocab.from_json(public_tokenizers.path("byte_bpe_50k.json")), False), 0, []
+    for nth, (a, b) in enumerate(bulk.slices(texts, 800_000)):
+        assert len(handed) == nth and b == a + 1
+        seen.append(encoder.encode(texts.slice(a, 1))[0])
+        most = max(most, len(encoder.slots))
+    assert len(handed) == 3 and most <= bulk.MEMO_WORDS <= 250_000
+    # a memo that starts anew gives the same ids
+    assert (encoder.encode(texts.slice(0, 1))[0] == seen[0]).all()
