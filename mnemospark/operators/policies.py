@@ -6,7 +6,10 @@ import json
 import math
 import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,6 +185,8 @@ def artifact_budget(messages: DataFrame, budget: DataFrame, inline: int = 12_000
 #: What makes a line of a tool's output worth showing.
 ALARM = r"\b(?:error|failed|failure|exception|fatal|panic|warn(?:ing)?|traceback)\b"
 MOST_ALARMS, MOST_PATHS, PATH_SCAN = 16, 24, 100_000
+#: Bytes of texts that are Python's strings together, or one text.
+TEXT_BYTES = 1_000_000
 
 
 def relevant(text: Column) -> Column:
@@ -206,9 +211,17 @@ def relevant(text: Column) -> Column:
                     break
         return {"errors": list(errors), "paths": list(paths)}
 
-    @F.pandas_udf("errors array<string>, paths array<string>")
-    def of(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(x) for x in column], columns=["errors", "paths"])
+    kind = pa.struct([("errors", pa.list_(pa.string())), ("paths", pa.list_(pa.string()))])
+
+    @F.arrow_udf("errors array<string>, paths array<string>")
+    def of(column: pa.Array) -> pa.Array:
+        # a batch's texts stay as they came, and become Python's strings a few at a time
+        upto, found, first = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)), [], 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TEXT_BYTES, "right")))
+            found.append(pa.array(map(one, column.slice(first, last - first).to_pylist()), kind))
+            first = last
+        return pa.concat_arrays(found) if found else pa.array([], kind)
 
     return of(text)
 

@@ -194,3 +194,13 @@ def test_of_a_patch_only_headers_and_marks_go_to_python(spark):
     assert [r.m for r in rows.select(P.patch_marks(F.col("t")).alias("m")).collect()] == ["-\n+\n@@ -1,3 +1,4 @@\n \n\n-\n+\n\u2028\n+\n@@ -\u0669,0 +2 @@\n+", None]
     r = rows.select(P.edit_report(F.col("t")).alias("r")).first().r
     assert (r.line_delta, r.regions) == (2, 2) and '"old_start": 10, "old_count": 0, "new_start": 2' in r.shown
+
+
+def test_texts_become_strings_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(P, "TEXT_BYTES", 40)
+    texts = [None, "", "a fatal é src/a.ts", "x" * 100 + "\nerror in /b/c", *[f"line {k}\nwarning {k}: /p/{k}" for k in range(7)], None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1)
+    got = {r.k: (r.r.errors, r.r.paths) for r in rows.select("k", P.relevant(F.col("t")).alias("r")).collect()}
+    assert len(got) == len(texts) and got[0] == got[1] == got[11] == ([], [])
+    assert got[2] == (["a fatal é src/a.ts"], ["src/a.ts"]) and got[3] == (["error in /b/c"], ["/b/c"])
+    assert all(got[4 + k] == ([f"warning {k}: /p/{k}"], [f"/p/{k}"]) for k in range(7))
