@@ -66,6 +66,18 @@ def test_counts_are_those_of_all_blocks(spark):
     assert plan.count("Exchange hashpartitioning(part") == plan.count("Exchange ") == 1, plan
 
 
+def test_totals_are_collected_as_numbers(spark):
+    """A place and a count share 64 bits: rows of two fields cost more to collect and to sort than all else of the step."""
+    grams = sorted(np.random.default_rng(3).integers(-(2**63), 2**63, 300).tolist())
+    rows = [(0, b, 1, grams[b::2], [2**30 + k for k in range(150)]) for b in (0, 1)] + [(0, 2, 1, grams, [1] * 300)]
+    frame = spark.createDataFrame(rows, "part int, block int, n int, grams array<long>, counts array<int>")
+    for most in (2**33, 2**50, 1 << 40):
+        got = {r.block: r.totals for r in backoff.totals(frame, 3, most).collect()}
+        assert got[0] == got[1] == [2**30 + k + 1 for k in range(150)] and got[2] == [t for t in got[0] for _ in range(2)]
+    plan = backoff.totals(frame, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "collect_list(struct" not in plan, plan
+
+
 def test_all_bits_of_a_hash_are_kept():
     hashes = np.arange(1, 1001, dtype=np.uint64)
     for n in (1, 2, 3):
